@@ -25,7 +25,7 @@ WINDOW = 5
 COMMON_SHARE = 0.002
 COMMON_WORDS = 40
 #: Minimum lengths, and limits of the distances.
-MIN_CHARS, MIN_WORDS = 200, 50
+MIN_CHARS, MIN_WORDS = 400, 50
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.24, 0.40
 ANY = "\u0000any"
 
