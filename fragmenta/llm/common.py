@@ -7,10 +7,14 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ROOT = Path(__file__).resolve().parents[2]
 #: White space that separates words, as a class in a regular expression.
@@ -72,3 +76,25 @@ def join_small(left: DataFrame, right: DataFrame, on: str, how: str, max_rows: i
 def let(value: Column, body) -> Column:
     """body(value), with value worked out once for each row however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def add_by_batch(docs: DataFrame, inputs: list[str], fields: str, start) -> DataFrame:
+    """docs with further columns that Python makes, an Arrow batch at a time.
+
+    start() is called once in a task and returns a function from the inputs (lists) to the new
+    columns (lists or Arrow arrays), in the order of fields (DDL). Other columns pass through
+    untouched; those named like a new one are replaced.
+    """
+    new = T.StructType.fromDDL(fields)
+    keep = [f for f in docs.schema.fields if f.name not in new.fieldNames()]
+    kinds = to_arrow_schema(new).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            made = work(*(c.to_pylist() for c in batch.columns[len(keep) :]))
+            made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*(f.name for f in keep), *new.fieldNames()])
+
+    columns = [F.col(f"`{f.name}`") for f in keep] + [F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)]
+    return docs.select(*columns).mapInArrow(run, T.StructType([*keep, *new.fields]))
