@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES: name -> (query, DuckDB SQL or None).
-MODULES = ("bpe", "jaccard_join", "knn_join", "language_id", "lm_score", "packing", "quality_rules", "substring_dedup", "warc")
+MODULES = ("bpe", "cotraining", "jaccard_join", "knn_join", "language_id", "lm_score", "packing", "quality_rules", "substring_dedup", "warc")
 
 
 def _all() -> dict:
