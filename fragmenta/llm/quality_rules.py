@@ -4,7 +4,7 @@ The divergence rule builds two histograms of a text, one of character classes an
 common words of its language, and compares each with the language's reference, the mean histogram
 of all documents of that language, by Jensen-Shannon distance (base 2, from 0 to 1). A document
 fails if a distance exceeds its limit; texts under a minimum length are not judged by that
-histogram. Documents without a language are compared with the references of all documents.
+histogram. Documents without a language are a group of their own.
 
 Null text counts as one without words: it fails the base rule. Repeated rows are each judged.
 Every other column is passed through; those named like an output column are replaced.
@@ -56,17 +56,16 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) > width, let(hashes, lambda h: let(grams_of(h), places))).otherwise(F.lit(0).cast("long"))
 
 
-def char_counts(text: Column) -> Column:
-    """Characters by class: lower case, upper case, digits, white space, punctuation, the rest."""
-    only = lambda keep: F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("double")
-    known = F.array(only(r"\p{Ll}"), only(r"\p{Lu}"), only("0-9"), only(SPACE), only(r".,;:!?'\"()\-"))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    return let(known, lambda k: F.concat(k, F.array(F.length(text) - total(k))))
+def char_counts(text: Column, n_space: Column, n_symbols: Column) -> Column:
+    """Characters by class: upper case, digits, punctuation, symbols, white space, the rest."""
+    only = lambda keep: F.length(F.regexp_replace(text, f"[^{keep}]+", ""))
+    known = F.array(only(r"\p{Lu}"), only("0-9"), only(r".,;:!?'\"()\-"), n_symbols.cast("int"), n_space.cast("int"))
+    return let(known, lambda k: F.transform(F.concat(k, F.array(F.length(text) - F.aggregate(k, F.lit(0), lambda x, y: x + y))), lambda n: n.cast("double")))
 
 
 def word_counts(words: Column, common: Column) -> Column:
     """How often a text has each common word, and last all others."""
-    places = F.sort_array(F.filter(F.transform(words, lambda w: F.array_position(common, F.lower(w)).cast("int")), lambda p: p > 0))
+    places = F.sort_array(F.filter(F.transform(words, lambda w: F.array_position(common, w).cast("int")), lambda p: p > 0))
 
     def counts(p: Column) -> Column:
         # p is sorted: a word's count is the gap between the first places of it and of what follows
@@ -90,62 +89,72 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2))
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row per language, and one for all: key, its common words, its mean histograms."""
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    base = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), body.alias("text"))
-    counted = written(base.select("lang", F.explode(words_of(F.lower("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "rule-words")
-    every = counted.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ANY).alias("key"), "word", "n")
-    by_key = counted.where("lang is not null").select(F.col("lang").alias("key"), "word", "n").unionByName(every)
-    totals = written(by_key.groupBy("key").agg(F.sum("n").alias("total")), "rule-totals")
-    frequent = join_small(by_key, totals, "key", "inner").where(F.col("n") >= F.col("total") * COMMON_SHARE)
+def common_words(base: DataFrame) -> DataFrame:
+    """key, common: the commonest words, as they are spelled, of each language of base (key, text)."""
+    counted = written(base.select("key", F.explode(words_of(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n")), "rule-words")
+    totals = written(counted.groupBy("key").agg(F.sum("n").alias("total")), "rule-totals")
+    frequent = join_small(counted, totals, "key", "inner").where(F.col("n") >= F.col("total") * COMMON_SHARE)
     # at most 1 / COMMON_SHARE words of a language are left
     lists = frequent.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("w"))
-    lists = written(lists.select("key", F.transform(F.slice("w", 1, COMMON_WORDS), lambda x: x["word"]).alias("common")), "rule-common")
-    keyed = base.select("text", F.explode(F.array_distinct(F.array(F.coalesce("lang", F.lit(ANY)), F.lit(ANY)))).alias("key"))
-    size_c, size_w = 6, COMMON_WORDS + 1
-    seen = join_small(keyed.withColumn("words", words_of(F.col("text"))), lists, "key", "inner")
-    seen = seen.select("key", "common", "words", F.length("text").alias("chars"), shares(char_counts(F.col("text"))).alias("c"), shares(word_counts(F.col("words"), F.col("common"))).alias("w"))
-    long_c, long_w = F.col("chars") >= MIN_CHARS, F.size("words") >= MIN_WORDS
-    mean = lambda name, n, ok: F.array(*(F.coalesce(F.avg(F.when(ok, F.get(F.col(name), F.lit(i)))), F.lit(0.0)) for i in range(n)))
-    means = seen.groupBy("key", "common").agg(mean("c", size_c, long_c).alias("ref_chars"), mean("w", size_w, long_w).alias("ref_words"))
-    return written(means.withColumn("ref_words", F.slice("ref_words", 1, F.size("common") + 1)), "rule-references")
-
-
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """docs with the base counts, char_distance, word_distance and kept."""
-    refs = references(docs, text, lang).select(F.col("key").alias("__key"), F.struct("common", "ref_chars", "ref_words").alias("__ref"))
-    new = {*BASE, "char_distance", "word_distance", "kept"}
-    keep = [c for c in docs.columns if c not in new]
+    return written(lists.select("key", F.transform(F.slice("w", 1, COMMON_WORDS), lambda x: x["word"]).alias("common")), "rule-common")
+
+
+def features(docs: DataFrame, text: str, lang: str, keep: list[str]) -> DataFrame:
+    """The columns keep, and in __f the base counts and the shares of both histograms; one pass over the texts."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    out = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(ANY)).alias("__key"))
-    out = join_small(out, refs, "__key", "left")
+    key = F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(ANY))
+    lists = common_words(docs.select(key.alias("key"), body.alias("text")))
+    lists = lists.select(F.col("key").alias("__key"), F.col("common").alias("__common"))
+    met = join_small(docs.select(*(F.col(f"`{c}`") for c in docs.columns), key.alias("__key")), lists, "__key", "left")
 
-    def judged(words: Column) -> Column:
+    def counted(words: Column) -> Column:
         lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-        n_words = F.size(words).cast("long")
-        ref = F.col("__ref")
-        return F.struct(
-            n_words.alias("n_words"),
+        base = F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(body).cast("long").alias("n_chars"),
             F.length(F.regexp_replace(body, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
             F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(words).alias("n_repeat_words"),
-            F.when(ref.isNotNull() & (F.length(body) >= MIN_CHARS), divergence(shares(char_counts(body)), ref["ref_chars"])).alias("char_distance"),
-            F.when(ref.isNotNull() & (n_words >= MIN_WORDS), divergence(shares(word_counts(words, ref["common"])), ref["ref_words"])).alias("word_distance"),
         )
+        both = lambda b: F.struct(
+            b.alias("b"),
+            shares(char_counts(body, b["n_chars"] - b["word_chars"], b["n_symbols"])).alias("chars"),
+            shares(word_counts(words, F.coalesce("__common", F.array().cast("array<string>")))).alias("words"),
+        )
+        return let(base, both)
 
-    out = out.withColumn("__r", let(words_of(F.col(f"`{text}`")), judged)).drop("__ref", "__key")
-    r = F.col("__r")
-    failed = (r["n_words"] < 10) | (100 * r["n_repeat_words"] > 20 * r["n_words"])
-    far = F.coalesce(r["char_distance"] > max_char_distance, F.lit(False)) | F.coalesce(r["word_distance"] > max_word_distance, F.lit(False))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance")
-    return out.select(*(F.col(f"`{c}`") for c in keep), *(r[x].alias(x) for x in names), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
+    out = met.select(*(F.col(f"`{c}`") for c in keep), "__key", let(words_of(F.col(f"`{text}`")), counted).alias("__f"))
+    return written(out, "rule-features")
+
+
+def references(found: DataFrame) -> DataFrame:
+    """__key and the mean histograms of the language's documents that are long enough."""
+    f = F.col("__f")
+    mean = lambda shares, n, ok: F.array(*(F.coalesce(F.avg(F.when(ok, F.get(shares, F.lit(i)))), F.lit(0.0)) for i in range(n)))
+    means = found.groupBy("__key").agg(mean(f["chars"], 6, f["b"]["n_chars"] >= MIN_CHARS).alias("chars"), mean(f["words"], COMMON_WORDS + 1, f["b"]["n_words"] >= MIN_WORDS).alias("words"))
+    return written(means.select("__key", F.struct("chars", "words").alias("__ref")), "rule-references")
+
+
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, max_char_distance: float = MAX_CHAR_DISTANCE, max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """The columns keep (all) of docs with the base counts, char_distance, word_distance and kept."""
+    new = {*BASE, "char_distance", "word_distance", "kept"}
+    keep = [c for c in keep or docs.columns if c not in new]
+    found = features(docs, text, lang, keep)
+    out = join_small(found, references(found), "__key", "left")
+    f, ref = F.col("__f"), F.col("__ref")
+    b = f["b"]
+    out = out.withColumn("__c", F.when(b["n_chars"] >= MIN_CHARS, divergence(f["chars"], ref["chars"])))
+    out = out.withColumn("__w", F.when(b["n_words"] >= MIN_WORDS, divergence(f["words"], F.slice(ref["words"], 1, F.size(f["words"])))))
+    failed = (b["n_words"] < 10) | (100 * b["n_repeat_words"] > 20 * b["n_words"])
+    far = F.coalesce(F.col("__c") > max_char_distance, F.lit(False)) | F.coalesce(F.col("__w") > max_word_distance, F.lit(False))
+    counts = (b[x].alias(x) for x in BASE if x != "base_failed")
+    return out.select(*(F.col(f"`{c}`") for c in keep), *counts, failed.alias("base_failed"), (~failed & ~far).alias("kept"), F.col("__c").alias("char_distance"), F.col("__w").alias("word_distance"))
 
 
 def op10_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality_rules(docs).select("doc_id", *BASE, "kept", "char_distance", "word_distance")
+    return quality_rules(docs, keep=["doc_id"])
 
 
 QUERIES = {"op10_quality_rules": (op10_quality_rules, None)}
