@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES: tuple[str, ...] = ()
+MODULES = ("audit", "corpus", "lookup", "quality", "retrieval", "state", "text")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
