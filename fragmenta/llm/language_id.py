@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.llm.common import SPACE, add_by_batch, table, written
+from fragmenta.llm.common import SPACE, add_by_batch, join_small, table, written
 
 #: About so many documents of each language are sampled for the model, by a hash of the id.
 SAMPLE = 1500
@@ -53,6 +53,8 @@ SCRIPTS = {
 
 def script_of(word: str) -> str:
     """The script of most letters of a word; "" if it has no letter."""
+    if word and max(word) < "\u0250":  # nothing beyond the Latin ranges
+        return "latin" if word.isalpha() or any(map(str.isalpha, word)) else ""
     counts: dict[str, int] = {}
     for c in word:
         if c.isalpha():
@@ -64,7 +66,10 @@ def script_of(word: str) -> str:
 
 def trim(word: str) -> str:
     """A lower-cased word without what isn't a letter at its ends."""
-    word = unicodedata.normalize("NFC", word)
+    if not word.isascii():
+        word = unicodedata.normalize("NFC", word)
+    if word.isalpha():
+        return word
     i, j = 0, len(word)
     while i < j and not word[i].isalpha():
         i += 1
@@ -86,18 +91,16 @@ class Model:
     rare: list[float] = field(default_factory=list)
     scripts: dict[str, list[bool]] = field(default_factory=dict)
 
-    def score(self, word: str) -> list[float]:
-        """Log probabilities by language, the best at 0, none under -CLIP; zeros for no letter."""
+    def score(self, word: str) -> list[float] | None:
+        """Log probabilities by language, the best at 0, none under -CLIP; None for no letter."""
         word = trim(word)
         script = script_of(word)
         if not script:
-            return [0.0] * len(self.langs)
+            return None
         found = self.words.get(word)
         if found is None:
-            found = [0.0] * len(self.langs)
-            for g in trigrams(word):
-                for i, x in enumerate(self.grams.get(g) or self.rare):
-                    found[i] += x
+            get, rare = self.grams.get, self.rare
+            found = list(map(sum, zip(*[get(g, rare) for g in trigrams(word)], strict=True)))
         candidates = self.scripts.get(script)
         if candidates and any(candidates):
             found = [x if ok else -1e9 for x, ok in zip(found, candidates, strict=True)]
@@ -113,9 +116,9 @@ def labelled(docs: DataFrame) -> DataFrame:
 def learn(training: DataFrame) -> Model:
     """A model from rows (doc_id, text, lang). Only the model, of bounded size, comes to the driver."""
     words = F.transform(F.filter(F.split(F.lower("text"), f"[{SPACE}]+"), lambda w: w.rlike(r"\p{L}")), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    rates = training.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.count("*")).alias("rate"))
+    rates = written(training.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.count("*")).alias("rate")), "language-rates")
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
-    sample = training.join(rates, "lang").where(drawn)
+    sample = join_small(training, rates, "lang", "inner").where(drawn)
     seen = written(sample.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "language-words")
     langs = sorted(r.lang for r in seen.select("lang").distinct().collect())
     if not langs:
@@ -162,18 +165,18 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     path = np.concatenate([[0.0], np.cumsum(gain)])
     if (path - np.minimum.accumulate(path)).max() <= penalty:
         return np.full(n, best)
-    back = np.empty((n, k), np.int64)
-    value, own = scores[0].copy(), np.arange(k)
-    for t in range(1, n):
-        m = int(value.argmax())
-        stay = value >= value[m] - penalty
-        back[t] = np.where(stay, own, m)
-        value = np.where(stay, value, value[m] - penalty) + scores[t]
-    out = np.empty(n, np.int64)
-    out[-1] = value.argmax()
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
-    return out
+    back, value, labels = [], scores[0].tolist(), range(k)
+    for row in scores[1:].tolist():
+        top = max(value)
+        m, enough = value.index(top), top - penalty
+        back.append([j if value[j] >= enough else m for j in labels])
+        value = [(v if v >= enough else enough) + x for v, x in zip(value, row, strict=True)]
+    at = value.index(max(value))
+    out = [at]
+    for step in reversed(back):
+        at = step[at]
+        out.append(at)
+    return np.array(out[::-1])
 
 
 class Words(dict):
@@ -186,8 +189,7 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         i = self[word] = len(self)
         scores = self.model.score(word)
-        self.rows[i, :-1] = scores
-        self.rows[i, -1] = bool(script_of(word))
+        self.rows[i] = (*scores, 1.0) if scores else 0.0
         return i
 
     def of(self, words: list[str]) -> np.ndarray:
