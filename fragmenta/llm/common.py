@@ -98,3 +98,29 @@ def add_by_batch(docs: DataFrame, inputs: list[str], fields: str, start) -> Data
 
     columns = [F.col(f"`{f.name}`") for f in keep] + [F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)]
     return docs.select(*columns).mapInArrow(run, T.StructType([*keep, *new.fields]))
+
+
+def sampled(df: DataFrame, id: str, most: int, of: int, seed: int = 0) -> DataFrame:
+    """At most most rows, by a hash of the id. of: how many rows df has about.
+
+    A first cut by the hash leaves little more than that, so no task sends many rows to the driver.
+    """
+    share = min(1.0, 1.5 * most / max(1, of) + 20 / max(1, of))
+    h = F.xxhash64(F.col(f"`{id}`"), F.lit(seed))
+    return df.where(F.pmod(h, F.lit(1 << 40)) <= int(share * (1 << 40))).orderBy(h, F.col(f"`{id}`")).limit(most)
+
+
+def commonest(counts: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of the highest counts, so many whole classes of like counts as hold at most most rows.
+
+    counts should be a written table. The classes are few, so nothing but their sizes is sorted.
+    """
+    kind = F.floor(F.log2(F.col(n)) * 16)
+    sizes = sorted(((r.k, r.rows) for r in counts.groupBy(kind.alias("k")).agg(F.count("*").alias("rows")).collect()), reverse=True)
+    total, least = 0, None
+    for k, rows in sizes:
+        total += rows
+        if total > most:
+            break
+        least = k
+    return counts.where(kind >= least) if least is not None else counts.where("false")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.llm.common import table, written
+from fragmenta.llm.common import commonest, table, written
 from fragmenta.llm.shingles import WIDTH, WordHashes, components, shingles
 
 #: Shingles known to be frequent: at most so many are sent to every task; which are, matters for speed only.
@@ -57,8 +57,8 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
             often = n >= OFTEN
             yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["s", "n"])
 
-    top = docs.select("body").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(FREQUENT)
-    rows = top.toArrow()
+    counts = written(docs.select("body").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "frequent")
+    rows = commonest(counts, FREQUENT).toArrow()
     s, n = (rows.column(c).to_numpy() for c in ("s", "n"))
     s = s.astype(np.int64).view(np.uint64)
     place = np.empty(len(s), np.int64)

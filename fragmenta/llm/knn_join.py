@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragmenta.llm.common import table, written
+from fragmenta.llm.common import sampled, table, written
 
 #: Bounds of what every task gets: pivots, and vectors for the first bound of a query.
 PIVOTS, SAMPLE = 256, 2048
@@ -60,8 +60,8 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def sample(vecs: DataFrame, n: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    rows = vecs.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(n).collect()
+def sample(vecs: DataFrame, n: int, of: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    rows = sampled(vecs, "vec_id", n, of, seed).collect()
     return np.array([r.vec_id for r in rows], np.int64), [np.asarray(r.v, np.int64) for r in rows]
 
 
@@ -178,13 +178,14 @@ def solve(k: int):
 
 def knn_join(vecs: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each row of vecs (vec_id, v) for which is_query holds."""
-    pivots = Pivots(sample(vecs, PIVOTS, 1)[1])
+    total = vecs.count()
+    pivots = Pivots(sample(vecs, PIVOTS, total, 1)[1])
     data = written(grouped(vecs, pivots), "grouped")
     summary = data.groupBy("g").agg(F.count("*").alias("n"), F.max("near").alias("radius"), F.max("norm").alias("norm")).collect()
     groups = [(r.g, -(-r.n // BLOCK), r.radius, r.norm) for r in summary]
     sizes = F.create_map(*(F.lit(x) for g, n, *_ in groups for x in (g, n))) if groups else F.create_map(F.lit(0), F.lit(1))
     queries = data.where(is_query).select("vec_id", "v").distinct()
-    asked = routed(queries, groups, pivots, sample(vecs, SAMPLE, 2), k)
+    asked = routed(queries, groups, pivots, sample(vecs, SAMPLE, total, 2), k)
     block = F.pmod(F.xxhash64("vec_id"), sizes[F.col("g")]).cast("int")
     both = data.select("g", block.alias("block"), F.lit(False).alias("asks"), "vec_id", "v").unionByName(asked.withColumn("asks", F.lit(True)))
     parts = int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

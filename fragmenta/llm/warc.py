@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.llm.common import scratch, table, written
+from fragmenta.llm.common import sampled, scratch, table, written
 
 DICTIONARY_MAGIC = 0x184D2A5D
 MIN_REVISIT = 100
@@ -97,8 +97,9 @@ def marked(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, to: str, date: str = DATE, level: int = 3) -> DataFrame:
     """Writes the archives into the folder to, a URI that every executor reaches; returns their index."""
-    drawn = pages.where(F.length("html").between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
-    dictionary = train([to_record(r.page_id, r.url, r.html.encode(), "", None, date) for r in drawn.select("page_id", "url", "html").collect()])
+    fit = pages.where(F.length("html").between(1, SAMPLE_BYTES)).select("page_id", "url", "html")
+    drawn = sampled(fit, "page_id", SAMPLE_RECORDS, fit.count())
+    dictionary = train([to_record(r.page_id, r.url, r.html.encode(), "", None, date) for r in drawn.collect()])
     shared = pages.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +180,8 @@ def read_archives(archives: DataFrame, folder: str, batch_bytes: int = 8 << 20)
                 if rows:
                     yield pack(rows)
 
-    return archives.select("archive").distinct().mapInArrow(run, RECORD)
+    n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archives.select("archive").distinct().repartition(n, "archive").mapInArrow(run, RECORD)
 
 
 def op5_warc(spark, sf_dir):
