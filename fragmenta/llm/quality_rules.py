@@ -31,11 +31,13 @@ ANY = "\u0000any"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
 
 
-def repeated_words(words: Column, width: int = WINDOW) -> Column:
-    """How many words lie in a window of width words that the text has twice or more."""
+def repeated_words(words: Column) -> Column:
+    """How many words lie in a window of WINDOW words that the text has twice or more."""
+    width = WINDOW
 
     def places(grams: Column) -> Column:
         sorted_grams = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
@@ -50,22 +52,29 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
         return F.when(F.size(F.array_distinct(grams)) < F.size(grams), let(sorted_grams, covered)).otherwise(F.lit(0).cast("long"))
 
     def grams_of(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width))))
+        # hashes of two words, then of four, then of five in a row
+        both = lambda a, b: F.xxhash64(a, b)
+        rest = lambda x, k: F.slice(x, k + 1, F.size(x))
+        whole = lambda x: F.slice(x, 1, F.size(h) - WINDOW + 1)
+        fours = let(F.zip_with(h, rest(h, 1), both), lambda p: F.zip_with(p, rest(p, 2), both))
+        return F.zip_with(whole(fours), rest(h, 4), both)
 
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     return F.when(F.size(words) > width, let(hashes, lambda h: let(grams_of(h), places))).otherwise(F.lit(0).cast("long"))
 
 
-def char_counts(text: Column, n_space: Column, n_symbols: Column) -> Column:
+def char_counts(residue: Column, n_chars: Column, n_space: Column, n_symbols: Column) -> Column:
     """Characters by class: upper case, digits, punctuation, symbols, white space, the rest."""
-    only = lambda keep: F.length(F.regexp_replace(text, f"[^{keep}]+", ""))
+    only = lambda keep: F.length(F.regexp_replace(residue, f"[^{keep}]+", ""))
     known = F.array(only(r"\p{Lu}"), only("0-9"), only(r".,;:!?'\"()\-"), n_symbols.cast("int"), n_space.cast("int"))
-    return let(known, lambda k: F.transform(F.concat(k, F.array(F.length(text) - F.aggregate(k, F.lit(0), lambda x, y: x + y))), lambda n: n.cast("double")))
+    return let(known, lambda k: F.transform(F.concat(k, F.array(n_chars.cast("int") - F.aggregate(k, F.lit(0), lambda x, y: x + y))), lambda n: n.cast("double")))
 
 
 def word_counts(words: Column, common: Column) -> Column:
     """How often a text has each common word, and last all others."""
-    places = F.sort_array(F.filter(F.transform(words, lambda w: F.array_position(common, w).cast("int")), lambda p: p > 0))
+    longest = F.coalesce(F.array_max(F.transform(common, F.octet_length)), F.lit(0))
+    place = lambda most: lambda w: F.when(F.octet_length(w) <= most, F.array_position(common, w).cast("int")).otherwise(0)
+    places = F.sort_array(F.filter(let(longest, lambda most: F.transform(words, place(most))), lambda p: p > 0))
 
     def counts(p: Column) -> Column:
         # p is sorted: a word's count is the gap between the first places of it and of what follows
@@ -109,20 +118,26 @@ def features(docs: DataFrame, text: str, lang: str, keep: list[str]) -> DataFram
 
     def counted(words: Column) -> Column:
         lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-        base = F.struct(
-            F.size(words).cast("long").alias("n_words"),
-            F.length(body).cast("long").alias("n_chars"),
-            F.length(F.regexp_replace(body, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            repeated_words(words).alias("n_repeat_words"),
-        )
+        # small letters and white space make up most texts: what is left is short, and counted by class
+        residue = F.regexp_replace(body, f"[\\p{{Ll}}{SPACE}]+", "")
+
+        def base(r: Column) -> Column:
+            return F.struct(
+                r.alias("residue"),
+                F.size(words).cast("long").alias("n_words"),
+                F.length(body).cast("long").alias("n_chars"),
+                F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+                F.length(F.regexp_replace(r, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
+                let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+                repeated_words(words).alias("n_repeat_words"),
+            )
+
         both = lambda b: F.struct(
-            b.alias("b"),
-            shares(char_counts(body, b["n_chars"] - b["word_chars"], b["n_symbols"])).alias("chars"),
+            *(b[x].alias(x) for x in ("n_words", "n_chars", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+            shares(char_counts(b["residue"], b["n_chars"], b["n_chars"] - b["word_chars"], b["n_symbols"])).alias("chars"),
             shares(word_counts(words, F.coalesce("__common", F.array().cast("array<string>")))).alias("words"),
         )
-        return let(base, both)
+        return let(let(residue, base), both)
 
     out = met.select(*(F.col(f"`{c}`") for c in keep), "__key", let(words_of(F.col(f"`{text}`")), counted).alias("__f"))
     return written(out, "rule-features")
@@ -132,7 +147,7 @@ def references(found: DataFrame) -> DataFrame:
     """__key and the mean histograms of the language's documents that are long enough."""
     f = F.col("__f")
     mean = lambda shares, n, ok: F.array(*(F.coalesce(F.avg(F.when(ok, F.get(shares, F.lit(i)))), F.lit(0.0)) for i in range(n)))
-    means = found.groupBy("__key").agg(mean(f["chars"], 6, f["b"]["n_chars"] >= MIN_CHARS).alias("chars"), mean(f["words"], COMMON_WORDS + 1, f["b"]["n_words"] >= MIN_WORDS).alias("words"))
+    means = found.groupBy("__key").agg(mean(f["chars"], 6, f["n_chars"] >= MIN_CHARS).alias("chars"), mean(f["words"], COMMON_WORDS + 1, f["n_words"] >= MIN_WORDS).alias("words"))
     return written(means.select("__key", F.struct("chars", "words").alias("__ref")), "rule-references")
 
 
@@ -143,7 +158,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
     found = features(docs, text, lang, keep)
     out = join_small(found, references(found), "__key", "left")
     f, ref = F.col("__f"), F.col("__ref")
-    b = f["b"]
+    b = f
     out = out.withColumn("__c", F.when(b["n_chars"] >= MIN_CHARS, divergence(f["chars"], ref["chars"])))
     out = out.withColumn("__w", F.when(b["n_words"] >= MIN_WORDS, divergence(f["words"], F.slice(ref["words"], 1, F.size(f["words"])))))
     failed = (b["n_words"] < 10) | (100 * b["n_repeat_words"] > 20 * b["n_words"])
