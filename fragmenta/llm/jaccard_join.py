@@ -34,7 +34,7 @@ FREQUENT = 100_000
 #: A shingle counts as frequent from so many documents of one batch on.
 OFTEN = 3
 #: Hubs per shingle that groups are paired with in the first round.
-HUBS = 4
+HUBS = 16
 #: Documents verified against one hub in one group.
 SHARE = 256
 #: Bits of the sieve that drops shingles of one group before the search; a matter of speed only.
@@ -104,7 +104,7 @@ def signed(docs: DataFrame, threshold: int, width: int) -> DataFrame:
 
 def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose id may be among ids: a first sieve by a bounded set of hash buckets, sent to every task."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 18)).cast("int")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 20)).cast("int")
     few = ids.select(bucket("doc_id").alias("__bucket")).distinct()
     return docs.withColumn("__bucket", bucket("doc_id")).join(F.broadcast(few), "__bucket", "left_semi").drop("__bucket")
 
@@ -183,6 +183,21 @@ def postings(groups: DataFrame, sieve: np.ndarray) -> DataFrame:
     return groups.select("g", "n", "prefix").mapInArrow(run, "token long, g long, n long, at int")
 
 
+def plausible(pairs: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of groups whose prefixes have enough in common.
+
+    Of two sets, let x be the one whose prefix ends first in the order. What they share beyond it is
+    at most the ceil(t * |x|) - 1 shingles that x has left, and what they share up to there lies in
+    both prefixes. So the prefixes must share what is missing to the overlap that is asked.
+    """
+    side = lambda x: groups.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+    own = lambda x: only_ids(side(x).withColumnRenamed(x, "doc_id"), pairs.select(F.col(x).alias("doc_id"))).withColumnRenamed("doc_id", x)
+    met = pairs.join(own("a"), "a").join(own("b"), "b")
+    rest = F.ceil(threshold * F.greatest("na", "nb") / 100) - 1
+    shared = F.size(F.array_intersect("pa", "pb"))
+    return met.where((100 + threshold) * (shared + rest) >= threshold * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def links(docs: DataFrame, sig: DataFrame, threshold: int, width: int) -> DataFrame:
     """doc_id, component of the classes (their smallest id) that are linked with another."""
     some = sig.where("n > 0 and doc_id is not null")
@@ -194,7 +209,7 @@ def links(docs: DataFrame, sig: DataFrame, threshold: int, width: int) -> DataFr
     lists = written(leaders.join(first.where("many > 1").select("token", "hub.*"), "token").drop("h"), "lists")
     met = lists.where("hub <> g").where(near(threshold, "n", "at", "hub_n", "hub_at"))
     inside = classes.where("c <> g").select(F.col("g").alias("a"), F.col("c").alias("b"))
-    pairs = written(met.select(F.col("hub").alias("a"), F.col("g").alias("b")).unionByName(inside).distinct(), "pairs")
+    pairs = written(plausible(met.select(F.col("hub").alias("a"), F.col("g").alias("b")).distinct(), groups, threshold).unionByName(inside), "pairs")
     found = written(verified(pairs, docs, threshold, width), "links")
     known = components(found)
 
@@ -202,9 +217,15 @@ def links(docs: DataFrame, sig: DataFrame, threshold: int, width: int) -> DataFr
     placed = classes.join(known.withColumnRenamed("vertex", "c"), "c", "left").select("c", "g", F.coalesce("component", "c").alias("k"))
     spread = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     mixed = lists.join(spread, "g").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
-    left = written(lists.join(mixed, "token", "left_semi").select("token", "g", "n", "at").join(placed, "g").select("token", "c", "k", "n", "at"), "mixed")
-    other = left.select("token", *(F.col(x).alias(f"{x}2") for x in ("c", "k", "n", "at")))
-    more = left.join(other, "token").where("k < k2").where(near(threshold, "n", "at", "n2", "at2")).select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
+    spans = lists.join(mixed, "token", "left_semi").select("token", "g", "n", "at").join(spread, "g")
+    left = written(spans, "mixed")
+    other = left.select("token", *(F.col(x).alias(f"{x}2") for x in ("g", "n", "at", "lo", "hi")))
+    apart = (F.col("lo") != F.col("lo2")) | (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("hi"))
+    near_groups = left.join(other, "token").where("g < g2").where(apart).where(near(threshold, "n", "at", "n2", "at2")).select(F.col("g").alias("a"), F.col("g2").alias("b")).distinct()
+    near_groups = plausible(near_groups, groups, threshold).unionByName(spread.where("lo <> hi").select(F.col("g").alias("a"), F.col("g").alias("b")))
+    side = lambda x, y: placed.select(F.col("g").alias(x), F.col("c").alias(f"c{x}"), F.col("k").alias(y))
+    more = near_groups.join(side("a", "k"), "a").join(side("b", "k2"), "b").where("k <> k2 and (a <> b or ca < cb)")
+    more = more.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(more.join(done, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
