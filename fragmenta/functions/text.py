@@ -39,6 +39,11 @@ FORMAT_ERRORS = ("not valid json", "extra data", "unterminated", "not a json obj
 LEVELS = ("C1", "C2", "C3", "C4", "C5", "C6")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """A text without white space of any kind at its ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -140,11 +145,14 @@ def quoted_parts(text: Column) -> Column:
 
 def is_closer(sentence: Column, full: Sequence[str] = CLOSERS, prefixes: Sequence[str] = CLOSER_PREFIXES, signposts: Sequence[str] = SIGNPOSTS) -> Column:
     """The rule that drops a whole sentence, or null."""
-    norm = F.regexp_replace(F.lower(strip(sentence)), "[.!?]+$", "")
-    begins = lambda p, ends: reduce(lambda a, b: a | b, [norm == p, *(norm.startswith(p + e) for e in ends)])
-    either = lambda xs: reduce(lambda a, b: a | b, xs, F.lit(False))
-    closer = norm.isin(*full) if full else F.lit(False)
-    return F.when(closer | either([begins(p, " ") for p in prefixes]), "R-36-chatbot-closer").when(either([begins(p, " ,") for p in signposts]), "R-36-signposting")
+
+    def rule(norm: Column) -> Column:
+        begins = lambda p, ends: reduce(lambda a, b: a | b, [norm == p, *(norm.startswith(p + e) for e in ends)])
+        either = lambda xs: reduce(lambda a, b: a | b, xs, F.lit(False))
+        closer = norm.isin(*full) if full else F.lit(False)
+        return F.when(closer | either([begins(p, " ") for p in prefixes]), "R-36-chatbot-closer").when(either([begins(p, " ,") for p in signposts]), "R-36-signposting")
+
+    return let(F.regexp_replace(F.lower(strip(sentence)), "[.!?]+$", ""), rule)
 
 
 def plain_rewrites(informal: Sequence[str] = INFORMAL) -> list[tuple[str, list[tuple[str, str]]]]:
@@ -163,24 +171,35 @@ def _rewriting(rule: str, patterns: list[tuple[str, str]]):
 
 def rewrite_plain(sentence: Column, informal: Sequence[str] = INFORMAL) -> Column:
     """struct(text, hits): a sentence after the rewrites, and the rules that changed it."""
-    state = F.struct(sentence.alias("text"), F.array().cast("array<string>").alias("hits"))
-    for rule, patterns in plain_rewrites(informal):
-        state = F.get(F.transform(F.array(state), _rewriting(rule, patterns)), F.lit(0))
-    return state
+    none = F.struct(sentence.alias("text"), F.array().cast("array<string>").alias("hits"))
+    rules, state = plain_rewrites(informal), none
+    for rule, patterns in rules:
+        state = let(state, _rewriting(rule, patterns))
+    any_pattern = "|".join(f"(?:{p})" for _, patterns in rules for p, _ in patterns)
+    return F.when(sentence.rlike(any_pattern), state).otherwise(none)
 
 
 def normalise_prose(text: Column, informal: Sequence[str] = INFORMAL) -> Column:
     """struct(text, hits): prose without closers, signposts, spaced dashes and fillers; quotations stay."""
 
+    none = F.array().cast("array<string>")
+
+    def judged(s: Column, hit: Column) -> Column:
+        return F.when(hit.isNotNull(), F.struct(F.lit(None).cast("string").alias("text"), F.array(hit).alias("hits"))).otherwise(rewrite_plain(s, informal))
+
     def part(p: Column) -> Column:
         quoted = p.rlike('^("[^"]*"|\u201c[^\u201d]*\u201d)$')
-        kept = F.transform(F.filter(sentences(p), lambda s: strip(s) != ""), lambda s: F.when(is_closer(s).isNotNull(), F.struct(F.lit(None).cast("string").alias("text"), F.array(is_closer(s)).alias("hits"))).otherwise(rewrite_plain(s, informal)))
-        return F.when(quoted, F.array(F.struct(p.alias("text"), F.array().cast("array<string>").alias("hits")))).otherwise(kept)
+        kept = F.transform(F.filter(sentences(p), lambda s: strip(s) != ""), lambda s: let(is_closer(s), lambda hit: judged(s, hit)))
+        return F.when(quoted, F.array(F.struct(p.alias("text"), none.alias("hits")))).otherwise(kept)
+
+    def whole(parts: Column) -> Column:
+        texts = F.transform(F.filter(parts, lambda x: x["text"].isNotNull()), lambda x: x["text"])
+        joined = strip(F.regexp_replace(F.array_join(texts, " "), "[ \\t]{2,}", " "))
+        hits = F.flatten(F.transform(parts, lambda x: x["hits"]))
+        return let(joined, lambda j: F.struct(F.when(j != "", j).otherwise(text).alias("text"), hits.alias("hits")))
 
-    parts = F.flatten(F.transform(quoted_parts(text), part))
-    joined = strip(F.regexp_replace(F.array_join(F.transform(F.filter(parts, lambda x: x["text"].isNotNull()), lambda x: x["text"]), " "), "[ \\t]{2,}", " "))
-    return F.when(strip(text) == "", F.struct(text.alias("text"), F.array().cast("array<string>").alias("hits"))).otherwise(
-        F.struct(F.when(joined != "", joined).otherwise(text).alias("text"), F.flatten(F.transform(parts, lambda x: x["hits"])).alias("hits")))
+    blank = F.struct(text.alias("text"), none.alias("hits"))
+    return F.when(strip(text) == "", blank).otherwise(let(F.flatten(F.transform(quoted_parts(text), part)), whole))
 
 
 def short_streak(parts: Column, limit: int = 25) -> Column:
