@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fragmenta.llm.common import commonest, table, written
-from fragmenta.llm.shingles import WIDTH, WordHashes, components, shingles
+from fragmenta.llm.shingles import WIDTH, WordHashes, components, passes, shingles, sieve_of
 
 #: Shingles known to be frequent: at most so many are sent to every task; which are, matters for speed only.
 FREQUENT = 100_000
@@ -37,8 +37,6 @@ OFTEN = 3
 HUBS = 16
 #: Documents verified against one hub in one group.
 SHARE = 256
-#: Bits of the sieve that drops shingles of one group before the search; a matter of speed only.
-SIEVE_BITS = 1 << 26
 
 
 def sets(batch: pa.RecordBatch, hashes: WordHashes, width: int) -> Iterator[np.ndarray]:
@@ -148,21 +146,6 @@ def near(threshold: int, n1: str, p1: str, n2: str, p2: str):
     return sizes & ((100 + threshold) * F.least(n1 - p1, n2 - p2) >= threshold * (n1 + n2))
 
 
-def shared_shingles(groups: DataFrame) -> np.ndarray:
-    """Which places of the sieve have a shingle in the prefixes of two groups or more, as bits.
-
-    The sieve's size is fixed. Where very many shingles are shared it lets more through.
-    """
-    many = groups.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
-    place = many.select((F.pmod("token", F.lit(SIEVE_BITS)) + 1).alias("at"))  # Spark numbers bits from 1
-    blocks = place.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = np.zeros(SIEVE_BITS // 8, np.uint8)
-    for r in blocks.toLocalIterator():
-        start = (r.block - 1) * 4096
-        out[start : start + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
 def postings(groups: DataFrame, sieve: np.ndarray) -> DataFrame:
     """token, g, n and at, the place in the prefix, for the prefixes' shingles that pass the sieve."""
     shared = groups.sparkSession.sparkContext.broadcast(sieve)
@@ -175,8 +158,7 @@ def postings(groups: DataFrame, sieve: np.ndarray) -> DataFrame:
             sizes = np.diff(prefix.offsets.to_numpy())
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            bit = np.mod(flat, SIEVE_BITS)
-            keep = np.flatnonzero(bits[bit // 8] >> (bit % 8).astype(np.uint8) & 1)
+            keep = passes(bits, flat)
             g, n = (batch.column(i).to_numpy()[owner[keep]] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(g), pa.array(n), pa.array(at[keep].astype(np.int32))], names=["token", "g", "n", "at"])
 
@@ -204,7 +186,7 @@ def links(docs: DataFrame, sig: DataFrame, threshold: int, width: int) -> DataFr
     groups = written(some.groupBy("n", "p").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix")), "groups")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("p").alias("p"))
     classes = written(classes.join(groups.select("n", "p", "g"), ["n", "p"]).select("c", "g", "n"), "classes")
-    leaders = postings(groups, shared_shingles(groups))
+    leaders = postings(groups, sieve_of(groups.select(F.explode("prefix").alias("token"))))
     first = leaders.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.col("g"), F.pmod("token", F.lit(HUBS))).alias("h"), F.col("g").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"))).alias("hub"), F.count("*").alias("many"))
     lists = written(leaders.join(first.where("many > 1").select("token", "hub.*"), "token").drop("h"), "lists")
     met = lists.where("hub <> g").where(near(threshold, "n", "at", "hub_n", "hub_at"))

@@ -47,6 +47,31 @@ def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return h
 
 
+#: Bits of a sieve; a matter of speed only.
+SIEVE_BITS = 1 << 26
+
+
+def sieve_of(tokens: DataFrame) -> np.ndarray:
+    """Which places of a sieve have a token (long) that two rows or more hold, as bits.
+
+    The sieve's size is fixed. Where very many tokens are shared it lets more through.
+    """
+    many = tokens.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
+    place = many.select((F.pmod("token", F.lit(SIEVE_BITS)) + 1).alias("at"))  # Spark numbers bits from 1
+    blocks = place.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(SIEVE_BITS // 8, np.uint8)
+    for r in blocks.toLocalIterator():
+        start = (r.block - 1) * 4096
+        out[start : start + len(r.bits)] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def passes(sieve: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Places of the tokens (int64) that the sieve lets through."""
+    bit = np.mod(tokens, SIEVE_BITS)
+    return np.flatnonzero(sieve[bit // 8] >> (bit % 8).astype(np.uint8) & 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """vertex, component: the smallest vertex that edges (a, b) reach. Each round merges every
     vertex into its smallest neighbour, until no edge is left between different ones."""
