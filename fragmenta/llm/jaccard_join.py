@@ -6,11 +6,12 @@ documents of similarity t share one there. Documents with the same prefix and si
 and one document of a group stands for it in the search. Group pairs pass a size filter and a
 position filter; then their members are verified on the full sets.
 
-Copies need not be paired with each other. The search runs in two rounds: first, every group is
-paired with a few hubs of each of its shingles, and members with their group's first document.
-What the verified links connect is a component. Then, where a shingle's documents still lie in
-different components, all of them that pass the filters are paired, so no link that could join two
-components is lost. Components are exact up to collisions of 64-bit hashes.
+Copies need not be paired with each other. The search runs in rounds: first, every group is paired
+with a few hubs of each of its shingles, and members with their group's first document. What the
+verified links connect is a component. Where a shingle's documents still lie in different
+components, they meet other hubs twice more; then, in the last round, all of them that lie in
+different components and pass the filters are paired, so no link that could join two components is
+lost. Components are exact up to collisions of 64-bit hashes.
 
 Null or empty text: no shingles, linked with nothing. Null ids: returned, linked with nothing,
 component null. Rows that repeat an id belong to one document. Texts of any length are taken whole.
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.llm.common import commonest, table, written
+from fragmenta.llm.common import commonest, join_small, table, written
 from fragmenta.llm.shingles import WIDTH, WordHashes, components, passes, shingles, sieve_of
 
 #: Shingles known to be frequent: at most so many are sent to every task; which are, matters for speed only.
@@ -35,6 +36,8 @@ FREQUENT = 100_000
 OFTEN = 3
 #: Hubs per shingle that groups are paired with in the first round.
 HUBS = 16
+#: Rounds with other hubs before the last round, and a shingle's hubs in them; a matter of speed only.
+MORE_ROUNDS, MORE_HUBS = 2, 32
 #: Documents verified against one hub in one group.
 SHARE = 256
 
@@ -195,25 +198,56 @@ def links(docs: DataFrame, sig: DataFrame, threshold: int, width: int) -> DataFr
     found = written(verified(pairs, docs, threshold, width), "links")
     known = components(found)
 
-    # shingles whose documents lie in different components: pair all of those that pass the filters
+    # shingles whose documents lie in different components
     placed = classes.join(known.withColumnRenamed("vertex", "c"), "c", "left").select("c", "g", F.coalesce("component", "c").alias("k"))
     spread = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     mixed = lists.join(spread, "g").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
-    spans = lists.join(mixed, "token", "left_semi").select("token", "g", "n", "at").join(spread, "g")
-    left = written(spans, "mixed")
-    other = left.select("token", *(F.col(x).alias(f"{x}2") for x in ("g", "n", "at", "lo", "hi")))
+    left = written(lists.join(mixed, "token", "left_semi").select("token", "g", "n", "at").join(spread, "g"), "mixed")
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for salt in range(1, MORE_ROUNDS + 1):
+        met = with_hubs(left, salt, MORE_HUBS).where("lo = hi and hub_lo = hub_hi and lo <> hub_lo").where(near(threshold, "n", "at", "hub_n", "hub_at"))
+        met = met.select(F.least("g", "hub").alias("a"), F.greatest("g", "hub").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        pairs = written(plausible(met, groups, threshold), "pairs")
+        done = done.unionByName(pairs)
+        found = written(verified(pairs, docs, threshold, width), "links")
+        placed, left = relabelled(found, placed, left)
+
+    # of two groups that lie apart, one is outside its hub's component: those meet all that pass the filters
+    hubs = with_hubs(left, 0, 1)
+    outside = hubs.where("lo <> hi or hub_lo <> hub_hi or lo <> hub_lo").select("token", *(F.col(x).alias(f"{x}2") for x in ("g", "n", "at", "lo", "hi")))
     apart = (F.col("lo") != F.col("lo2")) | (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("hi"))
-    near_groups = left.join(other, "token").where("g < g2").where(apart).where(near(threshold, "n", "at", "n2", "at2")).select(F.col("g").alias("a"), F.col("g2").alias("b")).distinct()
-    near_groups = plausible(near_groups, groups, threshold).unionByName(spread.where("lo <> hi").select(F.col("g").alias("a"), F.col("g").alias("b")))
+    near_groups = left.join(outside, "token").where("g <> g2").where(apart).where(near(threshold, "n", "at", "n2", "at2")).select(F.least("g", "g2").alias("a"), F.greatest("g", "g2").alias("b")).distinct()
+    torn = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi")
+    near_groups = plausible(near_groups, groups, threshold).unionByName(torn.select(F.col("g").alias("a"), F.col("g").alias("b")))
     side = lambda x, y: placed.select(F.col("g").alias(x), F.col("c").alias(f"c{x}"), F.col("k").alias(y))
     more = near_groups.join(side("a", "k"), "a").join(side("b", "k2"), "b").where("k <> k2 and (a <> b or ca < cb)")
     more = more.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(more.join(done, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
-        found = found.unionByName(written(verified(more, docs, threshold, width), "more-links"))
-        known = components(found)
-    return known
+        placed, _ = relabelled(written(verified(more, docs, threshold, width), "more-links"), placed, left)
+    return placed.select(F.col("c").alias("vertex"), F.col("k").alias("component"))
+
+
+def with_hubs(lists: DataFrame, salt: int, many: int) -> DataFrame:
+    """Each row of lists with each of up to many hubs of its token, groups that salt picks."""
+    which = F.pmod(F.xxhash64("g", F.lit(salt)), F.lit(many))
+    least = F.min(F.struct(F.xxhash64(F.col("g"), F.pmod("token", F.lit(HUBS)), F.lit(salt)).alias("h"), *(F.col(x).alias(f"hub_{x}") for x in ("g", "n", "at", "lo", "hi"))))
+    hubs = lists.groupBy("token", which.alias("which")).agg(least.alias("hub")).select("token", F.col("hub.hub_g").alias("hub"), *(f"hub.hub_{x}" for x in ("n", "at", "lo", "hi")))
+    return lists.join(hubs, "token")
+
+
+def relabelled(found: DataFrame, placed: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """placed and left after the components that new links (a, b) connect have been merged."""
+    own = lambda x: placed.select(F.col("c").alias(x), F.col("k").alias(f"k{x}"))
+    merged = components(found.join(own("a"), "a").join(own("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+
+    def renamed(df: DataFrame, column: str) -> DataFrame:
+        to = merged.select(F.col("vertex").alias(column), F.col("component").alias("__to"))
+        return join_small(df, to, column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to")
+
+    placed = written(renamed(placed, "k").select("c", "g", "k"), "placed")
+    left = written(renamed(renamed(left, "lo"), "hi").select("token", "g", "n", "at", "lo", "hi"), "mixed")
+    return placed, left
 
 
 def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = WIDTH) -> DataFrame:
