@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from fragmenta.functions.text import family, present
 
-ACTIVE = F.lit("active")
+ACTIVE = "active"
 
 
 def outcomes(los: DataFrame, subject: str, phase: str, program: str = "reguler", system: str | None = None, institution: str | None = None, version: str | None = None) -> DataFrame:
     """Active outcomes of a subject and phase, by source page. A missing status is active and a
     missing programme regular; the special-education family also takes school ones and those
     without an institution."""
-    ok = (F.col("subject") == subject) & (F.col("phase") == phase) & (F.coalesce("status", ACTIVE) == ACTIVE) & (F.coalesce("program_type", F.lit("reguler")) == program)
+    ok = (F.col("subject") == subject) & (F.col("phase") == phase) & (F.coalesce("status", F.lit(ACTIVE)) == ACTIVE) & (F.coalesce("program_type", F.lit("reguler")) == program)
     if system is not None:
         ok = ok & (F.col("education_system") == system)
     if institution is not None:
