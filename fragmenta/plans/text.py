@@ -33,9 +33,12 @@ def prose_normalise(spark, sf_dir):
 
 def token_containment(spark, sf_dir):
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
-    docs = table(spark, sf_dir, "documents").where("doc_id % 40 = 0").select(F.floor(F.col("doc_id") / 40).alias("item_id"), words(F.col("text")).alias("b"))
-    met = table(spark, sf_dir, "benchmark").select("item_id", words(F.col("text")).alias("a")).join(docs, "item_id")
-    return met.select("item_id", F.round(tx.containment(F.col("a"), F.col("b")), 4).alias("containment"))
+    tokens = lambda df, id: df.select(id, F.explode(words(F.col("text"))).alias("w")).distinct()
+    items = tokens(table(spark, sf_dir, "benchmark"), "item_id")
+    sizes = items.groupBy("item_id").agg(F.count("*").alias("size"))
+    # documents that have none of an item's words contain nothing of it: no row
+    met = items.join(tokens(table(spark, sf_dir, "documents"), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("both"))
+    return met.join(sizes, "item_id").select("item_id", "doc_id", F.round(F.col("both") * 100.0 / F.col("size"), 4).alias("containment"))
 
 
 def truncation_flags(spark, sf_dir):
