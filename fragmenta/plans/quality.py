@@ -35,7 +35,7 @@ def time_budget(spark, sf_dir):
 
 def meeting_grid(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("module"), (F.floor((F.col("l_linenumber") - 1) / 3) + 1).alias("meeting"), ((F.col("l_linenumber") - 1) % 3 + 1).alias("stage"), F.col("l_quantity").cast("long").alias("minutes"))
-    modules = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("module"), F.lit(2).alias("meetings"))
+    modules = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("module"), F.lit(2).alias("meetings"))
     return ops.meeting_grid(items, modules).select("module", F.col("meeting").cast("long"), F.col("stage").cast("long"), "activities", "minutes")
 
 

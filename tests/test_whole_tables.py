@@ -17,3 +17,11 @@ def test_containment_in_every_document(spark, tmp_path):
     put(spark, tmp_path, "benchmark", items, "item_id long, text string")
     got = {(r.item_id, r.doc_id): float(r.containment) for r in text.token_containment(spark, put(spark, tmp_path, "documents", docs, DOCS)).collect()}
     assert got == {(5, 1): 66.6667, (5, 41): 66.6667, (6, 41): 100.0}
+
+
+def test_meeting_grid_of_late_orders(spark, tmp_path):
+    put(spark, tmp_path, "orders", [(1,), (2000,), (999_999,)], "o_orderkey long")
+    items = [(1, 1, 5.0), (2000, 1, 7.0), (2000, 5, 9.0), (7, 1, 3.0)]
+    got = quality.meeting_grid(spark, put(spark, tmp_path, "lineitem", items, "l_orderkey long, l_linenumber int, l_quantity double")).collect()
+    assert len(got) == 3 * 2 * 3
+    assert {(r.module, r.meeting, r.stage, r.activities, r.minutes) for r in got if r.activities} == {(1, 1, 1, 1, 5), (2000, 1, 1, 1, 7), (2000, 2, 2, 1, 9)}
