@@ -86,7 +86,7 @@ def boundary_flags(spark, sf_dir):
 
 
 def carry_forward(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     levels = (("head", "^(The|La|Der|El)\\b"), ("sub", "^(Th|Le|Di|De)"))
     out = parsers.carried(rows, levels, "")
     return out.groupBy("document_id").agg(F.count("head").alias("under_head"), F.count("sub").alias("under_sub"), F.count_if("heading").alias("headings"))

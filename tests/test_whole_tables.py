@@ -25,3 +25,10 @@ def test_meeting_grid_of_late_orders(spark, tmp_path):
     got = quality.meeting_grid(spark, put(spark, tmp_path, "lineitem", items, "l_orderkey long, l_linenumber int, l_quantity double")).collect()
     assert len(got) == 3 * 2 * 3
     assert {(r.module, r.meeting, r.stage, r.activities, r.minutes) for r in got if r.activities} == {(1, 1, 1, 1, 5), (2000, 1, 1, 1, 7), (2000, 2, 2, 1, 9)}
+
+
+def test_headings_are_carried_in_every_document(spark, tmp_path):
+    docs = [(i, "x\nLa a\ny\nLe b\nz", "en", "s", 20) for i in (1, 2, 3)]
+    got = text.carry_forward(spark, put(spark, tmp_path, "documents", docs, DOCS)).collect()
+    assert sorted(r.document_id for r in got) == [1, 2, 3]
+    assert {(r.under_head, r.under_sub, r.headings) for r in got} == {(4, 2, 2)}
