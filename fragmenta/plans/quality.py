@@ -75,7 +75,7 @@ def topic_drift(spark, sf_dir):
 def citations(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     sentences = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("ada "), (F.col("n_chars") % 50).cast("string"), F.lit(" unsur "), F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("[BUKU-"), (F.col("doc_id") % 40).cast("string"), F.lit("]"))).otherwise("")).alias("text"))
-    sources = docs.where("doc_id < 30").select(F.concat(F.lit("BUKU-"), F.col("doc_id").cast("string")).alias("source_id"), F.col("n_chars").cast("string").alias("text"))
+    sources = docs.select(F.concat(F.lit("BUKU-"), F.col("doc_id").cast("string")).alias("source_id"), F.col("n_chars").cast("string").alias("text"))
     return ops.cited_quantities(sentences, sources, r"(\d+) unsur").groupBy("code").agg(F.count("*").alias("n"))
 
 

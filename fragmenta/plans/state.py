@@ -18,8 +18,9 @@ def version_history(spark, sf_dir):
 
 
 def next_version(spark, sf_dir):
-    wanted = spark.range(0, 2000, 7).withColumnRenamed("id", "generation_id")
-    return ops.next_number(roles.versions(spark, sf_dir), wanted, "generation_id", "version_no")
+    v = roles.versions(spark, sf_dir)
+    wanted = v.select("generation_id").unionByName(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("generation_id")))
+    return ops.next_number(v, wanted, "generation_id", "version_no")
 
 
 def append_versions(spark, sf_dir):
@@ -74,7 +75,7 @@ def restore_version(spark, sf_dir):
 
 def baseline_versions(spark, sf_dir):
     v = roles.versions(spark, sf_dir)
-    modules = spark.range(0, 400).select(F.col("id").alias("generation_id"), F.lit("{}").alias("module_json"))
+    modules = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("generation_id"), F.lit("{}").alias("module_json"))
     return ops.baseline(v.select("generation_id", "version_no", "module_json"), modules, "generation_id", "version_no").groupBy("generation_id").agg(F.count("*").alias("n"))
 
 

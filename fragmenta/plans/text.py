@@ -93,7 +93,7 @@ def carry_forward(spark, sf_dir):
 
 
 def outcome_parser(spark, sf_dir):
-    lines = spark.range(0, 200).select(F.col("id").alias("document_id"), F.lit(1).alias("page_number"), F.concat_ws("\n", F.lit("I. AKIDAH AKHLAK"), F.lit("1. Fase A (Kelas I)"), F.lit("1.1 Pemahaman Konsep"), F.concat(F.lit("Murid memahami dan menjelaskan konsep dasar nomor "), F.col("id").cast("string")), F.lit("2. Fase B"), F.lit("2.1 Keterampilan"), F.lit("Murid menerapkan keterampilan proses dalam kehidupan sehari-hari")).alias("text"))
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.concat_ws("\n", F.lit("I. AKIDAH AKHLAK"), F.lit("1. Fase A (Kelas I)"), F.lit("1.1 Pemahaman Konsep"), F.concat(F.lit("Murid memahami dan menjelaskan konsep dasar nomor "), F.col("doc_id").cast("string")), F.lit("2. Fase B"), F.lit("2.1 Keterampilan"), "text").alias("text"))
     return parsers.outcome_ids(parsers.segments(parsers.lines(lines))).select("id", "subject", "phase", "element", "text")
 
 

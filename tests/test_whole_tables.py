@@ -32,3 +32,19 @@ def test_headings_are_carried_in_every_document(spark, tmp_path):
     got = text.carry_forward(spark, put(spark, tmp_path, "documents", docs, DOCS)).collect()
     assert sorted(r.document_id for r in got) == [1, 2, 3]
     assert {(r.under_head, r.under_sub, r.headings) for r in got} == {(4, 2, 2)}
+
+
+def test_jobs_grow_with_the_tables(spark, tmp_path):
+    docs = [(i, f"Some words of the document that has the number {i}", "en", "s", 10 + i) for i in (*range(30, 40), 3001)]
+    put(spark, tmp_path, "documents", docs, DOCS)
+    put(spark, tmp_path, "conversations", [(3000, 0, "user", "a"), (3000, 1, "user", "b"), (5, 4, "user", "c")], "conv_id long, turn long, role string, text string")
+    put(spark, tmp_path, "nation", [(i, f"n{i}", 0) for i in range(1200)], "n_nationkey long, n_name string, n_regionkey long")
+    folder = put(spark, tmp_path, "supplier", [(i,) for i in range(1200)], "s_nationkey long")
+    following = {r.generation_id: r.next for r in state.next_version(spark, folder).collect()}
+    assert following == {3000: 2, 5: 5} | {d[0]: 1 for d in docs}
+    assert {r.generation_id: r.n for r in state.baseline_versions(spark, folder).collect()} == {3000: 2, 5: 1} | {d[0]: 1 for d in docs}
+    parsed = [r.text for r in text.outcome_parser(spark, folder).collect()]
+    assert all(any(d[1] in t for t in parsed) for d in docs)
+    codes = {r.code: r.n for r in quality.citations(spark, folder).collect()}
+    assert codes == {"MISSING_CITATION": 4, "UNKNOWN_SOURCE": 1}
+    assert lookup.grade_phase_join(spark, folder).count() == 1200
