@@ -76,14 +76,12 @@ def from_record(data: bytes) -> tuple:
 
 
 def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary, or b"" where the samples are too few or too much alike to train one."""
-    total = sum(map(len, samples))
-    if total < 4096:
-        return b""
+    """A trained dictionary; where the samples are too few or too much alike to train one, their
+    own bytes, which Zstandard takes as a dictionary of plain content."""
     try:
-        return zstandard.train_dictionary(min(size, total // 4), samples, k=256, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(min(size, sum(map(len, samples)) // 4), samples, k=256, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-size:]
 
 
 def marked(pages: DataFrame) -> DataFrame:
@@ -97,15 +95,16 @@ def marked(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, to: str, date: str = DATE, level: int = 3) -> DataFrame:
     """Writes the archives into the folder to, a URI that every executor reaches; returns their index."""
-    fit = pages.where(F.length("html").between(1, SAMPLE_BYTES)).select("page_id", "url", "html")
+    fit = pages.where(F.coalesce(F.length("html"), F.lit(0)) <= SAMPLE_BYTES).select("page_id", "url", "html")
     drawn = sampled(fit, "page_id", SAMPLE_RECORDS, fit.count())
-    dictionary = train([to_record(r.page_id, r.url, r.html.encode(), "", None, date) for r in drawn.collect()])
+    plain = to_record(None, None, b"", hashlib.sha256(b"").hexdigest(), None, date)  # where no page is small enough
+    dictionary = train([to_record(r.page_id, r.url, (r.html or "").encode(), "", None, date) for r in drawn.collect()] or [plain])
     shared = pages.sparkSession.sparkContext.broadcast(dictionary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, place, name = None, 0, ""
         trained = shared.value
-        press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+        press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(trained))
         try:
             for batch in batches:
                 if out is None:  # an empty partition leaves no file
@@ -113,10 +112,10 @@ def write_archives(pages: DataFrame, to: str, date: str = DATE, level: int = 3)
                     store.create_dir(folder, recursive=True)
                     task = TaskContext.get()
                     name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.warc.zst"
-                    out = store.open_output_stream(f"{folder}/{name}")
-                    if trained:
-                        out.write(struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained)
-                        place = 8 + len(trained)
+                    # the name ends in .zst: without compression=None the whole file would be pressed once more
+                    out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                    out.write(struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained)
+                    place = 8 + len(trained)
                 index = []
                 for page, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     frame = press.compress(to_record(page, url, payload, digest, refers, date))
@@ -170,7 +169,7 @@ def read_archives(archives: DataFrame, folder: str, batch_bytes: int = 8 << 20)
             for name in batch.column(0).to_pylist():
                 store, at = fs.FileSystem.from_uri(folder)
                 rows, size = [], 0
-                with store.open_input_stream(f"{at}/{name}") as stream:
+                with store.open_input_stream(f"{at}/{name}", compression=None) as stream:
                     for data in records(stream):
                         rows.append(from_record(data))
                         size += len(data)
@@ -181,7 +180,8 @@ def read_archives(archives: DataFrame, folder: str, batch_bytes: int = 8 << 20)
                     yield pack(rows)
 
     n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return archives.select("archive").distinct().repartition(n, "archive").mapInArrow(run, RECORD)
+    # dealt in turn: by its key, Spark would take the distinct's own shuffle and join its partitions to one
+    return archives.select("archive").distinct().repartition(n).mapInArrow(run, RECORD)
 
 
 def op5_warc(spark, sf_dir):

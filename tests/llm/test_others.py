@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from fragmenta.llm import cotraining, knn_join, language_id, quality_rules, warc
@@ -100,6 +101,41 @@ def test_warc_round_trip(spark, tmp_path):
     assert struct.unpack("<I", archive[:4])[0] == warc.DICTIONARY_MAGIC
 
 
+def test_warc_records_are_read_one_by_one(spark, tmp_path):
+    more = [(100 + i, f"http://h/{i}", f"<html>page {i} {'text ' * i}</html>") for i in range(40)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several small archives
+    try:
+        index = warc.write_archives(pages(spark, more), f"file://{tmp_path}/one")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert warc.read_archives(index, f"file://{tmp_path}/one").where("page_id = 103").first().payload_bytes == len(more[3][2])
+    for r in index.collect():
+        data = (tmp_path / "one" / r.archive).read_bytes()
+        magic, size = struct.unpack("<II", data[:8])
+        assert magic == warc.DICTIONARY_MAGIC and size > 0
+        known = zstandard.ZstdCompressionDict(data[8 : 8 + size])
+        record = zstandard.ZstdDecompressor(dict_data=known).decompress(data[r.offset : r.offset + r.length])
+        assert record.startswith(b"WARC/1.1") and f"X-Page-ID: {r.page_id}\r\n".encode() in record
+    archives = index.select("archive").distinct().count()
+    at = warc.read_archives(index, f"file://{tmp_path}/one").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert archives > 1 and at > 1
+
+
+@pytest.mark.parametrize("texts", [["a"], [None], ["w" * 40_000], ["é" * 120] * 9])
+def test_warc_always_has_a_dictionary(spark, tmp_path, texts):
+    rows = spark.createDataFrame([(i, "u", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    back = warc.read_archives(warc.write_archives(rows, f"file://{tmp_path}/few"), f"file://{tmp_path}/few")
+    assert sorted(r.payload_bytes for r in back.collect()) == sorted(len((t or "").encode()) for t in texts)
+    assert all(struct.unpack("<II", p.read_bytes()[:8])[1] > 0 for p in (tmp_path / "few").glob("*.zst"))
+
+
+def test_warc_rows_that_repeat_a_page(spark, tmp_path):
+    html = "<p>" + "payload " * 30
+    rows = spark.createDataFrame([(1, "a", html), (1, "b", html), (2, "c", html)], "page_id long, url string, html string")
+    back = warc.read_archives(warc.write_archives(rows, f"file://{tmp_path}/same"), f"file://{tmp_path}/same")
+    assert sorted((r.page_id, r.record_type) for r in back.collect()) == [(1, "response"), (1, "response"), (2, "revisit")]
+
+
 def test_warc_of_nothing(spark, tmp_path):
     folder = f"file://{tmp_path}/none"
     assert warc.read_archives(warc.write_archives(pages(spark).where("false"), folder), folder).collect() == []
