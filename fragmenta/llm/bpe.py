@@ -12,24 +12,25 @@ from __future__ import annotations
 
 import base64
 import heapq
-import itertools
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fragmenta.llm.common import table
+from fragmenta.llm.common import by_bytes, table
 
 MASK = (1 << 64) - 1
-#: Pre-tokens whose ids a worker remembers; beyond it, it starts anew. A matter of speed only.
-REMEMBERED = 400_000
+#: Pre-tokens whose ids a worker remembers, the longest of them in characters; beyond it, it starts anew. A matter of speed only.
+REMEMBERED, SHORT = 150_000, 64
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -52,8 +53,8 @@ class PerfectHash:
         for i, key in enumerate(keys):
             h = xxhash.xxh3_64_intdigest(key)
             groups.setdefault(h % self.buckets, []).append((h, i))
-        self.shift = [0] * self.buckets
-        self.slots = [-1] * self.n
+        self.shift = array("q", [0] * self.buckets)
+        self.slots = array("i", [-1] * self.n)
         for b, members in sorted(groups.items(), key=lambda x: -len(x[1])):
             if len(members) == 1:
                 break
@@ -154,9 +155,10 @@ class Encoder(dict):
         i = self.hashed.get(key)
         ids = [i] if self.vocabulary[i] == key else merge([self.single[b] for b in key], self.joined)
         out = struct.pack(f"<{len(ids)}i", *ids)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[token] = out
+        if len(token) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = out
         return out
 
 
@@ -172,12 +174,12 @@ def encode(docs: DataFrame, text: str = "text", ranks: str | None = None, patter
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, cut = Encoder(*shared.value), regex.compile(pattern).findall
-        for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            parts = [b"".join(map(encoder.__getitem__, cut(t))) if t else b"" for t in texts]
-            ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in keep), ids], names=[*keep, "ids"])
+        for whole in batches:
+            for batch in by_bytes(whole, len(keep)):
+                parts = [b"".join(map(encoder.__getitem__, cut(t))) if t else b"" for t in batch.column(len(keep)).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts], dtype=np.int64)])
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], ids], names=[*keep, "ids"])
 
     out = T.StructType([*_fields(docs.schema, {text, "ids"}), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`")).mapInArrow(run, out)
@@ -190,14 +192,17 @@ def decode(encoded: DataFrame, ids: str = "ids", ranks: str | None = None) -> Da
     fields = _fields(encoded.schema, {"decoded"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = shared.value.__getitem__
-        for batch in batches:
-            column = batch.column(batch.schema.names.index(ids))
-            flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
-            sizes = np.nan_to_num(np.asarray(column.value_lengths().to_pandas(), float)).astype(int)
-            pieces = iter(flat)
-            out = [b"".join(map(look, itertools.islice(pieces, n))) for n in sizes.tolist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
+        pieces = pa.array(shared.value, pa.binary())
+        for whole in batches:
+            at = whole.schema.names.index(ids)
+            for batch in by_bytes(whole, at):
+                lists = batch.column(at)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                # the bytes of all pieces lie one after the other, so a text is what lies between two of their ends
+                taken = pieces.take(lists.flatten())
+                places = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int32)
+                out = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(places[ends].astype(np.int32)), taken.buffers()[2] or pa.py_buffer(b"")])
+                yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, "decoded"])
 
     return encoded.select(*(F.col(f"`{f.name}`") for f in fields)).mapInArrow(run, T.StructType([*fields, T.StructField("decoded", T.BinaryType())]))
 

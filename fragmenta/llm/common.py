@@ -10,7 +10,9 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,6 +102,19 @@ def add_by_batch(docs: DataFrame, inputs: list[str], fields: str, start) -> Data
     return docs.select(*columns).mapInArrow(run, T.StructType([*keep, *new.fields]))
 
 
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose values in a column (strings, bytes or lists) take at most most bytes; a longer value has one of its own."""
+    values = batch.column(column)
+    width = values.type.value_type.bit_width // 8 if pa.types.is_list(values.type) else 1
+    sizes = (pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes.astype(np.int64) * width), 0
+    while start < len(values):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def sampled(df: DataFrame, id: str, most: int, of: int, seed: int = 0) -> DataFrame:
     """At most most rows, by a hash of the id. of: how many rows df has about.
 
