@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -133,10 +134,46 @@ def test_lattice_sums_all_segmentations():
         return 1.0 if not w else sum(math.exp(lattice.scores[w[:i]]) * brute(w[i:]) for i in range(1, len(w) + 1) if w[:i] in lattice.scores)
 
     for w in ("the", "thatheou", "élan"):
-        assert abs(math.log(brute("▁" + w)) - lattice.word(w)) < 1e-9
-    found = {}
-    lattice.expect("thatheou", 3.0, found)
-    assert abs(sum(v * len(k) for k, v in found.items()) - 3 * len("▁thatheou")) < 1e-9
+        assert abs(math.log(brute("▁" + w)) - lattice.words(["x", w, "longer " * 20])[1]) < 1e-9
+    pieces, spelled = np.zeros(len(lattice.keys)), np.zeros(256)
+    lattice.expect(["a", "thatheou", "\U0010ffff" + "z" * 99], np.array([0.0, 3.0, 2.0]), pieces, spelled)
+    sizes = np.array([len(lattice.pieces[i]) for i in lattice.order])
+    assert abs((pieces * sizes).sum() - 3 * len("▁thatheou") - 2 * 100) < 1e-6 and abs(spelled.sum() - 2 * 4) < 1e-9
+
+
+def plain(lattice, word):
+    """The same recursion, place by place."""
+    w, f = "▁" + word, [0.0]
+    for j in range(1, len(w) + 1):
+        own = [f[i] + lattice.scores[w[i:j]] for i in range(max(0, j - lattice.longest), j) if w[i:j] in lattice.scores]
+        if w[j - 1] not in lattice.scores:
+            own.append(f[j - 1] + sum(lattice.spelled[b] for b in w[j - 1].encode()))
+        f.append(math.log(sum(math.exp(x - max(own)) for x in own)) + max(own))
+    return f[-1]
+
+
+@pytest.mark.parametrize("head", [5, 100_000])
+def test_scores_are_the_lattice_sums_however_rows_are_dealt(spark, sf_dir, monkeypatch, head):
+    monkeypatch.setattr(lm_score, "HEAD", head)
+    used = []
+    refit = lm_score.refit
+    monkeypatch.setattr(lm_score, "refit", lambda *a: used.append(refit(*a)) or used[-1])
+    texts = [*ODD, *ODD, *(r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect())]
+    docs = documents(spark, texts).withColumn("word", F.lit("clash")).withColumn("h1", F.lit(0))
+    docs = docs.unionByName(docs.where("doc_id in (1, 3, 30)"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        got = lm_score.lm_score(docs.repartition(7, "doc_id"), docs.where("doc_id % 2 = 0")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert sorted(r.doc_id for r in got) == sorted([*range(len(texts)), 1, 3, 30])
+    known = {}
+    for r in got:
+        words = [w.decode() for w in (texts[r.doc_id] or "").encode().lower().split()]
+        for w in words:
+            known[w] = known.get(w) or plain(used[-1], w)
+        want = (sum(known[w] for w in words) + used[-1].end) / math.log(10)
+        assert r.n_tokens == len(words) + 1 and abs(r.score - want) <= 1e-9 * abs(want)
 
 
 def test_language_model_without_training(spark):
