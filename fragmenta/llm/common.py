@@ -63,7 +63,19 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """The same rows as a table in the shared folder: cuts the lineage, survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def freed(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables that written() made. Nothing that reads them may run after this."""
+    for t in tables:
+        if t is not None and getattr(t, "_scratch", None):
+            sc = t.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(t._scratch)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+            t._scratch = None
 
 
 def join_small(left: DataFrame, right: DataFrame, on: str, how: str, max_rows: int = 20_000) -> DataFrame:

@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.llm.common import commonest, join_small, table, written
+from fragmenta.llm.common import commonest, freed, join_small, table, written
 from fragmenta.llm.shingles import WIDTH, WordHashes, components, passes, shingles, sieve_of
 
 #: Shingles known to be frequent: at most so many are sent to every task; which are, matters for speed only.
-FREQUENT = 100_000
+FREQUENT = 500_000
 #: A shingle counts as frequent from so many documents of one batch on.
 OFTEN = 3
 #: Hubs per shingle that groups are paired with in the first round.
@@ -60,6 +60,7 @@ def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarr
 
     counts = written(docs.select("body").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")), "frequent")
     rows = commonest(counts, FREQUENT).toArrow()
+    freed(counts)
     s, n = (rows.column(c).to_numpy() for c in ("s", "n"))
     s = s.astype(np.int64).view(np.uint64)
     place = np.empty(len(s), np.int64)
@@ -77,11 +78,15 @@ def ordered(found: np.ndarray, known: np.ndarray, place: np.ndarray) -> np.ndarr
     return found[np.argsort(key, kind="stable")]
 
 
-SIGNED = "doc_id long, n long, h1 long, h2 long, p long, prefix array<long>"
+#: Longs of a prefix's sketch: bits that its shingles set.
+SKETCH = 4
+BITS = [f"s{i}" for i in range(SKETCH)]
+SIGNED = "doc_id long, n long, h1 long, h2 long, p long, " + ", ".join(f"{s} long" for s in BITS) + ", prefix array<long>"
 
 
 def signed(docs: DataFrame, threshold: int, width: int) -> DataFrame:
-    """Each document's set size, a hash of its set (h1, h2), of its prefix (p), and the prefix."""
+    """Each document's set size, a hash of its set (h1, h2), of its size and prefix (p: the group),
+    the prefix's sketch, and the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,12 +98,15 @@ def signed(docs: DataFrame, threshold: int, width: int) -> DataFrame:
                 n = len(found)
                 prefix = ordered(found, known, place)[: n - -(-threshold * n // 100) + 1] if n else found
                 whole = xxhash.xxh3_128_digest(found.tobytes())
-                rows.append((n, *np.frombuffer(whole, np.int64).tolist(), int(np.frombuffer(xxhash.xxh3_64_digest(prefix.tobytes()), np.int64)[0])))
+                group = xxhash.xxh3_64_digest(prefix.tobytes(), n & 0xFFFFFFFF)
+                bits = np.zeros(64 * SKETCH, bool)
+                bits[(prefix >> np.uint64(20)) % np.uint64(64 * SKETCH)] = True
+                rows.append((n, *np.frombuffer(whole, np.int64).tolist(), int(np.frombuffer(group, np.int64)[0]), *np.packbits(bits).view(np.int64).tolist()))
                 prefixes.append(prefix.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "h1", "h2", "p", "prefix"])
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * (4 + SKETCH)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "h1", "h2", "p", *BITS, "prefix"])
 
     return docs.select("doc_id", "body").mapInArrow(run, SIGNED)
 
@@ -142,102 +150,105 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> D
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near(threshold: int, n1: str, p1: str, n2: str, p2: str):
-    """The size filter and the position filter: positions count from 0 in the order of the join."""
-    n1, p1, n2, p2 = (F.col(x) for x in (n1, p1, n2, p2))
+def near(threshold: int, other: str):
+    """The size, position and sketch filters, between columns n, at and s0.. and those of the same
+    names after other; positions count from 0 in the order of the join.
+
+    Of two sets, let x be the one whose prefix ends first in the order. What they share beyond it is
+    at most the ceil(t * |x|) - 1 shingles that x has left, and what they share up to there lies in
+    both prefixes. So the prefixes must share what is missing to the overlap that is asked. Each bit
+    that only one sketch has stands for a shingle that only this prefix has.
+    """
+    n1, p1, n2, p2 = (F.col(x) for x in ("n", "at", f"{other}n", f"{other}at"))
     sizes = 100 * F.least(n1, n2) >= threshold * F.greatest(n1, n2)
-    return sizes & ((100 + threshold) * F.least(n1 - p1, n2 - p2) >= threshold * (n1 + n2))
+    positions = (100 + threshold) * F.least(n1 - p1, n2 - p2) >= threshold * (n1 + n2)
+    least = lambda n: F.ceil(threshold * n / 100)
+    alone = lambda x, y: sum((F.bit_count(F.col(x + s).bitwiseAND(F.bitwise_not(F.col(y + s)))) for s in BITS[1:]), F.bit_count(F.col(x + BITS[0]).bitwiseAND(F.bitwise_not(F.col(y + BITS[0])))))
+    shared = F.least(n1 - least(n1) + 1 - alone("", other), n2 - least(n2) + 1 - alone(other, ""))
+    return sizes & positions & ((100 + threshold) * (shared + least(F.greatest(n1, n2)) - 1) >= threshold * (n1 + n2))
 
 
-def postings(groups: DataFrame, sieve: np.ndarray) -> DataFrame:
-    """token, g, n and at, the place in the prefix, for the prefixes' shingles that pass the sieve."""
-    shared = groups.sparkSession.sparkContext.broadcast(sieve)
+def postings(sig: DataFrame, sieve: np.ndarray) -> DataFrame:
+    """token, p, n, the sketch and at, the place in the prefix, for the prefixes' shingles that pass the sieve."""
+    shared = sig.sparkSession.sparkContext.broadcast(sieve)
+    names = ["token", "p", "n", *BITS, "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            prefix = batch.column(2)
+            prefix = batch.column(0)
             flat = prefix.flatten().to_numpy()
             sizes = np.diff(prefix.offsets.to_numpy())
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = passes(bits, flat)
-            g, n = (batch.column(i).to_numpy()[owner[keep]] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(g), pa.array(n), pa.array(at[keep].astype(np.int32))], names=["token", "g", "n", "at"])
-
-    return groups.select("g", "n", "prefix").mapInArrow(run, "token long, g long, n long, at int")
+            own = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *(batch.column(names.index(x)).take(own) for x in names[1:-1]), pa.array(at[keep].astype(np.int32))], names=names)
 
-
-def plausible(pairs: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of groups whose prefixes have enough in common.
-
-    Of two sets, let x be the one whose prefix ends first in the order. What they share beyond it is
-    at most the ceil(t * |x|) - 1 shingles that x has left, and what they share up to there lies in
-    both prefixes. So the prefixes must share what is missing to the overlap that is asked.
-    """
-    side = lambda x: groups.select(F.col("g").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
-    own = lambda x: only_ids(side(x).withColumnRenamed(x, "doc_id"), pairs.select(F.col(x).alias("doc_id"))).withColumnRenamed("doc_id", x)
-    met = pairs.join(own("a"), "a").join(own("b"), "b")
-    rest = F.ceil(threshold * F.greatest("na", "nb") / 100) - 1
-    shared = F.size(F.array_intersect("pa", "pb"))
-    return met.where((100 + threshold) * (shared + rest) >= threshold * (F.col("na") + F.col("nb"))).select("a", "b")
+    return sig.select("prefix", *names[1:-1]).mapInArrow(run, ", ".join(f"{x} long" for x in names[:-1]) + ", at int")
 
 
 def links(docs: DataFrame, sig: DataFrame, threshold: int, width: int) -> DataFrame:
-    """doc_id, component of the classes (their smallest id) that are linked with another."""
+    """doc_id, component of the classes (their smallest id) that are linked with another. sig is freed."""
     some = sig.where("n > 0 and doc_id is not null")
-    groups = written(some.groupBy("n", "p").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix")), "groups")
     classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("p").alias("p"))
-    classes = written(classes.join(groups.select("n", "p", "g"), ["n", "p"]).select("c", "g", "n"), "classes")
-    leaders = postings(groups, sieve_of(groups.select(F.explode("prefix").alias("token"))))
-    first = leaders.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.col("g"), F.pmod("token", F.lit(HUBS))).alias("h"), F.col("g").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"))).alias("hub"), F.count("*").alias("many"))
-    lists = written(leaders.join(first.where("many > 1").select("token", "hub.*"), "token").drop("h"), "lists")
-    met = lists.where("hub <> g").where(near(threshold, "n", "at", "hub_n", "hub_at"))
-    inside = classes.where("c <> g").select(F.col("g").alias("a"), F.col("c").alias("b"))
-    pairs = written(plausible(met.select(F.col("hub").alias("a"), F.col("g").alias("b")).distinct(), groups, threshold).unionByName(inside), "pairs")
+    classes = written(classes.select("c", "n", "p"), "classes")
+    groups = written(classes.groupBy("p").agg(F.min("c").alias("g")), "groups")
+    posts = postings(some, sieve_of(some.select(F.explode("prefix").alias("token"))))
+    # documents of one group have the same prefix: one of them stands for it
+    leaders = written(posts.groupBy("token", "p").agg(*(F.first(x).alias(x) for x in ("n", *BITS, "at"))).join(groups, "p").drop("p"), "postings")
+    freed(sig)
+    first = leaders.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.col("g"), F.pmod("token", F.lit(HUBS))).alias("h"), *(F.col(x).alias(f"hub_{x}") for x in ("g", "n", "at", *BITS)))).alias("hub"), F.count("*").alias("many"))
+    first = first.where("many > 1").select("token", "hub.*").drop("h")
+    placed = classes.join(groups, "p").select("c", "g", F.col("c").alias("k"))
+    met = leaders.join(first, "token").where("hub_g <> g").where(near(threshold, "hub_")).select(F.least("hub_g", "g").alias("a"), F.greatest("hub_g", "g").alias("b"))
+    inside = placed.where("c <> g").select(F.col("g").alias("a"), F.col("c").alias("b"))
+    done = pairs = written(met.distinct().unionByName(inside), "pairs")
     found = written(verified(pairs, docs, threshold, width), "links")
     known = components(found)
 
     # shingles whose documents lie in different components
-    placed = classes.join(known.withColumnRenamed("vertex", "c"), "c", "left").select("c", "g", F.coalesce("component", "c").alias("k"))
+    placed = written(placed.join(known.withColumnRenamed("vertex", "c"), "c", "left").select("c", "g", F.coalesce("component", "k").alias("k")), "placed")
+    freed(found, known, classes, groups)
     spread = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    mixed = lists.join(spread, "g").groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
-    left = written(lists.join(mixed, "token", "left_semi").select("token", "g", "n", "at").join(spread, "g"), "mixed")
-    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    lists = leaders.join(spread, "g")
+    mixed = lists.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
+    left = written(lists.join(mixed, "token", "left_semi").select("token", "g", "n", "at", *BITS, "lo", "hi"), "mixed")
+    freed(leaders)
     for salt in range(1, MORE_ROUNDS + 1):
-        met = with_hubs(left, salt, MORE_HUBS).where("lo = hi and hub_lo = hub_hi and lo <> hub_lo").where(near(threshold, "n", "at", "hub_n", "hub_at"))
-        met = met.select(F.least("g", "hub").alias("a"), F.greatest("g", "hub").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        pairs = written(plausible(met, groups, threshold), "pairs")
+        met = with_hubs(left, salt, MORE_HUBS).where("lo = hi and hub_lo = hub_hi and lo <> hub_lo").where(near(threshold, "hub_"))
+        pairs = written(met.select(F.least("g", "hub_g").alias("a"), F.greatest("g", "hub_g").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.unionByName(pairs)
-        found = written(verified(pairs, docs, threshold, width), "links")
-        placed, left = relabelled(found, placed, left)
+        placed, left = relabelled(verified(pairs, docs, threshold, width), placed, left)
 
     # of two groups that lie apart, one is outside its hub's component: those meet all that pass the filters
     hubs = with_hubs(left, 0, 1)
-    outside = hubs.where("lo <> hi or hub_lo <> hub_hi or lo <> hub_lo").select("token", *(F.col(x).alias(f"{x}2") for x in ("g", "n", "at", "lo", "hi")))
-    apart = (F.col("lo") != F.col("lo2")) | (F.col("hi") != F.col("hi2")) | (F.col("lo") != F.col("hi"))
-    near_groups = left.join(outside, "token").where("g <> g2").where(apart).where(near(threshold, "n", "at", "n2", "at2")).select(F.least("g", "g2").alias("a"), F.greatest("g", "g2").alias("b")).distinct()
+    outside = hubs.where("lo <> hi or hub_lo <> hub_hi or lo <> hub_lo").select("token", *(F.col(x).alias(f"other_{x}") for x in ("g", "n", "at", *BITS, "lo", "hi")))
+    apart = (F.col("lo") != F.col("other_lo")) | (F.col("hi") != F.col("other_hi")) | (F.col("lo") != F.col("hi"))
+    near_groups = left.join(outside, "token").where("g <> other_g").where(apart).where(near(threshold, "other_")).select(F.least("g", "other_g").alias("a"), F.greatest("g", "other_g").alias("b")).distinct()
     torn = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi")
-    near_groups = plausible(near_groups, groups, threshold).unionByName(torn.select(F.col("g").alias("a"), F.col("g").alias("b")))
+    near_groups = near_groups.unionByName(torn.select(F.col("g").alias("a"), F.col("g").alias("b")))
     side = lambda x, y: placed.select(F.col("g").alias(x), F.col("c").alias(f"c{x}"), F.col("k").alias(y))
     more = near_groups.join(side("a", "k"), "a").join(side("b", "k2"), "b").where("k <> k2 and (a <> b or ca < cb)")
     more = more.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
     more = written(more.join(done, ["a", "b"], "left_anti"), "more-pairs")
+    freed(left)
     if not more.isEmpty():
-        placed, _ = relabelled(written(verified(more, docs, threshold, width), "more-links"), placed, left)
+        placed, _ = relabelled(verified(more, docs, threshold, width), placed, None)
     return placed.select(F.col("c").alias("vertex"), F.col("k").alias("component"))
 
 
 def with_hubs(lists: DataFrame, salt: int, many: int) -> DataFrame:
     """Each row of lists with each of up to many hubs of its token, groups that salt picks."""
     which = F.pmod(F.xxhash64("g", F.lit(salt)), F.lit(many))
-    least = F.min(F.struct(F.xxhash64(F.col("g"), F.pmod("token", F.lit(HUBS)), F.lit(salt)).alias("h"), *(F.col(x).alias(f"hub_{x}") for x in ("g", "n", "at", "lo", "hi"))))
-    hubs = lists.groupBy("token", which.alias("which")).agg(least.alias("hub")).select("token", F.col("hub.hub_g").alias("hub"), *(f"hub.hub_{x}" for x in ("n", "at", "lo", "hi")))
-    return lists.join(hubs, "token")
+    least = F.min(F.struct(F.xxhash64(F.col("g"), F.pmod("token", F.lit(HUBS)), F.lit(salt)).alias("h"), *(F.col(x).alias(f"hub_{x}") for x in ("g", "n", "at", *BITS, "lo", "hi"))))
+    return lists.join(lists.groupBy("token", which.alias("which")).agg(least.alias("hub")).select("token", "hub.*").drop("h"), "token")
 
 
-def relabelled(found: DataFrame, placed: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """placed and left after the components that new links (a, b) connect have been merged."""
+def relabelled(links: DataFrame, placed: DataFrame, left: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """placed and left, in place of the tables given, after the components that new links (a, b)
+    connect have been merged."""
+    found = written(links, "links")
     own = lambda x: placed.select(F.col("c").alias(x), F.col("k").alias(f"k{x}"))
     merged = components(found.join(own("a"), "a").join(own("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b")))
 
@@ -245,17 +256,18 @@ def relabelled(found: DataFrame, placed: DataFrame, left: DataFrame) -> tuple[Da
         to = merged.select(F.col("vertex").alias(column), F.col("component").alias("__to"))
         return join_small(df, to, column, "left").withColumn(column, F.coalesce("__to", column)).drop("__to")
 
-    placed = written(renamed(placed, "k").select("c", "g", "k"), "placed")
-    left = written(renamed(renamed(left, "lo"), "hi").select("token", "g", "n", "at", "lo", "hi"), "mixed")
-    return placed, left
+    new = written(renamed(placed, "k").select("c", "g", "k"), "placed")
+    rest = left if left is None else written(renamed(renamed(left, "lo"), "hi").select("token", "g", "n", "at", *BITS, "lo", "hi"), "mixed")
+    freed(found, merged, placed, left)
+    return new, rest
 
 
 def jaccard_join(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: int = 80, width: int = WIDTH) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id. threshold: hundredths of the union."""
     base = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("body"))
     sig = written(signed(base, threshold, width), "signed")
+    own = written(sig.select("doc_id", "n", "h1", "h2"), "sets")
     known = links(base, sig, threshold, width)
-    own = sig.select("doc_id", "n", "h1", "h2")
     first = own.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("vertex"))
     first = first.join(known, "vertex", "left").select("h1", "h2", F.coalesce("component", "vertex").alias("component"))
     none = F.col("n") == 0

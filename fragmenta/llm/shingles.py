@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.llm.common import written
+from fragmenta.llm.common import freed, written
 
 #: Words in a shingle.
 WIDTH = 5
@@ -80,13 +80,17 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = written(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "merged")
+        side = lambda x: to.select(F.col("vertex").alias(x), F.col("component").alias(f"{x}2"))  # noqa: B023,E731
+        rest = written(edges.join(side("a"), "a").join(side("b"), "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), "edges")
+        freed(edges)
+        edges = rest
         if known is None:
             known = to
-        else:
-            step = to.select(F.col("vertex").alias("component"), F.col("component").alias("next"))
-            known = written(known.join(step, "component", "left").select("vertex", F.coalesce("next", "component").alias("component")), "components")
-        side = lambda x: to.select(F.col("vertex").alias(x), F.col("component").alias(f"{x}2"))
-        edges = written(edges.join(side("a"), "a").join(side("b"), "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), "edges")
+            continue
+        step = to.select(F.col("vertex").alias("component"), F.col("component").alias("next"))
+        merged = written(known.join(step, "component", "left").select("vertex", F.coalesce("next", "component").alias("component")), "components")
+        freed(known, to)
+        known = merged
     if known is None:
         return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
     return known
