@@ -351,6 +351,15 @@ def family(system: Column, institution: Column) -> Column:
     return out.otherwise(institution)
 
 
+#: The family that outcomes of a school unit are filed under, whatever the system.
+UNIT_FAMILIES = {"madrasah": ("MI", "MTs", "MA", "MAK", "RA"), "pendidikan_khusus": ("SDLB", "SMPLB", "SMALB"), "sekolah": ("SD", "SMP", "SMA", "SMK", "TK")}
+
+
+def unit_family(institution: str) -> str:
+    """The family of a school unit; itself where it belongs to none."""
+    return next((name for name, units in UNIT_FAMILIES.items() if institution in units), institution)
+
+
 def error_category(message: Column) -> Column:
     """What kind of failure a message tells of."""
     low = F.lower(F.coalesce(message, F.lit("")))

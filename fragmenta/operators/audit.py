@@ -36,23 +36,27 @@ def reliability(log: DataFrame) -> DataFrame:
     return out.join(failed, "stage", "left")
 
 
-def generations(log: DataFrame, limit: int | None = 100) -> DataFrame:
-    """Per generation, newest first: overall status, stages in order, attempts, error categories,
-    first and last time. A limit of none or less than 1 means 100."""
+def rollup(log: DataFrame) -> DataFrame:
+    """Per generation: overall status, stages in order, attempts, error categories, first and last time."""
+    # a generation's stages are few, its attempts may not be
+    stages = log.groupBy("generation_id", "stage").agg(F.min("id").alias("id")).groupBy("generation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "stage"))), lambda x: x["stage"]).alias("stages"))
     ok = F.coalesce(F.col("status") == "success", F.lit(False))
     per = log.groupBy("generation_id").agg(
         F.bool_or(ok & F.col("stage").isin("final", "regen")).alias("done"),
         F.bool_or(~ok).alias("failed"),
         F.bool_or(ok).alias("some"),
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("id", "stage"))), lambda x: x["stage"])).alias("stages"),
         F.count("*").alias("attempts"),
         F.array_sort(F.collect_set(F.when(~ok, F.coalesce("error_category", F.lit("unknown"))))).alias("error_categories"),
         F.min_by("created_at", "id").alias("started_at"),
         F.max_by("created_at", "id").alias("updated_at"),
     )
     status = F.when(F.col("done"), "success").when(F.col("failed") & ~F.col("some"), "failed").when(F.col("failed"), "partial").otherwise("running")
-    out = per.select("generation_id", status.alias("status"), "stages", "attempts", "error_categories", "started_at", "updated_at")
-    return out.orderBy(F.desc_nulls_last("updated_at"), "generation_id").limit(max(int(limit or 0), 0) or 100)
+    return per.join(stages, "generation_id").select("generation_id", status.alias("status"), "stages", "attempts", "error_categories", "started_at", "updated_at")
+
+
+def generations(log: DataFrame, limit: int | None = 100) -> DataFrame:
+    """The newest generations of the roll-up. A limit of none or less than 1 means 100."""
+    return rollup(log).orderBy(F.desc_nulls_last("updated_at"), "generation_id").limit(max(int(limit or 0), 0) or 100)
 
 
 def timings(log: DataFrame) -> DataFrame:

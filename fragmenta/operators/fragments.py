@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fragmenta.functions.text import any_of, collapse, is_debris, section_of, strip, tight
@@ -64,20 +66,37 @@ def nested(documents: DataFrame, fragments: DataFrame) -> DataFrame:
     return documents.join(own, "document_id", "left").withColumn("fragments", F.coalesce("fragments", F.array().cast(own.schema["fragments"].dataType)))
 
 
-def attach_provenance(outcomes: DataFrame, fragments: DataFrame, probes: tuple[int, ...] = (60, 45, 30), shortest: int = 18) -> DataFrame:
-    """outcomes (id, document_id, pages, text) with the first fragment on their pages that holds the
-    outcome's beginning, tried at several lengths and without blanks, or lies within it."""
-    asked = outcomes.select("id", "document_id", F.col("text").alias("__text"), F.posexplode("pages").alias("__page_order", "page_number"))
-    met = asked.join(fragments.select("document_id", "page_number", "fragment_id", F.col("text").alias("__frag")), ["document_id", "page_number"])
+def attach_provenance(outcomes: DataFrame, fragments: DataFrame, probes: tuple[int, ...] = (60, 45, 30), order: tuple[str, ...] = ("paragraph", "chunk")) -> DataFrame:
+    """outcomes (id, document_id, pages, text) with source_fragment_id, source_page and source_section
+    of the first fragment, by page as listed and then by order, that holds their beginning.
+
+    The head is the first 120 characters, blanks made one, in small letters. A fragment holds it if,
+    for a probe length, it has the head's first characters, or these up to a word that the cut broke
+    (25 or more), or begins with what the head has. Failing that, the same with blanks before small
+    letters left out, over up to 40 and at least 18 characters; failing that, 22 of the head's first
+    42 characters without any blanks.
+    """
     low = lambda c: F.lower(collapse(F.col(c)))
-    text, frag = low("__text"), low("__frag")
-    flat = lambda c: F.replace(F.lower(tight(F.col(c))), F.lit(" "), F.lit(""))
-    hit = F.lit(False)
+    asked = outcomes.select("id", "document_id", F.substring(low("text"), 1, 120).alias("__head"), F.posexplode("pages").alias("__page_order", "page_number")).where("__head <> ''")
+    held = fragments.select("document_id", "page_number", *order, "fragment_id", "section", low("text").alias("__frag")).where("__frag <> ''")
+    met = asked.join(held, ["document_id", "page_number"])
+    head, frag = F.col("__head"), F.col("__frag")
+    within = lambda part, whole: F.contains(whole, part)
+
+    hits = []
     for n in probes:
-        hit = hit | ((F.length(text) >= n) & F.contains(frag, F.substring(text, 1, n))) | ((F.length(frag) >= n) & F.contains(text, F.substring(frag, 1, n)))
-    hit = hit | ((F.length(flat("__text")) >= shortest) & F.contains(flat("__frag"), F.substring(flat("__text"), 1, shortest)))
-    n = F.row_number().over(Window.partitionBy("id").orderBy("__page_order", "fragment_id"))
-    best = met.where(hit).withColumn("__n", n).where("__n = 1").select("id", F.col("fragment_id").alias("source_fragment_id"), F.col("page_number").alias("source_page"))
+        probe = F.substring(head, 1, n)
+        cut = F.regexp_replace(probe, " [^ ]*$", "")
+        hits.append((F.length(head) >= n) & (within(probe, frag) | within(F.substring(frag, 1, n), head) | ((F.length(cut) >= 25) & within(cut, frag))))
+    joined = lambda c: F.regexp_replace(c, " (?=[a-z])", "")
+    n = F.least(F.lit(40), F.length(joined(head)), F.length(joined(frag)))
+    hits.append((n >= 18) & (within(F.left(joined(head), n), joined(frag)) | within(F.left(joined(frag), n), joined(head))))
+    flat = lambda c: F.regexp_replace(c, " ", "")
+    for at in (1, 11, 21):
+        hits.append((F.length(head) >= 18) & (F.length(flat(head)) >= at + 21) & within(F.substring(flat(head), at, 22), flat(frag)))
+    hit = reduce(lambda a, b: a | b, hits)
+    first = F.min(F.struct("__page_order", *order, "fragment_id", "page_number", F.nullif("section", F.lit("")).alias("section"))).alias("x")
+    best = met.where(hit).groupBy("id").agg(first).select("id", F.col("x.fragment_id").alias("source_fragment_id"), F.col("x.page_number").alias("source_page"), F.col("x.section").alias("source_section"))
     return outcomes.join(best, "id", "left")
 
 

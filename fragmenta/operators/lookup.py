@@ -3,28 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fragmenta.functions.text import family, present
+from fragmenta.functions.text import present, unit_family
 
 ACTIVE = "active"
 
 
 def outcomes(los: DataFrame, subject: str, phase: str, program: str = "reguler", system: str | None = None, institution: str | None = None, version: str | None = None) -> DataFrame:
     """Active outcomes of a subject and phase, by source page. A missing status is active and a
-    missing programme regular; the special-education family also takes school ones and those
-    without an institution."""
+    missing programme regular. An institution stands for its family; outcomes without one fit any,
+    and the special-education family also takes those of schools."""
     ok = (F.col("subject") == subject) & (F.col("phase") == phase) & (F.coalesce("status", F.lit(ACTIVE)) == ACTIVE) & (F.coalesce("program_type", F.lit("reguler")) == program)
     if system is not None:
         ok = ok & (F.col("education_system") == system)
     if institution is not None:
-        own = family(F.lit(system), F.lit(institution))
-        special = (own == "pendidikan_khusus") & (~present(F.col("institution_type")) | (F.col("institution_type") == "sekolah"))
-        ok = ok & ((F.col("institution_type") == own) | special)
+        own = unit_family(institution)
+        fits = [own, "sekolah"] if own == "pendidikan_khusus" else [own]
+        ok = ok & (F.col("institution_type").isin(*fits) | ~present(F.col("institution_type")))
     if version is not None:
-        ok = ok & (F.col("version") == version)
+        ok = ok & (F.col("curriculum_version_id") == version)
     return los.where(ok).orderBy("source_page", "id")
 
 
@@ -35,7 +36,10 @@ def elements(los: DataFrame, subject: str) -> DataFrame:
 
 def unambiguous(los: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows by key with an outcome: found where a key has one row, else AMBIGUOUS_CP_LOOKUP."""
-    return los.withColumn("lookup", F.when(F.count("*").over(Window.partitionBy(*keys)) == 1, "found").otherwise("AMBIGUOUS_CP_LOOKUP"))
+    counts = los.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(F.count("*").alias("__n"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys))
+    met = los.join(counts, same)
+    return met.withColumn("lookup", F.when(F.col("__n") == 1, "found").otherwise("AMBIGUOUS_CP_LOOKUP")).drop("__n", *(f"__{k}" for k in keys))
 
 
 def registry_ids(los: DataFrame, subjects: DataFrame, phases: DataFrame) -> DataFrame:

@@ -111,12 +111,13 @@ def cited_quantities(sentences: DataFrame, sources: DataFrame, pattern: str) ->
     return met.select("id", code.alias("code")).where("code is not null")
 
 
-def fingerprint(rows: DataFrame, order: str, skip: Sequence[str] = ("created_at",)) -> DataFrame:
-    """Row count and a hash that doesn't depend on where rows lie: rows are hashed, and the hashes
-    hashed in the order of a key."""
+def fingerprint(rows: DataFrame, skip: Sequence[str] = ("created_at",)) -> DataFrame:
+    """Row count and a fingerprint that doesn't depend on where or in which order rows lie: the sums
+    of two parts of the rows' hashes, so each task adds up its own."""
     columns = [c for c in rows.columns if c not in skip]
     line = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    return rows.select(F.col(order).alias("__o"), line.alias("__h")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__h"))), lambda x: x["__h"]), ""), 256).alias("fingerprint"))
+    part = lambda at: F.sum(F.conv(F.substring("__h", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return rows.select(line.alias("__h")).agg(F.count("*").alias("n"), F.concat_ws("-", part(1), part(16)).alias("fingerprint"))
 
 
 def report(checks: dict[str, DataFrame]) -> DataFrame:

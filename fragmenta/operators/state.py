@@ -51,10 +51,13 @@ def delete(base: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def delete_guarded(versions: DataFrame, gone: DataFrame, group: str, keys: Sequence[str]) -> DataFrame:
-    """versions without the rows in gone, but for groups that have one row only."""
-    many = F.count("*").over(Window.partitionBy(group)) > 1
-    marked = versions.withColumn("__many", many).join(gone.select(*keys, F.lit(True).alias("__gone")), list(keys), "left")
-    return marked.where(~(F.coalesce("__gone", F.lit(False)) & F.col("__many"))).select(*versions.columns)
+    """versions without the rows in gone, as if these were deleted one by one in the order of their
+    keys: the last row of a group is never deleted, so a group that is asked for whole keeps one."""
+    named = versions.join(gone.select(*keys).distinct(), list(keys), "left_semi").select(*keys)
+    asked = named.groupBy(group).agg(F.count("*").alias("__asked"), F.max(F.struct(*keys)).alias("__last"))
+    whole = asked.join(versions.groupBy(group).agg(F.count("*").alias("__n")), group).where("__asked = __n")
+    spared = whole.select(*(F.col(f"__last.{k}").alias(k) for k in keys))
+    return versions.join(named.join(spared, list(keys), "left_anti"), list(keys), "left_anti").select(*versions.columns)
 
 
 def set_flag(base: DataFrame, hit: Column, flag: str, at: str, value: bool, when: Column) -> DataFrame:
@@ -107,6 +110,20 @@ def baseline(versions: DataFrame, modules: DataFrame, group: str, number: str) -
     return versions.unionByName(with_columns_of(first, versions))
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], order: str, bucket: Column, name: str = "n") -> DataFrame:
+    """rows with their number (from 1) within their keys by order. bucket grows with order and cuts
+    it into stretches: these are numbered one by one, so that no task gets a whole key."""
+    rows = rows.withColumn("__bucket", bucket)
+    sizes = rows.groupBy(*keys, "__bucket").agg(F.count("*").alias("__size"))
+    before = F.coalesce(F.sum("__size").over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__bucket").alias("__at"), before.alias("__before"))
+    same = F.col("__bucket").eqNullSafe(F.col("__at"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(order))
+    return rows.withColumn(name, within).join(starts, same).withColumn(name, F.col(name) + F.col("__before")).drop("__bucket", "__at", "__before", *(f"__{k}" for k in keys))
+
+
 def update_jobs(jobs: DataFrame, changes: DataFrame, key: str = "job_id") -> DataFrame:
     """jobs with the changes that aren't null; progress is held within 0 to 100."""
     columns = [c for c in changes.columns if c != key]
@@ -126,12 +143,13 @@ def recovered_jobs(jobs: DataFrame, kinds: Sequence[str]) -> DataFrame:
 
 
 def evicted(jobs: DataFrame, now: Column, ttl_seconds: int, most: int) -> DataFrame:
-    """Jobs that a bounded store drops: finished ones older than ttl, and beyond the newest most."""
-    idle = ~F.col("status").isin("queued", "running")
-    old = idle & (F.unix_timestamp(now) - F.unix_timestamp("updated_at") > ttl_seconds)
-    kept = jobs.where(~old)
-    newest = kept.orderBy(F.desc("updated_at"), F.desc("job_id")).limit(most)
-    return jobs.join(newest.select("job_id"), "job_id", "left_anti")
+    """Jobs that a bounded store drops. Running ones stay. Of all others those go that weren't
+    updated for ttl, and then the oldest by created_at, until no more than most jobs are left."""
+    idle = jobs.where(~F.coalesce(F.col("status") == "running", F.lit(False)))
+    room = max(0, most - jobs.where(F.col("status") == "running").count())
+    fresh = idle.where(F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("updated_at") <= ttl_seconds, F.lit(True)))
+    newest = fresh.orderBy(F.desc("created_at"), F.desc("job_id")).limit(room)
+    return idle.join(newest.select("job_id"), "job_id", "left_anti")
 
 
 def version_outcome(action: Column, status: Column) -> Column:

@@ -15,7 +15,7 @@ def reliability_by_stage(spark, sf_dir):
 
 
 def generation_rollup(spark, sf_dir):
-    out = ops.generations(roles.log(spark, sf_dir), 1_000_000)
+    out = ops.rollup(roles.log(spark, sf_dir))
     join = lambda c: F.array_join(F.col(c), ",").alias(c)
     return out.select("generation_id", "status", join("stages"), "attempts", join("error_categories"), "started_at", "updated_at")
 

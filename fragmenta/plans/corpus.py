@@ -38,8 +38,10 @@ def page_routes(spark, sf_dir):
 
 
 def all_pages(spark, sf_dir):
-    pages = roles.fragments(spark, sf_dir).where("chunk < 3 and paragraph = 0").select("document_id", (F.col("chunk") + 1).alias("page_number"), "text", F.lit("text_layer").alias("method"))
-    counts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(3).alias("total"))
+    # a paragraph stands for a page; blank ones, and one more page at the end, are missing
+    parts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.split("text", "\n\n").alias("parts"))
+    pages = parts.select("document_id", F.posexplode("parts").alias("n", "text")).where(F.length("text") > 3).select("document_id", (F.col("n") + 1).alias("page_number"), "text", F.lit("text_layer").alias("method"))
+    counts = parts.select("document_id", (F.size("parts") + 1).alias("total"))
     return ops.all_pages(pages, counts).groupBy("method").agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("characters"))
 
 
@@ -55,8 +57,10 @@ def hash_recompute(spark, sf_dir):
 
 def provenance_attach(spark, sf_dir):
     frag = roles.fragments(spark, sf_dir)
-    asked = table(spark, sf_dir, "documents").where("n_chars >= 60").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.array(F.lit(1)).alias("pages"), F.substring("text", 1, 60).alias("text"))
-    return ops.attach_provenance(asked, frag).groupBy(F.col("source_fragment_id").isNotNull().alias("attached")).agg(F.count("*").alias("n"))
+    # what each document says from some place on, as if an outcome began there
+    there = F.substring("text", F.pmod(F.col("doc_id") * 37, F.lit(400)).cast("int") + 1, 1 << 30)
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("document_id"), F.array(F.lit(2), F.lit(1)).alias("pages"), there.alias("text"))
+    return ops.attach_provenance(asked, frag).select("id", "source_fragment_id", F.col("source_page").cast("long"))
 
 
 F_ = "WITH " + roles.FRAGMENTS
@@ -73,13 +77,22 @@ QUERIES = {
         q AS (SELECT doc_id, i, ps[i] AS p FROM p, unnest(range(1, len(ps) + 1)) AS t(i))
         SELECT doc_id AS document_id, (i - 1) // 5 + 1 AS page_number, sha256(string_agg(p, chr(10) ORDER BY i)) AS text_hash FROM q GROUP BY 1, 2"""),
     "page_routes": (page_routes, r"SELECT CASE WHEN length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) >= 50 THEN 'text_layer' ELSE 'needs_ocr' END AS route, count(*) AS pages FROM documents GROUP BY 1"),
-    "all_pages": (all_pages, F_ + """
-        , g AS (SELECT doc_id AS document_id, k AS page_number FROM documents, unnest(range(1, 4)) AS t(k))
-        SELECT CASE WHEN f.text IS NULL THEN 'scan' ELSE 'text_layer' END AS method, count(*) AS pages, CAST(sum(length(coalesce(f.text, ''))) AS BIGINT) AS characters
-        FROM g LEFT JOIN (SELECT * FROM fragments WHERE paragraph = 0) f ON f.document_id = g.document_id AND f.chunk + 1 = g.page_number GROUP BY 1"""),
+    "all_pages": (all_pages, """
+        WITH p AS (SELECT string_split(text, chr(10) || chr(10)) AS ps FROM documents), g AS (SELECT ps[k] AS t FROM p, unnest(range(1, len(ps) + 2)) AS t(k))
+        SELECT CASE WHEN length(coalesce(t, '')) > 3 THEN 'text_layer' ELSE 'scan' END AS method, count(*) AS pages, CAST(coalesce(sum(length(t)) FILTER (WHERE length(t) > 3), 0) AS BIGINT) AS characters FROM g GROUP BY 1"""),
     "nested_extraction": (nested_extraction, F_ + """
         SELECT doc_id AS document_id, count(f.document_id) AS fragments, CAST(coalesce(sum(f.char_count), 0) AS BIGINT) AS characters
         FROM documents d LEFT JOIN fragments f ON f.document_id = d.doc_id GROUP BY 1"""),
     "hash_recompute": (hash_recompute, F_ + "SELECT count(*) AS fragments, count(*) FILTER (WHERE sha256(text) <> text_hash) AS broken, count(*) FILTER (WHERE text = '') AS empty FROM fragments"),
-    "provenance_attach": (provenance_attach, None),
+    "provenance_attach": (provenance_attach, F_ + r"""
+        , h AS (SELECT doc_id AS id, substr(lower(regexp_replace(regexp_replace(substr(text, CAST(doc_id * 37 % 400 AS INTEGER) + 1), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')), 1, 120) AS h FROM documents),
+        f AS (SELECT *, lower(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM fragments),
+        m AS (SELECT id, paragraph, chunk, fragment_id, h, f, regexp_replace(h, ' ([a-z])', '\1', 'g') AS th, regexp_replace(f, ' ([a-z])', '\1', 'g') AS tf, replace(h, ' ', '') AS lh, replace(f, ' ', '') AS lf FROM h JOIN f ON document_id = id WHERE h <> '' AND f <> ''),
+        k AS (SELECT *, least(40, length(th), length(tf)) AS n FROM m),
+        hit AS (SELECT * FROM k WHERE len(list_filter([60, 45, 30], lambda p: length(h) >= p AND (contains(f, substr(h, 1, p)) OR contains(h, substr(f, 1, p))
+                    OR (length(regexp_replace(substr(h, 1, p), ' [^ ]*$', '')) >= 25 AND contains(f, regexp_replace(substr(h, 1, p), ' [^ ]*$', '')))))) > 0
+                 OR (n >= 18 AND (contains(tf, substr(th, 1, n)) OR contains(th, substr(tf, 1, n))))
+                 OR (length(h) >= 18 AND len(list_filter([1, 11, 21], lambda i: length(lh) >= i + 21 AND contains(lf, substr(lh, i, 22)))) > 0)),
+        b AS (SELECT id, arg_min(fragment_id, struct_pack(p := paragraph, c := chunk)) AS source_fragment_id FROM hit GROUP BY 1)
+        SELECT doc_id AS id, source_fragment_id, CASE WHEN source_fragment_id IS NOT NULL THEN CAST(1 AS BIGINT) END AS source_page FROM documents LEFT JOIN b ON id = doc_id"""),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from fragmenta.functions import text as tx
@@ -15,6 +17,14 @@ def lo_lookup(spark, sf_dir):
     return ops.outcomes(roles.outcomes(spark, sf_dir), "src1", "en").select("id", "source_page")
 
 
+def lo_lookup_institution(spark, sf_dir):
+    n = F.col("source_page")
+    kind = F.when(n % 4 == 0, "sekolah").when(n % 4 == 1, "madrasah").when(n % 4 == 2, "pendidikan_khusus")
+    los = roles.outcomes(spark, sf_dir).withColumns({"institution_type": kind, "education_system": F.when(n % 5 > 0, "S"), "curriculum_version_id": F.lit("v1")})
+    found = [ops.outcomes(los, "src1", "en", system="S", institution=i, version="v1").select(F.lit(i).alias("institution"), "id") for i in ("MTs", "SDLB", "SMP", "other")]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def lo_elements(spark, sf_dir):
     return ops.elements(roles.outcomes(spark, sf_dir), "SRC2")
 
@@ -121,6 +131,8 @@ O_ = "WITH " + roles.OUTCOMES
 
 QUERIES = {
     "lo_lookup": (lo_lookup, O_ + "SELECT id, source_page FROM los WHERE subject = 'src1' AND phase = 'en' AND coalesce(status, 'active') = 'active' AND coalesce(program_type, 'reguler') = 'reguler'"),
+    "lo_lookup_institution": (lo_lookup_institution, O_ + """, k AS (SELECT id, source_page % 4 AS k FROM los WHERE subject = 'src1' AND phase = 'en' AND coalesce(status, 'active') = 'active' AND coalesce(program_type, 'reguler') = 'reguler' AND source_page % 5 > 0)
+        SELECT i AS institution, id FROM k, (VALUES ('MTs', [1, 3]), ('SDLB', [0, 2, 3]), ('SMP', [0, 3]), ('other', [3])) t(i, ks) WHERE list_contains(ks, k)"""),
     "lo_elements": (lo_elements, O_ + "SELECT DISTINCT phase, element FROM los WHERE upper(subject) = 'SRC2' AND coalesce(element, '') <> ''"),
     "lo_ambiguous": (lo_ambiguous, O_ + "SELECT id, CASE WHEN count(*) OVER (PARTITION BY subject, phase, element) = 1 THEN 'found' ELSE 'AMBIGUOUS_CP_LOOKUP' END AS lookup FROM los"),
     "outcomes_by_subject": (outcomes_by_subject, O_ + "SELECT subject, count(*) AS n, count(*) FILTER (WHERE coalesce(element, '') = '') AS without_element, count(DISTINCT phase) AS phases FROM los GROUP BY 1"),

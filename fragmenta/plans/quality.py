@@ -60,7 +60,7 @@ def snapshot_diff(spark, sf_dir):
 
 def blueprint(spark, sf_dir):
     objectives = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("tp_id"))
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").select(F.col("l_partkey").alias("tp_id"), F.col("l_returnflag").alias("form"), F.col("l_quantity").cast("long").alias("points"))
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("tp_id"), F.col("l_returnflag").alias("form"), F.col("l_quantity").cast("long").alias("points"))
     out = ops.blueprint(objectives, items)
     return out.select("tp_id", F.array_join("forms", ",").alias("forms"), "n_items", "points")
 
@@ -92,7 +92,7 @@ def severity(spark, sf_dir):
 
 
 def fingerprint(spark, sf_dir):
-    return ops.fingerprint(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey")
+    return ops.fingerprint(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
 
 
 def invariant_report(spark, sf_dir):
@@ -118,23 +118,23 @@ QUERIES = {
         u AS (SELECT o_orderkey AS module, k AS meeting FROM orders, unnest(range(1, 3)) t(k)), s AS (SELECT module, meeting, sum(minutes) AS used FROM a WHERE minutes > 0 GROUP BY 1, 2),
         y AS (SELECT module, 'MINUTES_OFF' AS code FROM u LEFT JOIN s USING (module, meeting) WHERE coalesce(used, 0) <> 80)
         SELECT code, count(*) AS n, count(DISTINCT module) AS modules FROM (SELECT * FROM x WHERE code IS NOT NULL UNION ALL SELECT * FROM y) GROUP BY 1"""),
-    "meeting_grid": (meeting_grid, ITEMS + """, g AS (SELECT o_orderkey AS module, m AS meeting, s AS stage FROM orders, unnest(range(1, 3)) t(m), unnest(range(1, 4)) v(s) WHERE o_orderkey < 2000)
+    "meeting_grid": (meeting_grid, ITEMS + """, g AS (SELECT o_orderkey AS module, m AS meeting, s AS stage FROM orders, unnest(range(1, 3)) t(m), unnest(range(1, 4)) v(s))
         SELECT module, meeting, stage, count(a.module) AS activities, CAST(coalesce(sum(minutes), 0) AS BIGINT) AS minutes FROM g LEFT JOIN a USING (module, meeting, stage) GROUP BY 1, 2, 3"""),
     "coverage": (coverage, "SELECT 'PART_NOT_USED' AS code, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) HAVING count(*) > 0"),
     "link_check": (link_check, "SELECT 'UNKNOWN_PART' AS code, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 > 0) HAVING count(*) > 0"),
     "protected_fields": (protected_fields, """SELECT n_nationkey AS key, unnest(CASE WHEN n_nationkey = 3 THEN ['n_name', 'n_regionkey'] ELSE ['n_name'] END) AS field FROM nation WHERE n_nationkey = 3 OR (n_nationkey % 4 = 0 AND lower(n_name) <> n_name)"""),
     "snapshot_diff": (snapshot_diff, "SELECT * FROM (VALUES ('a'), ('b'), ('d')) t(key)"),
     "blueprint": (blueprint, """SELECT p_partkey AS tp_id, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS forms, count(l_partkey) AS n_items, CAST(coalesce(sum(CAST(trunc(l_quantity) AS BIGINT)), 0) AS BIGINT) AS points
-        FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = 7 GROUP BY 1"""),
+        FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1"""),
     "topic_drift": (topic_drift, """WITH w AS (SELECT conv_id, role, unnest(regexp_extract_all(lower(string_agg(text, ' ' ORDER BY turn)), '[a-z]+')) AS w FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1, 2),
         f AS (SELECT * FROM w WHERE length(w) > 3), b AS (SELECT conv_id FROM f GROUP BY 1 HAVING count(DISTINCT role) = 2)
         SELECT conv_id AS generation_id FROM b WHERE NOT EXISTS (SELECT 1 FROM f x JOIN f y ON x.conv_id = y.conv_id AND x.w = y.w AND x.role = 'user' AND y.role = 'assistant' WHERE x.conv_id = b.conv_id)"""),
     "citations": (citations, """WITH s AS (SELECT doc_id, CAST(n_chars % 50 AS VARCHAR) AS number, CASE WHEN doc_id % 3 > 0 THEN doc_id % 40 END AS src FROM documents),
-        c AS (SELECT CASE WHEN src IS NULL THEN 'MISSING_CITATION' WHEN d.doc_id IS NULL THEN 'UNKNOWN_SOURCE' WHEN NOT contains(CAST(d.n_chars AS VARCHAR), number) THEN 'UNSUPPORTED_NUMBER' END AS code FROM s LEFT JOIN documents d ON d.doc_id = src AND d.doc_id < 30)
+        c AS (SELECT CASE WHEN src IS NULL THEN 'MISSING_CITATION' WHEN d.doc_id IS NULL THEN 'UNKNOWN_SOURCE' WHEN NOT contains(CAST(d.n_chars AS VARCHAR), number) THEN 'UNSUPPORTED_NUMBER' END AS code FROM s LEFT JOIN documents d ON d.doc_id = src)
         SELECT code, count(*) AS n FROM c WHERE code IS NOT NULL GROUP BY 1"""),
     "claim_check": (claim_check, "SELECT count(*) AS unregistered FROM documents WHERE doc_id % 30 <> 5"),
     "severity": (severity, OBJ + " SELECT CASE WHEN NOT (ph AND pv AND sj) THEN 'rejected' ELSE 'Needs review' END AS status, count(*) AS n FROM r WHERE NOT (lv AND ph AND pv AND sj) GROUP BY 1"),
-    "fingerprint": (fingerprint, "WITH h AS (SELECT n_nationkey AS o, sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS h FROM nation) SELECT count(*) AS n, sha256(string_agg(h, '' ORDER BY o, h)) AS fingerprint FROM h"),
+    "fingerprint": (fingerprint, "WITH h AS (SELECT sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS h FROM nation) SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS UBIGINT)) || '-' || sum(CAST('0x' || substr(h, 16, 15) AS UBIGINT)) AS fingerprint FROM h"),
     "invariant_report": (invariant_report, "WITH " + roles.FRAGMENTS + """, c AS (
         SELECT 'labels name a document' AS name, count(*) AS violations FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
         UNION ALL SELECT 'documents have a label', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)

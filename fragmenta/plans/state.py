@@ -58,7 +58,7 @@ def delete_many(spark, sf_dir):
 
 def guarded_delete(spark, sf_dir):
     v = roles.versions(spark, sf_dir)
-    gone = v.where("version_no = 0").select("generation_id", "version_no")
+    gone = v.where("version_no = 0 or generation_id % 5 = 0 or version_no % 7 = 3").select("generation_id", "version_no")
     return ops.delete_guarded(v, gone, "generation_id", ["generation_id", "version_no"]).groupBy("generation_id").agg(F.count("*").alias("n"), F.min("version_no").alias("first"))
 
 
@@ -91,8 +91,9 @@ def job_recovery(spark, sf_dir):
 
 
 def job_eviction(spark, sf_dir):
-    jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.when(F.col("value") > 40, "running").otherwise("done").alias("status"), F.col("ts").cast("timestamp").alias("updated_at"))
-    return ops.evicted(jobs, F.lit("2024-01-02 00:00:00").cast("timestamp"), 3600, 200).agg(F.count("*").alias("n"), F.sum("job_id").alias("ids"))
+    at = F.col("ts").cast("timestamp")
+    jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.when(F.col("value") > 400, "running").when(F.col("value") > 20, "queued").otherwise("done").alias("status"), at.alias("created_at"), (at + F.make_dt_interval(hours=(F.col("event_id") % 100).cast("int"))).alias("updated_at"))
+    return ops.evicted(jobs, F.lit("2024-01-25 00:00:00").cast("timestamp"), 7200, 200).agg(F.count("*").alias("n"), F.sum("job_id").alias("ids"))
 
 
 def dedup_normalised(spark, sf_dir):
@@ -103,11 +104,9 @@ def dedup_normalised(spark, sf_dir):
 
 
 def id_counters(spark, sf_dir):
-    from pyspark.sql import Window
-
-    docs = table(spark, sf_dir, "documents")
-    n = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))
-    return docs.select("doc_id", F.concat_ws("-", F.lit("CP"), "source", "lang", n.cast("string")).alias("id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    out = ops.numbered(docs, ["source", "lang"], "doc_id", F.floor(F.col("doc_id") / 100_000))
+    return out.select("doc_id", F.concat_ws("-", F.lit("CP"), "source", "lang", F.col("n").cast("string")).alias("id"))
 
 
 def sql_statements(spark, sf_dir):
@@ -125,7 +124,7 @@ V = "SELECT conv_id AS generation_id, turn AS version_no, role AS status, text A
 QUERIES = {
     "latest_version": (latest_version, f"WITH v AS ({V}) SELECT generation_id, max(version_no) AS version_no, arg_max(status, version_no) AS status, sha256(arg_max(module_json, version_no)) AS payload FROM v GROUP BY 1"),
     "version_history": (version_history, f"WITH v AS ({V}) SELECT generation_id, version_no, status, '{{}}' AS module_json FROM v"),
-    "next_version": (next_version, f"WITH v AS ({V}) SELECT r AS generation_id, coalesce(max(version_no), 0) AS current, coalesce(max(version_no), 0) + 1 AS next FROM range(0, 2000, 7) t(r) LEFT JOIN v ON v.generation_id = r GROUP BY 1"),
+    "next_version": (next_version, f"WITH v AS ({V}) SELECT r AS generation_id, coalesce(max(version_no), 0) AS current, coalesce(max(version_no), 0) + 1 AS next FROM (SELECT generation_id AS r FROM v UNION SELECT doc_id FROM documents) LEFT JOIN v ON v.generation_id = r GROUP BY 1"),
     "append_versions": (append_versions, f"""WITH v AS ({V}), m AS (SELECT generation_id, max(version_no) AS m FROM v GROUP BY 1)
         SELECT generation_id, 'accepted' AS outcome, CAST(1 AS BIGINT) AS n, m + 1 AS version_no FROM m UNION ALL SELECT generation_id, 'stale', 2, NULL FROM m"""),
     "upsert": (upsert, """WITH n AS (SELECT c_custkey + 10 AS c_custkey FROM customer WHERE c_custkey % 5 = 0)
@@ -135,17 +134,21 @@ QUERIES = {
     "keyed_update": (keyed_update, "SELECT n_nationkey, coalesce(r_name, n_name) AS n_name, n_regionkey FROM nation LEFT JOIN region ON r_regionkey = n_nationkey"),
     "update_unmatched": (update_unmatched, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "delete_many": (delete_many, "SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)"),
-    "guarded_delete": (guarded_delete, f"WITH v AS ({V}), w AS (SELECT *, count(*) OVER (PARTITION BY generation_id) AS c FROM v) SELECT generation_id, count(*) AS n, min(version_no) AS first FROM w WHERE NOT (version_no = 0 AND c > 1) GROUP BY 1"),
+    "guarded_delete": (guarded_delete, f"""WITH v AS ({V}), w AS (SELECT *, (version_no = 0 OR generation_id % 5 = 0 OR version_no % 7 = 3) AS gone FROM v),
+        k AS (SELECT generation_id, bool_and(gone) AS whole, max(version_no) AS last FROM w GROUP BY 1)
+        SELECT generation_id, count(*) AS n, min(version_no) AS first FROM w JOIN k USING (generation_id) WHERE NOT gone OR (whole AND version_no = last) GROUP BY 1"""),
     "archive": (archive, "SELECT CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS archived, CASE WHEN c_custkey % 3 = 0 THEN '2024-01-01' END AS archived_at, count(*) AS n FROM customer GROUP BY 1, 2"),
     "restore_version": (restore_version, f"""WITH v AS ({V}), m AS (SELECT generation_id, max(version_no) AS top, arg_max(module_json, version_no) AS last, max(CASE WHEN version_no = 1 THEN module_json END) AS one, count(*) FILTER (WHERE version_no = 1) AS has FROM v GROUP BY 1)
         SELECT generation_id, CASE WHEN has > 0 THEN top + 1 ELSE top END AS version_no, sha256(CASE WHEN has > 0 THEN one ELSE last END) AS payload FROM m"""),
-    "baseline_versions": (baseline_versions, f"WITH v AS ({V}) SELECT generation_id, count(*) AS n FROM (SELECT generation_id FROM v UNION ALL SELECT r FROM range(0, 400) t(r) WHERE r NOT IN (SELECT generation_id FROM v)) GROUP BY 1"),
+    "baseline_versions": (baseline_versions, f"WITH v AS ({V}) SELECT generation_id, count(*) AS n FROM (SELECT generation_id FROM v UNION ALL SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT generation_id FROM v)) GROUP BY 1"),
     "job_updates": (job_updates, """WITH j AS (SELECT CASE WHEN event_id % 8 = 0 THEN 'running' ELSE event_type END AS status, greatest(0, least(100, CASE WHEN event_id % 4 = 0 AND value IS NOT NULL THEN CAST(floor(value * 5) - 50 AS BIGINT) ELSE 5 END)) AS progress FROM events)
         SELECT status, count(*) AS n, CAST(sum(progress) AS BIGINT) AS progress FROM j GROUP BY 1"""),
     "job_recovery": (job_recovery, """WITH j AS (SELECT event_type AS kind, CASE WHEN value > 20 THEN 'running' WHEN value > 10 THEN 'queued' ELSE 'done' END AS status FROM events)
         SELECT kind, status, CASE WHEN kind IN ('click', 'view') THEN 'requeue' ELSE 'error' END AS outcome, count(*) AS n FROM j WHERE status <> 'done' GROUP BY 1, 2, 3"""),
-    "job_eviction": (job_eviction, """WITH j AS (SELECT event_id AS id, value > 40 AS busy, ts FROM events), k AS (SELECT * FROM j WHERE busy OR epoch(TIMESTAMP '2024-01-02') - floor(epoch(ts)) <= 3600),
-        n AS (SELECT id FROM k ORDER BY ts DESC, id DESC LIMIT 200) SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM j WHERE id NOT IN (SELECT id FROM n)"""),
+    "job_eviction": (job_eviction, """WITH j AS (SELECT event_id AS id, coalesce(value > 400, false) AS running, ts AS created, ts + INTERVAL 1 HOUR * (event_id % 100) AS updated FROM events),
+        k AS (SELECT *, epoch(TIMESTAMP '2024-01-25') - floor(epoch(updated)) > 7200 AS stale FROM j WHERE NOT running),
+        n AS (SELECT *, count(*) FILTER (WHERE NOT stale) OVER (ORDER BY created DESC, id DESC) AS newer FROM k)
+        SELECT count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM n WHERE stale OR newer > greatest(0, 200 - (SELECT count(*) FROM j WHERE running))"""),
     "dedup_normalised": (dedup_normalised, r"""WITH k AS (SELECT doc_id, source, lang, substr(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 400) AS k FROM documents)
         SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, k ORDER BY doc_id) AS n FROM k) WHERE n = 1"""),
     "id_counters": (id_counters, "SELECT doc_id, 'CP-' || source || '-' || lang || '-' || row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS id FROM documents"),

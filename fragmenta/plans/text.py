@@ -56,7 +56,7 @@ def slugs(spark, sf_dir):
 
 
 def punctuation(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(tx.without_punctuation(F.col("text")), 256).alias("h"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.without_punctuation(F.col("text")), 256).alias("h"))
 
 
 def prompt_hashes(spark, sf_dir):
@@ -122,14 +122,15 @@ QUERIES = {
     "slop_scan": (slop_scan, None),
     "prose_normalise": (prose_normalise, None),
     "token_containment": (token_containment, """
-        WITH a AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS a FROM benchmark), b AS (SELECT doc_id // 40 AS item_id, regexp_extract_all(lower(text), '[a-z]+') AS b FROM documents WHERE doc_id % 40 = 0)
-        SELECT item_id, round(CASE WHEN len(a) > 0 THEN len(list_filter(a, lambda x: list_contains(b, x))) * 100.0 / len(a) ELSE 0 END, 4) AS containment FROM a JOIN b USING (item_id)"""),
+        WITH a AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), b AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
+        s AS (SELECT item_id, count(*) AS size FROM a GROUP BY 1)
+        SELECT item_id, doc_id, round(count(*) * 100.0 / any_value(size), 4) AS containment FROM a JOIN b USING (w) JOIN s USING (item_id) GROUP BY 1, 2"""),
     "truncation_flags": (truncation_flags, """
         WITH t AS (SELECT substr(props, 1, event_id % 12 + 1) AS t FROM events)
         SELECT NOT json_valid(t) AND (regexp_matches(t, '[,:]$') OR length(t) - length(replace(t, '{', '')) <> length(t) - length(replace(t, '}', '')) OR (length(t) - length(replace(t, '"', ''))) % 2 = 1) AS truncated, count(*) AS n FROM t GROUP BY 1"""),
     "json_salvage": (json_salvage, "SELECT CASE WHEN event_id % 3 < 2 THEN props END AS json, count(*) AS n FROM events GROUP BY 1"),
     "slugs": (slugs, "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part"),
-    "punctuation": (punctuation, r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS h FROM documents WHERE lang = 'en'"),
+    "punctuation": (punctuation, r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS h FROM documents"),
     "prompt_hashes": (prompt_hashes, None),  # DuckDB strings take no NUL
     "escapes": (escapes, """SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS h FROM pages"""),
     "positive_ints": (positive_ints, "WITH k AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT CASE WHEN k BETWEEN 1 AND 30 THEN k END AS k, count(*) AS n FROM k GROUP BY 1"),
