@@ -51,12 +51,12 @@ def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
 SIEVE_BITS = 1 << 26
 
 
-def sieve_of(tokens: DataFrame) -> np.ndarray:
-    """Which places of a sieve have a token (long) that two rows or more hold, as bits.
+def sieve_of(tokens: DataFrame, least: int = 2) -> np.ndarray:
+    """Which places of a sieve have a token (long) that least rows or more hold, as bits.
 
     The sieve's size is fixed. Where very many tokens are shared it lets more through.
     """
-    many = tokens.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
+    many = tokens.groupBy("token").agg(F.count("*").alias("many")).where(F.col("many") >= least)
     place = many.select((F.pmod("token", F.lit(SIEVE_BITS)) + 1).alias("at"))  # Spark numbers bits from 1
     blocks = place.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = np.zeros(SIEVE_BITS // 8, np.uint8)
