@@ -20,11 +20,12 @@ component null. Rows that repeat an id belong to one document. Texts of any leng
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fragmenta.llm.common import commonest, freed, join_small, table, written
@@ -78,35 +79,46 @@ def ordered(found: np.ndarray, known: np.ndarray, place: np.ndarray) -> np.ndarr
     return found[np.argsort(key, kind="stable")]
 
 
-#: Longs of a prefix's sketch: bits that its shingles set.
-SKETCH = 4
+#: Longs of a prefix's short sketch: bits that its shingles set. The long sketch grows with the set.
+SKETCH = 2
 BITS = [f"s{i}" for i in range(SKETCH)]
-SIGNED = "doc_id long, n long, h1 long, h2 long, p long, " + ", ".join(f"{s} long" for s in BITS) + ", prefix array<long>"
+
+
+def sketch(prefix: np.ndarray, longs: int) -> np.ndarray:
+    """longs (a power of 2) of bits that the shingles of a prefix set."""
+    bits = np.zeros(64 * longs, bool)
+    bits[(prefix >> np.uint64(20)) % np.uint64(64 * longs)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
+SIGNED = "doc_id long, n long, h1 long, h2 long, p long, " + ", ".join(f"{s} long" for s in BITS) + ", wide array<long>, prefix array<long>"
 
 
 def signed(docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """Each document's set size, a hash of its set (h1, h2), of its size and prefix (p: the group),
-    the prefix's sketch, and the prefix."""
+    the prefix's sketches, and the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         known, place = shared.value
         for batch in batches:
-            rows, prefixes = [], []
+            rows, prefixes, wides = [], [], []
             for found in sets(batch, hashes, width):
                 n = len(found)
                 prefix = ordered(found, known, place)[: n - -(-threshold * n // 100) + 1] if n else found
                 whole = xxhash.xxh3_128_digest(found.tobytes())
                 group = xxhash.xxh3_64_digest(prefix.tobytes(), n & 0xFFFFFFFF)
-                bits = np.zeros(64 * SKETCH, bool)
-                bits[(prefix >> np.uint64(20)) % np.uint64(64 * SKETCH)] = True
-                rows.append((n, *np.frombuffer(whole, np.int64).tolist(), int(np.frombuffer(group, np.int64)[0]), *np.packbits(bits).view(np.int64).tolist()))
+                rows.append((n, *np.frombuffer(whole, np.int64).tolist(), int(np.frombuffer(group, np.int64)[0]), *sketch(prefix, SKETCH).tolist()))
+                wides.append(sketch(prefix, max(2 * SKETCH, 1 << max(0, n.bit_length() - 6))))
                 prefixes.append(prefix.view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * (4 + SKETCH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "h1", "h2", "p", *BITS, "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, lists(wides), lists(prefixes)], names=["doc_id", "n", "h1", "h2", "p", *BITS, "wide", "prefix"])
 
     return docs.select("doc_id", "body").mapInArrow(run, SIGNED)
 
@@ -122,8 +134,9 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> D
     """The pairs (a, b) whose sets have at least threshold hundredths of their union in common."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     texts = only_ids(docs, ids)
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    dealt = pairs.join(counts, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int")).drop("shares")
+    many = pairs.groupBy("a").agg(F.count("*").alias("many")).where(F.col("many") > SHARE)
+    share = F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / SHARE)))
+    dealt = written(pairs.join(many, "a", "left").select("a", "b", share.cast("int").alias("share")), "dealt")
     members = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "share", "b", "body")
     hubs = dealt.select("a", "share").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "body")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -150,89 +163,106 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> D
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near(threshold: int, other: str):
-    """The size, position and sketch filters, between columns n, at and s0.. and those of the same
-    names after other; positions count from 0 in the order of the join.
+def enough(threshold: int, n1: Column, n2: Column, alone1: Column, alone2: Column) -> Column:
+    """Whether prefixes may have enough in common. alone: shingles that surely only this one has.
 
     Of two sets, let x be the one whose prefix ends first in the order. What they share beyond it is
     at most the ceil(t * |x|) - 1 shingles that x has left, and what they share up to there lies in
-    both prefixes. So the prefixes must share what is missing to the overlap that is asked. Each bit
-    that only one sketch has stands for a shingle that only this prefix has.
+    both prefixes. So the prefixes must share what is missing to the overlap that is asked.
     """
+    least = lambda n: F.ceil(threshold * n / 100)
+    shared = F.least(n1 - least(n1) + 1 - alone1, n2 - least(n2) + 1 - alone2)
+    return (100 + threshold) * (shared + least(F.greatest(n1, n2)) - 1) >= threshold * (n1 + n2)
+
+
+def near(threshold: int, other: str) -> Column:
+    """The size, position and sketch filters, between columns n, at and s0.. and those of the same
+    names after other; positions count from 0 in the order of the join. Each bit that only one
+    sketch has stands for a shingle that only this prefix has."""
     n1, p1, n2, p2 = (F.col(x) for x in ("n", "at", f"{other}n", f"{other}at"))
     sizes = 100 * F.least(n1, n2) >= threshold * F.greatest(n1, n2)
     positions = (100 + threshold) * F.least(n1 - p1, n2 - p2) >= threshold * (n1 + n2)
-    least = lambda n: F.ceil(threshold * n / 100)
-    alone = lambda x, y: sum((F.bit_count(F.col(x + s).bitwiseAND(F.bitwise_not(F.col(y + s)))) for s in BITS[1:]), F.bit_count(F.col(x + BITS[0]).bitwiseAND(F.bitwise_not(F.col(y + BITS[0])))))
-    shared = F.least(n1 - least(n1) + 1 - alone("", other), n2 - least(n2) + 1 - alone(other, ""))
-    return sizes & positions & ((100 + threshold) * (shared + least(F.greatest(n1, n2)) - 1) >= threshold * (n1 + n2))
+    alone = lambda x, y: reduce(Column.__add__, (F.bit_count(F.col(x + s).bitwiseAND(F.bitwise_not(F.col(y + s)))) for s in BITS))
+    return sizes & positions & enough(threshold, n1, n2, alone("", other), alone(other, ""))
+
+
+def plausible(pairs: DataFrame, groups: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) of groups that pass by their long sketches, too. Of near sizes, one sketch is
+    at most twice as long, and its halves fall on each other in the other's."""
+    side = lambda x: only_ids(groups.select(F.col("g").alias("doc_id"), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}")), pairs.select(F.col(x).alias("doc_id"))).withColumnRenamed("doc_id", x)
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    m = F.least(F.size("wa"), F.size("wb"))
+    half = lambda w: F.when(F.size(w) > m, F.zip_with(F.slice(w, 1, m), F.slice(w, m + 1, m), lambda x, y: x.bitwiseOR(y))).otherwise(F.col(w))
+    alone = lambda x, y: F.aggregate(F.zip_with(half(x), half(y), lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, k: n + k)
+    return met.where(enough(threshold, F.col("na"), F.col("nb"), alone("wa", "wb"), alone("wb", "wa"))).select("a", "b")
 
 
 def postings(sig: DataFrame, sieve: np.ndarray) -> DataFrame:
-    """token, p, n, the sketch and at, the place in the prefix, for the prefixes' shingles that pass the sieve."""
+    """token, p and at, the place in the prefix, for the prefixes' shingles that pass the sieve."""
     shared = sig.sparkSession.sparkContext.broadcast(sieve)
-    names = ["token", "p", "n", *BITS, "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            prefix = batch.column(0)
+            prefix = batch.column(1)
             flat = prefix.flatten().to_numpy()
             sizes = np.diff(prefix.offsets.to_numpy())
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             keep = passes(bits, flat)
-            own = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *(batch.column(names.index(x)).take(own) for x in names[1:-1]), pa.array(at[keep].astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), batch.column(0).take(pa.array(owner[keep])), pa.array(at[keep].astype(np.int32))], names=["token", "p", "at"])
+
+    return sig.select("p", "prefix").mapInArrow(run, "token long, p long, at int")
+
 
-    return sig.select("prefix", *names[1:-1]).mapInArrow(run, ", ".join(f"{x} long" for x in names[:-1]) + ", at int")
+def by_token(lists: DataFrame) -> DataFrame:
+    """lists with a token's rows together: what is then grouped and joined by token shares one shuffle."""
+    return lists.repartition(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
 
 
 def links(docs: DataFrame, sig: DataFrame, threshold: int, width: int) -> DataFrame:
     """doc_id, component of the classes (their smallest id) that are linked with another. sig is freed."""
     some = sig.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("c"), F.first("n").alias("n"), F.first("p").alias("p"))
-    classes = written(classes.select("c", "n", "p"), "classes")
-    groups = written(classes.groupBy("p").agg(F.min("c").alias("g")), "groups")
-    posts = postings(some, sieve_of(some.select(F.explode("prefix").alias("token"))))
+    groups = written(some.groupBy("p").agg(F.min("doc_id").alias("g"), *(F.first(x).alias(x) for x in ("n", *BITS, "wide"))), "groups")
+    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("c"), F.first("p").alias("p"))
+    placed = written(classes.join(groups.select("p", "g"), "p").select("c", "g", F.col("c").alias("k")), "placed")
     # documents of one group have the same prefix: one of them stands for it
-    leaders = written(posts.groupBy("token", "p").agg(*(F.first(x).alias(x) for x in ("n", *BITS, "at"))).join(groups, "p").drop("p"), "postings")
+    posts = postings(some, sieve_of(some.select(F.explode("prefix").alias("token")))).groupBy("token", "p").agg(F.min("at").alias("at"))
+    leaders = written(posts.join(groups.drop("wide"), "p").select("token", "g", "n", "at", *BITS), "postings")
     freed(sig)
-    first = leaders.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.col("g"), F.pmod("token", F.lit(HUBS))).alias("h"), *(F.col(x).alias(f"hub_{x}") for x in ("g", "n", "at", *BITS)))).alias("hub"), F.count("*").alias("many"))
-    first = first.where("many > 1").select("token", "hub.*").drop("h")
-    placed = classes.join(groups, "p").select("c", "g", F.col("c").alias("k"))
-    met = leaders.join(first, "token").where("hub_g <> g").where(near(threshold, "hub_")).select(F.least("hub_g", "g").alias("a"), F.greatest("hub_g", "g").alias("b"))
+    every = by_token(leaders)
+    first = every.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.col("g"), F.pmod("token", F.lit(HUBS))).alias("h"), *(F.col(x).alias(f"hub_{x}") for x in ("g", "n", "at", *BITS)))).alias("hub")).select("token", "hub.*").drop("h")
+    met = every.join(first, "token").where("hub_g <> g").where(near(threshold, "hub_")).select(F.least("hub_g", "g").alias("a"), F.greatest("hub_g", "g").alias("b"))
     inside = placed.where("c <> g").select(F.col("g").alias("a"), F.col("c").alias("b"))
-    done = pairs = written(met.distinct().unionByName(inside), "pairs")
-    found = written(verified(pairs, docs, threshold, width), "links")
-    known = components(found)
+    done = written(plausible(written(met.distinct(), "met"), groups, threshold).unionByName(inside), "pairs")
+    placed, _ = relabelled(verified(done, docs, threshold, width), placed, None)
 
     # shingles whose documents lie in different components
-    placed = written(placed.join(known.withColumnRenamed("vertex", "c"), "c", "left").select("c", "g", F.coalesce("component", "k").alias("k")), "placed")
-    freed(found, known, classes, groups)
-    spread = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    lists = leaders.join(spread, "g")
-    mixed = lists.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
-    left = written(lists.join(mixed, "token", "left_semi").select("token", "g", "n", "at", *BITS, "lo", "hi"), "mixed")
+    moved = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> g or hi <> g")
+    every = by_token(join_small(leaders, moved, "g", "left", 100_000).select("token", "g", "n", "at", *BITS, F.coalesce("lo", "g").alias("lo"), F.coalesce("hi", "g").alias("hi")))
+    mixed = every.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
+    left = written(every.join(mixed, "token", "left_semi"), "mixed")
     freed(leaders)
     for salt in range(1, MORE_ROUNDS + 1):
-        met = with_hubs(left, salt, MORE_HUBS).where("lo = hi and hub_lo = hub_hi and lo <> hub_lo").where(near(threshold, "hub_"))
-        pairs = written(met.select(F.least("g", "hub_g").alias("a"), F.greatest("g", "hub_g").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+        met = with_hubs(by_token(left), salt, MORE_HUBS).where("lo = hi and hub_lo = hub_hi and lo <> hub_lo").where(near(threshold, "hub_"))
+        met = written(met.select(F.least("g", "hub_g").alias("a"), F.greatest("g", "hub_g").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "met")
+        pairs = written(plausible(met, groups, threshold), "pairs")
         done = done.unionByName(pairs)
         placed, left = relabelled(verified(pairs, docs, threshold, width), placed, left)
+        freed(met)
 
     # of two groups that lie apart, one is outside its hub's component: those meet all that pass the filters
-    hubs = with_hubs(left, 0, 1)
-    outside = hubs.where("lo <> hi or hub_lo <> hub_hi or lo <> hub_lo").select("token", *(F.col(x).alias(f"other_{x}") for x in ("g", "n", "at", *BITS, "lo", "hi")))
+    every = by_token(left)
+    outside = with_hubs(every, 0, 1).where("lo <> hi or hub_lo <> hub_hi or lo <> hub_lo").select("token", *(F.col(x).alias(f"other_{x}") for x in ("g", "n", "at", *BITS, "lo", "hi")))
     apart = (F.col("lo") != F.col("other_lo")) | (F.col("hi") != F.col("other_hi")) | (F.col("lo") != F.col("hi"))
-    near_groups = left.join(outside, "token").where("g <> other_g").where(apart).where(near(threshold, "other_")).select(F.least("g", "other_g").alias("a"), F.greatest("g", "other_g").alias("b")).distinct()
+    near_groups = every.join(outside, "token").where("g <> other_g").where(apart).where(near(threshold, "other_")).select(F.least("g", "other_g").alias("a"), F.greatest("g", "other_g").alias("b")).distinct()
     torn = placed.groupBy("g").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi")
-    near_groups = near_groups.unionByName(torn.select(F.col("g").alias("a"), F.col("g").alias("b")))
+    near_groups = plausible(written(near_groups, "met"), groups, threshold).unionByName(torn.select(F.col("g").alias("a"), F.col("g").alias("b")))
     side = lambda x, y: placed.select(F.col("g").alias(x), F.col("c").alias(f"c{x}"), F.col("k").alias(y))
     more = near_groups.join(side("a", "k"), "a").join(side("b", "k2"), "b").where("k <> k2 and (a <> b or ca < cb)")
     more = more.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
     more = written(more.join(done, ["a", "b"], "left_anti"), "more-pairs")
-    freed(left)
+    freed(left, groups)
     if not more.isEmpty():
         placed, _ = relabelled(verified(more, docs, threshold, width), placed, None)
     return placed.select(F.col("c").alias("vertex"), F.col("k").alias("component"))
