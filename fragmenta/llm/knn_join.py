@@ -1,11 +1,16 @@
 """Exact top-k join on the inner product of integer vectors, by Voronoi groups.
 
-A bounded sample of the vectors gives pivots; each vector belongs to its nearest pivot's group.
-Summaries of the groups (size, radius around the pivot, largest norm) come to the driver, one row
-per pivot. A query's k-th best score over another bounded sample is a bound that its true k-th best
-can't be under. A group is searched for a query only if q.p + |q| * radius, and |q| * norm, reach
-that bound; so queries go only where something may beat what they have, and nothing is lost.
-Groups are cut into blocks of bounded size; each block is solved by itself, and the bests meet.
+A bounded sample of the vectors gives pivots; each vector belongs to its nearest pivot's group, and
+within it to a ring by its angle to the pivot. Summaries of the rings (size, radius around the pivot,
+angles, norms) come to the driver. A query first goes to its own group and those of the pivots of
+highest product with it; the k-th best score there, or over another bounded sample, is a bound that
+its true k-th best can't be under. Any other ring is searched only if it may reach that bound: by
+q.p + |q| * radius, and by the least angle that the query can have to a vector of the ring. So queries
+go only where something may beat what they have, and nothing is lost. Rings are cut into blocks of
+bounded size; each block is solved by itself, and the bests meet.
+
+Where vectors lie in clusters, most rings fall away. A query without near neighbours among vectors of
+many dimensions has a low bound, and then nothing can be ruled out: it meets all rings.
 
 Vectors that are null or hold a null or non-finite component take no part. Vectors of different
 lengths are never compared. Rows that have the query's own id are not its candidates; rows of one
@@ -24,8 +29,10 @@ from pyspark.sql import functions as F
 
 from fragmenta.llm.common import sampled, table, written
 
-#: Bounds of what every task gets: pivots, and vectors for the first bound of a query.
-PIVOTS, SAMPLE = 256, 2048
+#: Bounds of what every task gets: pivots (about the root of the number of vectors), and vectors for a query's bound.
+PIVOTS, SAMPLE = 4096, 2048
+#: Width of a ring in radians; groups that a query meets first, besides its own.
+RING, FIRST = 0.1, 2
 #: Vectors in a block.
 BLOCK = 8192
 #: Queries that are scored against a block at once.
@@ -93,53 +100,79 @@ class Pivots:
         return self.all[group] if group >= 0 else np.zeros(-1 - group)
 
 
+GROUPED = "vec_id long, v array<long>, g long, ring int, near double, angle double, norm double"
+
+
 def grouped(vecs: DataFrame, pivots: Pivots) -> DataFrame:
+    """GROUPED: each vector's group, its distance and angle to the pivot (0 for zero vectors), its norm."""
     shared = vecs.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = rows_of(batch.column(1))
-            group, near, norm = np.empty(len(v), np.int64), np.empty(len(v)), np.empty(len(v))
+            group, near, angle, norm = np.empty(len(v), np.int64), np.empty(len(v)), np.zeros(len(v)), np.empty(len(v))
             lengths = np.array([len(x) for x in v], int)
             for n in set(lengths.tolist()):
                 own = np.flatnonzero(lengths == n)
                 x = np.array([v[i] for i in own], np.int64).reshape(len(own), n)
                 group[own], near[own] = shared.value.assign(x)
                 norm[own] = np.sqrt((x.astype(float) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(near), pa.array(norm)], names=["vec_id", "v", "g", "near", "norm"])
+                p = np.array([shared.value.pivot(g) for g in group[own].tolist()], float).reshape(len(own), n)
+                both = norm[own] * np.sqrt((p**2).sum(1))
+                angle[own] = np.where(both > 0, np.arccos(np.clip((x * p).sum(1) / np.where(both > 0, both, 1), -1, 1)), 0.0)
+            ring = pa.array((angle / RING).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), ring, pa.array(near), pa.array(angle), pa.array(norm)], names=["vec_id", "v", "g", "ring", "near", "angle", "norm"])
+
+    return vecs.mapInArrow(run, GROUPED)
 
-    return vecs.mapInArrow(run, "vec_id long, v array<long>, g long, near double, norm double")
 
+def routed(queries: DataFrame, rings: list, pivots: Pivots, known: tuple, k: int, first: bool) -> DataFrame:
+    """A row (g, ring, block, vec_id, v) for each block that a query (vec_id, v, g, bound) meets.
 
-def routed(queries: DataFrame, groups: list, pivots: Pivots, known: tuple, k: int) -> DataFrame:
-    """A row (g, block, vec_id, v) for each block that may hold one of a query's k best."""
-    shared = queries.sparkSession.sparkContext.broadcast((groups, pivots, known))
+    rings: rows (g, ring, blocks, radius, least and largest angle, least and largest norm).
+    """
+    shared = queries.sparkSession.sparkContext.broadcast((rings, pivots, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, pivots, (ids, drawn) = shared.value
+        rings, pivots, (ids, drawn) = shared.value
         by_length: dict[int, tuple] = {}
-        for n in {len(pivots.pivot(g)) for g, *_ in groups}:
-            own = [x for x in groups if len(pivots.pivot(x[0])) == n]
+        for n in {len(pivots.pivot(r[0])) for r in rings}:
+            own = [r for r in rings if len(pivots.pivot(r[0])) == n]
+            groups = sorted({r[0] for r in own})
+            place = {g: i for i, g in enumerate(groups)}
+            p = np.array([pivots.pivot(g) for g in groups], float).reshape(len(groups), n)
             some = [i for i, v in enumerate(drawn) if len(v) == n]
-            by_length[n] = (own, np.array([pivots.pivot(x[0]) for x in own], float), ids[some], np.array([drawn[i] for i in some], np.int64).reshape(len(some), n))
+            columns = [np.array(c) for c in zip(*own, strict=True)]
+            by_length[n] = (groups, p, np.sqrt((p**2).sum(1)), np.array([place[r[0]] for r in own]), columns, ids[some], np.array([drawn[i] for i in some], np.int64).reshape(len(some), n))
         for batch in batches:
-            to, blocks, who = [], [], []
-            for i, (q_id, q) in enumerate(zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), strict=True)):
-                own, p, sample_ids, sample_v = by_length[len(q)]
-                scores = product(q[None, :], sample_v)[0][sample_ids != q_id]
-                bound = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf
-                length = math.sqrt(float((q.astype(float) ** 2).sum()))
-                radius, norm = (np.array([x[j] for x in own]) for j in (2, 3))
-                reach = np.minimum(p @ q + length * radius, length * norm)
-                for g in np.flatnonzero(reach + 1e-6 * np.abs(reach) + 1e-3 >= bound).tolist():
-                    for b in range(own[g][1]):
-                        to.append(own[g][0])
+            to, ring, blocks, who = [], [], [], []
+            for i, (q_id, q, home, bound) in enumerate(zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                groups, p, lengths, at, (g, r, many, radius, lo, hi, least, most), sample_ids, sample_v = by_length[len(q)]
+                dot, length = p @ q, math.sqrt(float((q.astype(float) ** 2).sum()))
+                begin = np.zeros(len(groups), bool)
+                begin[np.argsort(-dot, kind="stable")[:FIRST]] = True
+                begin[groups.index(home)] = True
+                if first:
+                    asked = begin[at]
+                else:
+                    scores = product(q[None, :], sample_v)[0][sample_ids != q_id]
+                    bound = max(-np.inf if bound is None else bound, np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf)
+                    both = lengths * length
+                    theta = np.where(both > 0, np.arccos(np.clip(dot / np.where(both > 0, both, 1), -1, 1)), 0.0)[at]
+                    gap = np.cos(np.where((both > 0)[at], np.maximum(0, np.maximum(theta - hi, lo - theta)), 0.0))
+                    reach = np.minimum(dot[at] + length * radius, length * np.where(gap >= 0, most, least) * gap)
+                    # a margin for rounding
+                    asked = ~begin[at] & (reach + 1e-6 * (np.abs(reach) + length * most) + 1e-3 >= bound)
+                for x in np.flatnonzero(asked).tolist():
+                    for b in range(int(many[x])):
+                        to.append(int(g[x]))
+                        ring.append(int(r[x]))
                         blocks.append(b)
                         who.append(i)
-            at = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(blocks, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["g", "block", "vec_id", "v"])
+            own = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(ring, pa.int32()), pa.array(blocks, pa.int32()), batch.column(0).take(own), batch.column(1).take(own)], names=["g", "ring", "block", "vec_id", "v"])
 
-    return queries.select("vec_id", "v").mapInArrow(run, "g long, block int, vec_id long, v array<long>")
+    return queries.select("vec_id", "v", "g", "bound").mapInArrow(run, "g long, ring int, block int, vec_id long, v array<long>")
 
 
 def solve(k: int):
@@ -148,16 +181,16 @@ def solve(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, held, data = None, [], [], None
         for batch in batches:
-            g, block, asks, vec = (batch.column(i).to_pylist() for i in range(4))
-            v = rows_of(batch.column(4))
+            g, ring, block, asks, vec = (batch.column(i).to_pylist() for i in range(5))
+            v = rows_of(batch.column(5))
             out: list[tuple] = []
             i = 0
             while i < len(v):
                 j = i
-                while j < len(v) and (g[j], block[j], asks[j]) == (g[i], block[i], asks[i]) and j - i < STRIP:
+                while j < len(v) and (g[j], ring[j], block[j], asks[j]) == (g[i], ring[i], block[i], asks[i]) and j - i < STRIP:
                     j += 1
-                if at != (g[i], block[i]):
-                    at, ids, held, data = (g[i], block[i]), [], [], None
+                if at != (g[i], ring[i], block[i]):
+                    at, ids, held, data = (g[i], ring[i], block[i]), [], [], None
                 if not asks[i]:
                     ids += vec[i:j]
                     held += v[i:j]
@@ -176,21 +209,32 @@ def solve(k: int):
     return run
 
 
+def solved(data: DataFrame, asked: DataFrame, blocks, k: int) -> DataFrame:
+    """query_id, vec_id, score: of each block asked, the k best for each of its queries."""
+    block = F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
+    both = data.select("g", "ring", block.alias("block"), F.lit(False).alias("asks"), "vec_id", "v").unionByName(asked.withColumn("asks", F.lit(True)))
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ("g", "ring", "block")
+    return both.repartition(parts, *keys).sortWithinPartitions(*keys, "asks").mapInArrow(solve(k), "query_id long, vec_id long, score long")
+
+
 def knn_join(vecs: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each row of vecs (vec_id, v) for which is_query holds."""
     total = vecs.count()
-    pivots = Pivots(sample(vecs, PIVOTS, total, 1)[1])
+    pivots = Pivots(sample(vecs, min(PIVOTS, max(16, math.isqrt(total))), total, 1)[1])
+    known = sample(vecs, SAMPLE, total, 2)
     data = written(grouped(vecs, pivots), "grouped")
-    summary = data.groupBy("g").agg(F.count("*").alias("n"), F.max("near").alias("radius"), F.max("norm").alias("norm")).collect()
-    groups = [(r.g, -(-r.n // BLOCK), r.radius, r.norm) for r in summary]
-    sizes = F.create_map(*(F.lit(x) for g, n, *_ in groups for x in (g, n))) if groups else F.create_map(F.lit(0), F.lit(1))
-    queries = data.where(is_query).select("vec_id", "v").distinct()
-    asked = routed(queries, groups, pivots, sample(vecs, SAMPLE, total, 2), k)
-    block = F.pmod(F.xxhash64("vec_id"), sizes[F.col("g")]).cast("int")
-    both = data.select("g", block.alias("block"), F.lit(False).alias("asks"), "vec_id", "v").unionByName(asked.withColumn("asks", F.lit(True)))
-    parts = int(vecs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = both.repartition(parts, "g", "block").sortWithinPartitions("g", "block", "asks").mapInArrow(solve(k), "query_id long, vec_id long, score long")
+    summary = data.groupBy("g", "ring").agg(F.count("*").alias("n"), F.max("near").alias("radius"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.min("norm").alias("least"), F.max("norm").alias("most")).collect()
+    rings = [(r.g, r.ring, -(-r.n // BLOCK), r.radius, r.lo, r.hi, r.least, r.most) for r in summary]
+    large = {(g, ring): n for g, ring, n, *_ in rings if n > 1}
+    sizes = F.create_map(*(F.lit(x) for (g, ring), n in large.items() for x in (f"{g} {ring}", n))) if large else None
+    blocks = F.coalesce(sizes[F.concat_ws(" ", "g", "ring")], F.lit(1)) if large else F.lit(1)
+    queries = data.where(is_query).select("vec_id", "v", "g").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    begun = written(solved(data, routed(queries.withColumn("bound", F.lit(None).cast("double")), rings, pivots, known, k, True), blocks, k).withColumn("rank", rank).where(F.col("rank") <= k), "begun")
+    bounds = begun.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound"))
+    rest = solved(data, routed(queries.join(bounds, "vec_id", "left"), rings, pivots, known, k, False), blocks, k)
+    found = begun.drop("rank").unionByName(rest)
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -167,6 +167,34 @@ def test_knn_small_bounds_and_odd_vectors(spark, monkeypatch):
     assert {q for q, _ in got} == {q for q in v if q % 50 == 0 and v[q]}
 
 
+def test_knn_clusters_are_pruned(spark, monkeypatch):
+    rng = np.random.RandomState(2)
+    centers = rng.randn(12, 16) * 8
+    rows = [(i, (centers[i % 12] + 0.1 * rng.randn(16)).tolist()) for i in range(1200)]
+    vecs = knn_join.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    met, rings = [], []
+    routed = knn_join.routed
+    monkeypatch.setattr(knn_join, "routed", lambda q, r, *a: rings.append(len(r)) or met.append(routed(q, r, *a)) or met[-1])
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in knn_join.knn_join(vecs, F.col("vec_id") % 50 == 0).collect()}
+    v = {r.vec_id: np.array(r.v) for r in vecs.collect()}
+    for q in range(0, 1200, 50):
+        best = sorted((-int(v[q] @ x), d) for d, x in v.items() if d != q)[:5]
+        assert [got[q, k + 1] for k in range(5)] == [(d, -s) for s, d in best]
+    assert sum(m.count() for m in met) < 0.5 * 24 * rings[0]
+
+
+def test_knn_of_nothing(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert knn_join.knn_join(knn_join.vectors(none), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_knn_rows_that_repeat_an_id(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [0.0, 1.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("g", F.lit("clash"))
+    got = [(r.query_id, r["rank"], r.vec_id) for r in knn_join.knn_join(knn_join.vectors(docs), F.col("vec_id") % 50 == 0).collect()]
+    assert sorted(got) == [(0, 1, 1), (0, 2, 1), (0, 3, 2)]
+
+
 def test_cotraining(spark, sf_dir):
     folder = sf_dir.replace("0.001", "0.01")
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
