@@ -5,20 +5,24 @@ takes the rest. Full pieces fill a sequence each. The others are dealt into shar
 by a hash; on each shard a few islands evolve packings. Crossover puts whole well-filled bins of
 one parent into the other, drops the bins that hold a piece twice, and best-fits what that
 displaced. Between epochs every island passes its elite to the next one. The best packing of a
-shard's islands is kept; then the pieces of ill-filled bins of all shards are packed once more.
+shard's islands is kept. Bins without room are done; the pieces of all others, few where sizes are
+mixed, are dealt anew and packed again, until one shard holds them.
 
 Ids are those of the tokenizer file; the rank file of the same vocabulary and the same pattern give
-the same ids in less time, which the tests compare. Strings of special tokens are ordinary text.
+the same ids in less time, which the tests compare. As in the library, the string of a special token
+is that token.
 Null text: no ids but the end. Null and repeated document ids: each row is a document of its own.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import math
 import random
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,28 +38,32 @@ CAPACITY = 2048
 END = 0
 SHARD = 4096
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 10
-#: Bins filled to this share may be passed on whole; under the other, their pieces are packed anew.
-WELL, ILL = 0.995, 0.97
+#: Bins filled to this share may be passed on whole.
+WELL = 0.995
+#: Times that pieces of bins with room are dealt anew at most, and the share of pieces from which on that is not worth it.
+LEVELS, MOST_LEFT = 6, 0.5
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoding(ranks: str) -> tiktoken.Encoding:
+def encoding(ranks: str, tokenizer: str) -> tiktoken.Encoding:
     with open(ranks, "rb") as f:
         known = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+    with open(tokenizer, "rb") as f:
+        special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=special)
 
 
-def pieces(docs: DataFrame, ranks: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces (PIECE) of every document."""
-    path = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
+def pieces(docs: DataFrame, ranks: str | None = None, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+    """The pieces (PIECE) of every document. ranks: the vocabulary of the tokenizer file as ranks."""
+    paths = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_to_numpy
+        encode = encoding(*paths).encode_to_numpy
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encode(text, disallowed_special=()) if text else np.zeros(0, np.uint32), END).astype("<u4")
+                ids = np.append(encode(text, allowed_special="all") if text else np.zeros(0, np.uint32), END).astype("<u4")
                 start, end = 0, (len(ids) - 1) % capacity + 1
                 for k in range(-(-len(ids) // capacity)):
                     rows.append((doc, k, start, end - start, zlib.crc32(ids[start:end].tobytes())))
@@ -200,11 +208,19 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, ran
     """The pieces of docs with sequence_id and offset, the place within the sequence."""
     cut = written(pieces(docs, ranks, capacity).withColumn("rid", F.monotonically_increasing_id()), "pieces")
     full = cut.where(F.col("length") == capacity).select("rid", F.col("rid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    first = written(evolved(cut.where(F.col("length") < capacity).select("rid", "length"), capacity, 0, shard_size), "packed")
-    ill = F.col("fill") < ILL * capacity
-    again = evolved(first.where(ill).select("rid", "length"), capacity, 100, shard_size)
+    rest, n, done = cut.where(F.col("length") < capacity).select("rid", "length"), None, []
+    for level in range(LEVELS):
+        n = rest.count() if n is None else n
+        packed = written(evolved(rest, capacity, 100 * level, shard_size), "packed").withColumn("level", F.lit(level))
+        room = F.col("fill") < capacity
+        left = packed.where(room).count()
+        if n <= shard_size or left > MOST_LEFT * n or level == LEVELS - 1:
+            done.append(packed)
+            break
+        done.append(packed.where(~room))
+        rest, n = packed.where(room).select("rid", "length"), left
+    both = reduce(DataFrame.unionByName, done)
     # a piece's own number names no bin but its own, so the least one of a bin is its number
-    both = first.where(~ill).withColumn("level", F.lit(0)).unionByName(again.withColumn("level", F.lit(1)))
     sizes = both.groupBy("level", "shard", "bin").agg(F.sort_array(F.collect_list(F.struct("rid", "length"))).alias("held"))
     place = lambda k: F.aggregate(F.slice("held", 1, k), F.lit(0).cast("long"), lambda a, x: a + x["length"])
     placed = sizes.select(F.get("held", F.lit(0))["rid"].alias("sequence_id"), F.explode(F.transform("held", lambda x, k: F.struct(x["rid"].alias("rid"), place(k).alias("offset")))).alias("x"))

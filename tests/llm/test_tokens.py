@@ -60,7 +60,6 @@ def test_bpe_of_nothing(spark):
 
 def check_packing(rows, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -90,6 +89,22 @@ def test_packing(spark, sf_dir):
     assert n <= 1.02 * tokens / 2048 + 1
 
 
+def test_packing_takes_no_more_bins_than_plain_best_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = packing.pack(docs).select("sequence_id", "length").collect()
+    sizes = [r.length for r in rows]
+    plain = packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 2048)
+    assert -(-sum(sizes) // 2048) <= len({r.sequence_id for r in rows}) <= len(plain)
+
+
+def test_packing_of_special_strings_repeated_ids_and_clashing_columns(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>" * 3, "<|endoftext"]
+    docs = documents(spark, texts).withColumn("rid", F.lit("clash")).withColumn("length", F.lit(0))
+    check_packing(packing.pack(docs).collect(), dict(enumerate(texts)))
+    got = packing.pack(docs.unionByName(docs)).collect()
+    assert len(got) == 6 and len({(r.sequence_id, r.offset) for r in got}) == 6
+
+
 def test_packing_odd_texts_in_small_shards(spark):
     texts = dict(enumerate([*ODD, *("word " * n for n in range(0, 4000, 150))]))
     check_packing(packing.pack(documents(spark, list(texts.values())), shard_size=8).collect(), texts)
