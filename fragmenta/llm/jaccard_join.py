@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.llm.common import commonest, freed, join_small, table, written
-from fragmenta.llm.shingles import WIDTH, WordHashes, components, passes, shingles, sieve_of
+from fragmenta.llm.common import by_bytes, commonest, freed, join_small, table, written
+from fragmenta.llm.shingles import WIDTH, components, passes, shingles, sieve_of, word_hashes
 
 #: Shingles known to be frequent: at most so many are sent to every task; which are, matters for speed only.
 FREQUENT = 500_000
@@ -43,18 +43,25 @@ MORE_ROUNDS, MORE_HUBS = 2, 32
 SHARE = 256
 
 
-def sets(batch: pa.RecordBatch, hashes: WordHashes, width: int) -> Iterator[np.ndarray]:
-    for text in batch.column(batch.schema.names.index("body")).to_pylist():
-        yield np.unique(shingles(hashes.of(text), width))
+def sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    """The sorted set of shingles of each text."""
+    for part in by_bytes(batch, at := batch.schema.names.index("body"), 1 << 20):
+        words, counts = word_hashes(part.column(at))
+        every = shingles(words, width) if len(words) >= width else np.zeros(0, np.uint64)
+        start = 0
+        for n in counts.tolist():
+            own = every[start : start + n - width + 1] if n >= width else shingles(words[start : start + n], width)
+            start += n
+            own = np.sort(own)
+            yield own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
 
 
 def frequent_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, sorted, and their place in the order; at most FREQUENT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            parts = list(sets(batch, hashes, width))
+            parts = list(sets(batch, width))
             found, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
             often = n >= OFTEN
             yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["s", "n"])
@@ -105,11 +112,10 @@ def signed(docs: DataFrame, threshold: int, width: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         known, place = shared.value
         for batch in batches:
             rows, prefixes, wides = [], [], []
-            for found in sets(batch, hashes, width):
+            for found in sets(batch, width):
                 n = len(found)
                 prefix = ordered(found, known, place)[: n - -(-threshold * n // 100) + 1] if n else found
                 whole = xxhash.xxh3_128_digest(found.tobytes())
@@ -143,11 +149,11 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> D
     dealt = hubs.unionByName(members).repartition(n, "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, at, hub = WordHashes(), None, []
+        at, hub = None, []
         for batch in batches:
             a, share, b = (batch.column(i).to_pylist() for i in range(3))
             found = []
-            for x, s, y, own in zip(a, share, b, sets(batch, hashes, width), strict=True):
+            for x, s, y, own in zip(a, share, b, sets(batch, width), strict=True):
                 if y is None:
                     hub = [*hub, own] if at == (x, s) else [own]
                     at = (x, s)

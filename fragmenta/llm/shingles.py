@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,19 +14,57 @@ WIDTH = 5
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for so many words."""
+#: Per byte: what it is after A-Z are lower-cased, as a random number; whether it separates words.
+_BYTES = np.random.RandomState(11).randint(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES[65:91] = _BYTES[97:123]
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_P = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n - 1 of an odd number and of its inverse, modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (_P, pow(_P, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of the words of a binary column, A-Z lower-cased, one text after the other,
+    and how many each text has. Words are split at x20 and x09 to x0D. Null: no words.
+
+    A word's hash comes from the difference of two sums over the bytes before its end and start.
+    """
+    if texts.null_count:
+        texts = texts.fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    word = ~_SPACE[data]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    begin = ends[:-1][np.diff(ends) > 0]
+    first[begin] = word[begin]
+    last = word.copy()
+    last[:-1] &= ~word[1:] | first[1:]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * up[: len(data)])])
+        h = (sums[stops] - sums[starts]) * down[starts]
+        h ^= h >> np.uint64(32)
+        h *= _A
+        h ^= h >> np.uint64(29)
+    return h, np.diff(np.searchsorted(starts, ends))
+
+
+class WordHashes:
+    """The same for one text."""
 
     def of(self, text: bytes | None) -> np.ndarray:
-        """The hashes of a text's words, A-Z lower-cased. Words are split at x20 and x09 to x0D."""
-        words = (text or b"").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return word_hashes(pa.array([text], pa.binary()))[0]
 
 
 def shingles(words: np.ndarray, width: int = WIDTH) -> np.ndarray:
