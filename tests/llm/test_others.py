@@ -227,3 +227,18 @@ def test_pipeline(spark, sf_dir):
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(before.columns)
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0").count()
     assert before.select("doc_id").distinct().count() > 0.5 * good
+
+
+def test_pipeline_stages_on_odd_rows_and_none(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).withColumns({"token": F.lit(1), "p": F.lit("clash"), "row": F.lit(None).cast("string")})
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", None, 0), (10**6, "", "en", None, 0), (10**6 + 1, "one two " * 9000, None, "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.withColumns({"token": F.lit(1), "p": F.lit("clash"), "row": F.lit(None).cast("string")})
+    for rows in (docs.unionByName(odd), docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, sf_dir)
+            if name == "best-fit packing":
+                assert out.count() >= rows.count()
+            else:
+                assert out.columns == rows.columns and out.count() <= rows.count()
