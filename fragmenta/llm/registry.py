@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES: name -> (query, DuckDB SQL or None).
-MODULES = ("bpe", "cotraining", "jaccard_join", "knn_join", "language_id", "lm_score", "packing", "quality_rules", "substring_dedup", "warc")
+MODULES = (
+    "bpe", "cotraining", "fill_in_middle", "jaccard_join", "knn_join", "language_id", "lm_score", "packing", "quality_rules", "substring_dedup", "warc",
+)
 
 
 def _all() -> dict:
