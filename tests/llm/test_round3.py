@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from compare import differences
 from fragmenta.llm import fill_in_middle as fim
+from fragmenta.llm import ranked_search
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ODD = [None, "", "a", " ", "é🙂ß", "a <P> b", "x<S>", "<M>", "日本語 テキスト\n\nb", "word " * 30000, "🙂" * 9000, "é" * 5000 + "\n" + "y" * 5000]
@@ -81,3 +82,66 @@ def test_fim_of_nothing_and_slices(spark):
 def test_fim_is_its_sql(spark, sf_dir):
     query, sql = fim.QUERIES["op12_fill_in_middle"]
     assert differences(spark, sf_dir, query, sql) == ""
+
+
+# -- ranked search ---------------------------------------------------------------------------------
+
+
+def brute_search(docs, queries, k=20):
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    terms = lambda t: re.findall(WORD, (t or "").translate(fold))
+    held = [(id, t) for id, text in docs if (t := terms(text))]
+    total, df = sum(len(t) for _, t in held), Counter(x for _, t in held for x in set(t))
+    out = []
+    for item, text in queries:
+        found = []
+        for id, t in held:
+            tf, m = Counter(t), 75 + 25 * len(t) * len(held) // total
+            score = sum(math.floor(1000 * math.log((2 * len(held) + 2) / (2 * df[x] + 1))) * (10**9 * tf[x] // (1000 * tf[x] + 12 * m)) for x in terms(text) if x in df)
+            if score > 0:
+                found.append((-score, id is None, id or 0, id))
+        out += [(item, i + 1, x[3], -x[0]) for i, x in enumerate(sorted(found, key=lambda x: x[:3])[:k])]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("sizes", [(256, 200_000, 1 << 20, 4), (3, 9, 5, 1)])
+def test_search_is_brute_force(spark, monkeypatch, sizes):
+    for name, x in zip(("BLOCK", "POSTINGS", "PIECE", "SEEDS"), sizes, strict=True):
+        monkeypatch.setattr(ranked_search, name, x)
+    rng = random.Random(2)
+    words = ["the", "The", "é", "É", "x9", "日本", *(f"w{i}" for i in range(40))]
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" ", "-", "\n", "_", "\x00"]) for _ in range(n))
+    docs = [(i, text(rng.choice([0, 1, 5, 30, 200]))) for i in range(120)]
+    docs += [(500 + i, "w1 w2 same") for i in range(30)] + [(7, "w1 w2 same"), (7, "w1 w2 same"), (None, "w1 w2 same"), (None, None), (600, ""), (601, "...")]
+    queries = [(i, text(6)) for i in range(12)] + [(1, "w1 w2 SAME same"), (1, "w1 w2 SAME same"), (None, "w3"), (20, None), (21, "never seen"), (22, "-")]
+    df = spark.createDataFrame([(*x, "clash", 0) for x in docs], "doc_id long, text string, rank string, score int").repartition(5)
+    asked = spark.createDataFrame([(*x, "clash") for x in queries], "item_id long, text string, doc_id string")
+    got = [tuple(r) for r in ranked_search.search(df, asked).collect()]
+    assert sorted(got, key=repr) == brute_search(docs, queries)
+
+
+def test_search_in_passes_and_of_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ranked_search, "ITEMS", 2)
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c c")], "doc_id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", x) for i, x in enumerate(["a", "b", "c", "b c", "d"])], "item string, asked string")
+    found = ranked_search.search(docs, asked, k=1, item="item", query="asked").collect()
+    assert {(r.item, r.doc_id) for r in found} == {("q0", 1), ("q1", 1), ("q2", 2), ("q3", 2)}
+    none = docs.where("false")
+    assert ranked_search.search(none, asked, item="item", query="asked").collect() == []
+    assert ranked_search.search(docs, asked.where("false"), item="item", query="asked").collect() == []
+
+
+def test_search_prunes_blocks(monkeypatch):
+    rng = np.random.RandomState(0)
+    queries = ranked_search.Queries([{1: 5, 2: 7}, {}, {3: 4}], 5)
+    top, parts = np.array([1, 3]), np.array([10, 2])
+    assert queries.bounds(top, parts).tolist() == [50, 0, 8]
+    weight = np.zeros(5, np.int64)
+    assert queries.scores(0, weight, np.array([0, 2, 3]), np.array([1, 2, 3]), np.array([1, 1, 1])).tolist() == [12, 0] and not weight.any()
+    score, id = rng.randint(0, 5, 500), rng.permutation(500)
+    assert ranked_search.best(score, id, 9).tolist() == np.lexsort((id, -score))[:9].tolist()
+
+
+def test_search_is_its_sql(spark, sf_dir):
+    query, sql = ranked_search.QUERIES["op13_ranked_search"]
+    assert differences(spark, sf_dir, query, sql) == ""
