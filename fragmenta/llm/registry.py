@@ -6,7 +6,7 @@ import importlib
 
 #: Modules with QUERIES: name -> (query, DuckDB SQL or None).
 MODULES = (
-    "bpe", "cotraining", "fill_in_middle", "jaccard_join", "knn_join", "language_id", "lm_score", "packing", "quality_rules", "ranked_search", "substring_dedup", "warc",
+    "bpe", "cotraining", "fill_in_middle", "jaccard_join", "knn_join", "language_id", "lm_score", "packing", "quality_rules", "ranked_search", "substring_dedup", "toxicity", "warc",
 )
 
 

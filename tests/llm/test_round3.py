@@ -1,6 +1,7 @@
 """Fill-in-middle, ranked lexical search and toxicity, against brute force and SQL."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from compare import differences
 from fragmenta.llm import fill_in_middle as fim
-from fragmenta.llm import ranked_search
+from fragmenta.llm import ranked_search, toxicity
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ODD = [None, "", "a", " ", "é🙂ß", "a <P> b", "x<S>", "<M>", "日本語 テキスト\n\nb", "word " * 30000, "🙂" * 9000, "é" * 5000 + "\n" + "y" * 5000]
@@ -145,3 +146,110 @@ def test_search_prunes_blocks(monkeypatch):
 def test_search_is_its_sql(spark, sf_dir):
     query, sql = ranked_search.QUERIES["op13_ranked_search"]
     assert differences(spark, sf_dir, query, sql) == ""
+
+
+# -- toxicity --------------------------------------------------------------------------------------
+
+
+def character_costs(texts):
+    return toxicity.character_model(sum(np.bincount(toxicity.windows(toxicity.codes_of(t)), minlength=32**4) for t in texts))
+
+
+PROSE = ["the idiot and the clown", "stupid people are here and there", "a moron is not a loser", "scum trash pathetic worthless disgusting", "we will see the ball tomorrow", "sun and moon"] * 30
+
+
+def test_windows_count_characters_within_words(spark):
+    texts = ["Ab, c1\n\nßé🙂", "", None, "x" * 50, "  -- "]
+    want = Counter()
+    for t in texts:
+        for word in "".join(c if c.isalnum() or c == "🙂" else " " for c in (t or "")).split():
+            sym = [0, 0, 0] + [{"a": 1, "b": 2, "c": 3, "1": 28, "e": 5, "x": 24}.get("e" if c == "é" else c.lower(), 27) for c in word]
+            want.update(tuple(sym[i : i + 4]) for i in range(len(word)))
+    got = toxicity.character_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)).reshape((32,) * 4)
+    assert {tuple(map(int, k)): int(got[tuple(k)]) for k in np.argwhere(got) if k[3]} == want
+    p = np.exp(-toxicity.character_model(got.reshape(-1)).reshape((32,) * 4))
+    assert p[..., :29].min() > 0 and np.allclose(p[0, 0, 1].sum(), p[0, 0, 2].sum(), atol=0.2)
+
+
+@pytest.mark.parametrize("text", ["1d10t", "s t u p i d", "m.0.r.o.n", "loooser", "a77", "|1l!", "e9  é", "🙂1x"])
+def test_viterbi_finds_the_cheapest_restoration(text):
+    decoder = toxicity.Decoder(character_costs(PROSE))
+
+    def cost(made):
+        out, own = 0.0, [0, 0, 0]
+        for x in toxicity.symbols_of(made + " "):
+            if x or own[-1]:
+                out += float(decoder.costs[own[0] << 15 | own[1] << 10 | own[2] << 5 | x])
+            own = [*own[1:], x] if x else [0, 0, 0]
+        return out
+
+    ways = toxicity.lattice(text)
+    least = min(cost("".join(w for w, _ in path)) + sum(c for _, c in path) for path in itertools.product(*ways))
+    assert decoder.best(text)[1] == pytest.approx(least, abs=1e-4)
+
+
+def test_restored_texts():
+    decoder = toxicity.Decoder(character_costs(PROSE))
+    for observed, want in {
+        "an 1d10t here": "an idiot here", "s t u p i d people": "stupid people", "s.t.u.p.i.d!": "stupid!", "L O S E R": "loser", "L O O S E R": "looser", "a l0s3r, a cl0wn.": "a loser, a clown.", "tr@sh $cum": "trash scum",
+        "see the ball": "see the ball", "the moon": "the moon", "wow! 555-1234 $$$": "wow! 555-1234 $$$", "sun m oron": "sun m oron", "": "", "\n\n": "\n\n",
+    }.items():
+        assert toxicity.restored(observed, decoder) == want
+    assert toxicity.suspects(toxicity.codes_of("plain words, and more -- of them.")) == []
+
+
+def test_pieces_are_whole(monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 12)
+    for t in ("", "short", "some words of a long text that goes on", "x" * 40, "a b c d e f g h i j k l m n"):
+        assert "".join(toxicity.cut(t)) == t and all(len(p) <= 12 for p in toxicity.cut(t))
+
+
+def toxic_tables(spark, n=400):
+    rng = random.Random(4)
+    clean = [a + b for a in ("ba", "do", "ki", "mu", "se") for b in ("na", "ri", "to", "lu", "ge", "pa")]
+    rows, labels = [], []
+    for i in range(n):
+        words = [rng.choice(clean) for _ in range(rng.choice([5, 40, 200]))]
+        if i % 5 == 0:
+            words[rng.randrange(len(words))] = rng.choice(["zorglub", "zorglubi", "wuffik"] if i < n - 60 else ["z0rglub", "z o r g l u b", "w.u.f.f.i.k", "zooorglub"])
+        rows.append((i, " ".join(words), "clash"))
+        labels.append((i, int(i % 5 == 0)))
+    return spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, toxic int"), n
+
+
+def test_toxicity_of_disguised_words(spark):
+    docs, labels, n = toxic_tables(spark)
+    model = toxicity.train(docs, labels.where(f"doc_id < {n - 60}"))
+    odd = spark.createDataFrame([(None, "x zorglub", ""), (9000, None, ""), (9001, "", ""), (9002, "bana " * 300_000 + "z0rglub", ""), (9003, "bana " * 300_000, "")], docs.schema)
+    got = {(r.doc_id): r.score for r in toxicity.scored(docs.unionByName(odd), model).collect()}
+    assert len(got) == n + 5
+    for i in range(n):
+        assert (got[i] >= 0.3) == (i % 5 == 0)
+    assert got[None] >= 0.3 and got[9002] >= 0.3 and max(got[9000], got[9001], got[9003]) < 0.3 and got[9000] == got[9001]
+    back = toxicity.deobfuscated(docs.where(f"doc_id >= {n - 60} and doc_id % 5 = 0"), model).collect()
+    assert all("zorglub" in r.restored or "wuffik" in r.restored for r in back)
+
+
+def test_toxicity_without_labels_or_texts(spark):
+    docs, labels, _ = toxic_tables(spark, 40)
+    for some, want in ((labels.where("false"), 0.0), (labels.where("toxic = 0"), 0.0), (labels.where("toxic = 1"), 1.0), (labels.withColumn("toxic", F.lit(None).cast("int")), 0.0)):
+        model = toxicity.train(docs, some)
+        assert {r.score for r in toxicity.scored(docs, model).collect()} == {want}
+    model = toxicity.train(docs.where("false"), labels)
+    assert toxicity.scored(docs.where("false"), model).collect() == []
+
+
+def test_conflicting_and_repeated_labels(spark):
+    docs, labels, n = toxic_tables(spark)
+    twice = labels.unionByName(labels).unionByName(labels.where("toxic = 1").withColumn("toxic", F.lit(0))).unionByName(spark.createDataFrame([(None, 1), (3, None)], labels.schema))
+    a, b = toxicity.train(docs, labels), toxicity.train(docs, twice)
+    assert a.signs == b.signs and np.allclose(a.weights, b.weights)
+
+
+def test_toxicity_held_out(spark, sf_dir):
+    sf_dir = sf_dir.replace("0.001", "0.1")
+    got = toxicity.op11_toxicity(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == docs.count()
+    rates = {r.toxic: r.p for r in got.where("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()}
+    assert rates[1] > 0.8 and rates[0] < 0.01
