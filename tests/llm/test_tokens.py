@@ -195,3 +195,14 @@ def test_language_model_without_training(spark):
     docs = documents(spark, ["a b", None])
     got = lm_score.lm_score(docs, docs.where("false")).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
+
+
+def test_row_keys_are_two_hashes(spark):
+    rows = spark.range(2000).select(F.col("id"), F.concat(F.lit("text "), (F.col("id") % 7).cast("string")).cast("binary").alias("body"))
+    keys = rows.select(*lm_score.row_key(F.col("id"), F.col("body")), F.xxhash64("id", "body").alias("both")).collect()
+    assert len({r.h1 for r in keys}) == len({r.h2 for r in keys}) == 2000
+    # as Spark chains them: with one value left out, the seed is what the rest starts from
+    chained = rows.select(*(F.xxhash64(F.xxhash64("id", "body"), F.lit(k)).alias(f"c{k}") for k in (1, 2)), *(F.xxhash64("id", "body", F.lit(k)).alias(f"d{k}") for k in (1, 2))).collect()
+    assert not {r.h1 for r in keys} & {x for r in chained for x in r} and not {r.h2 for r in keys} & {x for r in chained for x in r}
+    bits = [bin((a.h1 ^ a.h2) & (2**64 - 1)).count("1") for a in keys]
+    assert 31 < sum(bits) / len(bits) < 33
