@@ -79,3 +79,22 @@ SCHOOL_LABELS = (
     ("Sejarah Peradaban Islam", r"\bSejarah\s+Peradaban\s+Islam\b", ("Sejarah Peradaban Islam",)),
 )
 SCHOOL_PREAMBLES = ("pada akhir fase", "kemampuan sebagai berikut", "elemen dan deskripsi", "elemen deskripsi")
+
+# General documents, in chapters.
+CHAPTER_LABEL, CHAPTER_PREFIX = "BSKAP-046/H/KR/2025", "CP-046"
+CHAPTER = r"(?:^|\. )([IVXLC]+)(?:\.| (?=[A-Z]))(?:(\d+)\.?)?\s*(?:CAPAIAN|Capaian) (?:PEMBELAJARAN|Pembelajaran)(?![A-Za-z])(.*)$"
+CHAPTER_GATE, CHAPTER_GATE_BROKEN = r"D\. Capaian Pembelajaran$", r"D\. Capa(ian)?$"
+CHAPTER_PHASE = r"(?:\d+\.\s*)?(?:Pada akhir\s+)?Fase ([A-F]|Fondasi)\b"
+CHAPTER_PHASE_HANGS, CHAPTER_PHASE_GOES_ON = r"(?:\d+\.\s*)?Pada akhir Fase$", r"([A-F]|Fondasi)\b"
+CHAPTER_ITEM, CHAPTER_PLAIN_ITEM = r"\d+\.\d+\.?\s+(\S.*)$", "\\d+\\.\\s+([A-ZÀ-ɏ\"“].*)$"
+CHAPTER_NARRATIVE = r"(Pada akhir [Ff]ase|Subelemen di dalam|Elemen dan deskripsi|Capaian pembelajaran mata pelajaran|Rumusan Capaian|berikut\.?:?$)"
+CLASS_REMAINS = r"Paket [ABC]\)?\s*$"
+#: A heading that breaks off here goes on in the next line, with one of these or a scrap of letters.
+HEADING_BREAKS_OFF, HEADING_GOES_ON = r"CAPAIAN( P+(EMB?)?)?$", ("EMBELAJARAN", "ELAJARAN", "PEMBELAJARAN", "PAIAN")
+HEADING_GLUED = r"CAPAIAN( P+(EM[A-Z]*)?)?$"
+#: Blanks within a heading's words, mended in order.
+HEADING_REPAIRS = ((r"CA PAIAN", "CAPAIAN"), (r"PEMB ELAJARAN", "PEMBELAJARAN"))
+JOINED_HEADING_REPAIRS = ((r"C[A ]*PAIAN", "CAPAIAN"), (r"CAPAIAN P+E", "CAPAIAN PE"), (r"P[E ]*MBELAJARAN", "PEMBELAJARAN"))
+NAME_REPAIRS = ((r"([A-Z]) ([A-Z]{1,2})(?= )", r"\1\2"), (r"CAPAIANP\s*EMBELAJARAN", "CAPAIAN PEMBELAJARAN"), (r"PEMB\s+ELAJARAN", "PEMBELAJARAN"), (r"\bCA (?=[^\sAEIOU]+(?!\S))", "CA"))
+SPECIAL_SUBJECTS = ("PENDIDIKAN KHUSUS", "PROGRAM KEBUTUHAN")
+CHAPTER_LEVEL, AMENDED = "SD s.d. SMA/SMK (Fase A-F)", "AGAMA"

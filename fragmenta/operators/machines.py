@@ -12,8 +12,10 @@ what it does; it may take the line, hand on what is left of it, or start again w
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -80,49 +82,59 @@ class Machine:
         return iter(())
 
 
-def streamed(lines: DataFrame, keys: Sequence[str], machine: Callable[[], Machine], fields: str, batch_rows: int = 4096) -> DataFrame:
-    """The keys and fields (DDL) of the rows that a machine makes of each key's lines, in the order of page and pos."""
+def streamed(lines: DataFrame, keys: Sequence[str], work: Callable[[Iterator[tuple]], Iterator[tuple]], fields: str, columns: Sequence[str] = ("page_number", "pos", "line"), order: Sequence[str] = ("page_number", "pos"), batch_rows: int = 4096) -> DataFrame:
+    """The keys and fields (DDL) of the rows that work makes of each key's lines. work gets an iterator
+    over a key's columns in order, which it need not hold, or read to its end."""
     kept = T.StructType([lines.schema[k] for k in keys])
     schema = T.StructType([*kept.fields, *T.StructType.fromDDL(fields).fields])
     arrow = to_arrow_schema(schema)
-    rows = lines.select(*keys, "page_number", "pos", "line").repartition(*keys).sortWithinPartitions(*keys, "page_number", "pos")
+    rows = lines.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *order)
     n = len(keys)
 
-    def ordered(batches) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
     def run(batches):
-        out, key, own, held = [], None, None, None
-
-        def made(found):
-            out.extend((*key, *x) for x in found)
-
-        def pushed(after):
-            nonlocal held
-            if held is not None:
-                same_page = after is not None and after[:n] == held[:n] and after[n] == held[n]
-                made(own.feed(held[n], held[n + 1], held[n + 2], after[n + 2] if same_page else None))
-            held = after
-
-        for row in ordered(batches):
-            pushed(row)
-            if row[:n] != key:
-                if own is not None:
-                    made(own.end())
-                key, own = row[:n], machine()
-            if len(out) >= batch_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
-                out.clear()
-        if own is not None:
-            pushed(None)
-            made(own.end())
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+        flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = ((*key, *made) for key, own in groupby(flat, lambda row: row[:n]) for made in work(row[n:] for row in own))
+        while some := list(islice(found, batch_rows)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), arrow, strict=True)], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
 
+class Ahead:
+    """An iterator with a look at what comes next."""
+
+    def __init__(self, rows: Iterator) -> None:
+        self.rows, self.held = iter(rows), deque()
+
+    def __iter__(self):
+        return self
+
+    def __next__(self):
+        return self.held.popleft() if self.held else next(self.rows)
+
+    def peek(self, k: int = 0):
+        """The k-th row from here without taking it, None beyond the end."""
+        while len(self.held) <= k:
+            try:
+                self.held.append(next(self.rows))
+            except StopIteration:
+                return None
+        return self.held[k]
+
+
+def machined(machine: Callable[[], Machine]) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """What streamed() needs of a machine over (page, pos, line)."""
+
+    def work(rows):
+        own, rows = machine(), Ahead(rows)
+        for page, pos, line in rows:
+            after = rows.peek()
+            yield from own.feed(page, pos, line, after[2] if after is not None and after[0] == page else None)
+        yield from own.end()
+
+    return work
+
+
 # -- segments --------------------------------------------------------------------------------------
 
 
@@ -526,13 +538,13 @@ def madrasah_segments(fragments: DataFrame) -> DataFrame:
     any_of = lambda patterns: F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
     start = any_of(p for p, _ in fixed.SECTIONS)
     stop = F.col("line").rlike(fixed.PHASE) | any_of(p for p, _ in fixed.TRACKS) | F.col("line").rlike(r"^[A-F]\.\s")
-    return streamed(sections(lines, start, stop), ["document_id", "section"], Madrasah, SEGMENT)
+    return streamed(sections(lines, start, stop), ["document_id", "section"], machined(Madrasah), SEGMENT)
 
 
 def school_segments(fragments: DataFrame) -> DataFrame:
     """document_id and SEGMENT of a school document's fragments. Phase and element outlive the
     subject's bounds, so a document's lines go through one machine."""
-    return streamed(page_lines(fragments, ["paragraph", "chunk"]), ["document_id"], School, SEGMENT)
+    return streamed(page_lines(fragments, ["paragraph", "chunk"]), ["document_id"], machined(School), SEGMENT)
 
 
 def outcomes(segments: DataFrame, prefix: Column, longest: int = 600) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fragmenta.functions import outlines as fixed
-from fragmenta.operators import fragments, machines
+from fragmenta.operators import chapters, fragments, machines
 from fragmenta.session import table
 
 LINES_PER_PAGE = 20
@@ -24,6 +24,15 @@ SCHOOL_LINES = (
     "2. Fase B (Umumnya untuk\nKelas III)", "Fase C (Kelas V) Pada akhir fase", "1.1. Al-Qur'an Hadis ", "2.2 Al-Our'an Hadis ", "1.3. Akhlak", "Fikih.", "Akidah ", "Sejarah Peradaban Islam", "3.1. tanpa label ", "- 7 -", "Elemen dan deskripsi", "Akidah yang baik. Akhlak",
 )
 
+CHAPTER_LINES = (
+    "IV.1. CAPAIAN PEMBELAJARAN MATEMATIKA", "XVI. CAPAIAN PEMBELAJARAN SOSIOLOGI DAN\nBUDI PEKERTI", "V.2. CAPAIAN PEMB\nELAJARAN TEKNIK", "VI.3. CAPAIAN\nPEMBELAJARAN PENDIDIKAN AGAMA", "VIII.1. CAPAIAN PEMBELAJARAN PENDIDIKAN AGAMA HINDU", "X CAPAIAN PEMBELAJARAN PENDIDIKA N KHUSUS",
+    "VII.9. CA PAIAN PEMBELAJARAN FISIKA", "I\nV.4. CAPAIAN PEMBELAJARAN SENI", "II.1. CAPAIAN PEMBELAJARAN PROGRAM KEBUTUHAN KHUSUS",
+)
+CHAPTER_BODY = (
+    "D. Capaian Pembelajaran", "D. Capaian Pembelajaran\n1. Fase A (Umumnya)", "2. Fase B", "Pada akhir Fase\nC, murid", "Fase Fondasi", "1.1. Bilangan", "2.2 Keterampil\nan Proses Murid mampu ", "1. Wawasan Bidang\n",
+    "tuk Kelas III SD/Program Paket A)", "Elemen dan deskripsi", "Pada\nakhir Fase D", "3. Geometri.", "berikut:",
+)
+
 
 def picked(line: Column, of: tuple[str, ...], seed: str) -> Column:
     return F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.crc32(F.concat(F.lit(seed), line).cast("binary")), F.lit(len(of))) + 1).cast("int"))
@@ -55,6 +64,11 @@ def school_fragments(spark, sf_dir: str) -> DataFrame:
     return fragments.chunks(outline_pages(spark, sf_dir, first, [(6, SCHOOL_LINES, "\n"), (6, SCHOOL_LINES, ""), (3, SCHOOL_LINES[6:12], " ")], 24))
 
 
+def chapter_fragments(spark, sf_dir: str) -> DataFrame:
+    first = "IV.1. CAPAIAN PEMBELAJARAN MATEMATIKA\nA. Rasional\nD. Capaian Pembelajaran\nFase A\n1.1. Bilangan\n"
+    return fragments.chunks(outline_pages(spark, sf_dir, first, [(2, CHAPTER_LINES, "\n"), (7, CHAPTER_BODY, "\n"), (3, CHAPTER_BODY, "")], 24))
+
+
 OUTCOME = ("document_id", "id", "subject", "phase", "element", "sub_element", "program_type", "education_level", "track", "page_number", "text")
 
 
@@ -66,4 +80,8 @@ def school_parser(spark, sf_dir):
     return machines.school_outcomes(school_fragments(spark, sf_dir)).select(*OUTCOME)
 
 
-QUERIES = {"madrasah_parser": (madrasah_parser, None), "school_parser": (school_parser, None)}
+def chapter_parser(spark, sf_dir):
+    return chapters.chapter_outcomes(chapter_fragments(spark, sf_dir))
+
+
+QUERIES = {"madrasah_parser": (madrasah_parser, None), "school_parser": (school_parser, None), "chapter_parser": (chapter_parser, None)}

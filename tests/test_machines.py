@@ -339,7 +339,7 @@ def test_a_machine_carries_state_across_batches(spark):
     lines = spark.range(3000).select(F.lit(1).alias("k"), (F.col("id") % 2).alias("page_number"), F.array("id").alias("pos"), F.col("id").cast("string").alias("line")).repartition(4)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
     try:
-        got = machines.streamed(lines, ["k"], Runs, "n long, line string, after string", 2).collect()
+        got = machines.streamed(lines, ["k"], machines.machined(Runs), "n long, line string, after string", batch_rows=2).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     order = [*range(0, 3000, 2), *range(1, 3000, 2)]
