@@ -535,9 +535,9 @@ class School(Outline):
 def madrasah_segments(fragments: DataFrame) -> DataFrame:
     """document_id, section and SEGMENT of a madrasah document's fragments."""
     lines = page_lines(glued(fragments))
-    any_of = lambda patterns: F.col("line").rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+    any_of = lambda patterns: F.col("line").rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
     start = any_of(p for p, _ in fixed.SECTIONS)
-    stop = F.col("line").rlike(fixed.PHASE) | any_of(p for p, _ in fixed.TRACKS) | F.col("line").rlike(r"^[A-F]\.\s")
+    stop = F.col("line").rlike("(?U)" + fixed.PHASE) | any_of(p for p, _ in fixed.TRACKS) | F.col("line").rlike(r"(?U)^[A-F]\.\s")
     return streamed(sections(lines, start, stop), ["document_id", "section"], machined(Madrasah), SEGMENT)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.functions import outlines as fixed
+from fragmenta.functions import marred
 from fragmenta.operators import chapters, fragments, machines
 from fragmenta.session import table
 
@@ -84,4 +84,47 @@ def chapter_parser(spark, sf_dir):
     return chapters.chapter_outcomes(chapter_fragments(spark, sf_dir))
 
 
-QUERIES = {"madrasah_parser": (madrasah_parser, None), "school_parser": (school_parser, None), "chapter_parser": (chapter_parser, None)}
+#: Beginnings of table rows and lines, put before lines of documents.
+BEGINNINGS = (
+    "Allah Pencipta ", "| Allah ", "Manusia ", "Hakikat nilai ", "Gereja dan ", "Tugas panggilan", "Alam, ", "Tanggung jawab ", "Sang pemelihara ", "Pribadi Murid ", "Tuhan Yesus | ", "a | Yesus ", "Masyarakat Majemuk ",
+    "Perilaku Junzi (#+ ", "Al-Qur’an. ", "1.1 Pemahamankonsep ", "2. Keterampilan  Proses: ", "3.2. Komponen bahasa", "4.1 Keterampilan", "KEMENTERIAN AGAMA ", "Nomor ", "Salinan", "3 . 4 CAPAIAN ", "5.2. capaian dari akhlak tasawuf ", "9.1 CAPAIAN PEMBELAJARAN BAHASA ARAB", "",
+)
+SUBJECTS = ("Pendidikan Agama Kristen dan Budi Pekerti", "Pendidikan Agama Katolik dan Budi Pekerti")
+
+
+def label_repair(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    draw = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("n").cast("string"))), 1, 7), 16, 10).cast("long")
+    line = F.concat(F.element_at(F.array(*map(F.lit, BEGINNINGS)), (draw % len(BEGINNINGS) + 1).cast("int")), F.when(draw % 3 == 0, "").otherwise(F.col("line")))
+    rows = lines.select("doc_id", F.col("n").cast("long").alias("n"), line.alias("line"), F.element_at(F.array(*map(F.lit, SUBJECTS)), (draw % 2 + 1).cast("int")).alias("subject"))
+    c = F.col("line")
+    return rows.select("doc_id", "n", marred.numbered_element(c).alias("element"), F.sha2(marred.religion_element(c), 256).alias("religion"), marred.table_element(c, F.col("subject")).alias("row_element"), marred.is_pure_label(c).alias("pure"), marred.is_noise(c).alias("noise"), marred.track_heading(c).alias("track"))
+
+
+def quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+LABEL_REPAIR = rf"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, i - 1 AS n, ls[i] AS line, CAST('0x' || substr(md5(doc_id || '-' || (i - 1)), 1, 7) AS BIGINT) AS d FROM l, unnest(range(1, len(ls) + 1)) AS t(i)),
+y AS (SELECT doc_id, n, [{quoted(BEGINNINGS)}][d % {len(BEGINNINGS)} + 1] || CASE WHEN d % 3 = 0 THEN '' ELSE line END AS line, [{quoted(SUBJECTS)}][d % 2 + 1] AS subject FROM x),
+z AS (SELECT *, lower(line) AS low, regexp_replace(rtrim(line, '.'), '^\s+|\s+$', '', 'g') AS bare,
+      lower(regexp_replace(regexp_extract(line, '^\d+\.\s*(?:\d+[.\s]*)?(Pemahaman\s*[Kk]onsep|Keterampilan\s*[Pp]roses|Komponen\s*[Bb]ahasa|Keterampilan\s*[Bb]ahasa)(?:[^\p{{L}}\p{{M}}\p{{N}}_]|$)', 1), '\s+', '', 'g')) AS key FROM y)
+SELECT doc_id, n,
+  CASE key WHEN 'pemahamankonsep' THEN 'Pemahaman Konsep' WHEN 'keterampilanproses' THEN 'Keterampilan Proses' WHEN 'komponenbahasa' THEN 'Komponen Bahasa' WHEN 'keterampilanbahasa' THEN 'Keterampilan Bahasa' END AS element,
+  sha256(CASE WHEN starts_with(bare, 'Perilaku Junzi') THEN 'Perilaku Junzi' ELSE translate(bare, '’‘', '''''') END) AS religion,
+  CASE WHEN subject LIKE '%Kristen%' THEN
+    CASE WHEN regexp_matches(low, '^(allah|\| allah)') THEN 'Allah Berkarya' WHEN regexp_matches(low, '^(manusia|hakikat|nilai)') THEN 'Manusia dan Nilai-nilai Kristiani'
+         WHEN regexp_matches(low, '^(gereja|masyarakat|tugas|panggilan)') THEN 'Gereja dan Masyarakat Majemuk' WHEN regexp_matches(low, '^(alam|lingkungan|tanggung|ciptaan)') THEN 'Alam dan Lingkungan Hidup'
+         WHEN regexp_matches(low, 'pencipta|pemelihara|penyelamat|pembaru') THEN 'Allah Berkarya' END
+  ELSE CASE WHEN starts_with(low, 'pribadi') THEN 'Pribadi Murid' WHEN contains(substr(string_split(low, '|')[1], 1, 30), 'yesus') THEN 'Yesus Kristus' WHEN starts_with(low, 'gereja') THEN 'Gereja' WHEN starts_with(low, 'masyarakat') THEN 'Masyarakat' END END AS row_element,
+  len(list_filter(regexp_extract_all(low, '[A-Za-zÀ-ɏ]+'), lambda w: NOT list_contains([{quoted(marred.LABEL_WORDS)}], w))) <= 1 AS pure,
+  regexp_matches(rtrim(low, '.'), '^(kementerian agama|direktur jenderal|keputusan direktur|nomor |tentang |salinan|lampiran|menetapkan|diktum |www\.|elemen deskripsi)') AS noise,
+  CASE WHEN regexp_matches(line, '(?i)^3\s*\.\s*2\.?\s+CAPAIAN.*HADIS') THEN 'Al-Qur''an Hadis (Hadis)' WHEN regexp_matches(line, '(?i)^3\s*\.\s*3\.?\s+CAPAIAN\s+PEMBELAJARAN\s+ILMU\s+TAFSIR') THEN 'Ilmu Tafsir'
+       WHEN regexp_matches(line, '(?i)^3\s*\.\s*4\.?\s+CAPAIAN') THEN 'Ilmu Hadis' WHEN regexp_matches(line, '(?i)^5\s*\.\s*2\.?\s+CAPAIAN.*AKHLAK\s+TASAWUF') THEN 'Akhlak Tasawuf'
+       WHEN regexp_matches(line, '(?i)^7\s*\.\s*2\.?\s+CAPAIAN.*USHUL\s+FIKIH') THEN 'Ushul Fikih' WHEN regexp_matches(line, '(?i)^9\s*\.\s*1\.?\s+CAPAIAN\s+PEMBELAJARAN\s+BAHASA\s+ARAB') THEN 'Bahasa Arab' END AS track
+FROM z
+"""
+
+QUERIES = {"madrasah_parser": (madrasah_parser, None), "school_parser": (school_parser, None), "chapter_parser": (chapter_parser, None), "label_repair": (label_repair, LABEL_REPAIR)}
