@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("audit", "contracts", "corpus", "loading", "lookup", "modules", "outlines", "quality", "retrieval", "state", "text")
+MODULES = ("audit", "contracts", "corpus", "imports", "loading", "lookup", "modules", "outlines", "quality", "retrieval", "state", "text")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
