@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.operators import imports
+from fragmenta.operators import imports, similar
 from fragmenta.session import table
 
 
@@ -73,4 +73,25 @@ p AS (
 SELECT doc_id AS document_id, part, n, said FROM p
 """
 
-QUERIES = {"module_parts": (module_parts, MODULE_PARTS)}
+def similar_names(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    listed = part.where("p_partkey % 3 = 0").select(F.initcap("p_name").alias("name"), F.col("p_partkey").alias("seq"))
+    k, n = F.col("p_partkey") % 6, F.col("p_name")
+    asked = F.when(k == 0, F.upper(n)).when(k == 1, F.concat(F.substring(n, 1, 1), F.expr("substring(p_name, 3)"))).when(k == 2, F.substring_index(n, " ", 1)).when(k == 3, F.concat(n, F.lit(" lanjut"))).when(k == 4, F.concat(F.lit("x"), F.expr("substring(p_name, 2)"), F.lit("y"))).otherwise(F.concat(F.lit(" "), n, F.lit(" ")))
+    out = similar.suggested(part.select(F.col("p_partkey").alias("id"), asked.alias("name")), listed)
+    return out.select("id", "found", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+SIMILAR_NAMES = """
+WITH l AS (SELECT lower(p_name) AS low, min(p_partkey) AS seq FROM part WHERE p_partkey % 3 = 0 GROUP BY 1),
+a AS (SELECT p_partkey AS id, lower(trim(CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN substr(p_name, 1, 1) || substr(p_name, 3) WHEN 2 THEN split_part(p_name, ' ', 1)
+        WHEN 3 THEN p_name || ' lanjut' WHEN 4 THEN 'x' || substr(p_name, 2) || 'y' ELSE ' ' || p_name || ' ' END)) AS low FROM part),
+w AS (SELECT DISTINCT low FROM a WHERE low NOT IN (SELECT low FROM l)),
+p AS (SELECT w.low, l.low AS other, l.seq, CASE WHEN contains(l.low, w.low) OR contains(w.low, l.low) THEN 0 ELSE levenshtein(w.low, l.low) END AS far FROM w, l
+      WHERE contains(l.low, w.low) OR contains(w.low, l.low) OR (abs(length(w.low) - length(l.low)) <= 2 AND levenshtein(w.low, l.low) <= 2)),
+r AS (SELECT low, list_aggregate(list_transform(string_split(other, ' '), lambda x: upper(x[1]) || x[2:]), 'string_agg', ' ') AS name, row_number() OVER (PARTITION BY low ORDER BY far, seq) AS n FROM p),
+h AS (SELECT low, string_agg(name, '|' ORDER BY n) AS hints FROM r WHERE n <= 3 GROUP BY low)
+SELECT id, list_aggregate(list_transform(string_split(l.low, ' '), lambda x: upper(x[1]) || x[2:]), 'string_agg', ' ') AS found, coalesce(hints, '') AS suggestions FROM a LEFT JOIN l ON a.low = l.low LEFT JOIN h ON a.low = h.low
+"""
+
+QUERIES = {"module_parts": (module_parts, MODULE_PARTS), "similar_names": (similar_names, SIMILAR_NAMES)}
