@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.operators import nested
+from fragmenta.operators import nested, rewrite
 from fragmenta.session import table
 
 
@@ -61,4 +61,87 @@ l AS (SELECT conv_id, text, CASE
 SELECT conv_id, label, sha256(text) AS h FROM l WHERE label IS NOT NULL
 """
 
-QUERIES = {"nested_walk": (nested_walk, NESTED_WALK), "authored_texts": (authored_texts, AUTHORED)}
+#: Words of the invented texts in the roles of the real verbs.
+VERBS = {"C2": ("therbl",), "C4": ("tionth", "eaux q"), "C6": ("ingthe",), "C1": ("the ",), "C3": ("und",), "C5": ("ción",)}
+FILLER = " This is due to the fact that it was."
+
+
+def typed_modules(spark, sf_dir: str) -> DataFrame:
+    """conv_id and module: a typed module of each conversation; every third turn has a filler."""
+    turn = F.struct("turn", "role", F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(FILLER))).otherwise(F.col("text")).alias("text"))
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("x"))
+    each, n = (lambda make: F.transform("x", make)), (lambda t: t["turn"].cast("string"))
+    tp = lambda t: F.concat(F.lit("TP-"), n(t))
+    item = lambda t: F.struct(t["text"].alias("question"), F.when(t["turn"] % 2 == 0, "essay").otherwise("short_answer").alias("type"), tp(t).alias("tp_linked"), F.when(t["turn"] % 4 == 0, "KKTP-9").alias("kktp_linked"), F.when(t["turn"] % 2 == 0, t["turn"]).alias("points"))
+    made = F.struct(
+        F.concat(F.lit("M-"), F.col("conv_id").cast("string")).alias("id"), F.lit("Fikih").alias("subject"), F.lit("v1").alias("curriculum_version"), F.lit("topik").alias("topic"),
+        each(lambda t: F.struct(tp(t).alias("id"), t["text"].alias("text"), F.lit("C1").alias("cognitive_level"))).alias("learning_objectives"),
+        each(lambda t: F.struct(F.concat(F.lit("KKTP-"), n(t)).alias("id"), F.when(t["turn"] % 3 > 0, tp(t)).otherwise("TP-1").alias("tp_id"))).alias("success_criteria"),
+        each(lambda t: F.struct(F.concat(F.lit("ACT-"), n(t)).alias("id"), t["text"].alias("description"), F.when(t["turn"] % 4 == 0, "Memahami ").when(t["turn"] % 4 == 1, "").otherwise("lain").alias("experience"), F.when(t["turn"] % 4 == 1, "Penutup").otherwise("x").alias("type"))).alias("learning_activities"),
+        each(lambda t: t["text"]).alias("guiding_questions"), each(lambda t: F.struct(F.when(t["role"] == "user", "student").otherwise("teacher").alias("role"), F.array(t["text"], F.lit("")).alias("questions"))).alias("reflection"),
+        F.struct(F.get("x", F.lit(0))["text"].alias("summary")).alias("material_characteristics"),
+        F.struct(each(item).alias("formative"), F.struct(F.filter(each(item), lambda i: i["type"] == "essay").alias("items")).alias("summative")).alias("assessments"),
+        F.when(F.col("conv_id") % 5 > 0, F.struct(F.struct(F.get("x", F.lit(0))["text"].alias("text"), F.lit(3).alias("source_page"), F.lit("A").alias("phase")).alias("cp"))).alias("curriculum_context"),
+    )
+    return talks.select("conv_id", F.from_json(F.to_json(made), rewrite.MODULE).alias("module"))
+
+
+def rewritten_fields(spark, sf_dir):
+    before = typed_modules(spark, sf_dir)
+    after = rewrite.rewritten(before, "module")
+    totals = rewrite.report_totals(after.select("report")).where("what <> 'finding'")
+    kept = F.struct(*(F.col("module")[p].alias(p) for p in rewrite.PROTECTED))
+    hashes = lambda df, name: df.select("conv_id", F.sha2(F.to_json(kept), 256).alias(name))
+    same = hashes(before, "a").join(hashes(after, "b"), "conv_id").agg(F.count_if(F.col("a") == F.col("b")).alias("n"))
+    return totals.unionByName(same.select(F.lit("protected").alias("label"), F.lit("same").alias("what"), F.lit("").alias("rule"), "n"))
+
+
+def module_outline(spark, sf_dir):
+    o = typed_modules(spark, sf_dir).select("conv_id", rewrite.outline(F.col("module")).alias("o")).select("conv_id", "o.*")
+    flat = lambda c, f: F.array_join(F.transform(c, f), "|")
+    e = F.col("learning_experience.experiences")
+    return o.select(
+        "conv_id", F.col("general_information.identity.id").alias("id"), F.coalesce(F.sha2("design.cp", 256), F.lit("none")).alias("cp"), F.col("design.cp_provenance.source_page").cast("long").alias("page"), F.array_join("design.atp.tp_ids", "|").alias("atp"),
+        *(F.array_join(e[k], "|").alias(k) for k in rewrite.EXPERIENCES), flat("assessment.blueprint", lambda b: F.concat_ws(":", b["tp_id"], F.array_join(b["question_form"], ","), b["item_count"].cast("string"), b["points"].cast("string"))).alias("blueprint"),
+        F.size("reflection.student").cast("long").alias("students"), F.size("reflection.teacher").cast("long").alias("teachers"), F.concat_ws("|", *(F.col(f"attachments.instrument_recap.{k}_count").cast("string") for k in ("diagnostic", "formative", "summative"))).alias("recap"),
+    )
+
+
+def rederived_modules(spark, sf_dir):
+    m = typed_modules(spark, sf_dir).select("conv_id", rewrite.rederived(F.col("module"), VERBS).alias("m"))
+    return m.select("conv_id", F.array_join(F.transform("m.learning_objectives", lambda t: t["cognitive_level"]), "|").alias("levels"), F.array_join(rewrite.level_errors(F.col("m")), "|").alias("low"), F.array_join(F.transform("m.assessments.formative", lambda x: F.coalesce(x["kktp_linked"], F.lit("-"))), "|").alias("links"))
+
+
+TYPED = f"""
+x AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text || CASE WHEN turn % 3 = 0 THEN '{FILLER}' ELSE '' END}} ORDER BY turn, role, text) AS x FROM conversations GROUP BY conv_id),
+t AS (SELECT conv_id, i, x[i].turn AS turn, x[i].role AS role, x[i].text AS text, len(x) AS n FROM x, unnest(range(1, len(x) + 1)) AS u(i))
+"""
+REWRITTEN = f"""
+WITH {TYPED},
+f AS (SELECT label, text FROM t, (VALUES ('activity_description'), ('triggering_questions'), ('reflection'), ('assessment_question')) l(label)
+  UNION ALL SELECT 'material_summary', text FROM t WHERE i = 1 UNION ALL SELECT 'assessment_question', text FROM t WHERE turn % 2 = 0)
+SELECT label, 'field' AS what, '' AS rule, count(*) AS n FROM f WHERE text <> '' GROUP BY label
+UNION ALL SELECT label, 'rewrite', 'R-36-filler', count(*) FROM f WHERE contains(text, 'due to the fact that') GROUP BY label
+UNION ALL SELECT 'protected', 'same', '', count(*) FROM x
+"""
+OUTLINE = f"""
+WITH {TYPED},
+e AS (SELECT conv_id, i, turn, 'TP-' || i AS place, CASE WHEN turn % 2 = 0 THEN turn END AS points FROM t),
+b AS (SELECT a.conv_id, a.i, a.place, count(s.turn) AS n, coalesce(sum(s.points), 0) AS points, coalesce(string_agg('essay', ',') FILTER (WHERE s.turn IS NOT NULL), '') AS forms
+      FROM e a LEFT JOIN (SELECT * FROM e WHERE turn % 2 = 0) s ON a.conv_id = s.conv_id AND a.place = 'TP-' || s.turn GROUP BY a.conv_id, a.i, a.place)
+SELECT conv_id, 'M-' || conv_id AS id, CASE WHEN conv_id % 5 > 0 THEN sha256(max(text) FILTER (WHERE i = 1)) ELSE 'none' END AS cp, CASE WHEN conv_id % 5 > 0 THEN 3 END AS page,
+  string_agg('TP-' || turn, '|' ORDER BY i) AS atp, coalesce(string_agg('ACT-' || turn, '|' ORDER BY i) FILTER (WHERE turn % 4 = 0), '') AS memahami,
+  coalesce(string_agg('ACT-' || turn, '|' ORDER BY i) FILTER (WHERE turn % 4 > 1), '') AS mengaplikasi, coalesce(string_agg('ACT-' || turn, '|' ORDER BY i) FILTER (WHERE turn % 4 = 1), '') AS merefleksi,
+  any_value(bp) AS blueprint, count(*) FILTER (WHERE role = 'user') AS students, count(*) FILTER (WHERE role <> 'user') AS teachers, '0|' || count(*) || '|' || count(*) FILTER (WHERE turn % 2 = 0) AS recap
+FROM t JOIN (SELECT conv_id, string_agg(place || ':' || forms || ':' || n || ':' || points, '|' ORDER BY i) AS bp FROM b GROUP BY conv_id) USING (conv_id) GROUP BY conv_id
+"""
+LEVEL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{v}')" for v in VERBS[k]) + f" THEN '{k}'" for k in sorted(VERBS, reverse=True)) + " ELSE 'UNKNOWN' END"
+REDERIVED = f"""
+WITH {TYPED},
+l AS (SELECT *, {LEVEL} AS level, 'KKTP-' || turn AS k, CASE WHEN turn % 3 > 0 THEN 'TP-' || turn ELSE 'TP-1' END AS tp FROM t),
+o AS (SELECT a.conv_id, a.i, any_value(a.turn) AS turn, any_value(a.level) AS level, CASE WHEN any_value(a.turn) % 4 = 0 THEN 'KKTP-9' WHEN count(b.k) = 1 THEN any_value(b.k) ELSE '-' END AS link
+      FROM l a LEFT JOIN l b ON a.conv_id = b.conv_id AND b.tp = 'TP-' || a.turn GROUP BY a.conv_id, a.i)
+SELECT conv_id, string_agg(level, '|' ORDER BY i) AS levels, coalesce(string_agg('TP-' || turn, '|' ORDER BY i) FILTER (WHERE level NOT IN ('C3', 'C4', 'C5', 'C6')), '') AS low, string_agg(link, '|' ORDER BY i) AS links FROM o GROUP BY conv_id
+"""
+
+QUERIES = {"nested_walk": (nested_walk, NESTED_WALK), "authored_texts": (authored_texts, AUTHORED), "rewritten_fields": (rewritten_fields, REWRITTEN), "module_outline": (module_outline, OUTLINE), "rederived_modules": (rederived_modules, REDERIVED)}
