@@ -355,6 +355,12 @@ def family(system: Column, institution: Column) -> Column:
 UNIT_FAMILIES = {"madrasah": ("MI", "MTs", "MA", "MAK", "RA"), "pendidikan_khusus": ("SDLB", "SMPLB", "SMALB"), "sekolah": ("SD", "SMP", "SMA", "SMK", "TK")}
 
 
+def unit_family_of(unit: Column) -> Column:
+    """unit_family() of a column; what is no unit stays."""
+    families = {u: name for name, units in UNIT_FAMILIES.items() for u in units}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in families.items() for x in kv)), unit), unit)
+
+
 def unit_family(institution: str) -> str:
     """The family of a school unit; itself where it belongs to none."""
     return next((name for name, units in UNIT_FAMILIES.items() if institution in units), institution)

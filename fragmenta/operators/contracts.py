@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.functions.text import any_of, collapse, present, strip
+from fragmenta.functions.text import any_of, collapse, present, strip, unit_family_of
+from fragmenta.operators.imports import ACTORS
+from fragmenta.operators.state import first_per_key
 
 #: What model output must not define.
 PROTECTED_KEYS = (
@@ -81,26 +83,43 @@ def principle_errors(rows: DataFrame, meetings: DataFrame, key: str, fields: Seq
 def outcome_errors(cited: DataFrame, outcomes: DataFrame, documents: DataFrame) -> DataFrame:
     """id and code of cited outcomes (id, subject, phase, element, text, source_document_id,
     source_page, education_system) that no active outcome has word for word at that place, that are
-    another system's, or whose document isn't registered or is for other subjects."""
+    another system's, or whose document isn't registered or is for other subjects.
+
+    A citation may name a document by its id or its label (source_document). Of several outcomes that
+    fit, the one with the smallest id is judged, by its own document."""
     place = ["subject", "phase", "element"]
     active = outcomes.where("status = 'active'")
     some = active.select(*place).distinct().withColumn("__some", F.lit(True))
-    rows = active.select(*place, "text", "source_document_id", "source_page", F.col("education_system").alias("__system")).dropDuplicates([*place, "text", "source_document_id", "source_page"]).withColumn("__match", F.lit(True))
-    known = documents.select(F.col("id").alias("source_document_id")).distinct().withColumn("__registered", F.lit(True))
-    met = cited.join(some, place, "left").join(rows, [*place, "text", "source_document_id", "source_page"], "left").join(known, "source_document_id", "left")
-    match, doc, faith = F.coalesce("__match", F.lit(False)), F.col("source_document_id"), F.contains(F.lower("subject"), F.lit("agama"))
-    found = F.when(F.col("__some").isNull(), F.array(F.lit("NO_ACTIVE_ROW"))).when(~match, F.array(F.lit("NOT_AS_REGISTERED"))).otherwise(codes(
-        ("OTHER_SYSTEM", ~F.col("__system").eqNullSafe(F.col("education_system"))), ("UNREGISTERED_DOCUMENT", F.col("__registered").isNull()),
-        ("9941_OUTSIDE_KEMENAG", F.contains(doc, F.lit("9941")) & (F.col("education_system") != "KEMENAG")), ("020_FOR_OTHER_SUBJECT", F.contains(doc, F.lit("020")) & ~faith), ("046_FOR_RELIGION", F.contains(doc, F.lit("046")) & faith)))
+    at = [*place, "text", "source_page"]
+    named = active.select(*at, "id", "education_system", F.col("source_document_id").alias("__doc"), F.explode(F.array_distinct(F.array("source_document_id", "source_document"))).alias("source_document_id"))
+    first = named.groupBy(*at, "source_document_id").agg(F.min_by(F.struct(F.col("education_system").alias("system"), F.col("__doc").alias("doc")), "id").alias("__match"))
+    known = documents.select(F.col("id").alias("__doc")).distinct().withColumn("__registered", F.lit(True))
+    met = cited.join(some, place, "left").join(first, [*at, "source_document_id"], "left").withColumn("__doc", F.col("__match.doc")).join(known, "__doc", "left")
+    doc, faith = F.coalesce("__doc", F.lit("")), F.contains(F.lower("subject"), F.lit("agama"))
+    found = F.when(F.col("__some").isNull(), F.array(F.lit("NO_ACTIVE_ROW"))).when(F.col("__match").isNull(), F.array(F.lit("NOT_AS_REGISTERED"))).otherwise(codes(
+        ("OTHER_SYSTEM", ~F.col("__match.system").eqNullSafe(F.col("education_system"))), ("UNREGISTERED_DOCUMENT", F.col("__registered").isNull()),
+        ("9941_OUTSIDE_KEMENAG", F.contains(doc, F.lit("9941")) & ~F.col("education_system").eqNullSafe(F.lit("KEMENAG"))), ("020_FOR_OTHER_SUBJECT", F.contains(doc, F.lit("020")) & ~faith), ("046_FOR_RELIGION", F.contains(doc, F.lit("046")) & faith)))
     return met.select("id", F.explode(found).alias("code"))
 
 
 def official_match(asked: DataFrame, outcomes: DataFrame, normal) -> DataFrame:
-    """asked (id, subject, phase, text) with outcome_id, the first active outcome of the subject and
-    phase whose normalised text is the same, or the code of a mismatch. normal: column -> column."""
-    own = outcomes.where(F.coalesce("status", F.lit("active")) == "active").groupBy("subject", "phase", F.sha2(normal(F.coalesce("text", F.lit(""))), 256).alias("__h")).agg(F.min(F.struct("source_page", "id")).alias("__first"))
-    met = asked.withColumn("__h", F.sha2(normal(F.coalesce("text", F.lit(""))), 256)).join(own, ["subject", "phase", "__h"], "left")
-    return met.select("id", F.col("__first.id").alias("outcome_id"), F.when(F.col("__first").isNull(), "UPLOAD_CP_MISMATCH").alias("code"))
+    """id and outcome_id of asked (id, subject, phase, text, education_system, institution_type,
+    curriculum_version_id): the first outcome of the fail-closed lookup whose normalised text is the
+    same, by source page and id, or the code of a mismatch. normal: column -> column.
+
+    The lookup takes active outcomes of the regular programme. A system, version or institution
+    that is missing asks for none; an institution stands for its family, outcomes without one fit
+    any, and special education also takes those of schools. Like rows of asked are answered once."""
+    scope = ["education_system", "institution_type", "curriculum_version_id"]
+    digest = F.sha2(normal(F.coalesce("text", F.lit(""))), 256)
+    open_ = outcomes.where((F.coalesce("status", F.lit("active")) == "active") & (F.coalesce("program_type", F.lit("reguler")) == "reguler"))
+    own = open_.groupBy("subject", "phase", digest.alias("__h"), *(F.col(c).alias(f"__{c}") for c in scope)).agg(F.min(F.struct("source_page", "id")).alias("__first"))
+    met = asked.withColumn("__h", digest).join(own, ["subject", "phase", "__h"], "left")
+    family, theirs = unit_family_of(F.col("institution_type")), F.col("__institution_type")
+    free = lambda c: ~present(F.col(c)) | (F.col(f"__{c}") == F.col(c))
+    fits = free("education_system") & free("curriculum_version_id") & (~present(F.col("institution_type")) | ~present(theirs) | (theirs == family) | (family == "pendidikan_khusus") & (theirs == "sekolah"))
+    best = met.groupBy("id", "subject", "phase", "__h", *scope).agg(F.min(F.when(F.coalesce(fits, F.lit(False)), F.col("__first"))).alias("__first"))
+    return best.select("id", F.col("__first.id").alias("outcome_id"), F.when(F.col("__first").isNull(), "UPLOAD_CP_MISMATCH").alias("code"))
 
 
 def unlinked(children: DataFrame, parents: DataFrame, keys: dict[str, str]) -> DataFrame:
@@ -111,14 +130,14 @@ def unlinked(children: DataFrame, parents: DataFrame, keys: dict[str, str]) -> D
 
 
 def merged(items: DataFrame, edits: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """items in their places, with what edits (keys, columns) say instead."""
-    other = edits.select(*keys, *(F.col(c).alias(f"__{c}") for c in columns))
-    return items.join(other, list(keys), "left").select(*(F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in items.columns))
+    """items in their places, with what edits (keys, columns; each key once) say instead, nulls too."""
+    other = edits.select(*keys, *(F.col(c).alias(f"__{c}") for c in columns), F.lit(True).alias("__edited"))
+    return items.join(other, list(keys), "left").select(*(F.when(F.col("__edited"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in items.columns))
 
 
-def union_by_key(first: DataFrame, more: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """first, and the rows of more whose key it lacks; each key of more once."""
-    return first.unionByName(more.dropDuplicates(list(keys)).join(first.select(*keys), list(keys), "left_anti").select(first.columns))
+def union_by_key(first: DataFrame, more: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """first, and of the rows of more whose key it lacks the first of each key in an order."""
+    return first.unionByName(first_per_key(more.join(first.select(*keys), list(keys), "left_anti"), keys, order).select(first.columns))
 
 
 def outside(observed: DataFrame, allowed: DataFrame, column: str) -> DataFrame:
@@ -141,7 +160,9 @@ def subjects_of(subjects: DataFrame, system: str, level: str | None = None) -> D
 
 def context_hash(cp_id: Column, text: Column, atp_id: Column, tp_ids: Column) -> Column:
     """16 hex digits for what an outcome and its sequence say."""
-    return F.left(F.sha2(F.concat_ws(":", cp_id, text, atp_id, F.array_join(tp_ids, ":")).cast("binary"), 256), F.lit(16))
+    spelled = lambda c: F.coalesce(c.cast("string"), F.lit("None"))  # noqa: E731  a part that is missing is spelled, so no two contexts look alike
+    ids = F.array_join(F.transform(tp_ids, lambda x: spelled(x)), ":")
+    return F.left(F.sha2(F.concat(spelled(cp_id), F.lit(":"), spelled(text), F.lit(":"), spelled(atp_id), F.lit(":"), F.coalesce(ids, F.lit(""))), 256), F.lit(16))
 
 
 def meetings_spec(meetings: Column) -> Column:
@@ -156,14 +177,18 @@ def speaks_of_generator(text: Column) -> Column:
 
 
 def name_and_description(cells: Column) -> Column:
-    """The non-empty first cells of a row as name and description: two cells as they are; else of
-    more than four words a quarter, two at least, is the name."""
+    """The non-empty first cells of a row as name and description: two cells as they are, but for a
+    description that begins, with an actor, within the first; else of more than four words a quarter,
+    two at least, is the name."""
     kept = F.filter(cells, lambda c: present(c))
+    first, second = collapse(F.get(kept, F.lit(0))), collapse(F.get(kept, F.lit(1)))
+    before = F.regexp_extract(first, rf"(?iU)^(\S+\s+\S.*?)(?={ACTORS})", 1)  # two words at least
+    split = F.when(before != "", F.struct(F.trim(before).alias("name"), F.concat(F.substring(first, F.length(before) + 1, F.length(first)), F.lit(" "), second).alias("description"))).otherwise(F.struct(first.alias("name"), second.alias("description")))
     words = F.filter(F.split(collapse(F.array_join(kept, " ")), " "), lambda w: w != "")
     cut = F.greatest(F.lit(2), F.floor(F.size(words) / 4).cast("int"))
     part = lambda a, b: F.array_join(F.slice(words, a, b), " ")
     short = F.struct(F.array_join(words, " ").alias("name"), F.lit("").alias("description"))
-    return F.when(F.size(kept) == 2, F.struct(collapse(kept[0]).alias("name"), collapse(kept[1]).alias("description"))).when(F.size(words) <= 4, short).otherwise(F.struct(part(F.lit(1), cut).alias("name"), part(cut + 1, F.greatest(F.size(words) - cut, F.lit(0))).alias("description")))
+    return F.when(F.size(kept) == 2, split).when(F.size(words) <= 4, short).otherwise(F.struct(part(F.lit(1), cut).alias("name"), part(cut + 1, F.greatest(F.size(words) - cut, F.lit(0))).alias("description")))
 
 
 def primary_first(primary: Column, entries: Column) -> Column:

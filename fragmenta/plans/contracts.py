@@ -65,19 +65,25 @@ def meeting_principles(spark, sf_dir):
 
 def _registered(spark, sf_dir):
     n = F.col("source_page")
-    return roles.outcomes(spark, sf_dir).where("element <> ''").withColumns({"status": F.coalesce("status", F.lit("active")), "source_document_id": F.concat(F.lit("DOC-"), F.when(n % 4 == 0, "9941").when(n % 4 == 1, "020").when(n % 4 == 2, "046").otherwise("x")), "education_system": F.when(n % 3 == 0, "KEMENAG").otherwise("OTHER")})
+    number = F.when(n % 4 == 0, "9941").when(n % 4 == 1, "020").when(n % 4 == 2, "046").otherwise("x")
+    return roles.outcomes(spark, sf_dir).where("element <> ''").withColumns({"status": F.coalesce("status", F.lit("active")), "source_document_id": F.concat(F.lit("DOC-"), number), "source_document": F.concat(F.lit("LABEL-"), number), "education_system": F.when(n % 3 == 0, "KEMENAG").otherwise("OTHER")})
 
 
 def cited_outcomes(spark, sf_dir):
     rows = _registered(spark, sf_dir)
-    cited = rows.select("id", F.when(F.col("id") % 10 == 0, "none").otherwise(F.col("subject")).alias("subject"), "phase", "element", F.when(F.col("id") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), "source_document_id", "source_page", F.when(F.col("id") % 10 == 2, "THIRD").otherwise(F.col("education_system")).alias("education_system"))
+    twins = rows.where("id % 6 = 0").withColumns({"id": F.col("id") + 10_000_000, "education_system": F.lit("LATER")})
+    cited = rows.select("id", F.when(F.col("id") % 10 == 0, "none").otherwise(F.col("subject")).alias("subject"), "phase", "element", F.when(F.col("id") % 10 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), F.when(F.col("id") % 3 == 0, F.col("source_document")).otherwise(F.col("source_document_id")).alias("source_document_id"), "source_page", F.when(F.col("id") % 10 == 2, "THIRD").otherwise(F.col("education_system")).alias("education_system"))
     known = spark.createDataFrame([("DOC-9941",), ("DOC-020",), ("DOC-046",)], "id string")
-    return ops.outcome_errors(cited, rows, known).groupBy("code").agg(F.count("*").alias("n"))
+    return ops.outcome_errors(cited, rows.unionByName(twins), known).groupBy("code").agg(F.count("*").alias("n"))
 
 
 def official_match(spark, sf_dir):
-    los = roles.outcomes(spark, sf_dir)
-    asked = los.select("id", "subject", "phase", F.when(F.col("id") % 4 == 0, F.concat(F.lit("  "), F.replace(F.col("text"), F.lit(" "), F.lit("  ")))).when(F.col("id") % 4 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"))
+    n = F.col("source_page")
+    family = F.when(n % 5 == 0, "madrasah").when(n % 5 == 1, "sekolah").when(n % 5 == 2, "pendidikan_khusus").when(n % 5 == 3, "")
+    los = roles.outcomes(spark, sf_dir).withColumns({"education_system": F.when(n % 2 == 0, "KEMENAG").otherwise("OTHER"), "institution_type": family, "curriculum_version_id": F.concat(F.lit("V"), (n % 7).cast("string"))})
+    text = F.when(F.col("id") % 4 == 0, F.concat(F.lit("  "), F.replace(F.col("text"), F.lit(" "), F.lit("  ")))).when(F.col("id") % 4 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    unit = F.element_at(F.array(*map(F.lit, ("MTs", "SMP", "SDLB", "lain", ""))), (F.col("id") % 5 + 1).cast("int"))
+    asked = los.select("id", "subject", "phase", text.alias("text"), F.when(F.col("id") % 3 > 0, F.col("education_system")).alias("education_system"), unit.alias("institution_type"), F.when(F.col("id") % 7 == 0, "V0").when(F.col("id") % 7 < 4, F.col("curriculum_version_id")).alias("curriculum_version_id"))
     return ops.official_match(asked, los, lambda t: F.lower(tx.collapse(t)))
 
 
@@ -89,13 +95,14 @@ def unlinked(spark, sf_dir):
 
 def merged_items(spark, sf_dir):
     items = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    edits = items.where("n_regionkey = 2").select("n_nationkey", F.lower("n_name").alias("n_name"))
+    edits = items.where("n_regionkey >= 2").select("n_nationkey", F.when(F.col("n_regionkey") == 2, F.lower("n_name")).alias("n_name"))
     return ops.merged(items, edits, ["n_nationkey"], ["n_name"])
 
 
 def union_by_key(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_custkey", F.lit("o").alias("of"))
-    return ops.union_by_key(table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), F.lit("c").alias("of")), rows, ["o_custkey"])
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("of"), "o_orderkey")
+    first = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"), F.lit("c").alias("of"))
+    return ops.union_by_key(first, rows, ["o_custkey"], ["o_orderkey"])
 
 
 def outside_set(spark, sf_dir):
@@ -115,7 +122,7 @@ def subjects_of(spark, sf_dir):
 
 def context_hash(spark, sf_dir):
     d = F.col("doc_id").cast("string")
-    return _docs(spark, sf_dir).select("doc_id", ops.context_hash(F.concat(F.lit("CP-"), d), F.col("text"), F.lit("ATP"), F.array(F.lit("TP-1"), F.concat(F.lit("TP-"), d))).alias("h"))
+    return _docs(spark, sf_dir).select("doc_id", ops.context_hash(F.concat(F.lit("CP-"), d), F.when(F.col("doc_id") % 6 > 0, F.col("text")), F.when(F.col("doc_id") % 4 > 0, "ATP"), F.array(F.lit("TP-1"), F.concat(F.lit("TP-"), d))).alias("h"))
 
 
 def meetings_spec(spark, sf_dir):
@@ -132,7 +139,7 @@ def meta_language(spark, sf_dir):
 
 
 def split_names(spark, sf_dir):
-    cells = F.when(F.col("p_partkey") % 3 == 0, F.array(F.col("p_name"), F.lit(""), F.lit(" do  it "))).otherwise(F.array(F.concat("p_name", F.lit(" and then some more words to say")), F.lit(None).cast("string")))
+    cells = F.when(F.col("p_partkey") % 3 == 0, F.array(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " Peserta  didik menulis").otherwise("")), F.lit(""), F.lit(" do  it "))).otherwise(F.array(F.concat("p_name", F.lit(" and then some more words to say")), F.lit(None).cast("string")))
     return table(spark, sf_dir, "part").select("p_partkey", ops.name_and_description(cells).alias("x")).select("p_partkey", "x.*")
 
 
@@ -157,26 +164,31 @@ QUERIES = {
         g AS (SELECT k, count(*) AS n, count(DISTINCT m) AS seen, any_value(want) AS want, bool_or(m NOT BETWEEN 1 AND want) AS bad FROM l GROUP BY 1)
         SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN bad THEN 'BAD_MEETING' END, CASE WHEN seen < n THEN 'DUPLICATE_MEETING' END, CASE WHEN k % 8 = 0 THEN 'TOO_SHORT' END, CASE WHEN k % 7 = 0 THEN 'ALIKE_WITHIN' END,
             CASE WHEN seen < want THEN 'MISSING_MEETING' END, CASE WHEN k % 6 = 0 AND seen > 1 THEN 'ALIKE_MEETINGS' END], lambda c: c IS NOT NULL)) AS code FROM g) GROUP BY 1"""),
-    "cited_outcomes": (cited_outcomes, O_ + """, r AS (SELECT *, coalesce(status, 'active') AS st, 'DOC-' || CASE source_page % 4 WHEN 0 THEN '9941' WHEN 1 THEN '020' WHEN 2 THEN '046' ELSE 'x' END AS doc, CASE WHEN source_page % 3 = 0 THEN 'KEMENAG' ELSE 'OTHER' END AS sys FROM los WHERE element <> ''),
-        c AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'none' ELSE subject END AS subject, phase, element, CASE WHEN id % 10 = 1 THEN text || '!' ELSE text END AS text, doc, source_page, CASE WHEN id % 10 = 2 THEN 'THIRD' ELSE sys END AS csys, sys FROM r),
+    "cited_outcomes": (cited_outcomes, O_ + """, k AS (SELECT *, coalesce(status, 'active') AS st, CASE source_page % 4 WHEN 0 THEN '9941' WHEN 1 THEN '020' WHEN 2 THEN '046' ELSE 'x' END AS d, CASE WHEN source_page % 3 = 0 THEN 'KEMENAG' ELSE 'OTHER' END AS sys FROM los WHERE element <> ''),
+        r AS (SELECT id, subject, phase, element, text, source_page, st, d, sys FROM k UNION ALL SELECT id + 10000000, subject, phase, element, text, source_page, st, d, 'LATER' FROM k WHERE id % 6 = 0),
+        c AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'none' ELSE subject END AS subject, phase, element, CASE WHEN id % 10 = 1 THEN text || '!' ELSE text END AS text, CASE WHEN id % 3 = 0 THEN 'LABEL-' ELSE 'DOC-' END || d AS cited, source_page, CASE WHEN id % 10 = 2 THEN 'THIRD' ELSE sys END AS csys FROM k),
         m AS (SELECT c.*, EXISTS (SELECT 1 FROM r WHERE r.st = 'active' AND r.subject = c.subject AND r.phase = c.phase AND r.element = c.element) AS has,
-                     EXISTS (SELECT 1 FROM r WHERE r.st = 'active' AND r.subject = c.subject AND r.phase = c.phase AND r.element = c.element AND r.text = c.text AND r.doc = c.doc AND r.source_page = c.source_page) AS hit FROM c),
-        e AS (SELECT CASE WHEN NOT has THEN ['NO_ACTIVE_ROW'] WHEN NOT hit THEN ['NOT_AS_REGISTERED'] ELSE list_filter([CASE WHEN sys <> csys THEN 'OTHER_SYSTEM' END, CASE WHEN doc = 'DOC-x' THEN 'UNREGISTERED_DOCUMENT' END,
-            CASE WHEN doc = 'DOC-9941' AND csys <> 'KEMENAG' THEN '9941_OUTSIDE_KEMENAG' END, CASE WHEN doc = 'DOC-020' AND NOT contains(lower(subject), 'agama') THEN '020_FOR_OTHER_SUBJECT' END, CASE WHEN doc = 'DOC-046' AND contains(lower(subject), 'agama') THEN '046_FOR_RELIGION' END], lambda x: x IS NOT NULL) END AS codes FROM m)
+                     (SELECT arg_min({'d': r.d, 'sys': r.sys}, r.id) FROM r WHERE r.st = 'active' AND r.subject = c.subject AND r.phase = c.phase AND r.element = c.element AND r.text = c.text AND c.cited IN ('DOC-' || r.d, 'LABEL-' || r.d) AND r.source_page = c.source_page) AS hit FROM c),
+        e AS (SELECT CASE WHEN NOT has THEN ['NO_ACTIVE_ROW'] WHEN hit IS NULL THEN ['NOT_AS_REGISTERED'] ELSE list_filter([CASE WHEN hit.sys <> csys THEN 'OTHER_SYSTEM' END, CASE WHEN hit.d = 'x' THEN 'UNREGISTERED_DOCUMENT' END,
+            CASE WHEN hit.d = '9941' AND csys <> 'KEMENAG' THEN '9941_OUTSIDE_KEMENAG' END, CASE WHEN hit.d = '020' AND NOT contains(lower(subject), 'agama') THEN '020_FOR_OTHER_SUBJECT' END, CASE WHEN hit.d = '046' AND contains(lower(subject), 'agama') THEN '046_FOR_RELIGION' END], lambda x: x IS NOT NULL) END AS codes FROM m)
         SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM e) GROUP BY 1"""),
-    "official_match": (official_match, O_ + r""", n AS (SELECT id, subject, phase, source_page, coalesce(status, 'active') = 'active' AS ok, lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g')) AS t, id % 4 = 1 AS odd FROM los),
-        f AS (SELECT subject, phase, t, arg_min(id, struct_pack(p := source_page, i := id)) AS o FROM n WHERE ok GROUP BY 1, 2, 3)
-        SELECT id, o AS outcome_id, CASE WHEN o IS NULL THEN 'UPLOAD_CP_MISMATCH' END AS code FROM (SELECT id, subject, phase, lower(regexp_replace(regexp_replace(CASE WHEN id % 4 = 0 THEN '  ' || replace(text, ' ', '  ') WHEN id % 4 = 1 THEN text || 'x' ELSE text END, '\s+', ' ', 'g'), '^ | $', '', 'g')) AS t FROM los) a LEFT JOIN f USING (subject, phase, t)"""),
+    "official_match": (official_match, O_ + r""", n AS (SELECT id, subject, phase, source_page, coalesce(status, 'active') = 'active' AND coalesce(program_type, 'reguler') = 'reguler' AS ok, text, CASE WHEN source_page % 2 = 0 THEN 'KEMENAG' ELSE 'OTHER' END AS sys,
+            CASE source_page % 5 WHEN 0 THEN 'madrasah' WHEN 1 THEN 'sekolah' WHEN 2 THEN 'pendidikan_khusus' ELSE '' END AS fam, 'V' || (source_page % 7) AS ver FROM los),
+        f AS (SELECT *, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM n WHERE ok),
+        a AS (SELECT id, subject, phase, trim(lower(regexp_replace(CASE WHEN id % 4 = 0 THEN '  ' || replace(text, ' ', '  ') WHEN id % 4 = 1 THEN text || 'x' ELSE text END, '\s+', ' ', 'g'))) AS t, CASE WHEN id % 3 > 0 THEN sys ELSE '' END AS sys,
+            ['madrasah', 'sekolah', 'pendidikan_khusus', 'lain', ''][id % 5 + 1] AS fam, CASE WHEN id % 7 = 0 THEN 'V0' WHEN id % 7 < 4 THEN ver ELSE '' END AS ver FROM n)
+        SELECT a.id, arg_min(f.id, struct_pack(p := f.source_page, i := f.id)) AS outcome_id, CASE WHEN count(f.id) = 0 THEN 'UPLOAD_CP_MISMATCH' END AS code FROM a LEFT JOIN f ON a.subject = f.subject AND a.phase = f.phase AND coalesce(a.t, '') = coalesce(f.t, '')
+            AND a.sys IN ('', f.sys) AND a.ver IN ('', f.ver) AND (a.fam = '' OR f.fam = '' OR a.fam = f.fam OR (a.fam = 'pendidikan_khusus' AND f.fam = 'sekolah')) GROUP BY a.id"""),
     "unlinked": (unlinked, "SELECT CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey + a.l_linenumber % 2 AND b.l_linenumber = a.l_linenumber) GROUP BY 1"),
-    "merged_items": (merged_items, "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS n_name, n_regionkey FROM nation"),
-    "union_by_key": (union_by_key, "SELECT c_custkey AS o_custkey, 'c' AS of FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT DISTINCT o_custkey, 'o' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)"),
+    "merged_items": (merged_items, "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) WHEN n_regionkey < 2 THEN n_name END AS n_name, n_regionkey FROM nation"),
+    "union_by_key": (union_by_key, "SELECT c_custkey AS o_custkey, 'c' AS of FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT o_custkey, 'o' || min(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY o_custkey"),
     "outside_set": (outside_set, "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'en' AND doc_id % 5 = 0 AND source IS NOT NULL)"),
     "same_ids": (same_ids, "SELECT doc_id % 4 = 0 AS same, count(*) AS n FROM documents GROUP BY 1"),
     "subjects_of": (subjects_of, "SELECT CAST(n_regionkey AS VARCHAR) AS level, n_name AS subject FROM nation WHERE n_regionkey % 2 = 0 OR n_regionkey = 3"),
-    "context_hash": (context_hash, "SELECT doc_id, substr(sha256('CP-' || doc_id || ':' || text || ':ATP:TP-1:TP-' || doc_id), 1, 16) AS h FROM documents"),
+    "context_hash": (context_hash, "SELECT doc_id, substr(sha256('CP-' || doc_id || ':' || CASE WHEN doc_id % 6 > 0 THEN coalesce(text, 'None') ELSE 'None' END || CASE WHEN doc_id % 4 > 0 THEN ':ATP' ELSE ':None' END || ':TP-1:TP-' || doc_id), 1, 16) AS h FROM documents"),
     "meetings_spec": (meetings_spec, "SELECT doc_id, CASE WHEN ok THEN n_chars % 4 END AS n_meetings, CASE WHEN ok THEN n_chars % 5 END AS jp_per_meeting, CASE WHEN ok THEN CAST(40 AS BIGINT) END AS minutes_per_jp FROM (SELECT *, n_chars % 4 > 0 AND n_chars % 5 > 0 AS ok FROM documents)"),
     "meta_language": (meta_language, "SELECT doc_id % 3 = 0 OR contains(lower(text), 'arsitektur') AS meta, count(*) AS n FROM documents GROUP BY 1"),
     "split_names": (split_names, r"""WITH w AS (SELECT p_partkey, p_name, list_filter(string_split(p_name || ' and then some more words to say', ' '), lambda x: x <> '') AS w FROM part)
-        SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN trim(p_name) ELSE array_to_string(w[1:greatest(2, len(w) // 4)], ' ') END AS name, CASE WHEN p_partkey % 3 = 0 THEN 'do it' ELSE array_to_string(w[greatest(2, len(w) // 4) + 1:], ' ') END AS description FROM w"""),
+        SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN trim(p_name) ELSE array_to_string(w[1:greatest(2, len(w) // 4)], ' ') END AS name, CASE WHEN p_partkey % 6 = 0 THEN 'Peserta didik menulis do it' WHEN p_partkey % 3 = 0 THEN 'do it' ELSE array_to_string(w[greatest(2, len(w) // 4) + 1:], ' ') END AS description FROM w"""),
     "primary_first": (primary_first, "SELECT n_nationkey, CASE WHEN n_regionkey > 0 THEN n_name || ',x' ELSE 'x,' || n_name END AS entries FROM nation"),
 }
