@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from fragmenta.functions.blocks import similarity
 from fragmenta.functions.text import FAKE_CANDID, any_of, collapse, is_debris, positive_int, present, strip, title_case
 
 # Fixed values.
@@ -123,14 +122,6 @@ def book_identity(page: Column, meta_title: Column) -> Column:
     return F.struct(title.alias("title"), out(F.coalesce(labelled("oleh|penulis|disusun oleh|karya"), inline)).alias("author"), out(labelled("penerbit|diterbitkan oleh")).alias("publisher"), out(year).alias("year"), F.when(meta, "metadata").when(title.isNotNull(), "halaman_judul").alias("source"))
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Twice the matched characters over all, in hundredths, by longest matching blocks."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() * 100 for x, y in zip(a, b, strict=True)])
-
-
 def plain(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s]", " ")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fragmenta.functions import modules
 from fragmenta.functions import text as tx
 from fragmenta.operators import parsers
 from fragmenta.plans import roles
@@ -116,10 +117,32 @@ def seeded_sample(spark, sf_dir):
     return first_per_key(rows.withColumn("n", n).where("n <= 5"), ["doc_id"], ["n"]).select("source", "doc_id")
 
 
+def page_readings(spark, sf_dir):
+    """Fragments with a second reading: every 9th character lost in some, words swapped or debris put in in others."""
+    f = roles.fragments(spark, sf_dir)
+    t, k = F.col("text"), F.conv(F.substring(F.md5(F.col("fragment_id").cast("binary")), 1, 7), 16, 10).cast("long") % 4
+    return f.select("fragment_id", "document_id", "text", F.when(k == 0, F.regexp_replace(t, "(?s)(.{8}).", "$1")).when(k == 1, F.regexp_replace(t, r"(\w+) (\w+)", "$2 $1")).when(k == 2, F.concat(F.lit("..\n"), t, F.lit("\n1 2"))).otherwise(F.regexp_replace(t, "e", "c")).alias("fresh"))
+
+
+def page_similarity(spark, sf_dir):
+    return modules.page_metrics(page_readings(spark, sf_dir), "text", "fresh").select("fragment_id", "containment", "similarity_raw", "similarity_fair")
+
+
+def mean_containment(spark, sf_dir):
+    metrics = modules.page_metrics(page_readings(spark, sf_dir), "text", "fresh")
+    return modules.mean_metrics(metrics, "document_id").select("document_id", F.round("containment", 6).alias("containment"))
+
+
 QUERIES = {
     "bloom_level": (bloom_level, "SELECT CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{v}')" for v in LEVELS[k]) + f" THEN '{k}'" for k in sorted(LEVELS, reverse=True)) + " ELSE 'UNKNOWN' END AS level, count(*) AS n FROM documents GROUP BY 1"),
     "staccato_streak": (staccato_streak, None),
     "slop_scan": (slop_scan, None),
+    "page_similarity": (page_similarity, None),  # matching blocks: tested against the usual diff
+    "mean_containment": (mean_containment, "WITH " + roles.FRAGMENTS + r""",
+        r AS (SELECT document_id, text, CAST('0x' || substr(md5(fragment_id), 1, 7) AS BIGINT) % 4 AS k FROM fragments),
+        p AS (SELECT document_id, text, CASE k WHEN 0 THEN regexp_replace(text, '(?s)(.{8}).', '\1', 'g') WHEN 1 THEN regexp_replace(text, '(\w+) (\w+)', '\2 \1', 'g') WHEN 2 THEN '..' || chr(10) || text || chr(10) || '1 2' ELSE replace(text, 'e', 'c') END AS fresh FROM r),
+        w AS (SELECT document_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS own, regexp_extract_all(lower(fresh), '[a-z0-9]+') AS other FROM p)
+        SELECT document_id, round(avg(CASE WHEN len(own) > 0 THEN len(list_filter(own, lambda x: list_contains(other, x))) * 100.0 / len(own) ELSE 0 END), 6) AS containment FROM w GROUP BY 1"""),
     "prose_normalise": (prose_normalise, None),
     "token_containment": (token_containment, """
         WITH a AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), b AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
