@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fragmenta.functions.blocks import similarity
 from fragmenta.functions.text import FAKE_CANDID, any_of, collapse, is_debris, positive_int, present, strip, title_case
+from fragmenta.session import ship
 
 # Fixed values.
 ITEM_TYPES = {"pilihan_ganda": "multiple_choice", "isian": "short_answer", "uraian": "essay", "essay": "essay", "short_answer": "short_answer", "multiple_choice": "multiple_choice"}
@@ -128,6 +129,7 @@ def plain(text: Column) -> Column:
 
 def page_metrics(pairs: DataFrame, stored: str, fresh: str) -> DataFrame:
     """pairs with containment, similarity_raw and similarity_fair of two readings of a page."""
+    ship(pairs.sparkSession)
     words = lambda c: F.filter(F.split(plain(c), r"\s+"), lambda w: w != "")
     kept = F.array_join(F.filter(F.split(F.coalesce(fresh, F.lit("")), "\n"), lambda x: ~is_debris(x)), "\n")
     own = F.array_distinct(words(F.col(stored)))

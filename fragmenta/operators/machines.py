@@ -26,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from fragmenta.functions import outlines as fixed
 from fragmenta.functions.labels import Labels
 from fragmenta.functions.text import collapse, strip
+from fragmenta.session import ship
 
 # -- lines -----------------------------------------------------------------------------------------
 
@@ -85,6 +86,7 @@ class Machine:
 def streamed(lines: DataFrame, keys: Sequence[str], work: Callable[[Iterator[tuple]], Iterator[tuple]], fields: str, columns: Sequence[str] = ("page_number", "pos", "line"), order: Sequence[str] = ("page_number", "pos"), batch_rows: int = 4096) -> DataFrame:
     """The keys and fields (DDL) of the rows that work makes of each key's lines. work gets an iterator
     over a key's columns in order, which it need not hold, or read to its end."""
+    ship(lines.sparkSession)
     kept = T.StructType([lines.schema[k] for k in keys])
     schema = T.StructType([*kept.fields, *T.StructType.fromDDL(fields).fields])
     arrow = to_arrow_schema(schema)

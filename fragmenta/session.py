@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +44,19 @@ def shared_folder(spark: SparkSession, what: str) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='fragmenta-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where it isn't installed or on their path."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    on_path = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p}
+    if str(root) in on_path or getattr(sc, "_fragmenta_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(), "fragmenta_package.zip")  # the driver's own: Spark serves the file to the executors
+    with zipfile.ZipFile(path, "w") as z:
+        for f in (root / "fragmenta").rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(path)
+    if path in sys.path:
+        sys.path.remove(path)
+    sc._fragmenta_shipped = True
