@@ -267,6 +267,15 @@ def runs(hit: np.ndarray, bridge: int) -> list[tuple[int, int]]:
     return list(zip(at[np.concatenate([[0], cuts + 1])].tolist(), (at[np.concatenate([cuts, [len(at) - 1]])] + 1).tolist(), strict=True))
 
 
+def earlier(kinds: np.ndarray) -> np.ndarray:
+    """For each place the one before it of the same kind, -1 for the first."""
+    order = np.argsort(kinds, kind="stable")
+    out = np.full(len(kinds), -1)
+    again = np.flatnonzero(kinds[order[1:]] == kinds[order[:-1]])
+    out[order[again + 1]] = order[again]
+    return out
+
+
 def passages(a: np.ndarray, b: np.ndarray, t: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
     """Passages of b that a has: (start, end, start in a, end in a, similarity), in shingles.
 
@@ -279,40 +288,43 @@ def passages(a: np.ndarray, b: np.ndarray, t: int, threshold: float) -> list[tup
     same = np.minimum(np.searchsorted(of_a, values), len(of_a) - 1)  # the place in of_a of each value that a has
     known = of_a[same] == values
     hit = known[which]
-    places: list[np.ndarray] = []  # of a's shingles by kind, and where each kind's end
     if np.count_nonzero(hit) < threshold * t:
         return []
+    before_a, before_b = earlier(in_a), earlier(which)
+    met = same[which]  # of a hit of b: its kind in a
+    mine = np.zeros(len(of_a), bool)
+    order, ends = (np.argsort(in_a, kind="stable"), np.cumsum(many_a)) if len(of_a) < len(a) else (first, None)
 
     def similar(s: int, e: int) -> tuple[tuple[float, int, int], int]:
         """(similarity, -start in a, end in a) of the likeliest passage of a, and how many shingles b has there."""
-        x = np.zeros(len(values), bool)
-        x[which[s:e]] = True
-        n, both = np.count_nonzero(x), np.count_nonzero(x & known)
+        new = before_b[s:e] < s  # the first of its kind in the part
+        hits = np.flatnonzero(hit[s:e])
+        n, both = np.count_nonzero(new), np.count_nonzero(new[hits])
         if both < threshold * n:
             return (both / n, 0, 0), n  # too few shingles in common, wherever it lies
-        mine = np.zeros(len(of_a), bool)
-        mine[same[x & known]] = True
+        ids = met[s:e][hits]
+        mine[:] = False
+        mine[ids] = True
 
         def between(lo: int, hi: int) -> tuple[float, int, int]:
-            y = np.zeros(len(of_a), bool)
-            y[in_a[lo:hi]] = True
-            both = np.count_nonzero(y & mine)
-            return both / (n + np.count_nonzero(y) - both), -lo, hi
+            own = in_a[lo:hi][before_a[lo:hi] < lo]
+            both = np.count_nonzero(mine[own])
+            return both / (n + len(own) - both), -lo, hi
 
         # the passage in a: where most of the run is aligned
-        hits = np.flatnonzero(hit[s:e])
-        ids = same[which[s:e][hits]]
         own = first[ids]
         shift = int(np.sort(own - hits)[len(hits) // 2])
         best = between(max(0, shift), min(len(a), shift + e - s))
         if best[0] < threshold:
             # one of its likeliest places if a has parts of it elsewhere, too, or all that it meets if a text repeats itself
-            if not places:
-                places.extend((np.argsort(in_a, kind="stable"), np.cumsum(many_a)))
-            (order, ends), some = places, many_a[ids]
-            to = order[np.repeat(ends[ids] - np.cumsum(some), some) + np.arange(some.sum())]
-            shifts, votes = np.unique(to - np.repeat(hits, some), return_counts=True)
-            likely = shifts[np.argsort(-votes, kind="stable")[:PLACES]].tolist()
+            if ends is None:
+                to, at = own, hits
+            else:
+                some = many_a[ids]
+                to, at = order[np.repeat(ends[ids] - np.cumsum(some), some) + np.arange(some.sum())], np.repeat(hits, some)
+            votes = np.bincount(to - at + (e - s))
+            shifts = np.flatnonzero(votes)
+            likely = (shifts[np.argsort(-votes[shifts], kind="stable")[:PLACES]] - (e - s)).tolist()
             for lo, hi in dict.fromkeys((*((max(0, k), min(len(a), k + e - s)) for k in likely), (int(own.min()), int(own.max()) + 1))):
                 best = max(best, between(lo, hi))
         return best, n
