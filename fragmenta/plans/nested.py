@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.operators import nested, rewrite
+from fragmenta.operators import master_outline, nested, rewrite
 from fragmenta.session import table
 
 
@@ -144,4 +144,37 @@ o AS (SELECT a.conv_id, a.i, any_value(a.turn) AS turn, any_value(a.level) AS le
 SELECT conv_id, string_agg(level, '|' ORDER BY i) AS levels, coalesce(string_agg('TP-' || turn, '|' ORDER BY i) FILTER (WHERE level NOT IN ('C3', 'C4', 'C5', 'C6')), '') AS low, string_agg(link, '|' ORDER BY i) AS links FROM o GROUP BY conv_id
 """
 
-QUERIES = {"nested_walk": (nested_walk, NESTED_WALK), "authored_texts": (authored_texts, AUTHORED), "rewritten_fields": (rewritten_fields, REWRITTEN), "module_outline": (module_outline, OUTLINE), "rederived_modules": (rederived_modules, REDERIVED)}
+def outline_rules(spark, sf_dir):
+    """Each conversation as a module: its turns are objectives, the even ones have criteria, whose descriptors are
+    the texts of the first and the last turn; what a user says is assessed."""
+    talks = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("x"))
+    each, n = (lambda make: F.transform("x", make)), (lambda t: t["turn"].cast("string"))
+    even, text = F.filter("x", lambda t: t["turn"] % 2 == 0), lambda i: F.element_at("x", i)["text"]
+    act = F.array(F.struct(F.lit("a").alias("id"), F.lit("TP-0").alias("tp_linked")))
+    made = F.struct(
+        each(lambda t: F.struct(F.concat(F.lit("TP-"), n(t)).alias("id"))).alias("learning_objectives"), F.transform(even, lambda t: F.struct(F.concat(F.lit("K"), n(t)).alias("id"), F.concat(F.lit("TP-"), n(t)).alias("tp_id"))).alias("success_criteria"),
+        F.struct(*(act.alias(k) for k in rewrite.EXPERIENCES)).alias("learning_phases"), F.struct(each(lambda t: F.struct(F.when(t["role"] == "user", F.concat(F.lit("TP-"), n(t))).alias("tp_linked"))).alias("formative")).alias("assessments"),
+        F.struct(F.transform(even, lambda t: F.struct(F.concat(F.lit("K"), n(t)).alias("kktp_id"), F.array(t["text"]).alias("criteria"), F.array(F.lit("1"), F.lit("2")).alias("levels"), F.array(text(1), text(-1)).alias("descriptors"))).alias("kktp_rubric"), F.lit("x").alias("scoring_intervals")).alias("rubric"),
+        F.array(F.lit("Kewargaan"), F.when(F.col("conv_id") % 3 == 0, F.get("x", F.lit(0))["role"]).otherwise("Kolaborasi")).alias("profile_dimensions"), F.struct(F.struct((F.col("conv_id") % 2 == 0).alias("enabled")).alias("kbc")).alias("approach_principles"),
+        F.struct(F.when(F.col("conv_id") % 5 > 0, "KEMENAG").otherwise("LAIN").alias("education_system")).alias("curriculum_context"), *(F.struct(F.lit("x").alias(f)).alias(c) for c, f in (("learner_readiness", "summary"), ("material_characteristics", "summary"), ("learning_environment", "physical"))),
+        F.array(F.lit("x")).alias("pedagogical_practices"), F.create_map(F.lit("a"), F.lit("x")).alias("essential_understanding"), each(lambda t: F.struct(F.when(t["role"] == "user", "student").otherwise("teacher").alias("role"))).alias("reflection"),
+    )
+    return master_outline.outline_errors(talks.select("conv_id", F.from_json(F.to_json(made), master_outline.MODULE).alias("m")), "conv_id", "m")
+
+
+OUTLINE_RULES = rf"""
+WITH t AS (SELECT conv_id, turn, role, text FROM conversations), ends AS (SELECT conv_id, arg_min(text, {{'t': turn, 'r': role, 'x': text}}) AS a, arg_max(text, {{'t': turn, 'r': role, 'x': text}}) AS b, arg_min(role, {{'t': turn, 'r': role, 'x': text}}) AS r, bool_or(role = 'user') AS s, bool_or(role <> 'user') AS o FROM t GROUP BY 1),
+w AS (SELECT t.conv_id, turn, trim(a) AS a, trim(b) AS b, list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 3) AS asked,
+      list_filter(string_split_regex(regexp_replace(lower(a || ' ' || b), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda x: length(x) > 3 AND NOT list_contains([{', '.join(repr(g) for g in master_outline.GENERIC)}], x)) AS own FROM t JOIN ends USING (conv_id) WHERE turn % 2 = 0)
+SELECT conv_id, 'KKTP_ERROR' AS code, 'objective without criterion' AS rule, 'TP-' || turn AS subject FROM t a WHERE turn % 2 = 1
+UNION ALL SELECT conv_id, 'ASSESSMENT_ERROR', 'objective without item', 'TP-' || turn FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE a.conv_id = b.conv_id AND a.turn = b.turn AND b.role = 'user')
+UNION ALL SELECT conv_id, 'RUBRIC_DESCRIPTOR_WEAK', 'too short', 'K' || turn FROM w WHERE least(length(a), length(b)) < 10
+UNION ALL SELECT conv_id, 'RUBRIC_DESCRIPTOR_WEAK', 'alike', 'K' || turn FROM w WHERE lower(a) = lower(b)
+UNION ALL SELECT conv_id, 'RUBRIC_DESCRIPTOR_WEAK', 'unrelated', 'K' || turn FROM w WHERE lower(a) <> lower(b) AND len(own) > 0 AND len(asked) > 0 AND NOT list_has_any(own, asked)
+UNION ALL SELECT conv_id, 'A3_NON_NORMATIVE_DIMENSION', 'unknown dimension', r FROM ends WHERE conv_id % 3 = 0
+UNION ALL SELECT conv_id, 'KBC_LAYER_ERROR', 'layer', 'kbc' FROM ends WHERE (conv_id % 5 > 0) <> (conv_id % 2 = 0)
+UNION ALL SELECT conv_id, 'TP_ALIGNMENT_ERROR', 'activity without objective', 'a' FROM ends WHERE conv_id NOT IN (SELECT conv_id FROM t WHERE turn = 0)
+UNION ALL SELECT conv_id, 'ACTIVITY_ERROR', 'no student reflection', 'student' FROM ends WHERE NOT s UNION ALL SELECT conv_id, 'ACTIVITY_ERROR', 'no teacher reflection', 'teacher' FROM ends WHERE NOT o
+"""
+
+QUERIES = {"nested_walk": (nested_walk, NESTED_WALK), "authored_texts": (authored_texts, AUTHORED), "rewritten_fields": (rewritten_fields, REWRITTEN), "module_outline": (module_outline, OUTLINE), "rederived_modules": (rederived_modules, REDERIVED), "outline_rules": (outline_rules, OUTLINE_RULES)}
