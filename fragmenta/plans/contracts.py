@@ -153,7 +153,9 @@ QUERIES = {
     "objective_structure": (objective_structure, "SELECT doc_id, CASE WHEN n_chars % 9 = 0 THEN 'TP_EMPTY' ELSE 'TP_TOO_MANY' END AS code FROM documents WHERE n_chars % 9 = 0 OR n_chars % 9 > 6"),
     "criterion_structure": (criterion_structure, """SELECT doc_id, unnest(list_filter([CASE WHEN n_chars % 6 = 0 THEN 'KKTP_EMPTY' END, CASE WHEN n_chars % 6 > 0 AND n_chars % 7 = 0 THEN 'KKTP_WITHOUT_CRITERIA' END,
         CASE WHEN n_chars % 6 > 0 AND n_chars % 5 = 0 AND doc_id % 4 > 0 THEN 'KKTP_MISPLACED' END], lambda x: x IS NOT NULL)) AS code FROM documents"""),
-    "forbidden_keys": (forbidden_keys, "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'fase,phase' ELSE '' END AS keys FROM events"),
+    "forbidden_keys": (forbidden_keys, f"""
+        WITH j AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN regexp_replace(props, '^{{', '{{"phase": 1, "fase": 2, ') WHEN 1 THEN props ELSE '[1]' END AS j FROM events)
+        SELECT event_id, array_to_string(list_sort(list_filter(json_keys(j), lambda k: list_contains({list(ops.PROTECTED_KEYS)}, k))), ',') AS keys FROM j"""),
     "completeness": (completeness, """SELECT doc_id, unnest(list_filter([CASE WHEN n_chars % 3 = 0 OR coalesce(source, '') = '' THEN 'title' END, CASE WHEN n_chars % 5 = 0 THEN 'learning_objectives' END, CASE WHEN n_chars % 7 = 0 THEN 'success_criteria' END], lambda x: x IS NOT NULL)) AS code FROM documents"""),
     "instrument_recap": (instrument_recap, "SELECT doc_id, n_chars % 3 AS diagnostic_count, n_chars % 4 AS formative_count, n_chars % 5 AS summative_count FROM documents"),
     "slop_gate": (slop_gate, "SELECT user_id AS module, count(*) AS n FROM events WHERE event_type IN ('click', 'view') GROUP BY 1 HAVING count(*) > 5"),
@@ -183,7 +185,9 @@ QUERIES = {
     "merged_items": (merged_items, "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) WHEN n_regionkey < 2 THEN n_name END AS n_name, n_regionkey FROM nation"),
     "union_by_key": (union_by_key, "SELECT c_custkey AS o_custkey, 'c' AS of FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT o_custkey, 'o' || min(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY o_custkey"),
     "outside_set": (outside_set, "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'en' AND doc_id % 5 = 0 AND source IS NOT NULL)"),
-    "same_ids": (same_ids, "SELECT doc_id % 4 = 0 AS same, count(*) AS n FROM documents GROUP BY 1"),
+    "same_ids": (same_ids, """
+        WITH g AS (SELECT CASE doc_id % 4 WHEN 0 THEN ['b', 'a'] WHEN 1 THEN ['a', 'a'] WHEN 2 THEN ['a'] ELSE ['a', 'c'] END AS g FROM documents)
+        SELECT len(g) = len(list_distinct(g)) AND list_sort(g) = ['a', 'b'] AS same, count(*) AS n FROM g GROUP BY 1"""),
     "subjects_of": (subjects_of, "SELECT CAST(n_regionkey AS VARCHAR) AS level, n_name AS subject FROM nation WHERE n_regionkey % 2 = 0 OR n_regionkey = 3"),
     "context_hash": (context_hash, "SELECT doc_id, substr(sha256('CP-' || doc_id || ':' || CASE WHEN doc_id % 6 > 0 THEN coalesce(text, 'None') ELSE 'None' END || CASE WHEN doc_id % 4 > 0 THEN ':ATP' ELSE ':None' END || ':TP-1:TP-' || doc_id), 1, 16) AS h FROM documents"),
     "meetings_spec": (meetings_spec, "SELECT doc_id, CASE WHEN ok THEN n_chars % 4 END AS n_meetings, CASE WHEN ok THEN n_chars % 5 END AS jp_per_meeting, CASE WHEN ok THEN CAST(40 AS BIGINT) END AS minutes_per_jp FROM (SELECT *, n_chars % 4 > 0 AND n_chars % 5 > 0 AS ok FROM documents)"),

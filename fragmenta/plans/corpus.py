@@ -68,7 +68,12 @@ F_ = "WITH " + roles.FRAGMENTS
 QUERIES = {
     "fragments_chunk": (fragments_chunk, F_ + "SELECT document_id, count(*) AS fragments, CAST(sum(char_count) AS BIGINT) AS characters, min(text_hash) AS first_hash FROM fragments GROUP BY 1"),
     "fragment_rows": (fragment_rows, F_ + "SELECT fragment_id, paragraph, chunk, text_hash, char_count FROM fragments"),
-    "sentence_pack": (sentence_pack, None),
+    "sentence_pack": (sentence_pack, r"""
+        WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT doc_id, t, list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: true) AS s FROM f WHERE t <> ''),
+        r AS (SELECT doc_id, CASE WHEN length(t) <= 400 THEN [t] ELSE string_split(list_reduce(s, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + length(x) + 1 > 400 AND string_split(a, chr(1))[-1] <> '' THEN a || chr(1) || x
+              WHEN string_split(a, chr(1))[-1] = '' THEN a || x ELSE a || ' ' || x END), chr(1)) END AS p FROM s)
+        SELECT doc_id AS document_id, i - 1 AS n, sha256(p[i]) AS text_hash, length(p[i]) AS char_count FROM r, unnest(range(1, len(p) + 1)) AS u(i)"""),
     "section_detect": (section_detect, r"""
         SELECT doc_id AS document_id, coalesce(substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(upper(x), '^\s+|\s+$', '', 'g')),
                lambda x: contains(x, 'THERE') OR contains(x, 'LICENSE') OR contains(x, 'QUE EAU'))[1], 1, 100), 'General') AS section FROM documents"""),

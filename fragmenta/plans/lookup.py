@@ -123,11 +123,13 @@ def amended(spark, sf_dir):
 
 
 def families(spark, sf_dir):
-    rows = spark.createDataFrame([("KEMENAG", "MTs"), ("KEMENDIKDASMEN", "TKLB"), ("KEMENDIKDASMEN", "SMP"), ("KEMENAG", "SMP"), ("X", "MA")], "system string, institution string")
-    return rows.select("system", "institution", tx.family(F.col("system"), F.col("institution")).alias("family"))
+    pick = lambda of, c: F.element_at(F.array(*map(F.lit, of)), (c % len(of) + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", pick(("KEMENAG", "KEMENDIKDASMEN", "X"), F.col("c_nationkey")).alias("system"), pick(UNITS, F.col("c_custkey")).alias("institution"))
+    return rows.groupBy("system", "institution", tx.family(F.col("system"), F.col("institution")).alias("family")).agg(F.count("*").alias("n"))
 
 
 O_ = "WITH " + roles.OUTCOMES
+UNITS = ("RA", "MI", "MTs", "MA", "MAK", "TKLB", "SDLB", "SMPLB", "SMALB", "TK", "SD", "SMP", "SMA", "SMK", "lain")
 
 QUERIES = {
     "lo_lookup": (lo_lookup, O_ + "SELECT id, source_page FROM los WHERE subject = 'src1' AND phase = 'en' AND coalesce(status, 'active') = 'active' AND coalesce(program_type, 'reguler') = 'reguler'"),
@@ -160,5 +162,8 @@ QUERIES = {
     "subject_search": (subject_search, "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red')"),
     "book_list": (book_list, "WITH " + roles.FRAGMENTS + "SELECT d.doc_id AS document_id, count(f.document_id) AS fragments FROM documents d LEFT JOIN fragments f ON f.document_id = d.doc_id WHERE d.source = 'src3' GROUP BY 1"),
     "amended": (amended, O_ + "SELECT CASE WHEN contains(subject, 'src1') THEN 'superseded' ELSE 'active' END AS status, count(*) AS n FROM los GROUP BY 1"),
-    "families": (families, "SELECT * FROM (VALUES ('KEMENAG', 'MTs', 'madrasah'), ('KEMENDIKDASMEN', 'TKLB', 'pendidikan_khusus'), ('KEMENDIKDASMEN', 'SMP', 'sekolah'), ('KEMENAG', 'SMP', 'SMP'), ('X', 'MA', 'MA')) AS t(system, institution, family)"),
+    "families": (families, f"""
+        WITH c AS (SELECT ['KEMENAG', 'KEMENDIKDASMEN', 'X'][c_nationkey % 3 + 1] AS system, {list(UNITS)}[c_custkey % {len(UNITS)} + 1] AS institution FROM customer)
+        SELECT system, institution, CASE WHEN system = 'KEMENAG' AND institution IN ('RA', 'MI', 'MTs', 'MA', 'MAK') THEN 'madrasah' WHEN system = 'KEMENDIKDASMEN' AND institution LIKE '%LB' THEN 'pendidikan_khusus'
+            WHEN system = 'KEMENDIKDASMEN' AND institution IN ('TK', 'SD', 'SMP', 'SMA', 'SMK') THEN 'sekolah' ELSE institution END AS family, count(*) AS n FROM c GROUP BY ALL"""),
 }

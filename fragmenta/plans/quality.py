@@ -54,8 +54,12 @@ def protected_fields(spark, sf_dir):
 
 
 def snapshot_diff(spark, sf_dir):
-    rows = spark.createDataFrame([({"a": "1", "b": "2", "c": None}, {"b": "3", "c": None, "d": "4"})], "before map<string,string>, after map<string,string>")
-    return rows.select(F.explode(ops.snapshot_difference(F.col("before"), F.col("after"))).alias("key"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    key = F.concat(F.lit("turn "), F.col("turn").cast("string"))
+    entry = lambda hit, value: F.map_from_entries(F.collect_list(F.when(hit, F.struct(key.alias("key"), value.alias("value")))))
+    before, after = entry(F.col("turn") % 3 > 0, F.col("role")), entry(F.col("turn") % 4 > 0, F.when(F.col("turn") % 5 == 0, F.upper("role")).when(F.col("turn") % 5 < 4, F.col("role")))
+    rows = turns.groupBy("conv_id").agg(before.alias("before"), after.alias("after"))
+    return rows.select("conv_id", F.explode(ops.snapshot_difference(F.col("before"), F.col("after"))).alias("key"))
 
 
 def blueprint(spark, sf_dir):
@@ -123,7 +127,10 @@ QUERIES = {
     "coverage": (coverage, "SELECT 'PART_NOT_USED' AS code, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) HAVING count(*) > 0"),
     "link_check": (link_check, "SELECT 'UNKNOWN_PART' AS code, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 10 > 0) HAVING count(*) > 0"),
     "protected_fields": (protected_fields, """SELECT n_nationkey AS key, unnest(CASE WHEN n_nationkey = 3 THEN ['n_name', 'n_regionkey'] ELSE ['n_name'] END) AS field FROM nation WHERE n_nationkey = 3 OR (n_nationkey % 4 = 0 AND lower(n_name) <> n_name)"""),
-    "snapshot_diff": (snapshot_diff, "SELECT * FROM (VALUES ('a'), ('b'), ('d')) t(key)"),
+    "snapshot_diff": (snapshot_diff, """
+        WITH t AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY ALL), b AS (SELECT conv_id, turn, role FROM t WHERE turn % 3 > 0),
+        a AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN upper(role) WHEN turn % 5 < 4 THEN role END AS role FROM t WHERE turn % 4 > 0)
+        SELECT conv_id, 'turn ' || turn AS key FROM b FULL JOIN a USING (conv_id, turn) WHERE b.role IS DISTINCT FROM a.role"""),
     "blueprint": (blueprint, """SELECT p_partkey AS tp_id, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS forms, count(l_partkey) AS n_items, CAST(coalesce(sum(CAST(trunc(l_quantity) AS BIGINT)), 0) AS BIGINT) AS points
         FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1"""),
     "topic_drift": (topic_drift, """WITH w AS (SELECT conv_id, role, unnest(regexp_extract_all(lower(string_agg(text, ' ' ORDER BY turn)), '[a-z]+')) AS w FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1, 2),

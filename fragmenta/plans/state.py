@@ -110,13 +110,15 @@ def id_counters(spark, sf_dir):
 
 
 def sql_statements(spark, sf_dir):
-    rows = spark.createDataFrame([("-- note\nCREATE TABLE a (x);\n  -- more\nINSERT INTO a VALUES (1);;\n",)], "script string")
-    return rows.select(F.posexplode(ops.split_statements(F.col("script"))).alias("n", "statement")).select(F.col("n").cast("long"), "statement")
+    script = F.replace(F.replace("text", F.lit("."), F.lit(";")), F.lit("\nT"), F.lit("\n  -- T"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ops.split_statements(script)).alias("n", "statement"))
+    return rows.select("doc_id", F.col("n").cast("long"), F.sha2("statement", 256).alias("statement"))
 
 
 def version_actions(spark, sf_dir):
-    rows = spark.createDataFrame([(a, s) for a in ("edit", "validate", "finalize") for s in ("draft", "validated", "finalized")], "action string, status string")
-    return rows.select("action", "status", ops.version_outcome(F.col("action"), F.col("status")).alias("outcome"))
+    pick = lambda of, c: F.element_at(F.array(*map(F.lit, of)), (c % len(of) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", pick(("edit", "validate", "finalize"), F.col("turn")).alias("action"), F.when(F.col("role") == "user", "draft").otherwise(pick(("validated", "finalized"), F.col("conv_id"))).alias("status"))
+    return rows.groupBy("action", "status", ops.version_outcome(F.col("action"), F.col("status")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 V = "SELECT conv_id AS generation_id, turn AS version_no, role AS status, text AS module_json FROM conversations"
@@ -152,7 +154,11 @@ QUERIES = {
     "dedup_normalised": (dedup_normalised, r"""WITH k AS (SELECT doc_id, source, lang, substr(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 400) AS k FROM documents)
         SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY lang, k ORDER BY doc_id) AS n FROM k) WHERE n = 1"""),
     "id_counters": (id_counters, "SELECT doc_id, 'CP-' || source || '-' || lang || '-' || row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS id FROM documents"),
-    "sql_statements": (sql_statements, "SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'CREATE TABLE a (x)'), (1, 'INSERT INTO a VALUES (1)')) AS t(n, statement)"),
-    "version_actions": (version_actions, """SELECT a AS action, s AS status, CASE WHEN a = 'edit' THEN 'draft' WHEN s = 'finalized' THEN NULL WHEN a = 'validate' THEN 'validated' ELSE 'finalized' END AS outcome
-        FROM (VALUES ('edit'), ('validate'), ('finalize')) x(a), (VALUES ('draft'), ('validated'), ('finalized')) y(s)"""),
+    "sql_statements": (sql_statements, r"""
+        WITH l AS (SELECT doc_id, array_to_string(list_filter(string_split(replace(replace(text, '.', ';'), chr(10) || 'T', chr(10) || '  -- T'), chr(10)), lambda x: NOT starts_with(ltrim(x), '--')), chr(10)) AS s FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, list_filter(list_transform(string_split(s, ';'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM l)
+        SELECT doc_id, i - 1 AS n, sha256(p[i]) AS statement FROM p, unnest(range(1, len(p) + 1)) AS u(i)"""),
+    "version_actions": (version_actions, """
+        WITH t AS (SELECT ['edit', 'validate', 'finalize'][turn % 3 + 1] AS a, CASE WHEN role = 'user' THEN 'draft' ELSE ['validated', 'finalized'][conv_id % 2 + 1] END AS s FROM conversations)
+        SELECT a AS action, s AS status, CASE WHEN a = 'edit' THEN 'draft' WHEN s = 'finalized' THEN NULL WHEN a = 'validate' THEN 'validated' ELSE 'finalized' END AS outcome, count(*) AS n FROM t GROUP BY ALL"""),
 }

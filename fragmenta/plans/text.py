@@ -104,7 +104,8 @@ def choice_options(spark, sf_dir):
 
 
 def backoff(spark, sf_dir):
-    return spark.range(1, 6).select(F.col("id").alias("attempt"), tx.backoff_seconds(F.col("id")).alias("seconds"), tx.poll_delay_ms(F.col("id")).cast("long").alias("poll_ms"))
+    rows = table(spark, sf_dir, "events").select((F.get_json_object("props", "$.k").cast("long") % 12 + 1).alias("attempt"))
+    return rows.groupBy("attempt", tx.backoff_seconds(F.col("attempt")).alias("seconds"), tx.poll_delay_ms(F.col("attempt")).cast("long").alias("poll_ms")).agg(F.count("*").alias("n"))
 
 
 def seeded_sample(spark, sf_dir):
@@ -135,7 +136,11 @@ def mean_containment(spark, sf_dir):
 
 QUERIES = {
     "bloom_level": (bloom_level, "SELECT CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{v}')" for v in LEVELS[k]) + f" THEN '{k}'" for k in sorted(LEVELS, reverse=True)) + " ELSE 'UNKNOWN' END AS level, count(*) AS n FROM documents GROUP BY 1"),
-    "staccato_streak": (staccato_streak, None),
+    "staccato_streak": (staccato_streak, r"""
+        WITH s AS (SELECT doc_id, string_split_regex(text, '\. ?\n?') AS s FROM documents), p AS (SELECT doc_id, i, trim(regexp_replace(s[i], '^\s+|\s+$', '', 'g')) AS x FROM s, unnest(range(1, len(s) + 1)) AS u(i)),
+        b AS (SELECT *, x <> '' AND length(x) <= 25 AS short FROM p), g AS (SELECT *, sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM b),
+        r AS (SELECT doc_id, g, count(*) FILTER (WHERE short) AS n FROM g GROUP BY ALL)
+        SELECT doc_id, max(n) AS streak FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id"""),
     "slop_scan": (slop_scan, None),
     "page_similarity": (page_similarity, None),  # matching blocks: tested against the usual diff
     "mean_containment": (mean_containment, "WITH " + roles.FRAGMENTS + r""",
@@ -154,14 +159,23 @@ QUERIES = {
     "json_salvage": (json_salvage, "SELECT CASE WHEN event_id % 3 < 2 THEN props END AS json, count(*) AS n FROM events GROUP BY 1"),
     "slugs": (slugs, "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part"),
     "punctuation": (punctuation, r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS h FROM documents"),
-    "prompt_hashes": (prompt_hashes, None),  # DuckDB strings take no NUL
+    "prompt_hashes": (prompt_hashes, r"SELECT n_nationkey, sha256(encode(n_name) || '\x00'::BLOB || encode(CAST(n_regionkey AS VARCHAR)) || '\x00'::BLOB) AS h FROM nation"),
     "escapes": (escapes, """SELECT page_id, sha256(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS h FROM pages"""),
     "positive_ints": (positive_ints, "WITH k AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) SELECT CASE WHEN k BETWEEN 1 AND 30 THEN k END AS k, count(*) AS n FROM k GROUP BY 1"),
-    "html_segments": (html_segments, None),
+    "html_segments": (html_segments, """
+        WITH s AS (SELECT page_id, string_split(html, '<') AS s FROM pages WHERE html IS NOT NULL), c AS (SELECT page_id, list_concat(CASE WHEN s[1] = '' AND len(s) > 1 THEN [] ELSE [s[1]] END, list_transform(s[2:], lambda x: '<' || x)) AS c FROM s),
+        l AS (SELECT page_id, i - 1 AS pos, regexp_matches(c[i], '^<(p|h1|li|nav|article)[ >]') AS m FROM c, unnest(range(1, len(c) + 1)) AS u(i)),
+        n AS (SELECT page_id, pos, count(*) FILTER (WHERE m) OVER (PARTITION BY page_id ORDER BY pos) AS segment FROM l)
+        SELECT page_id AS document_id, max(segment) AS segments, max(pos) FILTER (WHERE segment > 0) AS last FROM n GROUP BY 1"""),
     "boundary_flags": (boundary_flags, "WITH r AS (SELECT conv_id, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn) <> role, true) AS f FROM conversations) SELECT conv_id, count(*) FILTER (WHERE f) AS boundaries, count(*) AS n FROM r GROUP BY 1"),
-    "carry_forward": (carry_forward, None),
+    "carry_forward": (carry_forward, r"""
+        WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL),
+        l AS (SELECT doc_id, i, regexp_matches(s[i], '^(Th|Le|Di|De)') AS sub, regexp_matches(s[i], '^(The|La|Der|El)([^\p{L}\p{M}\p{N}_]|$)') AS head FROM s, unnest(range(1, len(s) + 1)) AS u(i)),
+        h AS (SELECT *, count(*) FILTER (WHERE head AND NOT sub) OVER (PARTITION BY doc_id ORDER BY i) AS nh FROM l),
+        k AS (SELECT *, count(*) FILTER (WHERE sub) OVER (PARTITION BY doc_id, nh ORDER BY i) AS ns FROM h)
+        SELECT doc_id AS document_id, count(*) FILTER (WHERE nh > 0) AS under_head, count(*) FILTER (WHERE ns > 0) AS under_sub, count(*) FILTER (WHERE head OR sub) AS headings FROM k GROUP BY 1"""),
     "outcome_parser": (outcome_parser, None),
     "choice_options": (choice_options, "SELECT n_nationkey, l AS label, CASE l WHEN 'A' THEN lower(n_name) WHEN 'B' THEN 'dua' WHEN 'C' THEN 'tiga' ELSE 'empat' END AS text FROM nation, (VALUES ('A'), ('B'), ('C'), ('D')) t(l)"),
-    "backoff": (backoff, "SELECT r AS attempt, least(10.0, CAST(3.0 ** (r - 1) AS DOUBLE)) AS seconds, least(5000, 500 * (r + 1)) AS poll_ms FROM range(1, 6) t(r)"),
+    "backoff": (backoff, "WITH t AS (SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 12 + 1 AS r FROM events) SELECT r AS attempt, least(10.0, CAST(3.0 ** (r - 1) AS DOUBLE)) AS seconds, least(5000, 500 * (r + 1)) AS poll_ms, count(*) AS n FROM t GROUP BY r"),
     "seeded_sample": (seeded_sample, "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('7-' || doc_id), doc_id) AS n FROM documents) WHERE n <= 5"),
 }
