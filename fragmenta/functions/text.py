@@ -71,7 +71,12 @@ def count_of(text: Column, needles: Sequence[str]) -> Column:
 
 def is_debris(text: Column) -> Column:
     """Layout remains: three characters or fewer, or no run of three Latin letters."""
-    return (F.length(strip(text)) <= 3) | ~text.rlike("[A-Za-z\u00c0-\u024f]{3,}")
+    return is_debris_stripped(strip(text))
+
+
+def is_debris_stripped(text: Column) -> Column:
+    """is_debris() of a text that strip() has been over."""
+    return (F.length(text) <= 3) | ~text.rlike("[A-Za-z\u00c0-\u024f]{3,}")
 
 
 def section_of(page: Column, headers: Sequence[str] = SECTION_HEADERS) -> Column:

@@ -7,18 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.functions.text import any_of, collapse, is_debris, section_of, strip, tight
+from fragmenta.functions.text import any_of, collapse, is_debris_stripped, section_of, strip, tight
 
 
 def chunks(pages: DataFrame, size: int = 1000) -> DataFrame:
     """Fragments of pages (document_id, page_number, text): slices of paragraphs of at most size
     characters, without debris, with section, hash of the stored text and a deterministic id."""
-    para = pages.select("*", section_of(F.col("text")).alias("section"), F.posexplode(F.split("text", "\n\n")).alias("paragraph", "__p"))
-    cut = para.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.length("__p") - 1, F.lit(0)), F.lit(size))).alias("__at"))
-    cut = cut.withColumn("__c", F.substring("__p", F.col("__at") + 1, F.lit(size))).where(~is_debris(F.col("__c")))
-    body = strip(F.col("__c"))
-    name = F.concat(F.col("document_id").cast("string"), F.lit("_page"), "page_number", F.lit("_para"), "paragraph", F.lit("_chunk"), (F.col("__at") / size).cast("int"))
-    return cut.select(name.alias("fragment_id"), "document_id", "page_number", "section", "paragraph", (F.col("__at") / size).cast("int").alias("chunk"), body.alias("text"), F.sha2(body, 256).alias("text_hash"), F.length(body).alias("char_count"))
+    para = pages.select("document_id", "page_number", section_of(F.col("text")).alias("section"), F.posexplode(F.split("text", "\n\n")).alias("paragraph", "__p"))
+    # each slice is trimmed once, within the array, and debris never becomes a row
+    slices = F.transform(F.sequence(F.lit(0), F.greatest(F.length("__p") - 1, F.lit(0)), F.lit(size)), lambda at: F.struct((at / size).cast("int").alias("chunk"), strip(F.substring("__p", at + 1, F.lit(size))).alias("text")))
+    kept = F.filter(slices, lambda x: ~is_debris_stripped(x["text"]))
+    cut = para.select("document_id", "page_number", "section", "paragraph", F.inline(kept))
+    name = F.concat(F.col("document_id").cast("string"), F.lit("_page"), "page_number", F.lit("_para"), "paragraph", F.lit("_chunk"), "chunk")
+    return cut.select(name.alias("fragment_id"), "document_id", "page_number", "section", "paragraph", "chunk", "text", F.sha2("text", 256).alias("text_hash"), F.length("text").alias("char_count"))
 
 
 def totals(fragments: DataFrame, methods: str | None = None) -> DataFrame:

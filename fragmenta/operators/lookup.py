@@ -117,3 +117,20 @@ def subject_code(names: DataFrame, stop: Sequence[str] = ("dan", "di", "ke", "da
     n = F.row_number().over(Window.partitionBy("__base").orderBy("name"))
     out = names.select("name").distinct().withColumn("__base", base).withColumn("__n", n)
     return out.select("name", F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat_ws("-", "__base", "__n")).alias("code"))
+
+
+def containing(items: DataFrame, documents: DataFrame, item: str, document: str, least: float) -> DataFrame:
+    """item, document and containment: the share, in hundredths, of an item's distinct words (w) that a
+    document has, where it is least (a share, over 0) or more. Both come as (id, w).
+
+    Of an item's n words a document may lack n - ceil(least n), so it has one of the n - ceil(least n) + 1
+    rarest: only these look for documents, frequent words never do."""
+    own, theirs = items.select(item, "w").distinct(), documents.select(document, "w").distinct()
+    often = theirs.join(own.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy(item).orderBy(F.coalesce("often", F.lit(0)), "w"))
+    n = F.count("*").over(Window.partitionBy(item))
+    ranked = own.join(often, "w", "left").select(item, "w", place.alias("place"), n.alias("n"))
+    rare = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    met = rare.join(theirs, "w").select(item, document, "n").distinct()
+    both = met.join(own, item).join(theirs, [document, "w"]).groupBy(item, document, "n").agg(F.count("*").alias("both"))
+    return both.where(F.col("both") >= F.col("n") * least - 1e-9).select(item, document, (F.col("both") * 100.0 / F.col("n")).alias("containment"))

@@ -64,12 +64,14 @@ def joined(parts: Column) -> Column:
 
 
 def outcome_ids(found: DataFrame, prefix: str = "CP") -> DataFrame:
-    """segments with deterministic ids; repeats of a (subject, phase, element, text) go."""
-    same = Window.partitionBy("subject", "phase", "element", F.substring(F.lower(collapse(F.col("text"))), 1, 400)).orderBy("document_id", "segment")
+    """segments with deterministic ids, numbered within their document, subject, phase and page; repeats
+    of a (subject, phase, element, text) within a document go."""
+    said = F.sha2(F.substring(F.lower(collapse(F.col("text"))), 1, 400), 256)
+    same = Window.partitionBy("document_id", "subject", "phase", "element", said).orderBy("segment")
     kept = found.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
     page = F.try_element_at("pages", F.lit(1))
-    count = F.row_number().over(Window.partitionBy("subject", "phase", page).orderBy("document_id", "segment"))
-    return kept.withColumn("id", F.concat_ws("-", F.lit(prefix), slug(F.col("subject")), "phase", page.cast("string"), count.cast("string")))
+    count = F.row_number().over(Window.partitionBy("document_id", "subject", "phase", page).orderBy("segment"))
+    return kept.withColumn("id", F.concat_ws("-", F.lit(prefix), F.col("document_id").cast("string"), slug(F.col("subject")), "phase", page.cast("string"), count.cast("string")))
 
 
 def merged_lines(rows: DataFrame) -> DataFrame:

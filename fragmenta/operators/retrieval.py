@@ -13,11 +13,11 @@ from fragmenta.functions.text import any_of, count_of, strip
 def keyword_topk(fragments: DataFrame, words: Sequence[str], k: int = 8, group: str | None = None) -> DataFrame:
     """The k fragments (fragment_id, text) that hold most of the words, shorter ones first, then by
     id; of each group if there is one. Only those with a hit."""
-    scored = fragments.withColumn("score", count_of(F.lower(F.coalesce("text", F.lit(""))), words)).where("score > 0")
+    scored = fragments.withColumn("score", count_of(F.lower(F.coalesce("text", F.lit(""))), words))
     order = [F.desc("score"), F.length("text"), F.col("fragment_id")]
-    if group is None:
-        return scored.orderBy(*order).limit(k)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
+    if group is None:  # those without a hit come last: asked for behind the limit, the score is worked once a row
+        return scored.orderBy(*order).limit(k).where("score > 0")
+    return scored.where("score > 0").withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
 def candidates(fragments: DataFrame, keywords: Sequence[str], limit: int = 60) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from fragmenta.functions import modules
 from fragmenta.functions import text as tx
-from fragmenta.operators import parsers
-from fragmenta.plans import roles
+from fragmenta.operators import lookup, machines, parsers
+from fragmenta.plans import outlines, roles
 from fragmenta.session import table
 
 #: Words of the invented texts in the roles of the real lists, which the unit tests cover.
@@ -34,12 +34,9 @@ def prose_normalise(spark, sf_dir):
 
 def token_containment(spark, sf_dir):
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
-    tokens = lambda df, id: df.select(id, F.explode(words(F.col("text"))).alias("w")).distinct()
-    items = tokens(table(spark, sf_dir, "benchmark"), "item_id")
-    sizes = items.groupBy("item_id").agg(F.count("*").alias("size"))
-    # documents that have none of an item's words contain nothing of it: no row
-    met = items.join(tokens(table(spark, sf_dir, "documents"), "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("both"))
-    return met.join(sizes, "item_id").select("item_id", "doc_id", F.round(F.col("both") * 100.0 / F.col("size"), 4).alias("containment"))
+    tokens = lambda df, id: df.select(id, F.explode(words(F.col("text"))).alias("w"))
+    found = lookup.containing(tokens(table(spark, sf_dir, "benchmark"), "item_id"), tokens(table(spark, sf_dir, "documents"), "doc_id"), "item_id", "doc_id", 0.5)
+    return found.withColumn("containment", F.round("containment", 4))
 
 
 def truncation_flags(spark, sf_dir):
@@ -94,8 +91,8 @@ def carry_forward(spark, sf_dir):
 
 
 def outcome_parser(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(1).alias("page_number"), F.concat_ws("\n", F.lit("I. AKIDAH AKHLAK"), F.lit("1. Fase A (Kelas I)"), F.lit("1.1 Pemahaman Konsep"), F.concat(F.lit("Murid memahami dan menjelaskan konsep dasar nomor "), F.col("doc_id").cast("string")), F.lit("2. Fase B"), F.lit("2.1 Keterampilan"), "text").alias("text"))
-    return parsers.outcome_ids(parsers.segments(parsers.lines(lines))).select("id", "subject", "phase", "element", "text")
+    found = parsers.segments(parsers.lines(machines.glued(outlines.madrasah_fragments(spark, sf_dir))))
+    return parsers.outcome_ids(found).select("id", "document_id", "subject", "phase", "element", "text", "pages")
 
 
 def choice_options(spark, sf_dir):
@@ -152,7 +149,7 @@ QUERIES = {
     "token_containment": (token_containment, """
         WITH a AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), b AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents),
         s AS (SELECT item_id, count(*) AS size FROM a GROUP BY 1)
-        SELECT item_id, doc_id, round(count(*) * 100.0 / any_value(size), 4) AS containment FROM a JOIN b USING (w) JOIN s USING (item_id) GROUP BY 1, 2"""),
+        SELECT item_id, doc_id, round(count(*) * 100.0 / any_value(size), 4) AS containment FROM a JOIN b USING (w) JOIN s USING (item_id) GROUP BY 1, 2 HAVING count(*) * 2 >= any_value(size)"""),
     "truncation_flags": (truncation_flags, """
         WITH t AS (SELECT substr(props, 1, event_id % 12 + 1) AS t FROM events)
         SELECT NOT json_valid(t) AND (regexp_matches(t, '[,:]$') OR length(t) - length(replace(t, '{', '')) <> length(t) - length(replace(t, '}', '')) OR (length(t) - length(replace(t, '"', ''))) % 2 = 1) AS truncated, count(*) AS n FROM t GROUP BY 1"""),

@@ -355,3 +355,53 @@ def test_labels_are_their_patterns():
         start = next(((n, m.end()) for n, p, _ in fixed.SCHOOL_LABELS if (m := re.match(p, line))), None)
         end = next(((n, m.start()) for n, p, _ in fixed.SCHOOL_LABELS if (m := re.search(p, line)) and m.end() == len(line.rstrip(". ").rstrip())), None)
         assert labels.at_start(line) == start and labels.at_end(line) == end
+
+
+def plain_outline(fragments):
+    """The generic parser, by hand: three levels of headings, the lines below them as texts."""
+    pages = defaultdict(str)
+    for page, text in fragments:
+        pages[page] += text or ""
+    held, opened, out = [None, None, None], None, []
+    rows = []
+    for page, whole in sorted(pages.items()):
+        for line in filter(None, (x.strip() for x in whole.split("\n"))):
+            if re.search(r"^(?:jdih\.|-\s*\d+\s*-|\d+)$", line):
+                continue
+            hits = [re.search(p, line) for p in (r"^(?:[IVXLC]+|[A-Z])\.\s+(.+)$", r"(?i)^\d+\.\s*Fase\s+([A-F])\b", r"^\d+\.\d+\.?\s+(.+)$")]
+            level = next((i for i in (2, 1, 0) if hits[i]), None)
+            if level is None:
+                if opened is None:
+                    opened = (list(held), [], [])
+                    rows.append(opened)
+                opened[1].append(line)
+                opened[2].append(page)
+            else:
+                held[level:] = [hits[level][1], *[None] * (2 - level)]
+                opened = None
+    seen, count = set(), Counter()
+    for (subject, phase, element), lines, pages_of in rows:
+        text = ""
+        for x in lines:
+            text = x if text == "" else re.sub("-$", "", text) + x if text.endswith("-") and x[0].islower() else text + " " + x
+        text = re.sub(r"\s+", " ", text).strip()
+        key = (subject, phase, element, text.lower()[:400]) if len(text) < 600 else (subject, phase, element, text.lower()[:400])
+        if len(text) < 40 or not (text[0].isalpha() and text[0].isupper()) or key in seen:
+            continue
+        seen.add(key)
+        page = pages_of[0]
+        count[subject, phase, page] += 1
+        slug = re.sub("^-+|-+$", "", re.sub("[^a-z0-9]+", "-", subject.lower())) if subject else None
+        out.append(("-".join(str(x) for x in (slug, phase, page, count[subject, phase, page]) if x is not None), subject, phase, element, text[:600], tuple(dict.fromkeys(pages_of))))
+    return out
+
+
+def test_generic_outline_over_documents(spark, sf_dir):
+    from fragmenta.plans import text as plans_text
+
+    docs = defaultdict(list)
+    for r in sorted(plans.madrasah_fragments(spark, sf_dir).collect(), key=lambda r: (r.document_id, r.page_number, r.paragraph, r.chunk)):
+        docs[r.document_id].append((r.page_number, r.text))
+    want = {(d, f"CP-{d}-{id}", *rest) for d, parts in docs.items() for id, *rest in plain_outline(parts)}
+    got = {(r.document_id, r.id, r.subject, r.phase, r.element, r.text, tuple(r.pages)) for r in plans_text.outcome_parser(spark, sf_dir).collect()}
+    assert got == want and len(got) > 100

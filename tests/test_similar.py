@@ -55,3 +55,16 @@ def test_suggestions(spark):
                     hints.append((far, i, as_given))
         want.append((id, w, first[low][1] if low in first else None, [x[2] for x in sorted(hints)[:3]]))
     assert sorted(((r.id, r.name, r.found, r.suggestions) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_containing_is_all_pairs_filtered(spark):
+    from fragmenta.operators import lookup
+
+    rng = random.Random(7)
+    sets = lambda n, k: {i: {f"w{int(rng.random() ** 2 * 30)}" for _ in range(rng.randint(1, k))} for i in range(n)}
+    items, docs = sets(40, 12), sets(80, 25)
+    frame = lambda x, id: spark.createDataFrame([(i, w) for i, ws in x.items() for w in ws for _ in range(2)], f"{id} int, w string")
+    for least in (0.1, 0.5, 0.8, 1.0):
+        got = {(r.i, r.d): r.containment for r in lookup.containing(frame(items, "i"), frame(docs, "d"), "i", "d", least).collect()}
+        want = {(i, d): len(a & b) * 100.0 / len(a) for i, a in items.items() for d, b in docs.items() if len(a & b) >= least * len(a) - 1e-9}
+        assert got == want
