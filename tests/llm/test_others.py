@@ -242,3 +242,43 @@ def test_pipeline_stages_on_odd_rows_and_none(spark, sf_dir):
                 assert out.count() >= rows.count()
             else:
                 assert out.columns == rows.columns and out.count() <= rows.count()
+
+
+def test_views_teach_each_other_over_the_whole_table(spark, monkeypatch):
+    """A round's picks are those of a sort over all unlabelled rows, hot ids and ties included."""
+    monkeypatch.setattr(cotraining, "GIVEN", 40)
+    rng = np.random.RandomState(3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i if i % 4 else 8, " ".join(rng.choice(words, rng.randint(1, 9))), f"s{rng.randint(9)}", "en", int(rng.randint(500))) for i in range(1500)] + [(None, "w1 w2", "s1", "en", 3)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(5)
+    table = cotraining.features(docs)
+    known = spark.createDataFrame([(i,) for i in range(1, 1500, 5)], "doc_id long")
+    held = table.toPandas()
+    held = held[~held.doc_id.isin(range(1, 1500, 5))]
+    views = [(rng.randn(1 << bits) * 4, 0.3) for bits in (cotraining.TEXT_BITS, cotraining.META_BITS)]
+    teach, taken = cotraining.teacher(table, known), set()
+    for scale in (1.0, 0.7):
+        models = [(w * scale, b) for w, b in views]
+        got = teach(models)
+        want = []
+        for v, column in ((0, "__text"), (1, "__meta")):
+            z = cotraining.dots([np.array(x, np.int64) for x in held[column]], models[v][0]) + models[v][1]
+            for label, s in ((1, z), (0, -z)):
+                good = [(-x, r) for x, r in zip(s, held.row) if x >= np.log(19.0) and r not in taken]
+                picked = [r for _, r in sorted(good)[:40]]
+                taken |= set(picked)
+                want += [(v, label, r) for r in picked]
+        by_row = held.set_index("row")
+        assert len(got) == len(want) > 80
+        assert all(a == (v, label) and np.array_equal(x[0], by_row.loc[r, "__text"]) and np.array_equal(x[1], by_row.loc[r, "__meta"]) for (*a_, x), (v, label, r) in zip(got, want) for a in [tuple(a_)])
+
+
+def test_cotraining_of_no_rows_and_clashing_columns(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    model = cotraining.train(docs, labels)
+    odd = spark.createDataFrame([(1, "a " * 400_000, "s", "en", 9, "clash", 1), (1, "a " * 400_000, "s", "en", 9, "clash", 2), (None, None, None, None, None, None, 3)], "doc_id long, text string, source string, lang string, n_chars long, quality_score string, row int")
+    got = cotraining.classify(odd, model).orderBy("row").collect()
+    assert [r.row for r in got] == [1, 2, 3] and got[0].quality_score == got[1].quality_score and all(0 <= r.quality_score <= 1 for r in got)
+    none = docs.where("false")
+    assert cotraining.train(none, labels) is None and cotraining.classify(none, model).collect() == []
+    assert cotraining.from_features(cotraining.features(none), None).collect() == []
