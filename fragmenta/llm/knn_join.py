@@ -209,9 +209,13 @@ def solve(k: int):
     return run
 
 
-def solved(data: DataFrame, asked: DataFrame, blocks, k: int) -> DataFrame:
-    """query_id, vec_id, score: of each block asked, the k best for each of its queries."""
-    block = F.pmod(F.xxhash64("vec_id"), blocks).cast("int")
+def solved(data: DataFrame, asked: DataFrame, large: list[tuple[int, int, int]], k: int) -> DataFrame:
+    """query_id, vec_id, score: of each block asked, the k best for each of its queries.
+
+    large: (g, ring, blocks) of the rings of several blocks; a small table, so the plan doesn't grow with them."""
+    sizes = data.sparkSession.createDataFrame(large, "g long, ring int, blocks int")
+    data = data.join(F.broadcast(sizes), ["g", "ring"], "left")  # PIVOTS times the rings of a half circle at most
+    block = F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int")
     both = data.select("g", "ring", block.alias("block"), F.lit(False).alias("asks"), "vec_id", "v").unionByName(asked.withColumn("asks", F.lit(True)))
     parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ("g", "ring", "block")
@@ -226,14 +230,12 @@ def knn_join(vecs: DataFrame, is_query, k: int = 5) -> DataFrame:
     data = written(grouped(vecs, pivots), "grouped")
     summary = data.groupBy("g", "ring").agg(F.count("*").alias("n"), F.max("near").alias("radius"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.min("norm").alias("least"), F.max("norm").alias("most")).collect()
     rings = [(r.g, r.ring, -(-r.n // BLOCK), r.radius, r.lo, r.hi, r.least, r.most) for r in summary]
-    large = {(g, ring): n for g, ring, n, *_ in rings if n > 1}
-    sizes = F.create_map(*(F.lit(x) for (g, ring), n in large.items() for x in (f"{g} {ring}", n))) if large else None
-    blocks = F.coalesce(sizes[F.concat_ws(" ", "g", "ring")], F.lit(1)) if large else F.lit(1)
+    large = [(g, ring, n) for g, ring, n, *_ in rings if n > 1]
     queries = data.where(is_query).select("vec_id", "v", "g").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    begun = written(solved(data, routed(queries.withColumn("bound", F.lit(None).cast("double")), rings, pivots, known, k, True), blocks, k).withColumn("rank", rank).where(F.col("rank") <= k), "begun")
+    begun = written(solved(data, routed(queries.withColumn("bound", F.lit(None).cast("double")), rings, pivots, known, k, True), large, k).withColumn("rank", rank).where(F.col("rank") <= k), "begun")
     bounds = begun.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound"))
-    rest = solved(data, routed(queries.join(bounds, "vec_id", "left"), rings, pivots, known, k, False), blocks, k)
+    rest = solved(data, routed(queries.join(bounds, "vec_id", "left"), rings, pivots, known, k, False), large, k)
     found = begun.drop("rank").unionByName(rest)
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

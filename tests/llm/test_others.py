@@ -282,3 +282,25 @@ def test_cotraining_of_no_rows_and_clashing_columns(spark, sf_dir):
     none = docs.where("false")
     assert cotraining.train(none, labels) is None and cotraining.classify(none, model).collect() == []
     assert cotraining.from_features(cotraining.features(none), None).collect() == []
+
+
+def test_knn_plan_does_not_grow_with_the_rings(spark, monkeypatch):
+    monkeypatch.setattr(knn_join, "BLOCK", 4)
+    rng = np.random.RandomState(5)
+
+    def plan(n):
+        rows = [(i, (rng.randn(6) * 3).tolist()) for i in range(n)]
+        vecs = knn_join.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        out = knn_join.knn_join(vecs, F.col("vec_id") % 50 == 0)
+        mine = sorted((r.query_id, r["rank"], r.vec_id) for r in out.collect())
+        v = np.floor(np.array([x for _, x in rows]) * 256).astype(np.int64)
+        want = []
+        for q in range(0, n, 50):
+            s = v @ v[q]
+            order = [i for i in np.lexsort((np.arange(n), -s)) if i != q][:5]
+            want += [(q, k + 1, i) for k, i in enumerate(order)]
+        assert mine == sorted(want)
+        return len(out._jdf.queryExecution().optimizedPlan().toString())
+
+    small, large = plan(300), plan(3000)
+    assert large < 1.2 * small
