@@ -329,6 +329,15 @@ def passages(a: np.ndarray, b: np.ndarray, t: int, threshold: float) -> list[tup
                 best = max(best, between(lo, hi))
         return best, n
 
+    # Where neither text repeats a shingle and what they share comes in one order, a part of n shingles, both of
+    # them in common, can't be more alike than both / (2 n - both) to a range of its own length, nor than to the
+    # range from its first to its last shingle in a: most parts that fail needn't be looked at.
+    shared = np.flatnonzero(hit)
+    at = np.zeros(len(b), np.int64)
+    at[shared] = first[met[shared]]
+    plain = len(of_a) == len(a) and len(values) == len(b) and bool((np.diff(at[shared]) > 0).all())
+    low, high = (int((at[shared] - shared).min()), int((at[shared] - shared).max())) if plain else (0, 0)
+
     # up to each place: shingles in common, and others that b has once; these bound a part's similarity
     alone = np.concatenate([[0], np.cumsum(~hit & (many[which] == 1))])
     common = np.concatenate([[0], np.cumsum(hit)])
@@ -345,6 +354,10 @@ def passages(a: np.ndarray, b: np.ndarray, t: int, threshold: float) -> list[tup
             x, y = np.array(pieces)[i, 0], np.array(pieces)[j, 1]
         both = common[y] - common[x]
         may = (y - x >= t) & (both >= threshold * (both + alone[y] - alone[x]))
+        if plain:
+            n, there = y - x, at[y - 1] - at[x] + 1
+            inside = (low + x >= 0) & (high + y <= len(a))  # no range of its own length is cut off at an end of a
+            may &= ~inside | (both >= (threshold - 1e-9) * (n + np.minimum(n, there) - both))
         x, y = x[may], y[may]
         longest = np.lexsort((x, x - y))
         x, y = x[longest], y[longest]
