@@ -14,7 +14,8 @@ and the passage the minimum length.
 
 A passage is reported for each document but the first (smallest id) that has it. Null ids and null
 or short texts: none reported. Repeats within one document, or between rows of one id, are not
-reported. Min-hashing may miss passages near the limit; whole repeats are always found. Texts of
+reported. Whole repeats are always found. Of near ones, min-hashing finds about 99 of 100 at the least similarity in one
+place, fewer where earlier documents have parts of the passage (85 of 100 in a test with three such). Texts of
 any length are taken whole.
 """
 
@@ -35,7 +36,7 @@ from fragmenta.llm.jaccard_join import only_ids
 from fragmenta.llm.shingles import WIDTH, WordHashes, passes, shingles, sieve_of, word_hashes
 
 #: Words in the shortest passage; Jaccard similarity of passages; hash functions, and how many must agree.
-MIN_WORDS, THRESHOLD, HASHES, AGREE = 50, 0.8, 3, 2
+MIN_WORDS, THRESHOLD, HASHES, AGREE = 50, 0.8, 4, 2
 #: Regions are looked at with so many shingles more on each side; gaps up to BRIDGE are bridged.
 MARGIN, BRIDGE = 64, 12
 #: Places in the first document, by the shingles aligned there, that a passage is compared with.

@@ -198,3 +198,28 @@ def test_subsequences_of_many_texts_are_those_of_each():
     assert set(owners.tolist()) == {0, 3, 4} and (places[:, 3] - places[:, 2] >= 45).all()
     for k, j in zip(owners.tolist(), places.tolist()):
         assert j[2] <= min(j[:2]) and max(j[:2]) <= j[3] < sizes[k]
+
+
+def test_recall_of_near_repeats_over_a_table(spark):
+    """Planted passages in a table of random texts: all whole repeats, and nearly all near ones at the least similarity."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    text = lambda n: [word() for _ in range(n)]
+    rows, planted = [], {}
+
+    def put(words):
+        rows.append((len(rows), " ".join([*text(60), *words, *text(60)])))
+        return rows[-1][0]
+
+    for kind, n, edits, masks in (("whole", 50, 0, False), ("near", 50, 1, False), ("longer", 60, 1, False), ("masked", 60, 1, True)):
+        for _ in range(150):
+            p = text(n)
+            q = [word() if edits and i == n // 2 else w for i, w in enumerate(p)]
+            for a, b in ((0, 38), (22, 60), (10, 48)) if masks else ():
+                put(p[a:b])
+            put(p)
+            planted[put(q)] = kind
+    got = {r.doc_id for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = {k: sum(d in got for d, x in planted.items() if x == k) / 150 for k in ("whole", "near", "longer", "masked")}
+    assert found["whole"] == 1.0 and found["near"] > 0.97 and found["longer"] > 0.97 and found["masked"] > 0.75
+    assert not got - set(planted)
