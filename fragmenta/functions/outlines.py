@@ -98,3 +98,21 @@ JOINED_HEADING_REPAIRS = ((r"C[A ]*PAIAN", "CAPAIAN"), (r"CAPAIAN P+E", "CAPAIAN
 NAME_REPAIRS = ((r"([A-Z]) ([A-Z]{1,2})(?= )", r"\1\2"), (r"CAPAIANP\s*EMBELAJARAN", "CAPAIAN PEMBELAJARAN"), (r"PEMB\s+ELAJARAN", "PEMBELAJARAN"), (r"\bCA (?=[^\sAEIOU]+(?!\S))", "CA"))
 SPECIAL_SUBJECTS = ("PENDIDIKAN KHUSUS", "PROGRAM KEBUTUHAN")
 CHAPTER_LEVEL, AMENDED = "SD s.d. SMA/SMK (Fase A-F)", "AGAMA"
+
+# Documents of several religions, numbered or in tables.
+FAITH_SECTIONS = {
+    "1.2": "Pendidikan Agama Kristen dan Budi Pekerti", "1.3": "Pendidikan Agama Katolik dan Budi Pekerti", "1.4": "Pendidikan Agama Hindu dan Budi Pekerti", "1.5": "Pendidikan Agama Buddha dan Budi Pekerti", "1.6": "Pendidikan Agama Khonghucu dan Budi Pekerti",
+    "2.1": "Pendidikan Khusus Agama Islam dan Budi Pekerti", "2.2": "Pendidikan Khusus Agama Kristen dan Budi Pekerti", "2.3": "Pendidikan Khusus Agama Katolik dan Budi Pekerti", "2.4": "Pendidikan Khusus Agama Hindu dan Budi Pekerti",
+    "2.5": "Pendidikan Khusus Agama Buddha dan Budi Pekerti", "2.6": "Pendidikan Khusus Agama Khonghucu dan Budi Pekerti",
+}
+FAITH_TABLES, FAITH_SPECIAL = ("1.2", "1.3", "2.2"), "Pendidikan Khusus"
+FAITH_HEAD, FAITH_GATE, FAITH_PHASE = r"^(\d+\.\d+)\s+CAPAIAN\s+PEMBELAJARAN\s+PENDIDIKAN", r"D\.\s*Capaian\s+Pembelajaran", r"(?:\d+\.?\s*)?Fase\s+([A-F])\b"
+FAITH_PREAMBLES = ("pada akhir fase", "capaian pembelajaran setiap elemen", "kemampuan sebagai berikut", "murid memiliki kemampuan", "peserta didik memiliki kemampuan")
+LOST_LABEL = "^[A-ZÀ-ɏ][A-Za-zÀ-ɏ' \\-]{1,40}$"
+TABLE_PHASE = r"(?:[\d\.]+\s*)?Fase\s+([A-F])\b"
+TABLE_SENTENCE = r"\b(Murid|Memahami|Menjelaskan|Menerapkan|Menganalisis|Memaknai|Menyimpulkan|Mengevaluasi|Mewujudkan|Mengungkapkan|Mempraktikkan|Mendeskripsikan|Mengidentifikasi|Menyebutkan|Mengenal|Mensyukuri|Menghayati|Merefleksikan)\b"
+TABLE_OPENING, TABLE_HEADS = "capaian pembelajaran setiap elemen", ("elemen", "subelemen", "capaian pembelajaran", "elemen subelemen", "saas", "subelemen capaian pembelajaran", "elemen subelemen capaian pembelajaran")
+_OF_CHRISTIANS = ("Allah Berkarya", "Manusia dan Nilai-nilai Kristiani", "Gereja dan Masyarakat Majemuk", "Alam dan Lingkungan Hidup")
+TABLE_ELEMENTS = {FAITH_SECTIONS["1.2"]: _OF_CHRISTIANS, FAITH_SECTIONS["2.2"]: _OF_CHRISTIANS, FAITH_SECTIONS["1.3"]: ("Pribadi Murid", "Yesus Kristus", "Gereja", "Masyarakat")}
+#: The subject whose rows without a label go by their order; what a broken label stands for.
+BY_TURN, BROKEN_LABEL = FAITH_SECTIONS["1.3"], "Yesus Kristus"

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from itertools import groupby, islice
 
@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from fragmenta.functions import marred
 from fragmenta.functions import outlines as fixed
 from fragmenta.functions.labels import Labels
-from fragmenta.functions.text import collapse, strip
+from fragmenta.functions.text import collapse, slug, strip
 from fragmenta.session import ship
 
 # -- lines -----------------------------------------------------------------------------------------
@@ -48,15 +49,16 @@ def page_lines(pages: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     return cut.select("document_id", "page_number", place.alias("pos"), strip(F.col("line")).alias("line")).where("line <> ''")
 
 
-def sections(lines: DataFrame, start: Column, stop: Column, pages_at_once: int = 512) -> DataFrame:
+def sections(lines: DataFrame, start: Column, stop: Column | None = None, pages_at_once: int = 512) -> DataFrame:
     """lines with section, the number of headings (start) up to the line; 0 before the first.
 
     A heading that follows another one on its page without a line between at which a heading's text
-    ends (stop) is part of that one. Headings are counted a page at a time, pages in stretches."""
-    event = F.when(start, "start").when(stop, "stop")
+    ends (stop) is part of that one; without stop, each counts. Headings are counted a page at a time, pages in stretches."""
+    event = F.when(start, "start") if stop is None else F.when(start, "start").when(stop, "stop")
     page = Window.partitionBy("document_id", "page_number").orderBy("pos")
     before = F.last("__event", ignorenulls=True).over(page.rowsBetween(Window.unboundedPreceding, -1))
-    marked = lines.withColumn("__event", event).withColumn("__new", ((F.col("__event") == "start") & (F.coalesce(before, F.lit("stop")) == "stop")).cast("int"))
+    free = F.lit(True) if stop is None else F.coalesce(before, F.lit("stop")) == "stop"
+    marked = lines.withColumn("__event", event).withColumn("__new", ((F.col("__event") == "start") & free).cast("int"))
     marked = marked.withColumn("__new", F.coalesce("__new", F.lit(0)))
     per_page = marked.groupBy("document_id", "page_number").agg(F.sum("__new").alias("__in")).withColumn("__at", F.floor(F.col("page_number") / pages_at_once))
     earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -160,6 +162,7 @@ class Segment:
     page: int
     pos: list[int]
     lines: list[str] = field(default_factory=list)
+    pages: list[int] = field(default_factory=list)
 
 
 #: What a rule leaves to do with the line.
@@ -209,6 +212,16 @@ class Outline(Machine):
                 return self.run(str(left))
             line = left
 
+    def begin(self, *lines: str) -> None:
+        """Opens a segment under the context that holds."""
+        self.open = Segment(self.at, self.page, self.pos, list(lines), [self.page])
+
+    def more(self, line: str) -> None:
+        """Adds a line to the open segment."""
+        self.open.lines.append(line)
+        if self.page not in self.open.pages:
+            self.open.pages.append(self.page)
+
     def close(self) -> None:
         """Ends the open segment; what passes accepted() becomes a row."""
         segment, self.open = self.open, None
@@ -216,13 +229,13 @@ class Outline(Machine):
             text = self.text_of(segment)
             if text is not None and len(text) >= self.SHORTEST:
                 c = segment.context
-                self.done.append((c.subject, c.phase, c.element or fixed.NO_ELEMENT, c.sub_element, c.program, c.level, c.track, segment.page, segment.pos, text))
+                self.done.append((c.subject, c.phase, c.element or fixed.NO_ELEMENT, c.sub_element, c.program, c.level, c.track, segment.page, segment.pos, text, segment.pages))
 
     def text_of(self, segment: Segment) -> str | None:
         raise NotImplementedError
 
 
-SEGMENT = "subject string, phase string, element string, sub_element string, program_type string, education_level string, track string, page_number long, pos array<long>, text string"
+SEGMENT = "subject string, phase string, element string, sub_element string, program_type string, education_level string, track string, page_number long, pos array<long>, text string, pages array<long>"
 
 
 class Madrasah(Outline):
@@ -398,8 +411,8 @@ class Madrasah(Outline):
             c = self.at
             if not (c.subject and c.phase) or is_noise(line) or c.subject == fixed.KINDERGARTEN and not line.startswith(fixed.PUPIL):
                 return TAKEN
-            self.open = Segment(c, self.page, self.pos)
-        self.open.lines.append(line)
+            self.begin()
+        self.more(line)
         return TAKEN
 
     def text_of(self, segment):
@@ -488,7 +501,7 @@ class School(Outline):
         self.set(element=name)
         body, then = self.trailing(body)
         if body:
-            self.open = Segment(self.at, self.page, self.pos, [body])
+            self.begin(body)
         self.next_element(then)
 
     def next_element(self, name: str | None) -> None:
@@ -521,9 +534,9 @@ class School(Outline):
         body, then = self.trailing(line)
         if body or not then:
             if self.open is not None:
-                self.open.lines.append(body or line)
+                self.more(body or line)
             elif body and self.at.element:
-                self.open = Segment(self.at, self.page, self.pos, [body])
+                self.begin(body)
         self.next_element(then)
         return TAKEN
 
@@ -531,6 +544,180 @@ class School(Outline):
         return " ".join(segment.lines).strip() if segment.context.phase and segment.context.element else None
 
 
+class Faith(Outline):
+    """What documents of several religions have in common: sections by number, a gate, phases, preambles."""
+
+    HEAD, GATE = re.compile(fixed.FAITH_HEAD, re.I), re.compile(fixed.FAITH_GATE, re.I)
+    PHASE = re.compile(fixed.FAITH_PHASE)
+    SECTIONS: Mapping[str, str] = {}
+    SHORTEST = 25
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.gate = False
+
+    def section(self, line):
+        m = self.HEAD.match(line)
+        if m:
+            self.close()
+            subject = self.SECTIONS.get(m[1])
+            self.at, self.gate = Context(subject=subject, program=fixed.REGULAR, level=fixed.SCHOOL_LEVEL), False
+            return TAKEN
+        return line if self.at.subject else TAKEN
+
+    def gated(self, line):
+        self.gate = bool(self.GATE.match(line))
+        return TAKEN
+
+    def phase(self, line):
+        m = self.PHASE.match(line)
+        if m:
+            self.close()
+            self.set(phase=m[1], element=None)
+            return TAKEN
+        return line
+
+    def preamble(self, line):
+        return TAKEN if any(p in line.lower() for p in fixed.FAITH_PREAMBLES) else line
+
+    def text_of(self, segment):
+        return " ".join(x for x in segment.lines if x) if segment.context.phase and segment.context.element else None
+
+
+class Numbered(Faith):
+    """Outcomes whose element stands on a numbered line of its own, the text below it."""
+
+    RULES = (("section", None, "section"), ("gate", lambda m: not m.gate, "gated"), ("phase", None, "phase"), ("preamble", None, "preamble"), ("item", None, "item"), ("text", None, "text"))
+    SECTIONS = {k: v for k, v in fixed.FAITH_SECTIONS.items() if k not in fixed.FAITH_TABLES}
+    ITEM = re.compile(r"\d+\.\d+\.?\s+(\S.*?)\s*$")
+
+    def item(self, line):
+        m = self.ITEM.match(line)
+        if m and self.at.phase:
+            self.close()
+            self.set(element=m[1])
+            self.begin()
+        return TAKEN if m else line
+
+    def text(self, line):
+        if self.open is not None:
+            self.more(line)
+        return TAKEN
+
+
+class Table(Faith):
+    """Outcomes in table rows without numbers: a row begins with a sentence; its element is what its label
+    stands for, or the next in order."""
+
+    RULES = (
+        ("section", None, "section"), ("gate", lambda m: not m.gate, "gated"), ("phase", None, "phase"), ("table begins", None, "opening"), ("preamble", None, "preamble"), ("head of columns", None, "columns"),
+        ("outside the table", lambda m: not m.inside or not m.at.phase, "outside"), ("broken label", None, "broken"), ("letters of a border", None, "letters"), ("sentence", None, "sentence"), ("label", None, "label"), ("text", None, "text"),
+    )
+    SECTIONS = {k: fixed.FAITH_SECTIONS[k] for k in fixed.FAITH_TABLES}
+    PHASE, SENTENCE, LETTERS = re.compile(fixed.TABLE_PHASE), re.compile(fixed.TABLE_SENTENCE), re.compile(r"[A-Za-z]( [A-Za-z])+ *[.|\-]*")
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.inside, self.turn, self.under = False, 0, None
+
+    def run(self, line, rules=None):
+        line = line.strip("|").strip()
+        if line:
+            super().run(line, rules)
+
+    def anew(self, taken):
+        if taken is TAKEN:
+            self.inside, self.turn, self.under = False, 0, None
+        return taken
+
+    def section(self, line):
+        return self.anew(super().section(line)) if self.HEAD.match(line) else super().section(line)
+
+    def phase(self, line):
+        return self.anew(super().phase(line))
+
+    def opening(self, line):
+        if fixed.TABLE_OPENING in line.lower():
+            self.inside = True
+            return TAKEN
+        return line
+
+    def columns(self, line):
+        low = line.lower().rstrip(".")
+        if low in fixed.TABLE_HEADS or "elemen" in low and "capaian pembelajaran" in low:
+            self.inside = True
+            return TAKEN
+        return line
+
+    def outside(self, line):
+        return TAKEN
+
+    def broken(self, line):
+        if line.startswith("(") and "yesus" in line.lower():
+            self.under = fixed.BROKEN_LABEL
+            return TAKEN
+        return line
+
+    def letters(self, line):
+        return TAKEN if self.LETTERS.fullmatch(line) else line
+
+    def named(self, text: str) -> str | None:
+        return table_element(text, self.at.subject)
+
+    def sentence(self, line):
+        m = self.SENTENCE.search(line)
+        if not m:
+            return line
+        order, name = fixed.TABLE_ELEMENTS[self.at.subject], self.named(line[: m.start()])
+        if self.at.subject == fixed.BY_TURN:
+            self.turn = order.index(name) + 1 if name else self.turn + 1
+            self.under = name or order[(self.turn - 1) % len(order)]
+        else:
+            self.under = name or self.under or order[0]
+        self.close()
+        self.set(element=self.under)
+        self.begin(line[m.start() :].strip())
+        return TAKEN
+
+    def label(self, line):
+        """A line with a label and no new sentence: it ends a long row; in a short one it is a column's
+        scrap, dropped if it is nothing but a label."""
+        name = self.named(line)
+        if not name or len(line) > 60:
+            return line
+        if self.open is None:
+            self.under = name
+        elif len(" ".join(self.open.lines)) >= 80:
+            self.close()
+            self.under = name
+        elif not is_pure_label(line):
+            self.more(line)
+            self.under = name
+        return TAKEN
+
+    def text(self, line):
+        name = self.named(line)
+        self.under = name or self.under
+        if self.open is not None:
+            if name:
+                self.open.context = replace(self.open.context, element=name)
+            self.more(line)
+        return TAKEN
+
+
+def table_element(prefix: str, subject: str) -> str | None:
+    """The element that a table row's beginning stands for in a subject."""
+    low = prefix.lower()
+    if "kristen" in subject.lower():
+        return next((name for name, begins, holds in marred.CHRISTIAN if low.startswith(begins or "\0") or any(h in low for h in holds)), None)
+    return next((name for name, begins in marred.CATHOLIC if (low.startswith(begins) if begins else "yesus" in low.split("|")[0][:30])), None)
+
+
+def is_pure_label(line: str) -> bool:
+    words = re.findall("[A-Za-zÀ-ɏ]+", line.lower())
+    return sum(w not in marred.LABEL_WORDS for w in words) <= 1
+
+
 # -- outcomes --------------------------------------------------------------------------------------
 
 
@@ -560,6 +747,53 @@ def outcomes(segments: DataFrame, prefix: Column, longest: int = 600) -> DataFra
     return kept.withColumn("id", id).withColumn("text", F.substring("text", 1, longest))
 
 
+def rejoined(fragments: DataFrame) -> DataFrame:
+    """fragments, those that are a label alone joined to the one before where that ends in an item's number."""
+    order = Window.partitionBy("document_id").orderBy("page_number", "paragraph", "chunk")
+    is_label = lambda c: strip(c).rlike(fixed.LOST_LABEL)
+    ends_open = lambda c: F.regexp_replace(c, r"(?U)\s+$", "").rlike(r"(?U)\d+\.\d+\.?\s*$")
+    text = F.coalesce("text", F.lit(""))
+    rows = fragments.select("document_id", "page_number", "paragraph", "chunk", text.alias("text"), F.lag(text).over(order).alias("__before"), F.lead(text).over(order).alias("__after"))
+    joins = F.coalesce(is_label(F.col("text")) & ends_open(F.col("__before")), F.lit(False))
+    takes = F.coalesce(is_label(F.col("__after")) & ends_open(F.col("text")), F.lit(False))
+    kept = rows.where(~joins)
+    return kept.withColumn("text", F.when(takes, F.concat(F.regexp_replace("text", r"(?U)\s+$", ""), F.lit(" "), strip(F.col("__after")))).otherwise(F.col("text"))).drop("__before", "__after")
+
+
+def faith_segments(fragments: DataFrame, machine: type[Faith]) -> DataFrame:
+    """document_id, section and SEGMENT of documents of several religions. A section's head resets all
+    state, so each section goes its own way."""
+    lines = page_lines(fragments, ["paragraph", "chunk"])
+    if machine is Table:
+        lines = lines.withColumn("line", strip(F.btrim("line", F.lit("|")))).where("line <> ''")
+    return streamed(sections(lines, F.col("line").rlike("(?iU)" + fixed.FAITH_HEAD)), ["document_id", "section"], machined(machine), SEGMENT)
+
+
+def faith_outcomes(segments: DataFrame) -> DataFrame:
+    """Segments of Numbered or Table as outcomes, their elements mended, with the kind of institution."""
+    flat = segments.withColumn("text", collapse(F.col("text")))
+    out = outcomes(flat, F.concat(F.lit("CP-"), F.substring(slug(F.col("subject")), 1, 24)))
+    special = F.startswith("subject", F.lit(fixed.FAITH_SPECIAL))
+    return out.withColumns({"element": marred.religion_element(F.col("element")), "institution_type": F.when(special, "pendidikan_khusus").otherwise("sekolah")})
+
+
+def numbered_outcomes(fragments: DataFrame) -> DataFrame:
+    return faith_outcomes(faith_segments(rejoined(fragments), Numbered))
+
+
+def table_outcomes(fragments: DataFrame) -> DataFrame:
+    return faith_outcomes(faith_segments(fragments, Table))
+
+
+def religion_outcomes(fragments: DataFrame) -> DataFrame:
+    """Numbered outcomes, and those of tables that no numbered one says."""
+    numbered, tables = numbered_outcomes(fragments), table_outcomes(fragments)
+    said = F.sha2(F.substring(F.lower(collapse(F.col("text"))), 1, 400), 256)
+    keys = ["document_id", "subject", "phase", "element", "__said"]
+    more = tables.withColumn("__said", said).join(numbered.withColumn("__said", said).select(*keys), keys, "left_anti").drop("__said")
+    return numbered.unionByName(more.select(numbered.columns))
+
+
 def madrasah_outcomes(fragments: DataFrame) -> DataFrame:
     name = F.regexp_replace(F.regexp_replace("subject", " ", "-"), "'", "")
     return outcomes(madrasah_segments(fragments), F.concat(F.lit("CP-"), name))

@@ -33,6 +33,15 @@ CHAPTER_BODY = (
     "tuk Kelas III SD/Program Paket A)", "Elemen dan deskripsi", "Pada\nakhir Fase D", "3. Geometri.", "berikut:",
 )
 
+FAITH_LINES = (
+    "1.2 CAPAIAN PEMBELAJARAN PENDIDIKAN AGAMA KRISTEN", "1.3 CAPAIAN PEMBELAJARAN PENDIDIKAN AGAMA KATOLIK", "1.4 CAPAIAN PEMBELAJARAN PENDIDIKAN AGAMA HINDU", "2.2 CAPAIAN PEMBELAJARAN PENDIDIKAN KHUSUS", "2.6 Capaian Pembelajaran Pendidikan Khusus",
+    "1.1 CAPAIAN PEMBELAJARAN PENDIDIKAN AGAMA ISLAM",
+)
+FAITH_BODY = (
+    "D. Capaian Pembelajaran", "1. Fase A", "2. Fase B (Kelas III)", ". Fase D", "Elemen Subelemen | Capaian Pembelajaran", "Capaian pembelajaran setiap elemen adalah", "1.1. Kitab Suci Weda", "2.2 Perilaku Junzi (#+", "3.1. Al-Qur’an.", "Allah Berkarya | Murid ",
+    "Manusia dan nilai", "Gereja | Memahami ", "Alam dan Lingkungan ", "Murid mampu ", "Allah Pencipta ", "(Yesus Kristus fT", "n i u .", "| Menjelaskan ", "Masyarakat Majemuk", "Pada akhir Fase A, murid", "Tuhan Yesus | ", "Pribadi Murid Mengenal ",
+)
+
 
 def picked(line: Column, of: tuple[str, ...], seed: str) -> Column:
     return F.element_at(F.array(*map(F.lit, of)), (F.pmod(F.crc32(F.concat(F.lit(seed), line).cast("binary")), F.lit(len(of))) + 1).cast("int"))
@@ -69,6 +78,15 @@ def chapter_fragments(spark, sf_dir: str) -> DataFrame:
     return fragments.chunks(outline_pages(spark, sf_dir, first, [(2, CHAPTER_LINES, "\n"), (7, CHAPTER_BODY, "\n"), (3, CHAPTER_BODY, "")], 24))
 
 
+def faith_fragments(spark, sf_dir: str) -> DataFrame:
+    """Every third document begins with numbered outcomes, the others with tables."""
+    kinds = [(2, FAITH_LINES, "\n"), (2, ("D. Capaian Pembelajaran\n1. Fase A\nElemen",), "\n"), (7, FAITH_BODY, "\n"), (6, FAITH_BODY, "")]
+    tables = "1.3 CAPAIAN PEMBELAJARAN PENDIDIKAN AGAMA KATOLIK\nD. Capaian Pembelajaran\nFase C\nElemen\nMurid "
+    numbers = "1.5 CAPAIAN PEMBELAJARAN PENDIDIKAN AGAMA BUDDHA\nD. Capaian Pembelajaran\nFase C\n1.1. Etika\n"
+    pages = outline_pages(spark, sf_dir, tables, kinds, 24)
+    return fragments.chunks(pages.withColumn("text", F.when(F.col("document_id") % 3 == 0, F.replace("text", F.lit(tables), F.lit(numbers))).otherwise(F.col("text"))))
+
+
 OUTCOME = ("document_id", "id", "subject", "phase", "element", "sub_element", "program_type", "education_level", "track", "page_number", "text")
 
 
@@ -127,4 +145,8 @@ SELECT doc_id, n,
 FROM z
 """
 
-QUERIES = {"madrasah_parser": (madrasah_parser, None), "school_parser": (school_parser, None), "chapter_parser": (chapter_parser, None), "label_repair": (label_repair, LABEL_REPAIR)}
+def religion_parser(spark, sf_dir):
+    return machines.religion_outcomes(faith_fragments(spark, sf_dir)).select(*OUTCOME, "pages", "institution_type")
+
+
+QUERIES = {"madrasah_parser": (madrasah_parser, None), "school_parser": (school_parser, None), "chapter_parser": (chapter_parser, None), "label_repair": (label_repair, LABEL_REPAIR), "religion_parser": (religion_parser, None)}
