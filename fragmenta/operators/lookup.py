@@ -134,3 +134,23 @@ def containing(items: DataFrame, documents: DataFrame, item: str, document: str,
     met = rare.join(theirs, "w").select(item, document, "n").distinct()
     both = met.join(own, item).join(theirs, [document, "w"]).groupBy(item, document, "n").agg(F.count("*").alias("both"))
     return both.where(F.col("both") >= F.col("n") * least - 1e-9).select(item, document, (F.col("both") * 100.0 / F.col("n")).alias("containment"))
+
+
+def subjects_of_grade(asked: DataFrame, grades: DataFrame, los: DataFrame) -> DataFrame:
+    """asked (education_system, institution_type, grade) with phase, code (UNKNOWN_GRADE where the grade
+    has none) and subjects: those with an active outcome of the regular programme in that phase, sorted
+    by capitals. grades: education_system, institution_type, grade, phase. An institution stands for its family;
+    special education also takes the outcomes of schools. Like rows of asked are answered once."""
+    from fragmenta.functions.text import family
+
+    keys = ["education_system", "institution_type", "grade"]
+    known = grades.where(present(F.col("phase"))).groupBy(*keys).agg(F.min("phase").alias("phase"))
+    met = asked.select(*keys).distinct().join(known, keys, "left")
+    own = family(F.col("education_system"), F.col("institution_type"))
+    kinds = F.when(own == "pendidikan_khusus", F.array(F.lit("pendidikan_khusus"), F.lit("sekolah"))).otherwise(F.array(own))
+    wanted = met.select(*keys, "phase", F.explode(kinds).alias("__kind"))
+    open_ = los.where((F.coalesce("status", F.lit(ACTIVE)) == ACTIVE) & (F.coalesce("program_type", F.lit("reguler")) == "reguler"))
+    offered = open_.select("education_system", "phase", F.col("institution_type").alias("__kind"), "subject").distinct()
+    found = wanted.join(offered, ["education_system", "phase", "__kind"]).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_set(F.struct(F.upper("subject").alias("u"), "subject"))), lambda x: x["subject"]).alias("subjects"))
+    code = F.when(F.col("phase").isNull(), "CURRICULUM_SUBJECTS_UNKNOWN_GRADE")
+    return met.join(found, keys, "left").select(*keys, "phase", code.alias("code"), F.coalesce("subjects", F.array().cast("array<string>")).alias("subjects"))

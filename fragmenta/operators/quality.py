@@ -133,3 +133,13 @@ def severity_split(found: DataFrame, soft: Sequence[str]) -> DataFrame:
     """Per key whether it is rejected (a hard violation), needs review (soft ones only)."""
     hard = ~F.col("code").isin(*soft)
     return found.groupBy("key").agg(F.bool_or(hard).alias("rejected"), F.array_sort(F.collect_set("code")).alias("codes")).withColumn("status", F.when(F.col("rejected"), "rejected").otherwise("Needs review"))
+
+
+def criterion_level_errors(objectives: DataFrame, criteria: DataFrame, key: str) -> DataFrame:
+    """key, kktp_id and code of criteria (key, kktp_id, tp_id, level) below the level of their objective (key,
+    tp_id, level), or where one of the two levels is none of C1 to C6."""
+    own = objectives.groupBy(key, "tp_id").agg(F.max("level").alias("__level"))
+    met = criteria.join(own, [key, "tp_id"], "left")
+    mine, theirs = level_order(F.col("level")), level_order(F.col("__level"))
+    code = F.when(mine.isNull() | theirs.isNull(), "UNDETERMINED_LEVEL").when(mine < theirs, "BELOW_OBJECTIVE")
+    return met.select(key, "kktp_id", code.alias("code")).where("code is not null")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("audit", "contracts", "corpus", "imports", "loading", "lookup", "modules", "nested", "outlines", "quality", "retrieval", "state", "store", "text")
+MODULES = ("audit", "contracts", "corpus", "imports", "loading", "lookup", "modules", "nested", "outlines", "quality", "retrieval", "shown", "state", "store", "text")
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
