@@ -479,15 +479,17 @@ def finer(docs: DataFrame, places: DataFrame, min_words: int, functions: int, si
         for whole in batches:
             for batch in by_bytes(whole, 1):
                 keys, ids, tags, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-                for doc, text, tag, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ends, flat = batch.column(3).offsets.to_numpy(), batch.column(3).values
+                whose, c, c2, lr = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("tag", "c", "c2", "lr"))
+                begin = np.maximum(lr >> 32, np.maximum(c, c2) - t + 1)
+                end = np.minimum(np.minimum(c, c2), (lr & 0xFFFFFFFF) - t + 1)
+                for i, (doc, text, tag) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
                     tokens = shingles(words.of(text))
                     asked = np.zeros(max(0, len(tokens) - t + 1) + 1, np.int64)
-                    for x in own:
-                        if x["tag"] == tag:
-                            s = max(x["lr"] >> 32, max(x["c"], x["c2"]) - t + 1)
-                            e = min(min(x["c"], x["c2"]), (x["lr"] & 0xFFFFFFFF) - t + 1)
-                            asked[s] += 1
-                            asked[e + 1] -= 1
+                    own = slice(ends[i], ends[i + 1])
+                    mine = whose[own] == tag
+                    np.add.at(asked, begin[own][mine], 1)
+                    np.add.at(asked, end[own][mine] + 1, -1)
                     starts = np.flatnonzero(np.cumsum(asked)[:-1] > 0)
                     if not len(starts):
                         continue
