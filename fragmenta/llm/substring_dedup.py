@@ -277,21 +277,31 @@ def earlier(kinds: np.ndarray) -> np.ndarray:
     return out
 
 
-def passages(a: np.ndarray, b: np.ndarray, t: int, threshold: float) -> list[tuple[int, int, int, int, float]]:
-    """Passages of b that a has: (start, end, start in a, end in a, similarity), in shingles.
+class Kinds:
+    """A text's shingles by kind: the kinds, where each is first, each place's kind, how many there are of each,
+    and the place before of the same kind."""
+
+    def __init__(self, a: np.ndarray) -> None:
+        self.kinds, self.first, self.at, self.many = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
+        self.before = earlier(self.at)
+
+
+def passages(a: np.ndarray, b: np.ndarray, t: int, threshold: float, of: Kinds | None = None) -> list[tuple[int, int, int, int, float]]:
+    """Passages of b that a has: (start, end, start in a, end in a, similarity), in shingles. of: Kinds(a).
 
     Where a run fails as a whole, the longest of its parts that holds is taken, from one piece without
     gaps to another, and the search goes on at both its sides. A run of more than PIECES pieces that
     fails is split at its widest gap first.
     """
-    of_a, first, in_a, many_a = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
+    of = of or Kinds(a)
+    of_a, first, in_a, many_a = of.kinds, of.first, of.at, of.many
     values, which, many = np.unique(b, return_inverse=True, return_counts=True)
     same = np.minimum(np.searchsorted(of_a, values), len(of_a) - 1)  # the place in of_a of each value that a has
     known = of_a[same] == values
     hit = known[which]
     if np.count_nonzero(hit) < threshold * t:
         return []
-    before_a, before_b = earlier(in_a), earlier(which)
+    before_a, before_b = of.before, earlier(which)
     met = same[which]  # of a hit of b: its kind in a
     mine = np.zeros(len(of_a), bool)
     order, ends = (np.argsort(in_a, kind="stable"), np.cumsum(many_a)) if len(of_a) < len(a) else (first, None)
@@ -426,7 +436,7 @@ def verified(pairs: DataFrame, docs: DataFrame, min_words: int, threshold: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-        at, held = None, []
+        at, held, kinds_of = None, [], {}
         for whole in batches:
             for batch in by_bytes(whole, 8, 1 << 20):
                 out, start = [], 0
@@ -436,12 +446,16 @@ def verified(pairs: DataFrame, docs: DataFrame, min_words: int, threshold: float
                     start += n
                     if b is None:  # the words of a come before those of its partners; an id of many texts has many
                         held = [*held, own] if at == (a, share) else [own]
-                        at = (a, share)
+                        at, kinds_of = (a, share), {}
                         continue
-                    for other in held:
+                    for k, other in enumerate(held):
                         x = other[a0:a1]
                         if len(x) and len(own):
-                            out += [(b, h, b0 + s, b0 + e + WIDTH - 1, a, a0 + lo, a0 + hi + WIDTH - 1, sim) for s, e, lo, hi, sim in passages(x, own, t, threshold)]
+                            if (k, a0, a1) not in kinds_of:  # many partners share one region of a
+                                if len(kinds_of) >= 64:
+                                    kinds_of.clear()
+                                kinds_of[k, a0, a1] = Kinds(x)
+                            out += [(b, h, b0 + s, b0 + e + WIDTH - 1, a, a0 + lo, a0 + hi + WIDTH - 1, sim) for s, e, lo, hi, sim in passages(x, own, t, threshold, kinds_of[k, a0, a1])]
                 columns = list(zip(*out, strict=True)) or [()] * 8
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SPAN.split(", ")])
 
