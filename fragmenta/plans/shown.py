@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fragmenta.functions import presentation as p
-from fragmenta.operators import lookup, quality
+from fragmenta.operators import dimensions, lookup, quality
 from fragmenta.plans import roles
 from fragmenta.session import table
 
@@ -66,7 +66,28 @@ def criterion_levels(spark, sf_dir):
 
 BOOK = f"'{p.BOOK_HEAD}'", f"'{p.BOOK_RULES}'"
 
+PREFIXES = ("", "PENDIDIKAN KHUSUS ", "DASAR-DASAR ", "MUATAN ", "PROGRAM KEBUTUHAN dan ", "ILMU AGAMA ", "")
+
+
+def school_subjects(spark, sf_dir):
+    """The parts as outcomes: kinds of names as subjects, brands as elements."""
+    k = F.col("p_partkey")
+    prefix = F.element_at(F.array(*map(F.lit, PREFIXES)), (k % len(PREFIXES) + 1).cast("int"))
+    los = table(spark, sf_dir, "part").select(F.when(k % 50 == 0, "BAHASA ARAB").otherwise(F.concat(prefix, F.upper("p_name"))).alias("subject"), F.when(k % 9 > 0, F.col("p_brand")).alias("element"), F.when(k % 4 > 0, "D").otherwise("E").alias("source_document_id"))
+    return dimensions.school_subjects(los, "D").select("level", "code", "name", F.array_join("elements", "|").alias("elements"))
+
+
+SCHOOL_SUBJECTS = f"""
+WITH l AS (SELECT CASE WHEN p_partkey % 50 = 0 THEN 'BAHASA ARAB' ELSE {list(PREFIXES)}[p_partkey % {len(PREFIXES)} + 1] || upper(p_name) END AS name, CASE WHEN p_partkey % 9 > 0 THEN p_brand END AS element FROM part WHERE p_partkey % 4 > 0),
+s AS (SELECT name, coalesce(string_agg(DISTINCT element, '|' ORDER BY element), '') AS elements FROM l WHERE NOT contains(name, 'AGAMA') GROUP BY 1),
+b AS (SELECT *, CASE WHEN name = 'BAHASA ARAB' THEN 'B-ARB' ELSE substr(array_to_string(list_transform(list_filter(regexp_extract_all(name, '[A-Za-z0-9]+'), lambda w: upper(w) <> 'DAN'), lambda w: w[1]), ''), 1, 8) END AS base FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY name) AS n FROM b)
+SELECT unnest(CASE WHEN regexp_matches(name, '^(PENDIDIKAN KHUSUS|PROGRAM KEBUTUHAN)') THEN ['TKLB', 'SDLB', 'SMPLB', 'SMALB'] WHEN regexp_matches(name, '^(DASAR-DASAR |MUATAN )') THEN ['SMK'] ELSE ['SD', 'SMP', 'SMA', 'SMK'] END) AS level,
+  CASE WHEN n = 1 THEN base ELSE base || '-' || n END AS code, name, elements FROM n
+"""
+
 QUERIES = {
+    "school_subjects": (school_subjects, SCHOOL_SUBJECTS),
     "prompt_blocks": (prompt_blocks, f"""
         WITH x AS (SELECT conv_id, list({{'turn': turn, 'role': role, 'text': text}} ORDER BY turn, role, text) AS x FROM conversations GROUP BY 1),
         t AS (SELECT conv_id, x[i].turn AS turn, x[i].role AS role, coalesce(x[i].text, '') AS text, i FROM x, unnest(range(1, len(x) + 1)) AS u(i)),
