@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fragmenta.functions.text import present, unit_family
+from fragmenta.session import ship
 
 ACTIVE = "active"
 
@@ -136,6 +141,74 @@ def containing(items: DataFrame, documents: DataFrame, item: str, document: str,
     return both.where(F.col("both") >= F.col("n") * least - 1e-9).select(item, document, (F.col("both") * 100.0 / F.col("n")).alias("containment"))
 
 
+#: Words of items, and ids of several rows, that every task may get; the words of documents that are worked at once.
+ITEM_WORDS, REPEATED, WORDS = 2_000_000, 20_000, 100_000
+
+
+def shared_words(items: DataFrame, documents: DataFrame, item: str, document: str) -> DataFrame:
+    """item, document and containment: the share, in hundredths, of an item's distinct words that a document
+    has, of each pair that shares a word. Both come as (id, words: array<string>); rows of one id count as one.
+
+    The pairs are as many as items times documents, so none is shuffled: the items' words go to all
+    tasks, and each document is held against them where it lies. Only if the items have more than
+    ITEM_WORDS words, the two meet in a join by word."""
+    own = items.select(item, F.explode("words").alias("w")).distinct()
+    if own.limit(ITEM_WORDS + 1).count() > ITEM_WORDS:
+        sizes = own.groupBy(item).agg(F.count("*").alias("n"))
+        both = own.join(documents.select(document, F.explode("words").alias("w")).distinct(), "w").groupBy(item, document).agg(F.count("*").alias("both"))
+        return both.join(sizes, item).select(item, document, (F.col("both") * 100.0 / F.col("n")).alias("containment"))
+    table = own.toArrow()
+    ship(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(Shared(table.column(item), table.column("w")))
+    same = F.col(document).eqNullSafe(F.col("__id"))
+    often = documents.groupBy(F.col(document).alias("__id")).count().where("count > 1").select("__id")
+    repeated, once = often.limit(REPEATED + 1).count(), documents.select(document, "words")
+    if repeated:
+        often = F.broadcast(often) if repeated <= REPEATED else often
+        joined = documents.join(often, same, "left_semi").groupBy(document).agg(F.flatten(F.collect_list("words")).alias("words"))
+        once = once.join(often, same, "left_anti").unionByName(joined)
+    schema = T.StructType([items.schema[item], documents.schema[document], T.StructField("containment", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, at = np.cumsum(pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)), 0
+            most = max(1, 4_000_000 // max(1, len(shared.value.ids)))  # documents whose counts are held at once
+            while at < len(ends):
+                before = ends[at - 1] if at else 0
+                end = min(at + most, max(at + 1, int(np.searchsorted(ends, before + WORDS, "right"))))
+                who, what, share = shared.value.meet(batch.column(1).slice(at, end - at))
+                yield pa.RecordBatch.from_arrays([what, batch.column(0).slice(at, end - at).take(pa.array(who)), pa.array(share)], names=schema.fieldNames())
+                at = end
+
+    return once.mapInArrow(run, schema)
+
+
+class Shared:
+    """The words of items, each with the places of the items that have it."""
+
+    def __init__(self, ids: pa.ChunkedArray, words: pa.ChunkedArray):
+        owners, words = ids.combine_chunks().dictionary_encode(null_encoding="encode"), words.combine_chunks().dictionary_encode()
+        self.ids, self.words = owners.dictionary, words.dictionary
+        owner, word = owners.indices.to_numpy(), words.indices.to_numpy()
+        self.sizes = np.bincount(owner, minlength=len(self.ids))
+        self.owner = owner[np.argsort(word, kind="stable")]
+        self.many = np.bincount(word, minlength=len(self.words))
+        self.first = np.cumsum(self.many) - self.many
+
+    def meet(self, lists: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Of each pair that shares a word: the list's place, the item, and the share of its words in hundredths."""
+        n, v = len(self.ids), len(self.words)
+        held = pc.index_in(lists.flatten(), value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        at, held = np.divmod(np.unique((at * v + held)[held >= 0]), max(1, v))
+        many = self.many[held]
+        place = np.repeat(self.first[held] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        counts = np.bincount(np.repeat(at, many) * n + self.owner[place], minlength=len(lists) * n)
+        some = np.flatnonzero(counts)
+        who, what = np.divmod(some, max(1, n))
+        return who, self.ids.take(pa.array(what)), counts[some] * 100.0 / self.sizes[what]
+
+
 def subjects_of_grade(asked: DataFrame, grades: DataFrame, los: DataFrame) -> DataFrame:
     """asked (education_system, institution_type, grade) with phase, code (UNKNOWN_GRADE where the grade
     has none) and subjects: those with an active outcome of the regular programme in that phase, sorted
