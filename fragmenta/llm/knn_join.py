@@ -6,8 +6,10 @@ angles, norms) come to the driver. A query first goes to its own group and those
 highest product with it; the k-th best score there, or over another bounded sample, is a bound that
 its true k-th best can't be under. Any other ring is searched only if it may reach that bound: by
 q.p + |q| * radius, and by the least angle that the query can have to a vector of the ring. So queries
-go only where something may beat what they have, and nothing is lost. Rings are cut into blocks of
-bounded size; each block is solved by itself, and the bests meet.
+go only where something may beat what they have, and nothing is lost. Rings are put together, and
+large ones cut, to blocks whose size grows with the root of the number of vectors up to a bound; so a
+query is sent to few blocks, with a bit for each ring that it meets there. Each block is solved by
+itself, and the bests meet.
 
 Where vectors lie in clusters, most rings fall away. A query without near neighbours among vectors of
 many dimensions has a low bound, and then nothing can be ruled out: it meets all rings.
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +36,10 @@ from fragmenta.llm.common import sampled, table, written
 PIVOTS, SAMPLE = 4096, 2048
 #: Width of a ring in radians; groups that a query meets first, besides its own.
 RING, FIRST = 0.1, 2
-#: Vectors in a block.
-BLOCK = 8192
-#: Queries that are scored against a block at once.
-STRIP = 512
+#: Vectors in a block: at most BLOCK, and GROUPS times the root of the number of vectors.
+BLOCK, GROUPS = 65_536, 16
+#: Queries that are scored against a block at once; rows that routing hands on, and distances to pivots that are worked, at once.
+STRIP, ROUTED, DISTANCES = 128, 4096, 1_000_000
 
 
 def vectors(table: DataFrame, id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
@@ -48,13 +51,20 @@ def vectors(table: DataFrame, id: str = "vec_id", embedding: str = "embedding",
 
 
 def rows_of(column: pa.Array) -> list[np.ndarray]:
-    return [np.asarray(v, np.int64) for v in column.to_pylist()]
+    ends = np.cumsum(pc.list_value_length(column).to_numpy())
+    return np.split(column.flatten().to_numpy(), ends[:-1]) if len(ends) else []
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T in whole numbers: by floats where no sum can leave the range that they hold exactly."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return (a.astype(float) @ b.T.astype(float)).astype(np.int64) if most < 2**53 else a @ b.T
+    return exact(a, b, np.abs(b).max(initial=0)).astype(np.int64)
+
+
+def exact(a: np.ndarray, b: np.ndarray, largest: int) -> np.ndarray:
+    """The same as the cheapest kind of numbers that is exact. b may be such floats already; largest: its largest size."""
+    most = float(np.abs(a).max(initial=0)) * float(largest) * a.shape[1]
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    return a.astype(kind) @ b.T.astype(kind, copy=False)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -88,12 +98,13 @@ class Pivots:
             return np.full(len(v), -1 - v.shape[1]), np.sqrt((v.astype(float) ** 2).sum(1))
         p = np.array([self.all[i] for i in own], float)
         group, near = np.empty(len(v), np.int64), np.empty(len(v))
-        for s in range(0, len(v), 4096):
-            x = v[s : s + 4096].astype(float)
+        step = max(1, DISTANCES // len(p))
+        for s in range(0, len(v), step):
+            x = v[s : s + step].astype(float)
             d = (x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1)
             a = d.argmin(1)
-            group[s : s + 4096] = np.array(own)[a]
-            near[s : s + 4096] = np.sqrt(((x - p[a]) ** 2).sum(1))
+            group[s : s + step] = np.array(own)[a]
+            near[s : s + step] = np.sqrt(((x - p[a]) ** 2).sum(1))
         return group, near
 
     def pivot(self, group: int) -> np.ndarray:
@@ -126,10 +137,25 @@ def grouped(vecs: DataFrame, pivots: Pivots) -> DataFrame:
     return vecs.mapInArrow(run, GROUPED)
 
 
+def blocks_of(rings: list[tuple], pivots: Pivots, size: int) -> list[tuple]:
+    """Rings (g, ring, n, ...) with first and blocks instead of n: their block, or the first of so many.
+    A block holds neighbouring rings of one length of vectors, or a part of one ring."""
+    out, block, room, before = [], -1, 0, None
+    for g, ring, n, *rest in sorted(rings, key=lambda r: (len(pivots.pivot(r[0])), r[0], r[1])):
+        length, many = len(pivots.pivot(g)), -(-n // size)
+        if many > 1 or n > room or length != before:
+            block, room = block + 1, size
+        out.append((g, ring, block, many, *rest))
+        block, room, before = block + many - 1, 0 if many > 1 else room - n, length
+    return out
+
+
 def routed(queries: DataFrame, rings: list, pivots: Pivots, known: tuple, k: int, first: bool) -> DataFrame:
-    """A row (g, ring, block, vec_id, v) for each block that a query (vec_id, v, g, bound) meets.
+    """A row (block, vec_id, v, bound, home, bits) for each block that a query (vec_id, v, g, bound) meets;
+    bits: which of the block's rings, in their order.
 
-    rings: rows (g, ring, blocks, radius, least and largest angle, least and largest norm).
+    rings: rows (g, ring, first block, blocks, radius, least and largest angle, least and largest norm),
+    in the order of blocks_of().
     """
     shared = queries.sparkSession.sparkContext.broadcast((rings, pivots, known))
 
@@ -143,83 +169,123 @@ def routed(queries: DataFrame, rings: list, pivots: Pivots, known: tuple, k: int
             p = np.array([pivots.pivot(g) for g in groups], float).reshape(len(groups), n)
             some = [i for i, v in enumerate(drawn) if len(v) == n]
             columns = [np.array(c) for c in zip(*own, strict=True)]
-            by_length[n] = (groups, p, np.sqrt((p**2).sum(1)), np.array([place[r[0]] for r in own]), columns, ids[some], np.array([drawn[i] for i in some], np.int64).reshape(len(some), n))
+            starts = np.flatnonzero(np.diff(columns[2], prepend=-1))  # the first ring of each block, or of a run of blocks
+            by_length[n] = (groups, p, np.sqrt((p**2).sum(1)), np.array([place[r[0]] for r in own]), columns, starts, ids[some], np.array([drawn[i] for i in some], np.int64).reshape(len(some), n))
         for batch in batches:
-            to, ring, blocks, who = [], [], [], []
+            to, bits, bounds, who = [], [], [], []
+
+            def rows() -> pa.RecordBatch:
+                own = pa.array(who, pa.int64())
+                made = [pa.array(to, pa.int32()), batch.column(0).take(own), batch.column(1).take(own), pa.array(bounds, pa.float64()), batch.column(2).take(own), pa.array(bits, pa.binary())]
+                for c in (to, bits, bounds, who):
+                    c.clear()
+                return pa.RecordBatch.from_arrays(made, names=["block", "vec_id", "v", "bound", "home", "bits"])
+
             for i, (q_id, q, home, bound) in enumerate(zip(batch.column(0).to_pylist(), rows_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                groups, p, lengths, at, (g, r, many, radius, lo, hi, least, most), sample_ids, sample_v = by_length[len(q)]
+                groups, p, lengths, at, (_, _, head, many, radius, lo, hi, least, most), starts, sample_ids, sample_v = by_length[len(q)]
                 dot, length = p @ q, math.sqrt(float((q.astype(float) ** 2).sum()))
                 begin = np.zeros(len(groups), bool)
                 begin[np.argsort(-dot, kind="stable")[:FIRST]] = True
                 begin[groups.index(home)] = True
+                begin = begin[at]
+                scores = product(q[None, :], sample_v)[0][sample_ids != q_id]
+                bound = max(-np.inf if bound is None else bound, np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf)
                 if first:
-                    asked = begin[at]
+                    asked = begin
                 else:
-                    scores = product(q[None, :], sample_v)[0][sample_ids != q_id]
-                    bound = max(-np.inf if bound is None else bound, np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) >= k else -np.inf)
                     both = lengths * length
                     theta = np.where(both > 0, np.arccos(np.clip(dot / np.where(both > 0, both, 1), -1, 1)), 0.0)[at]
                     gap = np.cos(np.where((both > 0)[at], np.maximum(0, np.maximum(theta - hi, lo - theta)), 0.0))
                     reach = np.minimum(dot[at] + length * radius, length * np.where(gap >= 0, most, least) * gap)
                     # a margin for rounding
-                    asked = ~begin[at] & (reach + 1e-6 * (np.abs(reach) + length * most) + 1e-3 >= bound)
-                for x in np.flatnonzero(asked).tolist():
-                    for b in range(int(many[x])):
-                        to.append(int(g[x]))
-                        ring.append(int(r[x]))
-                        blocks.append(b)
+                    asked = ~begin & (reach + 1e-6 * (np.abs(reach) + length * most) + 1e-3 >= bound)
+                for x in np.flatnonzero(np.logical_or.reduceat(asked, starts)).tolist():
+                    own = np.packbits(asked[starts[x] : starts[x + 1] if x + 1 < len(starts) else None]).tobytes()
+                    for b in range(int(many[starts[x]])):
+                        to.append(int(head[starts[x]]) + b)
+                        bits.append(own)
+                        bounds.append(float(bound))
                         who.append(i)
-            own = pa.array(who, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(ring, pa.int32()), pa.array(blocks, pa.int32()), batch.column(0).take(own), batch.column(1).take(own)], names=["g", "ring", "block", "vec_id", "v"])
+                        if len(to) >= ROUTED:
+                            yield rows()
+            yield rows()
 
-    return queries.select("vec_id", "v", "g", "bound").mapInArrow(run, "g long, ring int, block int, vec_id long, v array<long>")
+    return queries.select("vec_id", "v", "g", "bound").mapInArrow(run, "block int, vec_id long, v array<long>, bound double, home long, bits binary")
 
 
 def solve(k: int):
-    """Scores each query against its block; the rows of a block come before its queries."""
+    """Scores each query against its block; the rows of a block come before its queries, by ring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, held, data = None, [], [], None
+        at, ids, held, places, data = None, [], [], [], None
         for batch in batches:
-            g, ring, block, asks, vec = (batch.column(i).to_pylist() for i in range(5))
-            v = rows_of(batch.column(5))
-            out: list[tuple] = []
+            block, asks, place, vec, bound, bits = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 7))
+            v = rows_of(batch.column(4))
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             i = 0
             while i < len(v):
                 j = i
-                while j < len(v) and (g[j], ring[j], block[j], asks[j]) == (g[i], ring[i], block[i], asks[i]) and j - i < STRIP:
+                while j < len(v) and (block[j], asks[j]) == (block[i], asks[i]) and (not asks[i] or j - i < STRIP):
                     j += 1
-                if at != (g[i], ring[i], block[i]):
-                    at, ids, held, data = (g[i], ring[i], block[i]), [], [], None
+                if at != block[i]:
+                    at, ids, held, places, data = block[i], [], [], [], None
                 if not asks[i]:
-                    ids += vec[i:j]
-                    held += v[i:j]
+                    ids.append(np.array(vec[i:j], np.int64))
+                    places.append(np.array(place[i:j], np.int64))
+                    held.append(np.array(v[i:j], np.int64))
                 elif ids:
                     if data is None:
-                        data = (np.array(ids, np.int64), np.array(held, np.int64))
-                    scores = product(np.array(v[i:j], np.int64), data[1])
-                    for row, q in zip(scores, vec[i:j], strict=True):
-                        other = np.flatnonzero(data[0] != q)
-                        top = other[best(row[other], data[0][other], k)]
-                        out += [(q, int(data[0][t]), int(row[t])) for t in top.tolist()]
+                        ids, held, places = [np.concatenate(ids)], [np.concatenate(held)], [np.concatenate(places)]
+                        largest = int(np.abs(held[0]).max(initial=0))
+                        small = largest**2 * held[0].shape[1] < 2**24
+                        data = held[0].astype(np.float32) if small else held[0]
+                        held = [data]
+                    found += strip(vec[i:j], np.array(v[i:j], np.int64), bound[i:j], bits[i:j], ids[0], data, largest, places[0], k)
                 i = j
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)] or [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def solved(data: DataFrame, asked: DataFrame, large: list[tuple[int, int, int]], k: int) -> DataFrame:
+def strip(asking: list[int], q: np.ndarray, bound: list[float], bits: list[bytes], ids: np.ndarray, data: np.ndarray, largest: int, places: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Query, id and score of the k best that reach its bound, of each query among the vectors of the rings it asks."""
+    asked = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in bits]), axis=1).astype(bool)
+    some = np.flatnonzero(asked.any(0)[places])
+    if len(some) == len(places):
+        some = slice(None)
+    ids, places = ids[some], places[some]
+    values = data[some]
+    if values.dtype != np.int64 and largest * float(np.abs(q).max(initial=0)) * q.shape[1] >= 2**24:
+        values = values.astype(np.int64)
+    scores = exact(q, values, largest)
+    fits = scores >= np.array(bound)[:, None]
+    out = []
+    for n in range(len(asking)):
+        own = np.flatnonzero(fits[n])
+        own = own[asked[n][places[own]] & (ids[own] != asking[n])]
+        row = scores[n][own].astype(np.int64)
+        top = best(row, ids[own], k)
+        out.append((np.full(len(top), asking[n], np.int64), ids[own][top], row[top]))
+    return out
+
+
+def solved(data: DataFrame, asked: DataFrame, rings: list, k: int) -> DataFrame:
     """query_id, vec_id, score: of each block asked, the k best for each of its queries.
 
-    large: (g, ring, blocks) of the rings of several blocks; a small table, so the plan doesn't grow with them."""
-    sizes = data.sparkSession.createDataFrame(large, "g long, ring int, blocks int")
-    data = data.join(F.broadcast(sizes), ["g", "ring"], "left")  # PIVOTS times the rings of a half circle at most
-    block = F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))).cast("int")
-    both = data.select("g", "ring", block.alias("block"), F.lit(False).alias("asks"), "vec_id", "v").unionByName(asked.withColumn("asks", F.lit(True)))
+    A small table has the rings' blocks, so the plan doesn't grow with them."""
+    places, start, before = [], 0, None
+    for i, (g, ring, head, many, *_) in enumerate(rings):
+        start, before = (i, head) if head != before else (start, before)
+        places.append((g, ring, head, many, i - start))
+    sizes = data.sparkSession.createDataFrame(places, "g long, ring int, head int, blocks int, place int")
+    data = data.join(F.broadcast(sizes), ["g", "ring"])  # PIVOTS times the rings of a half circle at most
+    block = F.col("head") + F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = data.select(block.alias("block"), F.lit(False).alias("asks"), "place", "vec_id", "v", none("double").alias("bound"), none("long").alias("home"), none("binary").alias("bits"))
+    asking = asked.select("block", F.lit(True).alias("asks"), F.lit(0).alias("place"), "vec_id", "v", "bound", "home", "bits")
     parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ("g", "ring", "block")
-    return both.repartition(parts, *keys).sortWithinPartitions(*keys, "asks").mapInArrow(solve(k), "query_id long, vec_id long, score long")
+    return rows.unionByName(asking).repartition(parts, "block").sortWithinPartitions("block", "asks", "place", "home").mapInArrow(solve(k), "query_id long, vec_id long, score long")
 
 
 def knn_join(vecs: DataFrame, is_query, k: int = 5) -> DataFrame:
@@ -229,13 +295,13 @@ def knn_join(vecs: DataFrame, is_query, k: int = 5) -> DataFrame:
     known = sample(vecs, SAMPLE, total, 2)
     data = written(grouped(vecs, pivots), "grouped")
     summary = data.groupBy("g", "ring").agg(F.count("*").alias("n"), F.max("near").alias("radius"), F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.min("norm").alias("least"), F.max("norm").alias("most")).collect()
-    rings = [(r.g, r.ring, -(-r.n // BLOCK), r.radius, r.lo, r.hi, r.least, r.most) for r in summary]
-    large = [(g, ring, n) for g, ring, n, *_ in rings if n > 1]
+    size = min(BLOCK, max(1024, GROUPS * math.isqrt(total)))
+    rings = blocks_of([tuple(r) for r in summary], pivots, size)
     queries = data.where(is_query).select("vec_id", "v", "g").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    begun = written(solved(data, routed(queries.withColumn("bound", F.lit(None).cast("double")), rings, pivots, known, k, True), large, k).withColumn("rank", rank).where(F.col("rank") <= k), "begun")
+    begun = written(solved(data, routed(queries.withColumn("bound", F.lit(None).cast("double")), rings, pivots, known, k, True), rings, k).withColumn("rank", rank).where(F.col("rank") <= k), "begun")
     bounds = begun.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("bound"))
-    rest = solved(data, routed(queries.join(bounds, "vec_id", "left"), rings, pivots, known, k, False), large, k)
+    rest = solved(data, routed(queries.join(bounds, "vec_id", "left"), rings, pivots, known, k, False), rings, k)
     found = begun.drop("rank").unionByName(rest)
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
