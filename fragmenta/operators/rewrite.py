@@ -113,11 +113,11 @@ def rewritten(modules: DataFrame, module: str, routes: Mapping[str, str] = ROUTE
 
 def report_totals(report: DataFrame) -> DataFrame:
     """label, what (field, rewrite or finding), rule and n over the reports of many modules."""
+    # one pass over the reports: what lies behind them is costly
+    entry = lambda what: lambda rule: F.struct(F.lit(what).alias("what"), rule.alias("rule"))
     one = report.select(F.explode("report").alias("r"))
-    fields = one.select(F.col("r.label").alias("label"), F.lit("field").alias("what"), F.lit("").alias("rule"))
-    hits = one.select(F.col("r.label").alias("label"), F.lit("rewrite").alias("what"), F.explode("r.hits").alias("rule"))
-    found = one.select(F.col("r.label").alias("label"), F.lit("finding").alias("what"), F.explode("r.findings.rule").alias("rule"))
-    return fields.unionByName(hits).unionByName(found).groupBy("label", "what", "rule").agg(F.count("*").alias("n"))
+    each = F.concat(F.array(entry("field")(F.lit(""))), F.transform("r.hits", entry("rewrite")), F.transform("r.findings.rule", entry("finding")))
+    return one.select("r.label", F.inline(each)).groupBy("label", "what", "rule").agg(F.count("*").alias("n"))
 
 
 def outline(m: Column) -> Column:
