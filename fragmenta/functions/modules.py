@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fragmenta.functions.blocks import similarity
+from fragmenta.functions.blocks import plain_similarities
 from fragmenta.functions.text import FAKE_CANDID, any_of, collapse, is_debris, positive_int, present, strip, title_case
 from fragmenta.session import ship
 
@@ -130,11 +130,13 @@ def plain(text: Column) -> Column:
 def page_metrics(pairs: DataFrame, stored: str, fresh: str) -> DataFrame:
     """pairs with containment, similarity_raw and similarity_fair of two readings of a page."""
     ship(pairs.sparkSession)
-    words = lambda c: F.filter(F.split(plain(c), r"\s+"), lambda w: w != "")
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    words = lambda c: F.regexp_extract_all(low(c), F.lit("[a-z0-9]+"), F.lit(0))
     kept = F.array_join(F.filter(F.split(F.coalesce(fresh, F.lit("")), "\n"), lambda x: ~is_debris(x)), "\n")
-    own = F.array_distinct(words(F.col(stored)))
-    share = F.when(F.size(own) > 0, F.size(F.array_intersect(own, words(F.col(fresh)))) * 100.0 / F.size(own)).otherwise(0.0)
-    return pairs.select("*", share.alias("containment"), similarity(plain(F.col(stored)), plain(F.col(fresh))).alias("similarity_raw"), similarity(plain(F.col(stored)), plain(kept)).alias("similarity_fair"))
+    own, met = F.array_distinct(words(F.col(stored))).alias("__own"), plain_similarities(low(F.col(stored)), low(F.col(fresh)), low(kept)).alias("__met")
+    share = F.when(F.size("__own") > 0, F.size(F.array_intersect("__own", "__other")) * 100.0 / F.size("__own")).otherwise(0.0)
+    worked = pairs.select("*", own, words(F.col(fresh)).alias("__other"), met)  # each once, however often it is used
+    return worked.select(*pairs.columns, share.alias("containment"), F.col("__met.first").alias("similarity_raw"), F.col("__met.second").alias("similarity_fair"))
 
 
 def mean_metrics(pages: DataFrame, key: str) -> DataFrame:
