@@ -15,7 +15,7 @@ import re
 from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
-from itertools import groupby, islice
+from itertools import groupby, islice, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -40,13 +40,15 @@ def glued(fragments: DataFrame) -> DataFrame:
     return held.select("document_id", "page_number", F.array_join(F.transform("x", lambda y: y["text"]), "").alias("text"))
 
 
-def page_lines(pages: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+def page_lines(pages: DataFrame, order: Sequence[str] = (), bars: bool = False) -> DataFrame:
     """document_id, page_number, pos (an array that orders a page's lines) and line of each non-blank line.
 
-    order: columns that order the rows of one page, where a page has several."""
-    cut = pages.select("document_id", "page_number", *order, F.posexplode(F.split("text", "\n")).alias("__n", "line"))
-    place = F.array(*(F.col(c).cast("long") for c in order), F.col("__n").cast("long"))
-    return cut.select("document_id", "page_number", place.alias("pos"), strip(F.col("line")).alias("line")).where("line <> ''")
+    order: columns that order the rows of one page, where a page has several. bars: those at a line's ends go, too."""
+    bare = (lambda x: strip(F.btrim(strip(x), F.lit("|")))) if bars else strip
+    # each line is trimmed once, within the array: a filter of rows would trim it anew
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, n: F.struct(n.cast("long").alias("__n"), bare(x).alias("line"))), lambda x: x["line"] != "")
+    cut = pages.select("document_id", "page_number", *order, F.inline_outer(lines)).where("line is not null")
+    return cut.select("document_id", "page_number", F.array(*(F.col(c).cast("long") for c in order), "__n").alias("pos"), "line")
 
 
 def sections(lines: DataFrame, start: Column, stop: Column | None = None, pages_at_once: int = 512) -> DataFrame:
@@ -85,6 +87,16 @@ class Machine:
         return iter(())
 
 
+def listed(column: pa.Array) -> list:
+    """to_pylist(), but for whole numbers, texts and arrays of these without a call for each value."""
+    if column.null_count and not pa.types.is_string(column.type):
+        return column.to_pylist()
+    if pa.types.is_list(column.type):
+        values, ends = listed(column.flatten()), column.offsets.to_numpy()
+        return [values[a:b] for a, b in pairwise((ends - ends[0]).tolist())]
+    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_integer(column.type) or pa.types.is_string(column.type) else column.to_pylist()
+
+
 def streamed(lines: DataFrame, keys: Sequence[str], work: Callable[[Iterator[tuple]], Iterator[tuple]], fields: str, columns: Sequence[str] = ("page_number", "pos", "line"), order: Sequence[str] = ("page_number", "pos"), batch_rows: int = 4096) -> DataFrame:
     """The keys and fields (DDL) of the rows that work makes of each key's lines. work gets an iterator
     over a key's columns in order, which it need not hold, or read to its end."""
@@ -92,11 +104,11 @@ def streamed(lines: DataFrame, keys: Sequence[str], work: Callable[[Iterator[tup
     kept = T.StructType([lines.schema[k] for k in keys])
     schema = T.StructType([*kept.fields, *T.StructType.fromDDL(fields).fields])
     arrow = to_arrow_schema(schema)
-    rows = lines.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = lines.select(*dict.fromkeys([*keys, *columns, *order])).repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *columns)
     n = len(keys)
 
     def run(batches):
-        flat = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        flat = (row for batch in batches for row in zip(*map(listed, batch.columns), strict=True))
         found = ((*key, *made) for key, own in groupby(flat, lambda row: row[:n]) for made in work(row[n:] for row in own))
         while some := list(islice(found, batch_rows)):
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), arrow, strict=True)], schema=arrow)
@@ -130,10 +142,12 @@ def machined(machine: Callable[[], Machine]) -> Callable[[Iterator[tuple]], Iter
     """What streamed() needs of a machine over (page, pos, line)."""
 
     def work(rows):
-        own, rows = machine(), Ahead(rows)
-        for page, pos, line in rows:
-            after = rows.peek()
-            yield from own.feed(page, pos, line, after[2] if after is not None and after[0] == page else None)
+        own, rows = machine(), iter(rows)
+        at = next(rows, None)
+        while at is not None:
+            after = next(rows, None)
+            yield from own.feed(*at, after[2] if after is not None and after[0] == at[0] else None)
+            at = after
         yield from own.end()
 
     return work
@@ -200,9 +214,7 @@ class Outline(Machine):
         yield from self.done
 
     def run(self, line: str, rules=None) -> None:
-        todo = list(self.RULES if rules is None else rules)
-        while todo:
-            _, gate, method = todo.pop(0)
+        for _, gate, method in self.RULES if rules is None else rules:
             if gate is not None and not gate(self):
                 continue
             left = getattr(self, method)(line)
@@ -763,9 +775,7 @@ def rejoined(fragments: DataFrame) -> DataFrame:
 def faith_segments(fragments: DataFrame, machine: type[Faith]) -> DataFrame:
     """document_id, section and SEGMENT of documents of several religions. A section's head resets all
     state, so each section goes its own way."""
-    lines = page_lines(fragments, ["paragraph", "chunk"])
-    if machine is Table:
-        lines = lines.withColumn("line", strip(F.btrim("line", F.lit("|")))).where("line <> ''")
+    lines = page_lines(fragments, ["paragraph", "chunk"], bars=machine is Table)
     return streamed(sections(lines, F.col("line").rlike("(?iU)" + fixed.FAITH_HEAD)), ["document_id", "section"], machined(machine), SEGMENT)
 
 
