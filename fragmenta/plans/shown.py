@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fragmenta.functions import presentation as p
 from fragmenta.operators import dimensions, lookup, quality
 from fragmenta.plans import roles
-from fragmenta.session import table
+from fragmenta.session import dealt, table
 
 
 def prompt_blocks(spark, sf_dir):
@@ -33,7 +33,7 @@ def answer_labels(spark, sf_dir):
     options = p.choices(F.transform(F.concat(words, F.array(F.lit(" "), F.lit("lain"), F.col("p_brand"))), lambda w, i: F.struct(F.when(i == 3, "a").alias("label"), w.alias("text"))))
     k = F.col("p_partkey") % 5
     answer = F.when(k == 0, "b").when(k == 1, F.concat(F.lit("A. "), F.col("p_name"))).when(k == 2, F.upper(F.get(words, F.lit(1)))).when(k == 3, "zzz")
-    rows = table(spark, sf_dir, "part").select("p_partkey", options.alias("o"), answer.alias("answer"))
+    rows = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", options.alias("o"), answer.alias("answer"))
     return rows.select("p_partkey", F.array_join(F.transform("o", lambda x: F.concat(x["label"], F.lit("="), x["text"])), "|").alias("options"), p.answer_label(F.col("answer"), F.col("o")).alias("label"))
 
 

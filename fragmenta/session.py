@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out by keys to spark.sql.shuffle.partitions tasks: a small file of many rows is read by
+    few tasks, however much work each row makes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new folder's path under spark.checkpoint.dir, which all executors see; a folder of this machine
     only where that is unset and the session is local."""
