@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fragmenta.functions import modules as fn
 from fragmenta.functions import text as tx
-from fragmenta.session import table
+from fragmenta.session import dealt, table
 
 
 def _docs(spark, sf_dir):
@@ -64,7 +64,7 @@ def formal_terms(spark, sf_dir):
 def book_identity(spark, sf_dir):
     name = F.col("p_name")
     page = F.concat(F.lit("KEMENTERIAN PENDIDIKAN DAN KEBUDAYAAN REPUBLIK INDONESIA YANG PANJANG\nBuku "), name, F.lit("\nOleh: Ani K"), F.col("p_partkey").cast("string"), F.lit("\nPenerbit: Rumah\nTahun 2021"))
-    out = table(spark, sf_dir, "part").select("p_partkey", fn.book_identity(page, F.when(F.col("p_partkey") % 4 == 0, F.concat(name, F.lit(" book"))).when(F.col("p_partkey") % 4 == 1, "Untitled")).alias("b"))
+    out = dealt(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", fn.book_identity(page, F.when(F.col("p_partkey") % 4 == 0, F.concat(name, F.lit(" book"))).when(F.col("p_partkey") % 4 == 1, "Untitled")).alias("b"))
     return out.select("p_partkey", F.lower("b.title").alias("title"), "b.author", "b.publisher", "b.year", "b.source")
 
 

@@ -3,10 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fragmenta.plans import shown
+from fragmenta.plans import modules, shown
 
 
-@pytest.mark.parametrize("query", [shown.answer_labels])
+@pytest.mark.parametrize("query", [shown.answer_labels, modules.book_identity])
 def test_rows_are_dealt_out(spark, sf_dir, query):
     held = query(spark, sf_dir).groupBy(F.spark_partition_id().alias("at")).count().collect()
     assert len(held) == int(spark.conf.get("spark.sql.shuffle.partitions"))
