@@ -77,24 +77,36 @@ def attach_provenance(outcomes: DataFrame, fragments: DataFrame, probes: tuple[i
     letters left out, over up to 40 and at least 18 characters; failing that, 22 of the head's first
     42 characters without any blanks.
     """
-    low = lambda c: F.lower(collapse(F.col(c)))
-    asked = outcomes.select("id", "document_id", F.substring(low("text"), 1, 120).alias("__head"), F.posexplode("pages").alias("__page_order", "page_number")).where("__head <> ''")
-    held = fragments.select("document_id", "page_number", *order, "fragment_id", "section", low("text").alias("__frag")).where("__frag <> ''")
+    low = lambda c: F.lower(collapse(c))
+    said = lambda c: F.col(c).rlike(r"(?U)\S")
+    joined = lambda c: F.regexp_replace(c, " (?=[a-z])", "")
+    flat = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    # a text's beginning mostly gives its head; the whole text only where that is blanks
+    begins = collapse(F.left("text", F.lit(1000)))
+    whole = F.when(F.length(begins) > 200, F.lower(begins)).otherwise(low(F.col("text")))
+    asked = outcomes.where(said("text")).select("id", "document_id", F.substring(whole, 1, 120).alias("__head"), "pages")
+    asked = asked.select("*", joined("__head").alias("__joined"), flat("__head").alias("__flat"), *(F.regexp_replace(F.substring("__head", 1, n), " [^ ]*$", "").alias(f"__cut{n}") for n in probes))
+    asked = asked.select("*", F.posexplode("pages").alias("__page_order", "page_number")).drop("pages")
+    held = fragments.where(said("text")).select("document_id", "page_number", *order, "fragment_id", "section", low(F.col("text")).alias("__frag"))
     met = asked.join(held, ["document_id", "page_number"])
     head, frag = F.col("__head"), F.col("__frag")
     within = lambda part, whole: F.contains(whole, part)
 
     hits = []
     for n in probes:
-        probe = F.substring(head, 1, n)
-        cut = F.regexp_replace(probe, " [^ ]*$", "")
-        hits.append((F.length(head) >= n) & (within(probe, frag) | within(F.substring(frag, 1, n), head) | ((F.length(cut) >= 25) & within(cut, frag))))
-    joined = lambda c: F.regexp_replace(c, " (?=[a-z])", "")
-    n = F.least(F.lit(40), F.length(joined(head)), F.length(joined(frag)))
-    hits.append((n >= 18) & (within(F.left(joined(head), n), joined(frag)) | within(F.left(joined(frag), n), joined(head))))
-    flat = lambda c: F.regexp_replace(c, " ", "")
-    for at in (1, 11, 21):
-        hits.append((F.length(head) >= 18) & (F.length(flat(head)) >= at + 21) & within(F.substring(flat(head), at, 22), flat(frag)))
+        cut = F.col(f"__cut{n}")
+        hits.append((F.length(head) >= n) & (within(F.substring(head, 1, n), frag) | within(F.substring(frag, 1, n), head) | ((F.length(cut) >= 25) & within(cut, frag))))
+
+    def as_joined(own: Column) -> Column:
+        n = F.least(F.lit(40), F.length("__joined"), F.length(own))
+        return (n >= 18) & (within(F.left("__joined", n), own) | within(F.left(own, n), F.col("__joined")))
+
+    def as_flat(own: Column) -> Column:
+        return reduce(lambda a, b: a | b, [(F.length("__flat") >= at + 21) & within(F.substring("__flat", at, 22), own) for at in (1, 11, 21)])
+
+    # arrays of one, so that a fragment is written so once, and only where what stands before failed
+    hits.append(F.exists(F.array(joined(frag)), as_joined))
+    hits.append((F.length(head) >= 18) & F.exists(F.array(flat(frag)), as_flat))
     hit = reduce(lambda a, b: a | b, hits)
     first = F.min(F.struct("__page_order", *order, "fragment_id", "page_number", F.nullif("section", F.lit("")).alias("section"))).alias("x")
     best = met.where(hit).groupBy("id").agg(first).select("id", F.col("x.fragment_id").alias("source_fragment_id"), F.col("x.page_number").alias("source_page"), F.col("x.section").alias("source_section"))
