@@ -59,11 +59,21 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+#: Lets Spark delete a query's shuffle files when the query has ended, instead of when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """The same rows as a table in the shared folder: cuts the lineage, survives lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows as a table in the shared folder: cuts the lineage, survives lost executors. The
+    shuffle files that made it go at once."""
+    spark = df.sparkSession
+    path, before = scratch(spark, what), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)  # the setting holds for queries planned from here on
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 

@@ -534,30 +534,34 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text", m
     found = written(windows(base, min_words, hashes, agree, sieve_of(windows(base, min_words, hashes, agree))), "windows")
     place = F.struct("doc_id", "c", "lr")
 
-    def met(left: DataFrame, partners: DataFrame) -> DataFrame:
-        sides = partners.select("token", F.col("doc_id").alias("a"), F.col("c").alias("ac"), F.col("lr").alias("alr"))
+    def sides(first: DataFrame) -> DataFrame:
+        return first.select("token", F.col("doc_id").alias("a"), F.col("c").alias("ac"), F.col("lr").alias("alr"))
+
+    def met(joined: DataFrame) -> DataFrame:
         before = F.least(F.col("ac") - F.shiftright("alr", 32), F.col("c") - F.shiftright("lr", 32))
         after = F.least(F.col("alr").bitwiseAND(0xFFFFFFFF) - F.col("ac"), F.col("lr").bitwiseAND(0xFFFFFFFF) - F.col("c"))
-        pairs = left.join(sides, "token").where("a < doc_id").select("a", F.col("doc_id").alias("b"), (F.col("c") - F.col("ac")).alias("shift"), (F.col("c") - before).alias("start"), (F.col("c") + after).alias("end"))
+        pairs = joined.where("a < doc_id").select("a", F.col("doc_id").alias("b"), (F.col("c") - F.col("ac")).alias("shift"), (F.col("c") - before).alias("start"), (F.col("c") + after).alias("end"))
         # what two documents share lies mostly at one shift: few rows are left to be sorted
         return regions(pairs.groupBy("a", "b", "shift").agg(F.min("start").alias("start"), F.max("end").alias("end"))).distinct()
 
     # written, so that Spark may split a frequent token's places when they meet it
     first = written(found.groupBy("token").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("token", "first.*"), "first")
-    pairs = written(met(found, first), "regions")
+    # places of tokens that two documents have, which all that follows is made from
+    shared = written(found.join(sides(first), "token"), "shared")
+    freed(found, first)
+    pairs = written(met(shared), "regions")
     spans = [written(verified(pairs, base, min_words, threshold), "spans")]
     # a place that its first document's passages don't cover may repeat another document
-    later = found.join(first.select("token", F.col("doc_id").alias("a")), "token").where("a < doc_id").drop("a")
-    left = written(uncovered(later, spans[0]), "uncovered")
+    left = written(uncovered(shared.where("a < doc_id").select(found.columns), spans[0]), "uncovered")
     if not left.isEmpty():
         late = written(finer(base, left, min_words, hashes), "late")
-        before = found.join(left.groupBy("token").agg(F.max("doc_id").alias("last")), "token").where("doc_id < last")
+        before = shared.join(left.groupBy("token").agg(F.max("doc_id").alias("last")), "token").where("doc_id < last")
         early = finer(base, written(before.select("doc_id", "tag", "c", "c2", "lr").distinct(), "places"), min_words, hashes, sieve_of(late.select("token"), 1))
         first_finer = written(early.groupBy("token").agg(F.min(place).alias("first")).select("token", "first.*"), "first")
-        more = written(met(late, first_finer).join(pairs, pairs.columns, "left_anti"), "regions")
+        more = written(met(late.join(sides(first_finer), "token")).join(pairs, pairs.columns, "left_anti"), "regions")
         freed(late, first_finer)
         spans.append(written(verified(more, base, min_words, threshold), "spans"))
-    freed(found, first, left, pairs)
+    freed(shared, left, pairs)
     out = reduce(DataFrame.unionByName, spans)
     if len(spans) == 1:
         return out
