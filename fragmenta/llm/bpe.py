@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from fragmenta.llm.common import by_bytes, table
 
 MASK = (1 << 64) - 1
-#: Pre-tokens whose ids a worker remembers, the longest of them in characters; beyond it, it starts anew. A matter of speed only.
+#: Pre-tokens in a generation of those whose ids a worker remembers, and the longest of them in characters. A matter of speed only.
 REMEMBERED, SHORT = 150_000, 64
 
 
@@ -140,10 +140,15 @@ def merge(ids: list[int], joined: dict[int, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Pre-token -> its ids as little-endian int32 bytes; remembers what it has worked out."""
+    """Pre-token -> its ids as little-endian int32 bytes; remembers what it has worked out.
+
+    A full generation becomes the older one, in place of the last; what is asked for again is taken
+    over from there, so frequent pre-tokens are worked out once.
+    """
 
     def __init__(self, vocabulary: list[bytes], hashed: PerfectHash | None = None):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.vocabulary = vocabulary
         self.hashed = hashed or PerfectHash(vocabulary)
         self.joined = merge_table(vocabulary)
@@ -151,12 +156,15 @@ class Encoder(dict):
         self.single = [single.get(b, -1) for b in range(256)]
 
     def __missing__(self, token: str) -> bytes:
-        key = token.encode()
-        i = self.hashed.get(key)
-        ids = [i] if self.vocabulary[i] == key else merge([self.single[b] for b in key], self.joined)
-        out = struct.pack(f"<{len(ids)}i", *ids)
+        out = self.older.pop(token, None)
+        if out is None:
+            key = token.encode()
+            i = self.hashed.get(key)
+            ids = [i] if self.vocabulary[i] == key else merge([self.single[b] for b in key], self.joined)
+            out = struct.pack(f"<{len(ids)}i", *ids)
         if len(token) <= SHORT:
             if len(self) >= REMEMBERED:
+                self.older = self.copy()
                 self.clear()
             self[token] = out
         return out

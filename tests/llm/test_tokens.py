@@ -206,3 +206,18 @@ def test_row_keys_are_two_hashes(spark):
     assert not {r.h1 for r in keys} & {x for r in chained for x in r} and not {r.h2 for r in keys} & {x for r in chained for x in r}
     bits = [bin((a.h1 ^ a.h2) & (2**64 - 1)).count("1") for a in keys]
     assert 31 < sum(bits) / len(bits) < 33
+
+
+def test_frequent_pre_tokens_are_worked_out_once(monkeypatch):
+    vocabulary = [bytes([b]) for b in range(256)] + [b"ab", b"abc"]
+    monkeypatch.setattr(bpe, "REMEMBERED", 4)
+    encoder, asked = bpe.Encoder(vocabulary), []
+    own = encoder.hashed.get
+    encoder.hashed.get = lambda key: asked.append(key) or own(key)
+    for i in range(50):
+        for token in ("abcab", f"x{i}", f"y{i}"):
+            ids = list(memoryview(encoder[token]).cast("i"))
+            assert b"".join(vocabulary[k] for k in ids) == token.encode()
+    assert list(memoryview(encoder["abcab"]).cast("i")) == [257, 256]
+    assert asked.count(b"abcab") == 1
+    assert len(encoder) <= 4 and len(encoder.older) <= 4
