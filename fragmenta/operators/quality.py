@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fragmenta.functions.text import level_order, present
+from fragmenta.session import dealt
 
 Rule = tuple[str, str, Column]
 
@@ -73,12 +74,15 @@ def snapshot_difference(before: Column, after: Column) -> Column:
 
 def time_budget(activities: DataFrame, budget: DataFrame) -> DataFrame:
     """Violations of activities (module, meeting, stage, minutes) against budget (module, meetings,
-    minutes_each): rows that are no valid part, and meetings whose minutes don't add up exactly."""
-    met = activities.join(budget, "module")
+    minutes_each): rows that are no valid part, and meetings whose minutes don't add up exactly.
+
+    Activities are dealt out by what they are grouped by: a task that reads many of them would hold nearly
+    all in its part of the sums, as a meeting has few."""
+    met = dealt(activities, "module").join(budget, "module")
     bad = F.when(~F.col("stage").isin(1, 2, 3), "BAD_STAGE").when(~F.col("meeting").between(1, F.col("meetings")), "BAD_MEETING").when(~F.coalesce(F.col("minutes") > 0, F.lit(False)), "BAD_DURATION")
     rows = met.select("module", "meeting", bad.alias("code")).where("code is not null")
     grid = budget.select("module", "minutes_each", F.explode(F.sequence(F.lit(1), F.col("meetings").cast("int"))).alias("meeting"))
-    valid = activities.where("minutes > 0").groupBy("module", "meeting").agg(F.sum("minutes").alias("used"))
+    valid = dealt(activities.where("minutes > 0"), "module", "meeting").groupBy("module", "meeting").agg(F.sum("minutes").alias("used"))
     off = grid.join(valid, ["module", "meeting"], "left").where(F.coalesce("used", F.lit(0)) != F.col("minutes_each"))
     return rows.unionByName(off.select("module", "meeting", F.lit("MINUTES_OFF").alias("code")))
 

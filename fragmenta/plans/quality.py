@@ -8,7 +8,7 @@ from fragmenta.functions import text as tx
 from fragmenta.operators import lookup
 from fragmenta.operators import quality as ops
 from fragmenta.plans import roles
-from fragmenta.session import table
+from fragmenta.session import dealt, table
 
 
 def _objectives(spark, sf_dir):
@@ -30,7 +30,8 @@ def rule_verdicts(spark, sf_dir):
 def time_budget(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("module"), (F.floor((F.col("l_linenumber") - 1) / 3) + 1).alias("meeting"), ((F.col("l_linenumber") - 1) % 3 + 1).alias("stage"), F.col("l_quantity").cast("long").alias("minutes"))
     budget = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("module"), F.lit(2).alias("meetings"), F.lit(80).cast("long").alias("minutes_each"))
-    return ops.time_budget(items, budget).groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("module").alias("modules"))
+    found = dealt(ops.time_budget(items, budget).select("code", "module"), "code", "module").groupBy("code", "module").agg(F.count("*").alias("n"))
+    return found.groupBy("code").agg(F.sum("n").alias("n"), F.count("module").alias("modules"))
 
 
 def meeting_grid(spark, sf_dir):
