@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fragmenta.functions.text import any_of, collapse, present, strip, unit_family_of
 from fragmenta.operators.imports import ACTORS
 from fragmenta.operators.state import first_per_key
+from fragmenta.session import dealt
 
 #: What model output must not define.
 PROTECTED_KEYS = (
@@ -69,13 +70,18 @@ def glossary_errors(entries: DataFrame, key: str, most: int = 15) -> DataFrame:
 
 def principle_errors(rows: DataFrame, meetings: DataFrame, key: str, fields: Sequence[str] = PRINCIPLES, shortest: int = 20) -> DataFrame:
     """key and code of meeting principles (key, meeting, one text each): a meeting out of range, twice
-    or left out, a text too short, texts alike within a meeting or whole meetings alike."""
+    or left out, a text too short, texts alike within a meeting or whole meetings alike.
+
+    Rows are dealt out by key, and the first row of each meeting and of each text is marked there: distinct
+    counts would hold, three times, nearly all rows that a task reads, as a key has few."""
     text = lambda c: strip(F.coalesce(c, F.lit("")))
     low = [F.lower(text(c)) for c in fields]
     short = F.greatest(*(F.length(text(c)) < shortest for c in fields))
-    met = rows.join(meetings.select(key, "n_meetings"), key)
-    per = met.select(key, "n_meetings", "meeting", short.alias("short"), (F.size(F.array_distinct(F.array(*low))) < len(fields)).alias("alike"), F.concat_ws(" | ", *low).alias("whole"), (~F.coalesce(F.col("meeting").between(1, F.col("n_meetings")), F.lit(False))).alias("out"))
-    own = per.groupBy(key).agg(F.count("*").alias("n"), F.countDistinct("meeting").alias("seen"), F.countDistinct("whole").alias("kinds"), F.max("n_meetings").alias("n_meetings"), *(F.bool_or(c).alias(c) for c in ("short", "alike", "out")))
+    per = rows.select(key, "meeting", short.alias("short"), (F.size(F.array_distinct(F.array(*low))) < len(fields)).alias("alike"), F.concat_ws(" | ", *low).alias("whole"))
+    met = dealt(per, key).join(meetings.select(key, "n_meetings"), key).withColumn("out", ~F.coalesce(F.col("meeting").between(1, F.col("n_meetings")), F.lit(False)))
+    new = lambda c: (F.row_number().over(Window.partitionBy(key, c).orderBy(c)) == 1) & F.col(c).isNotNull()
+    marked = met.withColumn("new_meeting", new("meeting")).withColumn("new_whole", new("whole"))
+    own = marked.groupBy(key).agg(F.count("*").alias("n"), F.count_if("new_meeting").alias("seen"), F.count_if("new_whole").alias("kinds"), F.max("n_meetings").alias("n_meetings"), *(F.bool_or(c).alias(c) for c in ("short", "alike", "out")))
     found = codes(("BAD_MEETING", F.col("out")), ("DUPLICATE_MEETING", F.col("seen") < F.col("n")), ("TOO_SHORT", F.col("short")), ("ALIKE_WITHIN", F.col("alike")), ("MISSING_MEETING", F.col("seen") < F.col("n_meetings")), ("ALIKE_MEETINGS", F.col("kinds") < F.col("seen")))
     return own.select(key, F.explode(found).alias("code"))
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fragmenta.operators import quality
+from fragmenta.operators import contracts, quality
 from fragmenta.plans import modules, shown
 
 
@@ -27,3 +27,13 @@ def test_time_budget_is_summed_where_its_rows_are_dealt(spark):
     found = quality.time_budget(items, budget)
     assert _summed_where_dealt(found)
     assert {(r.code, r["count"]) for r in found.groupBy("code").count().collect()} == {("BAD_STAGE", 8000), ("MINUTES_OFF", 4000)}
+
+
+def test_meeting_principles_are_marked_where_their_rows_are_dealt(spark):
+    one = "sadar belajar untuk pertemuan {}", "makna belajar untuk pertemuan {}", "riang belajar untuk pertemuan {}"
+    own = lambda key, meeting, n: (key, meeting, *(x.format(n) for x in one))
+    rows = spark.createDataFrame([own(1, 1, 1), own(1, 2, 2), own(2, 1, 1), own(2, 1, 2), own(2, 2, 2), own(3, None, 1), own(3, 1, 1), own(4, 1, 7), own(4, 2, 7)], "k long, meeting long, berkesadaran string, bermakna string, menggembirakan string")
+    found = contracts.principle_errors(rows, spark.createDataFrame([(k, 2) for k in range(1, 5)], "k long, n_meetings long"), "k")
+    assert sorted(map(tuple, found.collect())) == [(2, "DUPLICATE_MEETING"), (3, "BAD_MEETING"), (3, "DUPLICATE_MEETING"), (3, "MISSING_MEETING"), (4, "ALIKE_MEETINGS")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Expand" not in plan
