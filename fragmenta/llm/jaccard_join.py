@@ -138,15 +138,14 @@ def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
     """The pairs (a, b) whose sets have at least threshold hundredths of their union in common."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    texts = only_ids(docs, ids)
     many = pairs.groupBy("a").agg(F.count("*").alias("many")).where(F.col("many") > SHARE)
     share = F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / SHARE)))
     dealt = written(pairs.join(many, "a", "left").select("a", "b", share.cast("int").alias("share")), "dealt")
-    members = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "share", "b", "body")
-    hubs = dealt.select("a", "share").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "body")
+    members = dealt.select(F.col("b").alias("doc_id"), "a", "share", "b")
+    hubs = dealt.select(F.col("a").alias("doc_id"), "a", "share", F.lit(None).cast("long").alias("b")).distinct()
+    asked = hubs.unionByName(members)  # hubs and members get their texts in one join
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = hubs.unionByName(members).repartition(n, "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+    dealt = asked.join(only_ids(docs, asked), "doc_id").select("a", "share", "b", "body").repartition(n, "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub = None, []
@@ -252,9 +251,9 @@ def links(docs: DataFrame, sig: DataFrame, threshold: int, width: int) -> DataFr
     for salt in range(1, MORE_ROUNDS + 1):
         met = with_hubs(by_token(left), salt, MORE_HUBS).where("lo = hi and hub_lo = hub_hi and lo <> hub_lo").where(near(threshold, "hub_"))
         met = written(met.select(F.least("g", "hub_g").alias("a"), F.greatest("g", "hub_g").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "met")
-        pairs = written(plausible(met, groups, threshold), "pairs")
-        done = done.unionByName(pairs)
-        placed, left = relabelled(verified(pairs, docs, threshold, width), placed, left)
+        if not met.isEmpty() and not (pairs := written(plausible(met, groups, threshold), "pairs")).isEmpty():
+            done = done.unionByName(pairs)
+            placed, left = relabelled(verified(pairs, docs, threshold, width), placed, left)
         freed(met)
 
     # of two groups that lie apart, one is outside its hub's component: those meet all that pass the filters
@@ -283,8 +282,11 @@ def with_hubs(lists: DataFrame, salt: int, many: int) -> DataFrame:
 
 def relabelled(links: DataFrame, placed: DataFrame, left: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """placed and left, in place of the tables given, after the components that new links (a, b)
-    connect have been merged."""
+    connect have been merged; without a link, the tables given."""
     found = written(links, "links")
+    if found.isEmpty():
+        freed(found)
+        return placed, left
     own = lambda x: placed.select(F.col("c").alias(x), F.col("k").alias(f"k{x}"))
     merged = components(found.join(own("a"), "a").join(own("b"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b")))
 

@@ -81,6 +81,17 @@ def test_repeated_rows_share_a_component(spark):
     assert [r.component_id for r in jaccard_join.jaccard_join(docs).collect()] == [1, 1, 1]
 
 
+def test_rounds_that_find_no_link_write_no_more(spark, monkeypatch):
+    """Two links, both found at once: what later rounds would verify, merge and rename isn't there."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(words[:100])), (2, " ".join(words[:99] + ["x"])), (3, " ".join(words[100:200])), (4, " ".join(["y"] + words[101:200])), (5, " ".join(words[200:300] + words[:60])), (6, None)]
+    seen, write = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, what: seen.append(what) or write(df, what))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
+    assert seen.count("dealt") == seen.count("links") == 1 and seen.count("placed") == 2
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (100, 70), (3, 3)]
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
