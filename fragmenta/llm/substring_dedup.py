@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from fragmenta.llm.common import add_by_batch, by_bytes, freed, table, written
 from fragmenta.llm.jaccard_join import only_ids
-from fragmenta.llm.shingles import WIDTH, WordHashes, passes, shingles, sieve_of, word_hashes
+from fragmenta.llm.shingles import WIDTH, passes, shingles, sieve_of, word_hashes
 
 #: Words in the shortest passage; Jaccard similarity of passages; hash functions, and how many must agree.
 MIN_WORDS, THRESHOLD, HASHES, AGREE = 50, 0.8, 4, 2
@@ -107,6 +107,19 @@ def hashed(tokens: np.ndarray, seed: np.uint64) -> np.ndarray:
         return h * np.uint64(0xC4CEB9FE1A85EC53)
 
 
+def least_of(h: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.uint64]]:
+    """For each row of hashes (uint64), the least token of each subsequence of t tokens, with its place
+    in the low bits, and these bits."""
+    m = h.shape[1]
+    low = np.uint64((1 << max(20, m.bit_length())) - 1)
+    for row in h:
+        least, w = row & ~low | np.arange(m, dtype=np.uint64), 1
+        while 2 * w <= t:
+            least = np.minimum(least[:-w], least[w:])
+            w *= 2
+        yield np.minimum(least[: m - t + 1], least[t - w : m - w + 1]), low
+
+
 class Subsequences:
     """The subsequences of t tokens of many texts, whose tokens lie one after the other, and the least
     tokens in them for each hash function. starts and sizes: where each text's tokens lie."""
@@ -125,21 +138,12 @@ class Subsequences:
             return
         begin = np.zeros(m, bool)
         begin[self.starts] = True
-        for keys, low in self._least(m):
+        for keys, low in least_of(self.h, t):
             k = keys[self.valid]
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | begin[self.valid[1:]]
             self.found.append((k[new], (k[new] & low).astype(np.int64), self.valid[new]))
 
-    def _least(self, m: int) -> Iterator[tuple[np.ndarray, np.uint64]]:
-        low = np.uint64((1 << max(20, m.bit_length())) - 1)
-        for row in self.h:
-            least, w = row & ~low | np.arange(m, dtype=np.uint64), 1
-            while 2 * w <= self.t:
-                least = np.minimum(least[:-w], least[w:])
-                w *= 2
-            yield np.minimum(least[: m - self.t + 1], least[self.t - w : m - w + 1]), low
-
     def tokens(self) -> list[np.ndarray]:
         return [x[c] for x, (_, c, _) in zip(self.h, self.found)]
 
@@ -268,22 +272,26 @@ def runs(hit: np.ndarray, bridge: int) -> list[tuple[int, int]]:
     return list(zip(at[np.concatenate([[0], cuts + 1])].tolist(), (at[np.concatenate([cuts, [len(at) - 1]])] + 1).tolist(), strict=True))
 
 
-def earlier(kinds: np.ndarray) -> np.ndarray:
-    """For each place the one before it of the same kind, -1 for the first."""
-    order = np.argsort(kinds, kind="stable")
-    out = np.full(len(kinds), -1)
-    again = np.flatnonzero(kinds[order[1:]] == kinds[order[:-1]])
-    out[order[again + 1]] = order[again]
-    return out
-
-
 class Kinds:
     """A text's shingles by kind: the kinds, where each is first, each place's kind, how many there are of each,
-    and the place before of the same kind."""
+    and the place before of the same kind (-1 for the first), all from one sort."""
 
     def __init__(self, a: np.ndarray) -> None:
-        self.kinds, self.first, self.at, self.many = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
-        self.before = earlier(self.at)
+        order = np.argsort(a, kind="stable")
+        x = a[order]
+        new = np.ones(len(a), bool)
+        new[1:] = x[1:] != x[:-1]
+        starts, again = np.flatnonzero(new), np.flatnonzero(~new)
+        self.kinds, self.first, self.many = x[starts], order[starts], np.diff(starts, append=len(a))
+        self.at, self.before = np.empty(len(a), np.int64), np.full(len(a), -1)
+        self.at[order] = np.cumsum(new) - 1
+        self.before[order[again]] = order[again - 1]
+
+
+@cache
+def spreads(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last of each run of n pieces; n is at most PIECES."""
+    return np.triu_indices(n)
 
 
 def passages(a: np.ndarray, b: np.ndarray, t: int, threshold: float, of: Kinds | None = None) -> list[tuple[int, int, int, int, float]]:
@@ -295,13 +303,14 @@ def passages(a: np.ndarray, b: np.ndarray, t: int, threshold: float, of: Kinds |
     """
     of = of or Kinds(a)
     of_a, first, in_a, many_a = of.kinds, of.first, of.at, of.many
-    values, which, many = np.unique(b, return_inverse=True, return_counts=True)
+    of_b = Kinds(b)
+    values, which, many = of_b.kinds, of_b.at, of_b.many
     same = np.minimum(np.searchsorted(of_a, values), len(of_a) - 1)  # the place in of_a of each value that a has
     known = of_a[same] == values
     hit = known[which]
     if np.count_nonzero(hit) < threshold * t:
         return []
-    before_a, before_b = of.before, earlier(which)
+    before_a, before_b = of.before, of_b.before
     met = same[which]  # of a hit of b: its kind in a
     mine = np.zeros(len(of_a), bool)
     order, ends = (np.argsort(in_a, kind="stable"), np.cumsum(many_a)) if len(of_a) < len(a) else (first, None)
@@ -361,7 +370,7 @@ def passages(a: np.ndarray, b: np.ndarray, t: int, threshold: float, of: Kinds |
         # from the whole run down to single pieces, the longest first
         x, y = np.array([[s, e]]).T
         if len(pieces) <= PIECES:
-            i, j = np.triu_indices(len(pieces))
+            i, j = spreads(len(pieces))
             x, y = np.array(pieces)[i, 0], np.array(pieces)[j, 1]
         both = common[y] - common[x]
         may = (y - x >= t) & (both >= threshold * (both + alone[y] - alone[x]))
@@ -489,40 +498,38 @@ def finer(docs: DataFrame, places: DataFrame, min_words: int, functions: int, si
     texts = only_ids(docs, places).join(lists, "doc_id").select("doc_id", "body", F.expr(TAG), "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, (bits, functions) = WordHashes(), shared.value
+        bits, functions = shared.value
         for whole in batches:
-            for batch in by_bytes(whole, 1):
-                keys, ids, tags, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-                ends, flat = batch.column(3).offsets.to_numpy(), batch.column(3).values
-                whose, c, c2, lr = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("tag", "c", "c2", "lr"))
-                begin = np.maximum(lr >> 32, np.maximum(c, c2) - t + 1)
-                end = np.minimum(np.minimum(c, c2), (lr & 0xFFFFFFFF) - t + 1)
-                for i, (doc, text, tag) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-                    tokens = shingles(words.of(text))
-                    asked = np.zeros(max(0, len(tokens) - t + 1) + 1, np.int64)
-                    own = slice(ends[i], ends[i + 1])
-                    mine = whose[own] == tag
-                    np.add.at(asked, begin[own][mine], 1)
-                    np.add.at(asked, end[own][mine] + 1, -1)
-                    starts = np.flatnonzero(np.cumsum(asked)[:-1] > 0)
-                    if not len(starts):
-                        continue
-                    least = [np.repeat(k, np.diff([*first, len(asked) - 1])) for k, _, first in least_tokens(hashed(tokens[None, :], functions), t)]
-                    both = np.full(len(asked) - 1, np.uint64(1))
-                    for i, x in enumerate(least):
-                        both = hashed(both ^ x >> np.uint64(max(20, len(tokens).bit_length())), np.uint64(i))
-                    new = np.concatenate([[True], (both[starts[1:]] != both[starts[:-1]])])
-                    key = np.concatenate([whole_keys(tokens, t)[starts], both[starts[new]]]).view(np.int64)
-                    places = np.concatenate([starts, starts[new]])
-                    if bits is not None:
-                        kept = passes(bits, key)
-                        key, places = key[kept], places[kept]
-                    keys.append(key)
-                    at.append(places)
-                    ids.append(np.full(len(key), doc))
-                    tags.append(np.full(len(key), tag, np.int32))
-                c = np.concatenate(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(tags)), *[pa.array(c.astype(np.int32))] * 2, pa.array(c << 32 | c + t - 1)], names=[x.split()[0] for x in WINDOW.split(", ")])
+            for batch in by_bytes(whole, 1, 1 << 20):
+                words, counts = word_hashes(batch.column(1))
+                begins = np.cumsum(counts) - counts
+                if len(words) < t + WIDTH - 1:
+                    continue
+                # the texts' tokens lie one after the other; a subsequence that is asked lies within one text
+                tokens = shingles(words)
+                owner = np.repeat(np.arange(len(counts)), np.diff(batch.column(3).offsets.to_numpy()))
+                flat = batch.column(3).flatten()
+                tag, c, c2, lr = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("tag", "c", "c2", "lr"))
+                mine = tag == batch.column(2).to_numpy()[owner]
+                begin = np.maximum(lr >> 32, np.maximum(c, c2) - t + 1) + begins[owner]
+                end = np.minimum(np.minimum(c, c2), (lr & 0xFFFFFFFF) - t + 1) + begins[owner]
+                asked = np.zeros(len(tokens) - t + 2, np.int64)
+                np.add.at(asked, begin[mine], 1)
+                np.add.at(asked, end[mine] + 1, -1)
+                starts = np.flatnonzero(np.cumsum(asked)[:-1] > 0)
+                text = np.searchsorted(begins, starts, "right") - 1
+                both = np.full(len(starts), np.uint64(1))
+                for i, (least, low) in enumerate(least_of(hashed(tokens[None, :], functions), t)):
+                    both = hashed(both ^ least[starts] >> np.uint64(int(low).bit_length()), np.uint64(i))
+                new = np.ones(len(starts), bool)
+                new[1:] = (both[1:] != both[:-1]) | (text[1:] != text[:-1])
+                key = np.concatenate([whole_keys(tokens, t)[starts], both[new]]).view(np.int64)
+                at, text = np.concatenate([starts, starts[new]]), np.concatenate([text, text[new]])
+                if bits is not None:
+                    kept = passes(bits, key)
+                    key, at, text = key[kept], at[kept], text[kept]
+                c, own = at - begins[text], pa.array(text)
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(own), batch.column(2).take(own), *[pa.array(c.astype(np.int32))] * 2, pa.array(c << 32 | c + t - 1)], names=[x.split()[0] for x in WINDOW.split(", ")])
 
     return texts.mapInArrow(run, WINDOW)
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fragmenta.llm import jaccard_join, substring_dedup
-from fragmenta.llm.shingles import components, word_hashes
+from fragmenta.llm.shingles import SIEVE_BITS, components, shingles, word_hashes
 
 
 def words(text):
@@ -211,6 +211,32 @@ def test_subsequences_of_many_texts_are_those_of_each():
         assert j[2] <= min(j[:2]) and max(j[:2]) <= j[3] < sizes[k]
 
 
+def test_finer_keys_of_a_batch_are_those_of_each_text(spark):
+    """Texts worked together, among them none, short ones and two of one id, against each worked alone."""
+    rng, t = random.Random(5), 46
+    make = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n))
+    texts = [(1, make(200)), (2, None), (3, make(7)), (4, make(50)), (4, make(300)), (5, ""), (6, make(49)), (7, make(120))]
+    base = spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", F.xxhash64(F.col("text").cast("binary")).alias("text_hash"), F.col("text").cast("binary").alias("body")).coalesce(1)
+    every = np.full(SIEVE_BITS // 8, 255, np.uint8)
+    places = substring_dedup.windows(base, 50, 4, 2, every).where("pmod(token, 3) = 0").select("doc_id", "tag", "c", "c2", "lr").distinct()
+    got = Counter((r.token, r.doc_id, r.tag, r.c) for r in substring_dedup.finer(base, places, 50, 4).collect())
+    asked, want = defaultdict(set), Counter()
+    for r in places.collect():
+        asked[r.doc_id, r.tag] |= set(range(max(r.lr >> 32, max(r.c, r.c2) - t + 1), min(min(r.c, r.c2), (r.lr & 0xFFFFFFFF) - t + 1) + 1))
+    for r in base.where("body is not null").selectExpr("doc_id", substring_dedup.TAG, "body").collect():
+        starts = np.array(sorted(asked[r.doc_id, r.tag]), np.int64)
+        if not len(starts):
+            continue
+        tokens = shingles(word_hashes(pa.array([bytes(r.body)], pa.binary()))[0])
+        both = np.full(len(tokens) - t + 1, np.uint64(1))
+        for i, (keys, _, first) in enumerate(substring_dedup.least_tokens(substring_dedup.hashed(tokens[None, :], substring_dedup.seeds(4)[:, None]), t)):
+            both = substring_dedup.hashed(both ^ np.repeat(keys, np.diff([*first, len(both)])) >> np.uint64(20), np.uint64(i))
+        new = starts[np.concatenate([[True], both[starts[1:]] != both[starts[:-1]]])]
+        for key, at in ((substring_dedup.whole_keys(tokens, t)[starts], starts), (both[new], new)):
+            want.update((k, r.doc_id, r.tag, c) for k, c in zip(key.view(np.int64).tolist(), at.tolist(), strict=True))
+    assert got == want and len(want) > 200
+
+
 def test_recall_of_near_repeats_over_a_table(spark):
     """Planted passages in a table of random texts: all whole repeats, and nearly all near ones at the least similarity."""
     rng = random.Random(1)
