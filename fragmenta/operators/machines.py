@@ -749,14 +749,14 @@ def school_segments(fragments: DataFrame) -> DataFrame:
 
 
 def outcomes(segments: DataFrame, prefix: Column, longest: int = 600) -> DataFrame:
-    """segments without a document's repeats (same subject, phase, element and text), with an id of
-    prefix, phase, page and a number in the order of the document; texts are cut at longest."""
-    said = F.sha2(F.substring(F.lower(collapse(F.col("text"))), 1, 400), 256)
+    """segments without a document's repeats (same subject, phase, element and whole text), with an id of
+    prefix, phase, page and a number in the order of the document; text is cut at longest, whole_text is not."""
+    said = F.sha2(F.lower(collapse(F.col("text"))), 256)
     same = Window.partitionBy("document_id", "subject", "phase", "element", said).orderBy("page_number", "pos")
     kept = segments.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
     number = F.row_number().over(Window.partitionBy("document_id", "subject", "phase", "page_number").orderBy("pos"))
     id = F.concat_ws("-", prefix, "phase", F.col("page_number").cast("string"), number.cast("string"))
-    return kept.withColumn("id", id).withColumn("text", F.substring("text", 1, longest))
+    return kept.withColumns({"id": id, "whole_text": F.col("text")}).withColumn("text", F.substring("text", 1, longest))
 
 
 def rejoined(fragments: DataFrame) -> DataFrame:

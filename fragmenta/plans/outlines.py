@@ -91,7 +91,7 @@ OUTCOME = ("document_id", "id", "subject", "phase", "element", "sub_element", "p
 
 
 def madrasah_parser(spark, sf_dir):
-    return machines.madrasah_outcomes(madrasah_fragments(spark, sf_dir)).select(*OUTCOME)
+    return machines.madrasah_outcomes(madrasah_fragments(spark, sf_dir)).select(*OUTCOME, "whole_text")
 
 
 def school_parser(spark, sf_dir):
