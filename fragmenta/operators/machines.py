@@ -753,7 +753,9 @@ def outcomes(segments: DataFrame, prefix: Column, longest: int = 600) -> DataFra
     prefix, phase, page and a number in the order of the document; text is cut at longest, whole_text is not."""
     said = F.sha2(F.lower(collapse(F.col("text"))), 256)
     same = Window.partitionBy("document_id", "subject", "phase", "element", said).orderBy("page_number", "pos")
-    kept = segments.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
+    # dealt out once, by what both windows share, so that whole texts are not shuffled twice
+    dealt = segments.repartition("document_id", "subject", "phase")
+    kept = dealt.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
     number = F.row_number().over(Window.partitionBy("document_id", "subject", "phase", "page_number").orderBy("pos"))
     id = F.concat_ws("-", prefix, "phase", F.col("page_number").cast("string"), number.cast("string"))
     return kept.withColumns({"id": id, "whole_text": F.col("text")}).withColumn("text", F.substring("text", 1, longest))

@@ -95,7 +95,7 @@ def madrasah_parser(spark, sf_dir):
 
 
 def school_parser(spark, sf_dir):
-    return machines.school_outcomes(school_fragments(spark, sf_dir)).select(*OUTCOME)
+    return machines.school_outcomes(school_fragments(spark, sf_dir)).select(*OUTCOME, "whole_text")
 
 
 def chapter_parser(spark, sf_dir):

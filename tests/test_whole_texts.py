@@ -36,3 +36,11 @@ def test_madrasah_texts_are_whole(spark, sf_dir):
         lines += ["1.1 Pemahaman Konsep", *SAME, end]
     checked(machines.madrasah_outcomes(spark.createDataFrame([(1, 1, 0, 0, "\n".join(lines))], FRAGMENTS)).collect(), "\n")
     assert kept_whole(plans.madrasah_parser(spark, sf_dir), machines.madrasah_segments(plans.madrasah_fragments(spark, sf_dir)).fillna("Umum", "element"))
+
+
+def test_school_texts_are_whole(spark, sf_dir):
+    lines = ["1.1 CAPAIAN PEMBELAJARAN PENDIDIKAN AGAMA ISLAM", "D. Capaian Pembelajaran", "1. Fase A (Kelas I)"]
+    for end in ENDS:
+        lines += ["1.3. Akhlak", *SAME, end]
+    checked(machines.school_outcomes(spark.createDataFrame([(1, 1, 0, 0, "\n".join(lines))], FRAGMENTS)).collect(), " ")
+    assert kept_whole(plans.school_parser(spark, sf_dir), machines.school_segments(plans.school_fragments(spark, sf_dir)))
