@@ -233,7 +233,8 @@ def parsed(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 def chapter_outcomes(fragments: DataFrame, longest: int = 600) -> DataFrame:
     """Outcomes of fragments (document_id, page_number, paragraph, chunk, text) in chapters, each with
-    the pages its lines stood on. Those of subjects that a later regulation amends are superseded."""
+    the pages its lines stood on. Those of subjects that a later regulation amends are superseded. text
+    is cut at longest, whole_text is not."""
     place = F.struct("page_number", "paragraph", "chunk")
     begins = fragments.groupBy("document_id").agg(F.min(place).alias("__begin"))
     lines = page_lines(fragments, ["paragraph", "chunk"])
@@ -250,5 +251,5 @@ def chapter_outcomes(fragments: DataFrame, longest: int = 600) -> DataFrame:
         special = special | F.col("subject").startswith(s)
     return found.select(
         "document_id", id.alias("id"), "code", "subject", "phase", "element", F.substring("text", 1, longest).alias("text"), page.alias("page_number"), "pages",
-        F.when(special, "pendidikan_khusus").otherwise("sekolah").alias("institution_type"), F.when(F.contains("subject", F.lit(fixed.AMENDED)), "superseded").otherwise("active").alias("status"),
+        F.when(special, "pendidikan_khusus").otherwise("sekolah").alias("institution_type"), F.when(F.contains("subject", F.lit(fixed.AMENDED)), "superseded").otherwise("active").alias("status"), F.col("text").alias("whole_text"),
     )

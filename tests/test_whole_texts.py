@@ -2,7 +2,7 @@
 
 from test_machines import LONG
 
-from fragmenta.operators import machines
+from fragmenta.operators import chapters, machines
 from fragmenta.plans import outlines as plans
 
 FRAGMENTS = "document_id long, page_number long, paragraph long, chunk long, text string"
@@ -44,3 +44,16 @@ def test_school_texts_are_whole(spark, sf_dir):
         lines += ["1.3. Akhlak", *SAME, end]
     checked(machines.school_outcomes(spark.createDataFrame([(1, 1, 0, 0, "\n".join(lines))], FRAGMENTS)).collect(), " ")
     assert kept_whole(plans.school_parser(spark, sf_dir), machines.school_segments(plans.school_fragments(spark, sf_dir)))
+
+
+def test_chapter_texts_are_whole(spark, sf_dir):
+    lines = ["IV.1. CAPAIAN PEMBELAJARAN MATEMATIKA", "D. Capaian Pembelajaran", "Fase A"]
+    for end in ENDS:
+        lines += ["1.1. Bilangan", *SAME, end.capitalize()]
+    found = chapters.chapter_outcomes(spark.createDataFrame([(1, 1, 0, 0, "\n".join(lines))], FRAGMENTS)).collect()
+    assert [r.whole_text for r in sorted(found, key=lambda r: r.id)] == [" ".join([*SAME, end.capitalize()]) for end in ENDS]
+    assert all(r.text == r.whole_text[:600] for r in found)
+    rows = plans.chapter_parser(spark, sf_dir).collect()
+    uncut = chapters.chapter_outcomes(plans.chapter_fragments(spark, sf_dir), longest=10**9).collect()
+    assert sorted((r.document_id, r.id, r.whole_text) for r in rows) == sorted((r.document_id, r.id, r.text) for r in uncut)
+    assert max(len(r.whole_text) for r in rows) > 600
